@@ -1,4 +1,10 @@
 """All registered queries of the library (those of the llm subpackage aside) and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from marlstone.plans import aggregate_queries, gate_queries, merge_queries, scalar_queries
+
+GROUPS = [scalar_queries.group, gate_queries.group, merge_queries.group, aggregate_queries.group]
+
+QUERIES = {name: fn for g in GROUPS for name, fn in g.queries.items()}
+SQL = {name: sql for g in GROUPS for name, sql in g.sql.items()}
