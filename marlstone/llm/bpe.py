@@ -13,14 +13,15 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: How byte-level BPE splits a text into words before merging (fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-NO_RANK = np.int64(1 << 40)
+NO_RANK = np.int32(2**31 - 1)
 KNOWN_WORDS = 200_000
 #: Texts whose words are encoded together: enough to fill the arrays, few enough to bound them.
 GROUP_CHARS = 1 << 20
@@ -58,54 +59,62 @@ def load_vocabulary(path: str) -> dict:
     for token, i in special.items():
         pieces[i] = token.encode()
     return {
-        "bytes": np.array([vocab[c] for c in symbols], np.int64), "keys": keys[order], "ranks": order.astype(np.int64), "made": made[order],
+        "bytes": np.array([vocab[c] for c in symbols], np.int64), "keys": keys[order], "ranks": order.astype(np.int32), "made": made[order].astype(np.int32),
         "special": special, "lengths": np.array([len(p) for p in pieces], np.int64), "pieces": np.frombuffer(b"".join(pieces), np.uint8),
     }
 
 
 def merge_words(words: list[str], v: dict) -> list[tuple[int, ...]]:
-    """Ids of each word, by rounds over one flat array of all words' symbols."""
+    """Ids of each word, by rounds over one flat array of all words' symbols.
+
+    rank holds, for each symbol, the rank of its pair with the next one of its word. A round finds each word's least rank, merges all pairs of
+    that rank and looks up only the pairs that a merge has made.
+    """
     data = [w.encode() for w in words]
     sizes = np.array([len(b) for b in data], np.int64)
-    sym = v["bytes"][np.frombuffer(b"".join(data), np.uint8)]
-    word = np.repeat(np.arange(len(words)), sizes)
-    done: list[tuple[np.ndarray, np.ndarray]] = []
+    sym = v["bytes"][np.frombuffer(b"".join(data), np.uint8)].astype(np.int32)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     keys, ranks, made = v["keys"], v["ranks"], v["made"]
+    rank, at = np.full(len(sym), NO_RANK), np.zeros(len(sym), np.int32)
+
+    def look(i: np.ndarray) -> None:
+        key = (sym[i].astype(np.int64) << 32) | sym[i + 1]
+        found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        rank[i] = np.where(keys[found] == key, ranks[found], NO_RANK)
+        at[i] = found
+
+    look(np.flatnonzero(word[1:] == word[:-1]))
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(sym):
-        rank = np.full(len(sym), NO_RANK)  # of the pair that begins here
-        into = np.zeros(len(sym), np.int64)
-        same = np.flatnonzero(word[1:] == word[:-1])
-        key = (sym[same] << 32) | sym[same + 1]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        rank[same[hit]] = ranks[at[hit]]
-        into[same[hit]] = made[at[hit]]
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         best = np.minimum.reduceat(rank, first)
-        span = np.diff(np.concatenate([first, [len(sym)]]))
-        lowest = np.repeat(best, span)
-        open_ = lowest != NO_RANK
-        if not open_.all():
+        span = np.diff(first, append=len(sym))
+        live = best != NO_RANK
+        if 2 * np.count_nonzero(live) < len(live):  # words without a pair to merge are set aside
+            open_ = np.repeat(live, span)
             done.append((word[~open_], sym[~open_]))
-            sym, word, rank, into, lowest = sym[open_], word[open_], rank[open_], into[open_], lowest[open_]
-            if not len(sym):
-                break
-        take = rank == lowest
-        # a run of one symbol ("aaa") offers overlapping pairs: every second of a run of neighbours is merged
-        follows = np.zeros(len(take), bool)
-        follows[1:] = take[1:] & take[:-1]
-        start = np.maximum.accumulate(np.where(take & ~follows, np.arange(len(take)), 0))
-        take &= (np.arange(len(take)) - start) % 2 == 0
-        sym = np.where(take, into, sym)
-        gone = np.zeros(len(take), bool)
-        gone[1:] = take[:-1]
-        sym, word = sym[~gone], word[~gone]
+            sym, word, rank, at = sym[open_], word[open_], rank[open_], at[open_]
+            continue
+        m = np.flatnonzero((rank == np.repeat(best, span)) & (rank != NO_RANK))
+        # a run of one symbol ("aaa") offers overlapping pairs: every second of neighbours is merged
+        begins = np.diff(m, prepend=-2) != 1
+        nth = np.arange(len(m))
+        m = m[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0]
+        sym[m] = made[at[m]]
+        keep = np.ones(len(sym), bool)
+        keep[m + 1] = False
+        sym, word, rank, at = sym[keep], word[keep], rank[keep], at[keep]
+        m -= np.arange(len(m))
+        i = np.concatenate([m, m[m > 0] - 1])
+        inside = i + 1 < len(word)
+        inside[inside] = word[i[inside] + 1] == word[i[inside]]
+        rank[i[~inside]] = NO_RANK
+        look(i[inside])
     if not done:
         return [()] * len(words)
     word = np.concatenate([w for w, _ in done])
-    sym = np.concatenate([s for _, s in done])
     order = np.argsort(word, kind="stable")
-    ids = sym[order].tolist()
+    ids = np.concatenate([s for _, s in done])[order].tolist()
     ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
     return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -126,25 +135,17 @@ class Encoder:
         return [w for part in self.special.split(text) for w in ([part] if part in self.v["special"] else self.words.findall(part))]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= GROUP_CHARS):
-                size += len(texts[hi] or "")
-                hi += 1
-            split = [self.split(t) if t else [] for t in texts[lo:hi]]
-            new = list(set(chain.from_iterable(split)).difference(self.known))
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                new = list(set(chain.from_iterable(split)))
-                self.known = {}
-            plain = [w for w in new if w not in self.v["special"]]
-            self.known.update(zip(plain, merge_words(plain, self.v), strict=True))
-            self.known.update({w: (self.v["special"][w],) for w in new if w in self.v["special"]})
-            get = self.known.__getitem__
-            out.extend(np.fromiter(chain.from_iterable(map(get, words)), np.int32) for words in split)
-            lo = hi
-        return out
+        """Ids of each text; all texts' new words are merged together."""
+        split = [self.split(t) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            new = list(set(chain.from_iterable(split)))
+            self.known = {}
+        plain = [w for w in new if w not in self.v["special"]]
+        self.known.update(zip(plain, merge_words(plain, self.v), strict=True))
+        self.known.update({w: (self.v["special"][w],) for w in new if w in self.v["special"]})
+        get = self.known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(get, words)), np.int32) for words in split]
 
 
 def decode_ids(lists: list, v: dict) -> list[str]:
@@ -158,15 +159,31 @@ def decode_ids(lists: list, v: dict) -> list[str]:
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32), pa.int32()))
+
+
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in slices of about GROUP_CHARS bytes of text and at least one row: what is held as Python strings at a time."""
+    lo = 0
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GROUP_CHARS, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def encode(spark: SparkSession, path: str, text: Column) -> Column:
     """Ids of whole texts as array<int>; null and empty texts have none."""
     shared = spark.sparkContext.broadcast(load_vocabulary(path))
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for texts in batches:
-            yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
+            yield pa.concat_arrays([lists_of(encoder.encode(p.to_pylist())) for p in pieces(texts)] or [lists_of([])])
 
     return run(text)
 
@@ -175,13 +192,30 @@ def decode(spark: SparkSession, path: str, ids: Column) -> Column:
     """Texts of ids: the exact inverse of encode for whole texts. Null ids give an empty text."""
     shared = spark.sparkContext.broadcast(load_vocabulary(path))
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            values = [x if x is not None else () for x in lists]
             out: list[str] = []
-            for lo in range(0, len(values), 256):  # bounds the index arrays, which are eight times as large as the text
-                out.extend(decode_ids(values[lo : lo + 256], shared.value))
-            yield pd.Series(out, dtype=object)
+            for lo in range(0, len(lists), 256):  # bounds the index arrays, which are eight times as large as the text
+                out.extend(decode_ids([x or () for x in lists.slice(lo, 256).to_pylist()], shared.value))
+            yield pa.array(out, pa.string())
 
     return run(ids)
+
+
+def encode_and_decode(spark: SparkSession, path: str, text: Column) -> Column:
+    """struct(ids, decoded): the ids, and the text decoded from them, in one pass of one Python worker."""
+    shared = spark.sparkContext.broadcast(load_vocabulary(path))
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(shared.value)
+        for texts in batches:
+            ids, back = [lists_of([])], [pa.array([], pa.string())]
+            for p in pieces(texts):
+                lists = encoder.encode(p.to_pylist())
+                ids.append(lists_of(lists))
+                back.append(pa.array(decode_ids(lists, shared.value), pa.string()))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], names=["ids", "decoded"])
+
+    return run(text)

@@ -133,8 +133,8 @@ def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(spark, path, F.col("text")).alias("ids"))
-    back = docs.select("doc_id", "ids", bpe.decode(spark, path, F.col("ids")).alias("decoded"))
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_and_decode(spark, path, F.col("text")).alias("b"))
+    back = both.select("doc_id", "b.ids", "b.decoded")
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
