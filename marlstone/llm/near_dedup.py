@@ -7,9 +7,8 @@ above. A component of the signature is the earliest event that it gets, so two t
 their weighted Jaccard similarity. Five components make a band; 25 bands miss a pair at similarity 0.8 with probability 5e-5.
 
 Equal word sequences are collapsed first. In a bucket of texts that share a band no list of all pairs is made: texts are
-compared with leaders of the bucket, exactly. One minus the weighted Jaccard similarity is a metric, so texts near one leader belong
-together without being compared, and the triangle inequality shows which texts may have further partners; only those stay
-in the bucket for another round with twice the leaders. Classes are the connected components of all verified links.
+compared, exactly, with a leader, and only where classes then differ with each other. One minus the weighted Jaccard similarity is
+a metric, so distances to a leader show which of those can be linked at all. Classes are the connected components of all verified links.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ from .shingles import sequence_hash, shingle_hashes, word_hashes
 BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
 NO_ID = -(2**63)
+#: Multisets that a task keeps while it verifies.
+KEPT = 512
 
 
 def multiset(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +52,11 @@ def uniform(x: np.ndarray) -> np.ndarray:
 def signature(hashes: np.ndarray, counts: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
     """m components as 64-bit numbers (the bits of the earliest event's time). The multiset must not be empty."""
     weight = int(counts.sum())
-    horizon = m * (math.log(m) + 4) / weight  # all components have an event by then in 98 % of cases
+    horizon = m * (math.log(m) + 3) / weight  # all components have an event by then in 95 % of cases
+    components_, one = np.uint64(m), np.uint64(1)
     while True:
         best = np.full(m, np.inf)
-        stretch, low = 0, 0
+        stretch = 0
         while True:
             rate = 1 if stretch == 0 else 1 << (stretch - 1)
             low = 0 if stretch == 0 else rate
@@ -63,23 +65,22 @@ def signature(hashes: np.ndarray, counts: np.ndarray, m: int = BANDS * ROWS) ->
                 break
             with np.errstate(over="ignore"):
                 seeds = mix64(hashes[live] + np.uint64(stretch + 1) * GOLDEN)
-            mean = rate * horizon
             most = counts[live]
             now = np.zeros(len(seeds))
             event = 0
+            block = int(rate * horizon) + 2
             while len(seeds):
-                n = int(mean + 4 * math.sqrt(mean) + 4) if event == 0 else 8
                 with np.errstate(over="ignore"):
-                    x = mix64(seeds[:, None] + np.arange(event, event + n, dtype=np.uint64)[None, :] * GOLDEN)
-                    y = mix64(x + GOLDEN)
-                t = now[:, None] + np.cumsum(-np.log(uniform(x)), axis=1) / rate
+                    x = mix64(seeds[:, None] + np.arange(event, event + block, dtype=np.uint64)[None, :] * GOLDEN)
+                t = now[:, None] - np.cumsum(np.log(uniform(x)), axis=1) / rate
                 ok = t <= horizon
                 if stretch:  # thinned to the part of the stretch below the multiplicity
-                    ok &= low + rate * uniform(mix64(y)) <= most[:, None]
-                np.minimum.at(best, (y[ok] % np.uint64(m)).astype(np.int64), t[ok])
-                now, event = t[:, -1], event + n
+                    ok &= low + rate * uniform(mix64(x ^ GOLDEN)) <= most[:, None]
+                np.minimum.at(best, (mix64(x[ok] + one) % components_).astype(np.int64), t[ok])
+                now = t[:, -1]
                 more = now <= horizon
                 seeds, now, most = seeds[more], now[more], most[more]
+                event, block = event + block, max(2, block // 2)
             stretch += 1
         if np.isfinite(best).all():
             return best.view(np.uint64)
@@ -117,27 +118,29 @@ def similarity(text_a: Column, text_b: Column, content_a: Column, content_b: Col
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        kept: dict[int, tuple] = {}  # multisets of the last texts: pairs of one text come close together
+
+        def of(content: int, text: str) -> tuple | None:
+            got = kept.get(content)
+            if got is None or got[0] != text:
+                words = word_hashes(text)
+                if sequence_hash(words) != content:
+                    return None
+                if len(kept) >= KEPT:
+                    kept.clear()
+                got = kept[content] = (text, np.unique(shingle_hashes(words), return_counts=True))
+            return got
+
         for a, b, ha, hb in batches:
-            out, known, of = [], None, None
+            out = []
             for x, y, hx, hy in zip(a, b, ha, hb, strict=True):
-                wy = word_hashes(y)
-                if of != (hx, x):  # a leader's pairs come one after another
-                    wx = word_hashes(x)
-                    known, of = (np.unique(shingle_hashes(wx), return_counts=True), sequence_hash(wx)), (hx, x)
-                same = known[1] == hx and sequence_hash(wy) == hy
-                out.append(weighted_jaccard(known[0], np.unique(shingle_hashes(wy), return_counts=True)) if same else None)
+                p, q = of(hx, x), of(hy, y)
+                out.append(weighted_jaccard(p[1], q[1]) if p and q else None)
             yield pd.Series(out, dtype="float64")
 
     return run(text_a, text_b, content_a, content_b)
 
 
-def candidate_texts(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(content, text) of the contents that share a bucket with another one: fetched once, the only step that shuffles texts of the whole table."""
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = members.join(crowded, "bucket").select("content").distinct().join(reps, "content")
-    return written(wanted.join(docs, wanted["rep"] == docs["id"]).select("content", "text"), "near-texts")
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, d) for pairs (a, b) of contents: d is one minus the similarity of their texts."""
     left = texts.select(F.col("content").alias("a"), F.col("text").alias("ta"))
@@ -164,44 +167,52 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) that connect all texts of similarity >= threshold which share a bucket. members: (bucket, content)."""
+def classes_of(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
+    """(node, label) of the contents that a verified link of similarity >= threshold joins with others; None without buckets of two. members: (bucket, content).
+
+    First every text is compared with its buckets' leader: the one that shares the most buckets with others, as an original does among its
+    edited copies. Then classes are formed; a bucket of one class needs no more. In the others, texts of different classes are compared,
+    except where their distances to the leader differ by more than a link may have: each with each where they are few, with a seeded
+    choice of sixteen, then 256, and so on where they are many.
+    """
     far = 1 - threshold + 1e-12
-    texts = candidate_texts(members, reps, docs)
-    active, known, edges, leaders_wanted = members, None, None, 1
+    crowds = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = written(members.join(crowds, "bucket"), "near-crowded")
+    if crowded.isEmpty():
+        return None
+    popular = crowded.groupBy("content").agg(F.sum("n").alias("pop"))
+    wanted = popular.select("content").join(reps, "content")
+    texts = written(wanted.join(docs, wanted["rep"] == docs["id"]).select("content", "text"), "near-texts")
+    order = F.col("pop") * (1 << 20) + F.pmod(F.xxhash64("content"), F.lit(1 << 20))
+    ranked = crowded.join(popular, "content").select("bucket", "content", order.alias("o"))
+    leaders = ranked.groupBy("bucket").agg(F.max_by("content", "o").alias("leader"))
+    led = written(crowded.join(leaders, "bucket").where("content <> leader").select("bucket", "content", "leader"), "near-led")
+    pair = [F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")]
+    known = written(verified(led.select(*pair).distinct(), texts), "near-verified")
+    edges = known.where(F.col("d") <= far).select("a", "b")
+    active = led.select("bucket", "content", *pair).join(known, ["a", "b"], "left").select("bucket", "content", F.col("d").alias("d0"))
+    most = 16
     while True:
-        sizes = active.groupBy("bucket").agg(F.count("*").alias("n"), F.min("content").alias("first")).where("n > 1")
-        rows = active.join(sizes, "bucket")
-        # the first leader is the least content; each of the others leads by a seeded hash, so that about leaders_wanted do
-        leads = F.col("content") == F.col("first")
-        if leaders_wanted > 1:
-            leads |= F.expr(f"pmod(xxhash64(content, bucket, {leaders_wanted}), 1000000) * 1e-6 * n < {leaders_wanted}")
-        if leaders_wanted == 1:
-            led = rows.where("content <> first").select("bucket", "content", F.col("first").alias("leader"))
-        else:
-            heads = rows.where(leads).select("bucket", F.col("content").alias("leader"))
-            led = rows.join(heads, "bucket").where("content <> leader").select("bucket", "content", "leader")
-        led = written(led, "near-led")
-        if led.isEmpty():
-            return edges
-        asked = led.select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct()
-        if known is not None:
-            asked = asked.join(known, ["a", "b"], "left_anti")
-        fresh = written(verified(written(asked, "near-pairs"), texts), "near-verified")
-        known = fresh if known is None else known.unionByName(fresh)
-        close = fresh.where(F.col("d") <= far).select("a", "b")
-        edges = close if edges is None else edges.unionByName(close)
-        dist = led.withColumn("a", F.least("content", "leader")).withColumn("b", F.greatest("content", "leader")).join(known, ["a", "b"]).select("bucket", "content", "leader", "d")
-        dist = written(dist, "near-distances")
-        # a text near a leader needs no more comparisons unless a text beyond that leader's reach may be near it
-        beyond = dist.where(F.col("d") > far).groupBy("bucket", "leader").agg(F.min("d").alias("edge"))
-        if beyond.isEmpty():
-            return edges
-        marked = dist.join(beyond, ["bucket", "leader"], "left")
-        state = marked.groupBy("bucket", "content").agg(F.max(((F.col("d") <= far) & (F.col("edge").isNull() | (F.col("d") < F.col("edge") - far))).cast("int")).alias("settled"))
-        led_by = led.select("bucket", F.col("leader").alias("content")).distinct()
-        active = written(state.where("settled = 0").select("bucket", "content").join(led_by, ["bucket", "content"], "left_anti"), "near-active")
-        leaders_wanted *= 2
+        labels = components(edges)
+        named = active.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+        named = written(named, "near-named")
+        mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket", "n")
+        rows = named.join(mixed, "bucket")
+        lead = F.expr(f"n <= {most} or pmod(xxhash64(content, bucket), 1000000) * 1e-6 * n < {most}")
+        rows = written(rows.withColumn("lead", lead), "near-mixed")
+        if rows.isEmpty():
+            return labels
+        heads = rows.where("lead").select("bucket", F.col("content").alias("leader"), F.col("label").alias("l"), F.col("d0").alias("e0"))
+        near = F.col("d0").isNull() | F.col("e0").isNull() | (F.abs(F.col("d0") - F.col("e0")) <= far)
+        asked = rows.join(heads, "bucket").where((F.col("label") != F.col("l")) & near & (~F.col("lead") | (F.col("content") < F.col("leader"))))
+        asked = asked.select(*pair).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = written(verified(asked, texts), "near-verified")
+        known = known.unionByName(fresh)
+        edges = edges.unionByName(fresh.where(F.col("d") <= far).select("a", "b"))
+        active = rows.where("not lead").select("bucket", "content", "d0")
+        if active.isEmpty():
+            return components(edges)
+        most *= 16
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -218,11 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # one row of each content is enough for its bands; a content's rows all have the same
     members = signs.join(reps, (signs["content"] == reps["content"]) & (signs["id"] == reps["rep"])).select(signs["content"], F.explode("bands").alias("bucket"))
     members = written(members.select("bucket", "content").distinct(), "near-members")
-    found = links(members, reps, rows.select("id", "text"), threshold)
-    if found is None:
+    labels = classes_of(members, reps, rows.select("id", "text"), threshold)
+    if labels is None:
         classes = reps.select("content", F.col("content").alias("label"))
     else:
-        labels = components(found)
         classes = reps.join(labels, reps["content"] == labels["node"], "left").select("content", F.coalesce("label", "content").alias("label"))
     named = signs.select("id", "no_id", "text_hash", "content").join(classes, "content")
     by_id = named.groupBy("label", "id").agg(F.min("text_hash").alias("th"), F.count("*").alias("n"))
