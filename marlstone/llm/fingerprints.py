@@ -8,16 +8,21 @@ hash estimates how many distinct shingles there are. A sketch with fewer than k
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import shingle_hashes, word_hashes
 
 K = 128
+#: Rows that a task turns into Python values at a time.
+SLICE = 512
+ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
 def sketch(text: str | None, k: int = K, size: int = 5) -> np.ndarray:
@@ -109,15 +114,18 @@ def merge_parts(parts: DataFrame, keys: list[str], column: str = "fingerprint",
     return parts.select(*keys).distinct().join(found, keys, "left").withColumn(column, F.coalesce(F.regexp_replace(column, "[\r\n]", ""), F.lit("")))
 
 
-def with_next(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(
+    docs: DataFrame, row: Callable[[], Callable[[int | None, str, str], tuple]] | None = None, schema: str = "doc_id long, text string, next_text string",
+    parts: int | None = None, id_col: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """(doc_id, text, next_text): each row's text and the next row's, in descending doc_id; after the last comes the first.
 
-    Null texts are empty; null ids come last; rows of one id are ordered by their text, descending. Texts are shuffled once, into
-    ranges of ids whose bounds are quantiles of the id column; a task reads its range in order and holds two rows at a
-    time. The first row of a range is also sent to the range before it, where the last row needs it.
+    row makes, once in each task, a function from those three values to an output row of `schema`; by default they are the row. Null texts are
+    empty; null ids come last; rows of one id are ordered by their text, descending. Texts are shuffled once, into ranges of ids whose
+    bounds are quantiles of the id column; a task reads its range in order and holds two rows at a time. The first row of a
+    range is also sent to the range before it, where the last row needs it.
     """
     spark = docs.sparkSession
-    out = "doc_id long, text string, next_text string"
     low = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).isNull().alias("no_id"))
     n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -128,29 +136,57 @@ def with_next(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id",
     rows = rows.withColumn("part", part)
     heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max("id").alias("head")).collect())  # a row for each range
     if not heads:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], schema)
     before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # the head of range i follows the end of the range before; the first follows the last
     sent = spark.createDataFrame(before, "id long, target int")
     tails = rows.join(F.broadcast(sent), "id").withColumn("part", F.col("target")).drop("target").withColumn("tail", F.lit(1))
     both = rows.withColumn("tail", F.lit(0)).unionByName(tails)
     dealt = both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.desc("id"), "no_id", F.desc("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [(n, ARROW[t]) for n, t in (f.strip().split() for f in schema.split(","))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = row() if row else lambda *values: values
+        out_schema = pa.schema(fields)
         held = None  # the last row, which waits for the next one
         done = None  # the range whose first tail row has been used
-        for pdf in batches:
-            ids, texts, nexts = [], [], []
-            for i, t, no_id, p, tail in zip(pdf["id"], pdf["text"], pdf["no_id"], pdf["part"], pdf["tail"], strict=True):
-                if tail and done == p:
-                    continue
-                if held is not None:
-                    ids.append(held[0])
-                    texts.append(held[1])
-                    nexts.append(t)
-                if tail:
-                    held, done = None, p
-                else:
-                    held = (None if no_id else i, t)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "text": pd.Series(texts, dtype=object), "next_text": pd.Series(nexts, dtype=object)})
-
-    return dealt.mapInPandas(run, out)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                rows = []
+                columns = [c.to_pylist() for c in batch.slice(lo, SLICE).columns]
+                for i, t, no_id, p, tail in zip(*columns, strict=True):
+                    if tail and done == p:
+                        continue
+                    if held is not None:
+                        rows.append(make(*held, t))
+                    if tail:
+                        held, done = None, p
+                    else:
+                        held = (None if no_id else i, t)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(out_schema), out_schema, strict=True)], schema=out_schema)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def edited_prints(k: int = K) -> Callable[[], Callable[[int | None, str, str], tuple]]:
+    """For with_next: compares a text with the next one and with itself as edited, its last half replaced by as much of the next one's beginning.
+
+    Gives (doc_id, n_chars, edited text's SHA-256, fingerprint, edited fingerprint, resemblance to the edited, resemblance to the next).
+    A text's sketch is kept for the row before, whose next text it is.
+    """
+
+    def start() -> Callable[[int | None, str, str], tuple]:
+        last: tuple[str, np.ndarray] | None = None
+
+        def one(doc_id: int | None, text: str, following: str) -> tuple:
+            nonlocal last
+            own = last[1] if last is not None and last[0] == text else sketch(text, k)
+            last = (following, sketch(following, k))
+            half = len(text) // 2
+            changed = text[: len(text) - half] + following[:half]
+            other = sketch(changed, k)
+            return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), packed(own), packed(other), resemblance(own, other, k), resemblance(own, last[1], k)
+
+        return one
+
+    return start

@@ -42,17 +42,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    texts = pairs.withColumn("edited", edited)
-    prints = texts.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprints.fingerprint(F.col("text")).alias("fingerprint"), fingerprints.fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        fingerprints.fingerprint(F.col("next_text")).alias("next"),
-    )
-    near = lambda c: fingerprints.compare(F.col("fingerprint"), F.col(c))["resemblance"]
-    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
+    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), fingerprints.edited_prints(), columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
