@@ -1,0 +1,139 @@
+"""Operators on small inputs in the cases that the driver tables do not have."""
+
+from pyspark.sql import functions as F
+
+from marlstone.functions import scalars as S
+from marlstone.operators import classifiers, decisions, diffing, gates, graphs, merging, ranking, rules
+from marlstone.sources import readers, writers
+
+
+def values(df, *cols):
+    return sorted([tuple(r[c] for c in cols) for r in df.collect()], key=repr)
+
+
+def test_upsert_precedence_and_classes(spark):
+    base = spark.createDataFrame([("1", "a", "x"), ("2", "b", None), ("3", "c", "z")], "k string, v string, p string")
+    inc = spark.createDataFrame([("1", "", "new"), ("2", "B", "new"), ("4", "d", "w")], "k string, v string, p string")
+    out = {r["k"]: (r["v"], r["p"], r["change"]) for r in merging.upsert(base, inc, "k", protected=("p",)).collect()}
+    assert out == {"1": ("a", "x", "unchanged"), "2": ("B", "new", "updated"), "3": ("c", "z", "untouched"), "4": ("d", "w", "added")}
+
+
+def test_upsert_is_idempotent(spark):
+    base = spark.createDataFrame([("1", "a")], "k string, v string")
+    inc = spark.createDataFrame([("1", "b"), ("2", "c")], "k string, v string")
+    once = merging.upsert(base, inc, "k").drop("change")
+    assert {r["change"] for r in merging.upsert(once, inc, "k").collect()} == {"unchanged"}
+
+
+def test_relevance_gate_reasons(spark):
+    rows = [(1, "a study of ague", "", []), (2, "gout and ague", "", []), (3, "gout", "ague ague", []), (4, "x", "", ["Ague"]), (5, "x", "ague ague", []), (6, "x", "one ague", []), (7, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, t string, b string, m array<string>")
+    g = gates.relevance(F.col("t"), F.col("b"), F.col("m"), ["ague"], ["gout"])
+    got = {r["id"]: (r["g"]["keep"], r["g"]["reason"]) for r in df.select("id", g.alias("g")).collect()}
+    assert got == {
+        1: (True, "explicit_title"), 2: (True, "explicit_title"), 3: (False, "competing_title"), 4: (True, "metadata_term"), 5: (True, "repeated_mention"), 6: (False, "background_mention"), 7: (False, "no_mention"),
+    }
+
+
+def test_snapshot_diff_classes(spark):
+    ddl = "id string, status string, first string, upd string, res string"
+    old = spark.createDataFrame([("a", "open", "2024-01-01", "2024-01-01", None), ("b", "open", "2024-01-01", "2024-01-01", None), ("c", "open", "2024-01-01", "2024-01-01", None), ("gone", "open", "2024-01-01", "2024-01-01", None)], ddl)
+    cur = spark.createDataFrame([("a", "closed", "2024-01-01", "2024-03-01", "2024-03-01"), ("b", "open", "2024-01-01", "2024-03-01", None), ("c", "open", "2024-01-01", "2024-01-01", None), ("new", "open", "2024-03-01", "2024-03-01", None)], ddl)
+    day = F.lit("2024-03-03").cast("date")
+    got = values(diffing.change_events(cur, old, "id", "status", "first", "res", "upd", day), "id", "event")
+    assert got == [("a", "results_posted"), ("a", "status_changed"), ("b", "updated"), ("gone", "removed"), ("new", "added")]
+    assert diffing.change_events(cur, cur, "id", "status", "first", "res", "upd", day).count() == 0
+    assert diffing.change_events(cur, old.limit(0), "id", "status", "first", "res", "upd", day).count() == 0
+
+
+def test_change_map_separates_enrichment(spark):
+    old = spark.createDataFrame([("1", "Unknown", "a"), ("2", "x", "a"), ("3", "x", "a")], "k string, f string, g string")
+    cur = spark.createDataFrame([("1", "found", "a"), ("2", "y", "a"), ("3", "x", "a"), ("4", "n", "n")], "k string, f string, g string")
+    assert values(diffing.change_map(cur, old, "k", ["f", "g"]), "k", "kind") == [("1", "enriched"), ("2", "updated"), ("3", "unchanged"), ("4", "added")]
+
+
+def test_shrink_guard_and_preservation(spark):
+    good = spark.range(10)
+    assert diffing.guarded(spark.range(5), good)[1] is False and diffing.guarded(spark.range(6), good)[1] is True
+    empty = good.where("id < 0")
+    assert diffing.preserved(empty, good, True).count() == 10 and diffing.preserved(empty, good, False).count() == 0
+
+
+def test_manifest_accumulates_and_resets(spark):
+    prev = spark.createDataFrame([("2024-01-01", "a")], "week_start string, k string").withColumn("week_start", F.to_date("week_start"))
+    new = spark.createDataFrame([("b",)], "k string")
+    same = merging.ingest_manifest(prev, new, F.lit("2024-01-03").cast("date"), "k")
+    later = merging.ingest_manifest(prev, new, F.lit("2024-01-09").cast("date"), "k")
+    assert values(same, "k") == [("a",), ("b",)] and values(later, "k") == [("b",)]
+
+
+def test_components_chain_cycle_and_single(spark):
+    ids = spark.createDataFrame([(i,) for i in range(12)], "node long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(9, 10), (10, 9), (11, 11)], "a long, b long")
+    assert values(graphs.components(ids, links), "node", "label") == sorted([(i, 0) for i in range(9)] + [(9, 9), (10, 9), (11, 11)], key=repr)
+    assert graphs.components(ids.limit(0), links.limit(0)).count() == 0
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([("2024/03/05 10:20",), ("20240305",), ("on 2024-3-5",), ("2024-03",), ("2024",), ("",), (None,)], "s string")
+    assert [str(r[0]) for r in df.select(S.lenient_date(F.col("s"))).collect()] == ["2024-03-05", "2024-03-05", "2024-03-05", "2024-03-01", "2024-01-01", "None", "None"]
+    pub = spark.createDataFrame([("2021 Mar 5",), ("2021 Spring",), ("2019 Nov-Dec",), ("2020",), ("none",)], "s string")
+    assert [r[0] for r in pub.select(S.publication_date(F.col("s"))).collect()] == ["2021-03-05", "2021-04", "2019-11", "2020", None]
+
+
+def test_texts_and_names(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    assert get(S.quote_key(F.lit("ﬁne so­ft, 12!"))) == "finesoft12"
+    assert get(S.camel(F.lit("A long-name here"))) == "aLongNameHere"
+    assert get(S.outer_json(F.lit('x {"a": {"b": 1}} y'))) == '{"a": {"b": 1}}'
+    assert [c["chunk"] for c in get(S.chunks(F.lit("abcdefghij"), 4, 1))] == ["abcd", "defg", "ghij"]
+    assert get(S.chunks(F.lit(""), 4, 1)) == []
+    assert get(S.phase_label(F.lit("Phase 2/3 trial"))) == "Phase II/III" and get(S.phase_rank(F.lit("Phase II/III"))) == 3
+    assert get(S.first_filled(F.lit(" "), F.lit(None).cast("string"), F.lit("c"))) == "c"
+
+
+def test_rules(spark):
+    df = spark.createDataFrame([(1, "an mg patient"), (2, "mgx"), (3, None)], "id int, t string")
+    assert [r[0] for r in df.select(rules.has(F.col("t"), "mg", "word")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(rules.has(F.col("t"), "mg")).collect()] == [True, True, False]
+    x = spark.range(1).select(classifiers.calibrated(F.lit(2.0), [(F.lit(True), "add", 3.0), (F.lit(True), "times", 0.5), (F.lit(None).cast("boolean"), "add", 9.0)]).alias("x"))
+    assert x.first()["x"] == 2.5
+    assert spark.range(1).select(classifiers.largest_number(F.lit("n = 1,204 and 30"), [r"([\d,]+)"])).first()[0] == 1204
+
+
+def test_ranking_ties(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 4), ("b", 4, 1)], "g string, id int, s int")
+    assert values(ranking.top_k(df, ["g"], [F.desc("s"), F.asc("id")], 2), "g", "id", "rank") == [("a", 1, 1), ("a", 2, 2), ("b", 4, 1)]
+    assert values(ranking.mode_of(df.selectExpr("g", "cast(s as string) as v"), ["g"], "v"), "g", "v") == [("a", "5"), ("b", "1")]
+
+
+def test_decisions_cover_every_id_once(spark):
+    every = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    sig = spark.createDataFrame([(1, [0, 1, 99]), (2, [1, 2])], "signal long, ids array<long>")
+    claimed = decisions.claims(sig, every, "id")
+    assert values(claimed, "id", "signal") == [(0, 1), (1, 1), (2, 2)]
+    merged = decisions.with_fallback(claimed, every, F.lit(7).cast("long"), "id")
+    assert merged.count() == 6 and merged.select("id").distinct().count() == 6
+    assert values(decisions.accepted(sig, claimed, "id"), "signal") == []
+
+
+def test_quotes(spark):
+    ok = lambda q, t: spark.range(1).select(decisions.quote_found(F.lit(q), F.lit(t))).first()[0]
+    assert ok("abc", "xxabcxx") and ok("abcdefghij", "abcdefgZZZ") and ok("ab1c", "ab2c") and not ok("", "abc") and not ok("zzz", "abc")
+
+
+def test_headless_table_and_manifest(spark, tmp_path):
+    path = str(tmp_path / "t")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("Junk,,\nReg. No.,Title,x\nR1,one,\n,two,\nR3,three,\n")
+    (tmp_path / "t" / "b.csv").write_text("Title,Registration Number,x\nfour,R4,\n")
+    out = readers.headless_table(spark, path, {"regno": "id", "registrationnumber": "id", "title": "title"}, "id", 3)
+    assert values(out, "id", "title") == [("R1", "one"), ("R3", "three"), ("R4", "four")]
+    listed = writers.file_manifest(spark, path)
+    seen = {r["path"]: (r["bytes"], r["sha256"]) for r in listed.collect()}
+    frozen = spark.createDataFrame([(p, b, s) for p, (b, s) in seen.items()], "path string, bytes long, sha256 string")
+    assert writers.manifest_problems(writers.file_manifest(spark, path), frozen).count() == 0
+    (tmp_path / "t" / "a.csv").write_text("other\n")
+    (tmp_path / "t" / "c.csv").write_text("more\n")
+    assert sorted(r["problem"] for r in writers.manifest_problems(writers.file_manifest(spark, path), frozen).collect()) == ["differs", "unlisted"]
