@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, language_id, mixing, near_dedup, toxicity
 from marlstone.llm.common import id_remainder, new_path, table
-from marlstone.llm.queries import labelled_texts, tokenizer_path
+from marlstone.llm.queries import tokenizer_path, training_labels
 
 #: Texts less like every language than this are rejected, as those without letters are.
 LEAST_LIKENESS = 0.2
@@ -26,7 +26,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    model = toxicity.fit_toxicity(labelled_texts(docs, spark, sf_dir))
+    model = toxicity.fit_toxicity(docs, training_labels(spark, sf_dir))
     return toxicity.score_toxicity(docs, model).where("toxic_predicted = 0").select(*docs.columns)
 
 

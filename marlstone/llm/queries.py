@@ -28,15 +28,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def labelled_texts(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to learn toxicity from: labelled documents outside the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0)).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to learn toxicity from: those outside the held-out fifth."""
+    return table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit_toxicity(labelled_texts(docs, spark, sf_dir))
+    model = toxicity.fit_toxicity(docs, training_labels(spark, sf_dir))
     held = id_remainder(F.col("doc_id"), 5) == 0
     return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
