@@ -37,16 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (a row for each copy)."""
-    mixed = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("taken"))
-    return repeated(docs, mixed)
-
-
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs, each as often as mixed says for its id."""
-    # an id is a row's own here: the stage before leaves one row of each text, and ids that repeat share their copies evenly
-    per_id = mixed.select("doc_id", F.explode("taken").alias("copies")).groupBy("doc_id").agg(F.avg("copies").alias("copies"))
-    joined = docs.join(per_id.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.where("copies >= 1").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*docs.columns)
+    hashed = docs.withColumn("__th", F.xxhash64("text"))
+    taken = mixing.mix(hashed, carry=("__th",)).groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__n"))
+    joined = hashed.join(taken.where("__c > 0"), hashed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
+    # rows that repeat id and text are alike: one of them stands for all their copies
+    rows = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates(["__id", "__h"]))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))).alias("__copy")).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

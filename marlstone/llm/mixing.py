@@ -97,15 +97,15 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11, id_col: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how many times the mix takes each row.
+    """(doc_id, source, size, source_size, target, copies, and the carried columns): how many times the mix takes each row.
 
     size is the number of words of the text (a null text has none). A row is taken at most cap times, as a source's target is at most cap times its
     size. Rows without words are taken with whole passes only. Repeated rows are rows of their own. The same rows give the same mix.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *carry)
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     rows = written(rows.withColumn("h", h).withColumn("piece", F.pmod(F.col("h"), F.lit(PIECES)).cast("int")), "mix-sizes")
     pieces = rows.groupBy("source", "size", "piece").agg(F.count("*").alias("n"))
@@ -136,7 +136,7 @@ def mix(
     limits = limits.withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - F.col("start")))).drop("start", "take", "n")
     local = rows.withColumn("i", F.row_number().over(Window.partitionBy("source", "size", "piece").orderBy("h", "doc_id")))
     x, y = local.alias("x"), limits.alias("y")
-    chosen = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.piece") == F.col("y.piece"))).select("x.doc_id", "x.source", "x.size", (F.col("i") <= F.col("quota")).cast("int").alias("more"))
+    chosen = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.piece") == F.col("y.piece"))).select("x.doc_id", "x.source", "x.size", (F.col("i") <= F.col("quota")).cast("int").alias("more"), *[F.col(f"x.{c}") for c in carry])
     p = plan.alias("p")
     whole = chosen.join(F.broadcast(p), chosen["source"].eqNullSafe(F.col("p.source")))  # a row for each source
-    return whole.select("doc_id", chosen["source"], "size", F.col("p.source_size"), F.col("p.target"), (F.col("p.passes") + F.col("more")).alias("copies"))
+    return whole.select("doc_id", chosen["source"], "size", F.col("p.source_size"), F.col("p.target"), (F.col("p.passes") + F.col("more")).alias("copies"), *carry)
