@@ -13,15 +13,16 @@ from marlstone.llm import bpe, language_id, mixing, near_dedup, toxicity
 from marlstone.llm.common import id_remainder, new_path, table
 from marlstone.llm.queries import tokenizer_path, training_labels
 
-#: Texts less like every language than this are rejected, as those without letters are.
-LEAST_LIKENESS = 0.2
+#: Texts of so many characters that are less like every language than this are rejected, as those without letters are. Shorter ones show too little to tell.
+LEAST_LIKENESS, LEAST_CHARS = 0.2, 200
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a known language."""
     model = language_id.fit_profiles(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
     found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LIKENESS)).select(*docs.columns)
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & ((F.col("score") >= LEAST_LIKENESS) | (F.length("text") < LEAST_CHARS))
+    return found.where(known).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
