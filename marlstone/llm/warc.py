@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import new_path, written
 
 BINS = 4096
+#: Rows that a task turns into Python values at a time.
+SLICE = 256
 RECORD_DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, records long, bytes long, sha256 string, temporary string, final string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
@@ -93,20 +96,21 @@ class RollingFiles:
             self.out, self.seq = None, self.seq + 1
 
 
-def revisits(pages: DataFrame, smallest: int = 1000) -> DataFrame:
-    """pages(page_id, url, html) with bytes, digest and refers_to.
+def payloads(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) with bytes and digest (SHA-1 in hex) of the payload; null html is an empty payload."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    return rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+
 
-    A page refers to the largest page_id of those with its payload if the payload has `smallest` bytes or more; null html is an
-    empty payload. Rows that share the largest id are all whole records, as rows with a null id are among themselves.
+def revisits(rows: DataFrame, smallest: int = 1000) -> DataFrame:
+    """(page_id, digest, refers_to) of the rows that are revisits.
+
+    A page refers to the largest page_id of those with its payload if the payload has `smallest` bytes or more. Rows that share the largest id
+    are all whole records, as rows with a null id are among themselves. Payloads are not moved, only ids and digests.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    copies = rows.where(f"bytes >= {smallest}").groupBy("digest").agg(F.max("page_id").alias("chief"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # digests with copies are few or many, as the crawl has it: Spark chooses the join by their size
-    ids = rows.where(f"bytes >= {smallest}").select("page_id", "digest").join(copies, "digest").where("page_id < chief or (page_id is null and chief is not null)")
-    ids = ids.select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "chief").distinct()
-    joined = rows.join(ids, F.col("of").eqNullSafe(F.col("page_id")) & (F.col("of_digest") == F.col("digest")), "left")
-    return joined.select("page_id", "url", "html", "bytes", "digest", F.col("chief").alias("refers_to"))
+    large = rows.where(F.col("bytes") >= smallest).select("page_id", "digest")
+    copies = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return large.join(copies, "digest").where("page_id < refers_to or (page_id is null and refers_to is not null)").select("page_id", "digest", "refers_to").distinct()
 
 
 def shard_bounds(rows: DataFrame, shards: int) -> list[int]:
@@ -125,7 +129,7 @@ def shard_bounds(rows: DataFrame, shards: int) -> list[int]:
 
 
 def write_archives(
-    pages: DataFrame, base: str, shard_bytes: int = 256 << 20, file_bytes: int = 64 << 20, smallest: int = 1000, level: int = 5, date: str = RECORD_DATE
+    pages: DataFrame, base: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, smallest: int = 1000, level: int = 5, date: str = RECORD_DATE
 ) -> DataFrame:
     """Write pages(page_id, url, html) as WARC files below base (a URI that driver and executors share) and return the manifest.
 
@@ -137,27 +141,35 @@ def write_archives(
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bounds = shard_bounds(sizes, max(1, -(-total // shard_bytes)))
     lows = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    rows = revisits(pages, smallest).withColumn("shard", F.coalesce(F.size(F.filter(lows, lambda b: b <= F.col("page_id"))), F.lit(0)))
-    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(F.col("shard")))
-    # a revisit's payload is not written, so it is not sent either
-    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "digest")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files = None
-        for pdf in batches:
-            # object columns: a page id or a reference may be null
-            cols = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("shard", "page_id", "url", "html", "bytes", "digest", "refers_to")]
-            for shard, page_id, url, html, size, digest, refers in zip(*cols, strict=True):
-                if files is None:
-                    files = RollingFiles(base, int(shard), file_bytes, level)
-                files.put(render(None if page_id is None else int(page_id), url, (html or "").encode(), int(size), digest, None if refers is None else int(refers), date))
+    shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(lows, lambda b: b <= F.col("page_id")))).cast("int")
+    rows = payloads(pages)
+    # a revisit's note travels to its page's shard and is read just before the page: payloads are shuffled once
+    notes = revisits(rows, smallest).select("page_id", "digest", "refers_to", F.lit(0).alias("kind"))
+    both = rows.withColumn("kind", F.lit(1)).unionByName(notes, allowMissingColumns=True).withColumn("shard", shard)
+    dealt = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, note = None, None
+        names = ("shard", "page_id", "url", "html", "bytes", "digest", "refers_to", "kind")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                for s, page_id, url, html, size, digest, refers, kind in zip(*[part.column(c).to_pylist() for c in names], strict=True):
+                    if not kind:
+                        note = (page_id, digest, refers)
+                        continue
+                    if files is None:
+                        files = RollingFiles(base, s, file_bytes, level)
+                    to = note[2] if note and note[:2] == (page_id, digest) else None
+                    files.put(render(page_id, url, html.encode(), size, digest, to, date))
         if files is not None:
             files.close()
-            yield pd.DataFrame(files.rows, columns=[c.split()[0] for c in MANIFEST.split(", ")])
+            kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+            fields = [(n, kinds[k]) for n, k in (c.split() for c in MANIFEST.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*files.rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
     # the manifest rows of the attempts that Spark counts; only their files are committed
-    won = written(dealt.mapInPandas(run, MANIFEST), "warc-attempts")
+    won = written(dealt.mapInArrow(run, MANIFEST), "warc-attempts")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(base)
