@@ -64,10 +64,14 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
 
 
-@F.pandas_udf("string")
-def nfkc(values: pd.Series) -> pd.Series:
+def nfkc(value: Column) -> Column:
     """Unicode compatibility form, for which Spark has no function."""
-    return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
+
+    return run(value)
 
 
 def quote_key(value: Column, compatible: bool = True) -> Column:
