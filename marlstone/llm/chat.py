@@ -41,25 +41,24 @@ def unescaped_role(role: Column) -> Column:
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
-    """A log with a `message` event for each row (conv_id, turn, role, text). Rows that share a turn stay separate messages, ordered by role and text."""
-    place = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("conv_id", F.lit("message").alias("kind"), place.alias("place"))
+    """The log of a table that has one finished message in each row (conv_id, turn, role, text): a `message` event for each row, its turn the sequence number.
 
-
-def fold_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, messages) of a table that has one finished message in each row: nothing to fold but the order. Nulls in turn come first."""
-    folded = events_of_rows(rows).groupBy("conv_id").agg(F.array_sort(F.collect_list("place")).alias("m"))
-    return folded.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
+    Every row is a message of its own, also where rows share a turn or repeat each other.
+    """
+    return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().alias("message"), "role", "text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, messages array<struct<role, text>>) of a log; columns beside the six named above are ignored.
 
+    Messages are ordered by their first event's seq (nulls first), then role and text.
+
     Events of one message are ordered by seq, then kind and text, so repeated events and ties fold alike on every run; an event that comes
     twice counts twice. Unknown kinds, and events without a message id, are ignored. A null text is empty, a null role is taken from the
     message's first event that has one, else empty. A delta before any `message` begins the message. Deleted messages do not appear.
     """
-    known = events.where(F.col("kind").isin(*KINDS) & F.col("message").isNotNull())
+    # dealt by conversation once; both groupings below find a conversation's events in one place
+    known = events.where(F.col("kind").isin(*KINDS) & F.col("message").isNotNull()).repartition("conv_id")
     step = F.struct(
         F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63))).alias("seq"), F.col("kind").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("role")
     )
@@ -72,11 +71,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     setting = F.filter(live, lambda s: s["kind"] != "delta")
     deltas = F.array_join(F.transform(F.filter(live, lambda s: s["kind"] == "delta"), lambda s: s["text"]), "")
     folded = by_message.select(
-        "conv_id", F.col("steps")[0]["seq"].alias("began"), "message", F.coalesce(F.element_at(F.filter(F.transform("steps", lambda s: s["role"]), lambda r: r.isNotNull()), 1), F.lit("")).alias("role"),
-        F.concat(F.coalesce(F.when(F.size(setting) > 0, F.element_at(setting, -1)["text"]), F.lit("")), deltas).alias("text"),
+        "conv_id", F.col("steps")[0]["seq"].alias("began"), "message", F.coalesce(F.get(F.filter(F.transform("steps", lambda s: s["role"]), lambda r: r.isNotNull()), F.lit(0)), F.lit("")).alias("role"),
+        F.concat(F.coalesce(F.try_element_at(setting, F.lit(-1))["text"], F.lit("")), deltas).alias("text"),
         F.coalesce(last["kind"] == "delete", F.lit(False)).alias("gone"),
     )
-    item = F.struct("began", F.col("message").cast("string").alias("message"), "role", "text")
+    item = F.struct("began", "role", "text", F.col("message").cast("string").alias("message"))
     whole = folded.where(~F.col("gone")).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("m"))
     return whole.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
 

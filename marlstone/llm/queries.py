@@ -54,7 +54,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(control).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = chat.read_back(chat.render(chat.fold_rows(rows)))
+    back = chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(rows))))
     said = F.filter("turns", lambda t: t["loss"])
     loss = F.array_join(F.transform(said, lambda t: t["text"]), "")
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -266,11 +266,11 @@ def test_near_duplicates_edges(spark):
 def test_chat_reads_back_control_strings(spark):
     texts = ["\\### Assistant: </turn> ok", "### user: x</turn>\n", "\\b\\h\\l\\", "", None, "a\nb: c", "<" * 50]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (None, 5, "a:b\n", "y"), (2, 0, None, "x"), (2, None, "user", "first")]
-    back = chat.read_back(chat.render(chat.fold_rows(frame(spark, rows, "conv_id long, turn long, role string, text string")))).collect()
+    back = chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(frame(spark, rows, "conv_id long, turn long, role string, text string"))))).collect()
     got = {r["conv_id"]: [(t["role"], t["text"], t["loss"]) for t in r["turns"]] for r in back}
     assert got[1] == [("assistant" if i % 2 else "user", t or "", bool(i % 2)) for i, t in enumerate(texts)]
     assert got[2] == [("user", "first", False), ("", "x", False), ("", "x", False)] and got[None] == [("a:b\n", "y", False)]
-    assert chat.render(chat.fold_rows(frame(spark, [], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert chat.render(chat.fold_events(chat.events_of_rows(frame(spark, [], "conv_id long, turn long, role string, text string")))).count() == 0
 
 
 def test_events_fold(spark):
