@@ -97,18 +97,19 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def signed(text: Column) -> Column:
-    """struct(content bigint, bands array<bigint>): a hash of the word sequence, and the band keys (none for a text without words)."""
+    """struct(content bigint, weight int, bands array<bigint>): a hash of the word sequence, the number of shingles, and the band keys (none for a text without words)."""
 
-    @F.pandas_udf("content bigint, bands array<bigint>")
+    @F.pandas_udf("content bigint, weight int, bands array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            content, bands = [], []
+            content, weight, bands = [], [], []
             for t in texts:
                 words = word_hashes(t)
                 content.append(sequence_hash(words))
                 h, c = np.unique(shingle_hashes(words), return_counts=True)
+                weight.append(int(c.sum()))
                 bands.append(band_keys(signature(h, c)) if len(h) else np.empty(0, np.int64))
-            yield pd.DataFrame({"content": np.array(content, np.int64), "bands": pd.Series(bands, dtype=object)})
+            yield pd.DataFrame({"content": np.array(content, np.int64), "weight": np.array(weight, np.int32), "bands": pd.Series(bands, dtype=object)})
 
     return run(text)
 
@@ -168,14 +169,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes_of(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(node, label) of the contents that a verified link of similarity >= threshold joins with others; None without buckets of two. members: (bucket, content).
+    """(node, label) of the contents that a verified link of similarity >= threshold joins with others; None without buckets of two. members: (bucket, content, weight).
 
     First every text is compared with its buckets' leader: the one that shares the most buckets with others, as an original does among its
     edited copies. Then classes are formed; a bucket of one class needs no more. In the others, texts of different classes are compared,
-    except where their distances to the leader differ by more than a link may have: each with each where they are few, with a seeded
-    choice of sixteen, then 256, and so on where they are many.
+    except where their weights, or their distances to the leader, differ by more than a link may have: each with each where they are
+    few, with a seeded choice of 64, then 4096, and so on where they are many.
     """
     far = 1 - threshold + 1e-12
+    # of two multisets the lighter one has at least `threshold` of the heavier one's weight if they are that similar
+    fits = lambda x, y: F.least(F.col(x), F.col(y)) >= threshold * F.greatest(F.col(x), F.col(y)) - 1e-9
     crowds = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = written(members.join(crowds, "bucket"), "near-crowded")
     if crowded.isEmpty():
@@ -184,35 +187,34 @@ def classes_of(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold:
     wanted = popular.select("content").join(reps, "content")
     texts = written(wanted.join(docs, wanted["rep"] == docs["id"]).select("content", "text"), "near-texts")
     order = F.col("pop") * (1 << 20) + F.pmod(F.xxhash64("content"), F.lit(1 << 20))
-    ranked = crowded.join(popular, "content").select("bucket", "content", order.alias("o"))
-    leaders = ranked.groupBy("bucket").agg(F.max_by("content", "o").alias("leader"))
-    led = written(crowded.join(leaders, "bucket").where("content <> leader").select("bucket", "content", "leader"), "near-led")
+    ranked = crowded.join(popular, "content").select("bucket", "content", "weight", order.alias("o"))
+    leaders = ranked.groupBy("bucket").agg(F.max_by("content", "o").alias("leader"), F.max_by("weight", "o").alias("w"))
+    led = written(crowded.join(leaders, "bucket").where("content <> leader").select("bucket", "content", "weight", "leader", "w"), "near-led")
     pair = [F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")]
-    known = written(verified(led.select(*pair).distinct(), texts), "near-verified")
+    known = written(verified(led.where(fits("weight", "w")).select(*pair).distinct(), texts), "near-verified")
     edges = known.where(F.col("d") <= far).select("a", "b")
-    active = led.select("bucket", "content", *pair).join(known, ["a", "b"], "left").select("bucket", "content", F.col("d").alias("d0"))
-    most = 16
+    active = led.select("bucket", "content", "weight", *pair).join(known, ["a", "b"], "left").select("bucket", "content", "weight", F.col("d").alias("d0"))
+    most = 64
     while True:
         labels = components(edges)
         named = active.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
         named = written(named, "near-named")
         mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket", "n")
-        rows = named.join(mixed, "bucket")
         lead = F.expr(f"n <= {most} or pmod(xxhash64(content, bucket), 1000000) * 1e-6 * n < {most}")
-        rows = written(rows.withColumn("lead", lead), "near-mixed")
+        rows = written(named.join(mixed, "bucket").withColumn("lead", lead), "near-mixed")
         if rows.isEmpty():
             return labels
-        heads = rows.where("lead").select("bucket", F.col("content").alias("leader"), F.col("label").alias("l"), F.col("d0").alias("e0"))
+        heads = rows.where("lead").select("bucket", F.col("content").alias("leader"), F.col("label").alias("l"), F.col("weight").alias("w"), F.col("d0").alias("e0"))
         near = F.col("d0").isNull() | F.col("e0").isNull() | (F.abs(F.col("d0") - F.col("e0")) <= far)
-        asked = rows.join(heads, "bucket").where((F.col("label") != F.col("l")) & near & (~F.col("lead") | (F.col("content") < F.col("leader"))))
-        asked = asked.select(*pair).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        apart = (F.col("label") != F.col("l")) & near & fits("weight", "w") & (~F.col("lead") | (F.col("content") < F.col("leader")))
+        asked = rows.join(heads, "bucket").where(apart).select(*pair).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         fresh = written(verified(asked, texts), "near-verified")
         known = known.unionByName(fresh)
         edges = edges.unionByName(fresh.where(F.col("d") <= far).select("a", "b"))
-        active = rows.where("not lead").select("bucket", "content", "d0")
+        active = rows.where("not lead").select("bucket", "content", "weight", "d0")
         if active.isEmpty():
-            return components(edges)
-        most *= 16
+            return components(edges) if not fresh.where(F.col("d") <= far).isEmpty() else labels
+        most *= 64
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -224,11 +226,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text).alias("text"))
     signs = rows.select("id", "no_id", F.xxhash64("text").alias("text_hash"), signed(F.col("text")).alias("s"))
-    signs = written(signs.select("id", "no_id", "text_hash", "s.content", "s.bands"), "near-signs")
+    signs = written(signs.select("id", "no_id", "text_hash", "s.content", "s.weight", "s.bands"), "near-signs")
     reps = written(signs.groupBy("content").agg(F.min("id").alias("rep")), "near-reps")
     # one row of each content is enough for its bands; a content's rows all have the same
-    members = signs.join(reps, (signs["content"] == reps["content"]) & (signs["id"] == reps["rep"])).select(signs["content"], F.explode("bands").alias("bucket"))
-    members = written(members.select("bucket", "content").distinct(), "near-members")
+    members = signs.join(reps, (signs["content"] == reps["content"]) & (signs["id"] == reps["rep"])).select(signs["content"], "weight", F.explode("bands").alias("bucket"))
+    members = written(members.select("bucket", "content", "weight").distinct(), "near-members")
     labels = classes_of(members, reps, rows.select("id", "text"), threshold)
     if labels is None:
         classes = reps.select("content", F.col("content").alias("label"))
