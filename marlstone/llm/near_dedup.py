@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, mix64, written
@@ -29,6 +29,8 @@ THRESHOLD = 0.8
 NO_ID = -(2**63)
 #: Multisets that a task keeps while it verifies.
 KEPT = 512
+#: Partners that a text is compared with before all others.
+FIRST = 8
 
 
 def multiset(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def classes_of(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold:
     known = written(verified(led.where(fits("weight", "w")).select(*pair).distinct(), texts), "near-verified")
     edges = known.where(F.col("d") <= far).select("a", "b")
     active = led.select("bucket", "content", "weight", *pair).join(known, ["a", "b"], "left").select("bucket", "content", "weight", F.col("d").alias("d0"))
-    most = 64
+    most, best_first = 64, True
     while True:
         labels = components(edges)
         named = active.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
@@ -207,10 +209,16 @@ def classes_of(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold:
         heads = rows.where("lead").select("bucket", F.col("content").alias("leader"), F.col("label").alias("l"), F.col("weight").alias("w"), F.col("d0").alias("e0"))
         near = F.col("d0").isNull() | F.col("e0").isNull() | (F.abs(F.col("d0") - F.col("e0")) <= far)
         apart = (F.col("label") != F.col("l")) & near & fits("weight", "w") & (~F.col("lead") | (F.col("content") < F.col("leader")))
-        asked = rows.join(heads, "bucket").where(apart).select(*pair).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = written(verified(asked, texts), "near-verified")
+        asked = rows.join(heads, "bucket").where(apart).groupBy(*pair).agg(F.count("*").alias("shared")).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        if best_first:  # one link joins a text to a class: those that share the most buckets are tried before all
+            rank = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("shared"), y))
+            asked = asked.withColumn("r", F.least(rank("a", "b"), rank("b", "a"))).where(F.col("r") <= FIRST)
+        fresh = written(verified(asked.select("a", "b"), texts), "near-verified")
         known = known.unionByName(fresh)
         edges = edges.unionByName(fresh.where(F.col("d") <= far).select("a", "b"))
+        if best_first:
+            active, best_first = rows.select("bucket", "content", "weight", "d0"), False
+            continue
         active = rows.where("not lead").select("bucket", "content", "weight", "d0")
         if active.isEmpty():
             return components(edges) if not fresh.where(F.col("d") <= far).isEmpty() else labels
