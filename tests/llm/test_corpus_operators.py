@@ -155,6 +155,37 @@ def test_toxicity_edges(spark):
     assert toxicity.fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic").limit(0))["weights"] == {}
 
 
+@pytest.fixture(scope="module")
+def more_grams(grams):
+    g = Counter(grams)
+    for w in "such a man you is he ass i".split() * 20:
+        for i in range(len(w) + 1):
+            g[("^^" + w + "$")[i : i + 3]] += 1
+    return dict(g)
+
+
+@pytest.mark.parametrize(
+    "written, words",
+    [
+        ("such a s t u p i d man", {"stupid"}), ("a s t u p i d", {"stupid"}), ("you i d i o t m o r o n", {"idiot", "moron"}), ("s  t  u  p  i  d", {"stupid"}),
+        ("s\tt\nu\u00a0p i d!", {"stupid"}), ("such a stu pid man", {"stupid"}), ("such a clo\nwn is he", {"clown"}), ("i d 1 0 t", {"idiot"}), ("4$$", {"ass"}), ("455", {"ass"}),
+        ("you 4 $ $", {"ass"}), ("2024-05-01", set()), ("the dog sat on this mat", set()), ("", set()),
+    ],
+)
+def test_white_space_is_part_of_the_lattice(more_grams, written, words):
+    assert toxicity.Restorer(more_grams, {"stupid", "stup~", "idiot", "moron", "ass", "clown"}).restore(written) == words
+    assert words <= toxicity.Restorer(more_grams).restore(written)
+
+
+def test_spaced_words_are_scored(spark, more_grams):
+    model = {"grams": more_grams, "weights": {"stupid": 9.0, "ass": 9.0}, "sure": {}, "prior": -4.0}
+    texts = ["such a s t u p i d man", "a s  t\tu p i d", "4$$", "the stu pid dog", "s t o n e", "such a man", None]
+    out = toxicity.score_toxicity(frame(spark, list(enumerate(texts))), model).collect()
+    assert {r["doc_id"]: r["toxic_predicted"] for r in out} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+    back = frame(spark, [(1, "Such a s t u p i d man"), (2, None), (3, "the dog  sat\ton")]).select("doc_id", toxicity.restored_text(model, F.col("text")).alias("t")).collect()
+    assert {r["doc_id"]: r["t"] for r in back} == {1: "such a stupid man", 2: None, 3: "the dog  sat\ton"}
+
+
 # fingerprints
 
 
