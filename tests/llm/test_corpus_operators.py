@@ -186,6 +186,22 @@ def test_spaced_words_are_scored(spark, more_grams):
     assert {r["doc_id"]: r["t"] for r in back} == {1: "such a stupid man", 2: None, 3: "the dog  sat\ton"}
 
 
+def test_character_model_counts_every_text(spark):
+    rows = [(i, "the dog sat" + (" you idiot moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    df = frame(spark, rows, "doc_id long, text string, toxic int")
+    docs = df.select("doc_id", "text").unionByName(frame(spark, [(1000, "xylem xylem"), (1001, "The жизнь xylem"), (1002, None), (None, "vow")]))
+    grams = toxicity.fit_toxicity(docs, df.select("doc_id", "toxic"), rows_per_label=20)["grams"]
+    want = Counter()
+    for t in [*(t for _, t, _ in rows), "xylem", "the жизнь xylem", "vow"]:
+        for w in set(t.split()):
+            want.update(("^^" + w + "$")[i : i + 3] for i in range(len(w) + 1))
+    assert {g: grams.get(g) for g in want} == dict(want) and grams.get("qqq") == 0
+    assert grams.heads.get("^^") == sum(n for g, n in want.items() if g.startswith("^^"))
+    small = toxicity.count_trigrams(docs.select(F.coalesce("text", F.lit("")).alias("t")), 64)
+    assert small.table.sum() == small.heads.table.sum() == sum(want.values())
+    assert toxicity.count_trigrams(docs.limit(0).select(F.col("text").alias("t")), 64).table.sum() == 0
+
+
 # fingerprints
 
 
