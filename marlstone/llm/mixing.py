@@ -2,7 +2,7 @@
 
 A source's budget is met by whole passes over all its documents, and one partial pass for what is left. Documents are counted by
 exact length (source, length: a small table). From the counts alone it is settled how many documents of each length the partial
-pass takes: the same share of every length, then a bounded-knapsack dynamic program over the lengths for the remaining budget.
+pass takes: the same share of all lengths, rounded on from shorter to longer ones, then a bounded-knapsack dynamic program over the lengths for the remaining budget.
 Which ones is settled by a seeded hash: so many of a length, in hash order. All steps over documents are Spark aggregations and
 windows over (source, length, hash piece); a source's counts are fitted in a task of their own.
 """
@@ -18,7 +18,7 @@ from .common import written
 WEIGHTS = (5, 2, 1)
 CAP = 3
 PIECES = 1024
-#: Budgets up to this are fitted exactly; the equal share of every length leaves less than that.
+#: Budgets up to this are fitted exactly; the equal share leaves less than the longest document.
 EXACT = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -46,8 +46,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ca
 def fit_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that the lengths' sum comes as near to the budget from below as can be.
 
-    First the same share of every length, then the largest that fit while the budget left is over EXACT; what is left then is fitted by a
-    bounded-knapsack program over the documents left: bit b of a number says that sum b can be reached, a length's count is split into
+    First the same share of all lengths: of the documents up to each length, in ascending order, the share rounded down is taken, so that lengths with few documents
+    get it together and the sum is less than the longest document off the budget. What is above the budget is put back: of what the rounding added, the shortest document that covers it,
+    else the longest one first. Documents longer than EXACT can leave more than that; then the largest that fit are taken. What is left then is fitted by a bounded-knapsack program over the documents left: bit b of a number says that sum b can be reached, a length's count is split into
     powers of two, and the items are walked back from the best sum.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
@@ -55,8 +56,36 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    base = [c * budget // total for c in counts]
+    take, before, so_far = [0] * len(lengths), 0, 0
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        so_far += counts[i]
+        share = so_far * budget // total
+        take[i], before = share - before, share
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+    while left < 0:
+        taken = [i for i, t in enumerate(take) if t > base[i] and lengths[i]]
+        back = min((i for i in taken if lengths[i] >= -left), key=lambda i: lengths[i], default=None)
+        if back is None:
+            back = max(taken, key=lambda i: lengths[i])
+        take[back] -= 1
+        left += lengths[back]
+
+    def spent(t: list[int]) -> int:
+        return sum(n * k for n, k in zip(lengths, t, strict=True))
+
+    even = filled(lengths, counts, take, left)
+    if spent(even) == budget:
+        return even
+    # where the rounding stands in the way of a nearer sum, the rounded-down share of each length alone is the start
+    if budget - spent(base) > EXACT:
+        return even
+    return max(even, filled(lengths, counts, base, budget - spent(base)), key=spent)
+
+
+def filled(lengths: list[int], counts: list[int], take: list[int], left: int) -> list[int]:
+    """take, and of the documents left those that fill the budget left as far as can be: exactly up to EXACT, the largest that fit before that."""
+    take = list(take)
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
     for i in order:
         if left <= EXACT:

@@ -356,6 +356,20 @@ def test_knapsack_is_optimal():
             assert total == max(x for x in reach if x <= budget)
 
 
+def test_share_is_even_at_every_length_and_size():
+    for lengths, counts in ((list(range(1, 3001)), [1] * 3000), (list(range(3000, 0, -1)), [1 + n % 3 for n in range(3000)]), ([7, 5000, 90_000, 200_000], [40, 30, 20, 10])):
+        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+        for share in (0.1, 0.3, 0.75):
+            budget = int(total * share)
+            take = mixing.fit_counts(lengths, counts, budget)
+            assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+            assert 0 <= budget - sum(n * t for n, t in zip(lengths, take, strict=True)) <= (0 if len(lengths) > 9 else 1 << 16)
+            if len(lengths) > 9:
+                for third in range(3):
+                    part = slice(third * 1000, third * 1000 + 1000)
+                    assert abs(sum(take[part]) / sum(counts[part]) - share) < 0.02
+
+
 def test_mix_edges_and_reruns(spark):
     rows = [(i, " ".join(["w"] * (i % 7 + 1)), ("a", "b", "c", None)[i % 4]) for i in range(400)] + [(900, None, "a"), (901, "", None), (None, "x y", "b"), (1, "w w", "b"), (902, LONG, "big")]
     df = frame(spark, rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
