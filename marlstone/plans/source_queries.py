@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
-from marlstone.operators.graphs import shared_folder
+from marlstone.sources.shared import new_path
 from marlstone.plans.aggregate_queries import ROLE_SQL
 from marlstone.plans.registering import Group, table
 from marlstone.sources import readers, writers
@@ -17,7 +16,7 @@ query = group.add
 
 
 def fresh(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 @query("a1_source_fallback", "SELECT 'recent' AS source_mode, lang, count(*) AS n FROM documents GROUP BY ALL")
