@@ -14,17 +14,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release, slices
+
 #: How byte-level BPE splits a text into words before merging (fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int32(2**31 - 1)
-KNOWN_WORDS = 200_000
-#: Texts whose words are encoded together: enough to fill the arrays, few enough to bound them.
-GROUP_CHARS = 1 << 20
+KNOWN_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -164,17 +163,6 @@ def lists_of(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32), pa.int32()))
 
 
-def pieces(texts: pa.Array) -> Iterator[pa.Array]:
-    """A batch in slices of about GROUP_CHARS bytes of text and at least one row: what is held as Python strings at a time."""
-    lo = 0
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(size)
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GROUP_CHARS, "right")))
-        yield texts.slice(lo, hi - lo)
-        lo = hi
-
-
 def encode(spark: SparkSession, path: str, text: Column) -> Column:
     """Ids of whole texts as array<int>; null and empty texts have none."""
     shared = spark.sparkContext.broadcast(load_vocabulary(path))
@@ -183,7 +171,8 @@ def encode(spark: SparkSession, path: str, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for texts in batches:
-            yield pa.concat_arrays([lists_of(encoder.encode(p.to_pylist())) for p in pieces(texts)] or [lists_of([])])
+            yield pa.concat_arrays([lists_of(encoder.encode(p.to_pylist())) for p in slices(texts)] or [lists_of([])])
+        release()
 
     return run(text)
 
@@ -212,10 +201,11 @@ def encode_and_decode(spark: SparkSession, path: str, text: Column) -> Column:
         encoder = Encoder(shared.value)
         for texts in batches:
             ids, back = [lists_of([])], [pa.array([], pa.string())]
-            for p in pieces(texts):
+            for p in slices(texts):
                 lists = encoder.encode(p.to_pylist())
                 ids.append(lists_of(lists))
                 back.append(pa.array(decode_ids(lists, shared.value), pa.string()))
             yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], names=["ids", "decoded"])
+        release()
 
     return run(text)

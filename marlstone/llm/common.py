@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, shared_folder, written  # noqa: F401
+
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests on one machine) a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(_own_folder[app])
-    return _own_folder[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Characters that a task turns into Python strings at a time.
+GROUP_CHARS = 1 << 20
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -63,3 +42,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * MIX_A
         x = (x ^ (x >> np.uint64(27))) * MIX_B
         return x ^ (x >> np.uint64(31))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that df does not have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(texts: pa.Array, most: int = GROUP_CHARS) -> Iterator[pa.Array]:
+    """An Arrow batch of texts in slices of about `most` bytes and at least one row: what is held as Python strings at a time."""
+    lo = 0
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def release() -> None:
+    """At the end of a task: what the allocators of this Python worker hold free goes back to the system; workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass

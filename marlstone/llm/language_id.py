@@ -14,16 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mix64
+from .common import GOLDEN, free_names, mix64, release, slices
 from .shingles import SPACE, code_points, fold_table
 
 UNDETERMINED = "und"
-PIECE = 1 << 20
+#: A longer text is read in pieces of about so many characters, cut where a word ends.
+PIECE = 1 << 19
 #: Texts are bundled together up to so many characters.
-GROUP_CHARS, GROUP_TEXTS = 1 << 20, 256
+GROUP_CHARS, GROUP_TEXTS = 1 << 19, 256
+#: Cells of a table over all trigrams of a group's letters; with more of them the trigrams are sorted instead.
+TABLE = 1 << 21
 
 
 def letter_vectors(letters: np.ndarray, dims: int, seed: int) -> np.ndarray:
@@ -51,16 +55,16 @@ def bundle(texts: list[str], dims: int, seed: int) -> np.ndarray:
     seen = np.zeros(0x110000, bool)
     seen[s] = True
     letters = np.flatnonzero(seen)
-    rank = np.zeros(0x110000, np.int64)
+    rank = np.zeros(0x110000, np.int32)
     rank[letters] = np.arange(len(letters))
-    code, a = rank[s], len(letters)
+    code, a = rank[s].astype(np.int64), len(letters)
     middle = np.flatnonzero(s[1:-1] != SPACE)
     key = (code[middle] * a + code[middle + 1]) * a + code[middle + 2]
     if not len(key):
         return out
-    if a**3 <= 1 << 23:
+    if a**3 <= TABLE:
         grams = np.flatnonzero(np.bincount(key, minlength=a**3))
-        place = np.zeros(a**3, np.int64)
+        place = np.zeros(a**3, np.int32)
         place[grams] = np.arange(len(grams))
         index = place[key]
     else:
@@ -69,14 +73,25 @@ def bundle(texts: list[str], dims: int, seed: int) -> np.ndarray:
     base[letters == SPACE] = 1.0  # a word's end binds as the neutral vector, at its own place in the key
     first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
     who = owner[middle + 1]
-    for lo in range(0, len(grams), 8192):  # bounds the gram matrix, however many scripts meet in a batch
-        g = grams[lo : lo + 8192]
-        sel = slice(None) if len(grams) <= 8192 else (index >= lo) & (index < lo + 8192)
+    for lo in range(0, len(grams), 4096):  # bounds the gram matrix, however many scripts meet in a batch
+        g = grams[lo : lo + 4096]
+        sel = slice(None) if len(grams) <= 4096 else (index >= lo) & (index < lo + 4096)
         counts = np.bincount(who[sel] * len(g) + (index[sel] - lo), minlength=n * len(g)).reshape(n, len(g)).astype(np.float32)
         out += counts @ (first[g // (a * a)] * second[g // a % a] * base[g % a])
     return out
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters. They end where a letter follows no letter, so the trigrams of the pieces are those of the text."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + PIECE
+        while hi < len(text) and text[hi].isalpha():
+            hi += 1
+        yield text[lo:hi]
+        lo = hi
+
+
 def bundles(texts: list[str | None], dims: int, seed: int) -> np.ndarray:
     """Vectors of whole texts, however long: a long one is read in pieces, whose vectors add up."""
     out = np.zeros((len(texts), dims), np.float32)
@@ -93,9 +108,7 @@ def bundles(texts: list[str | None], dims: int, seed: int) -> np.ndarray:
             size = 0
 
     for i, t in enumerate(texts):
-        t = t or ""
-        for lo in range(0, len(t), PIECE):
-            piece = t[lo : lo + PIECE]
+        for piece in pieces(t or ""):
             if group and (size + len(piece) > GROUP_CHARS or len(group) >= GROUP_TEXTS):
                 flush()
             group.append(piece)
@@ -129,6 +142,7 @@ def fit_profiles(
             for name, at in pdf.groupby("l").indices.items():
                 sums[name] = sums.get(name, 0) + vectors[at].sum(axis=0, dtype=np.float64)
         yield pd.DataFrame({"l": list(sums), "v": [x.tolist() for x in sums.values()]}, dtype=object)
+        release()
 
     parts = chosen.mapInPandas(partial, "l string, v array<double>").select("l", F.posexplode("v").alias("i", "v"))
     # floating sums in any order: rounded, so that reruns agree
@@ -144,26 +158,31 @@ def language(model: dict, text: Column) -> Column:
     """struct(lang string, score double): the best language and its cosine, cut to 0..1; `und` and 0 for texts that are null or have no letter."""
     langs, prototypes, dims, seed = (model[k] for k in ("langs", "prototypes", "dims", "seed"))
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = np.array([*langs, UNDETERMINED], dtype=object)
         for texts in batches:
-            best, score = [], []
-            values = texts.tolist()
-            for lo in range(0, len(values), 1024):
-                vectors = bundles(values[lo : lo + 1024], dims, seed)
+            best, score = [np.empty(0, np.int64)], [np.empty(0)]
+            for part in slices(texts):
+                vectors = bundles(part.to_pylist(), dims, seed)
                 empty = ~vectors.any(axis=1) | (len(langs) == 0)
                 cos = unit(vectors) @ prototypes.T if langs else np.zeros((len(vectors), 1), np.float32)
                 top = cos.argmax(axis=1)
                 best.append(np.where(empty, len(langs), top))
-                score.append(np.where(empty, 0.0, np.clip(cos[np.arange(len(top)), top], 0, 1)))
-            yield pd.DataFrame({"lang": pd.Series(names[np.concatenate(best)] if best else [], dtype=object), "score": np.concatenate(score).astype(float) if score else np.empty(0)})
+                score.append(np.where(empty, 0.0, np.clip(cos[np.arange(len(top)), top], 0, 1)).astype(float))
+            yield pa.StructArray.from_arrays([pa.array(names[np.concatenate(best)].tolist(), pa.string()), pa.array(np.concatenate(score), pa.float64())], names=["lang", "score"])
+        release()
 
     return predict(text)
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; columns of those names that docs already has are replaced, all others stay as they are."""
+    """docs with lang_pred and score; columns of those names that docs already has are replaced, all others stay as they are.
+
+    A null text, an empty one and one without letters is `und` with score 0; texts of any length are read whole. Repeated rows get the same answer;
+    ties go to the language first by code point. An empty table gives an empty table.
+    """
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    found = docs.select(*kept, language(model, F.col(text)).alias("__language"))
-    return found.select(*kept, F.col("__language.lang").alias("lang_pred"), F.col("__language.score").alias("score"))
+    (found,) = free_names(docs, "found")
+    rows = docs.select(*kept, language(model, F.col(text)).alias(found))
+    return rows.select(*kept, F.col(f"{found}.lang").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
