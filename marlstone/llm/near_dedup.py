@@ -6,9 +6,12 @@ owns Poisson processes of events over weight and time, one for each stretch of a
 above. A component of the signature is the earliest event that it gets, so two texts agree in a component with a probability equal to
 their weighted Jaccard similarity. Five components make a band; 25 bands miss a pair at similarity 0.8 with probability 5e-5.
 
-Equal word sequences are collapsed first. In a bucket of texts that share a band no list of all pairs is made: texts are
-compared, exactly, with a leader, and only where classes then differ with each other. One minus the weighted Jaccard similarity is
-a metric, so distances to a leader show which of those can be linked at all. Classes are the connected components of all verified links.
+Equal word sequences are collapsed first. In a bucket of texts that share a band no list of all pairs is made. Every text is
+compared with its buckets' leader, the text that shares the most buckets; the links found so form first classes. A bucket of one class
+needs no more. Of the texts in mixed buckets the shingles are counted: those that few texts have (at most RARE) are rare. Two texts
+that share rare shingles meet at these, a bounded number for each shingle. Two that share none can overlap at most in the
+rest of the lighter one, which is too little for most edited copies, whose edits are rare. Only pairs that this bound leaves are compared.
+Classes are the connected components of all verified links; no link between texts that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -17,20 +20,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mix64, written
+from .common import GOLDEN, free_names, mix64, release, slices, written
 from .shingles import sequence_hash, shingle_hashes, word_hashes
 
 BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
 NO_ID = -(2**63)
-#: Multisets that a task keeps while it verifies.
-KEPT = 512
-#: Partners that a text is compared with before all others.
-FIRST = 8
+#: A shingle is rare if at most so many texts (of those that are still open) have it.
+RARE = 16
+#: Rows of one bucket are spread over so many keys where they meet the bucket's leader.
+SALTS = 8
 
 
 def multiset(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -98,65 +101,68 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h.view(np.int64)
 
 
+def elements(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The multiset as a set: a hash for each occurrence of each shingle (its first, its second, ...). Sets of occurrences overlap as the multisets do."""
+    if not len(hashes):
+        return hashes
+    first = np.cumsum(counts) - counts
+    nth = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    with np.errstate(over="ignore"):
+        return mix64(np.repeat(hashes, counts) + nth.astype(np.uint64) * GOLDEN)
+
+
+def lists(values: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit numbers as one Arrow list array."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64), pa.int64()))
+
+
 def signed(text: Column) -> Column:
     """struct(content bigint, weight int, bands array<bigint>): a hash of the word sequence, the number of shingles, and the band keys (none for a text without words)."""
 
-    @F.pandas_udf("content bigint, weight int, bands array<bigint>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("content bigint, weight int, bands array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             content, weight, bands = [], [], []
-            for t in texts:
-                words = word_hashes(t)
-                content.append(sequence_hash(words))
-                h, c = np.unique(shingle_hashes(words), return_counts=True)
-                weight.append(int(c.sum()))
-                bands.append(band_keys(signature(h, c)) if len(h) else np.empty(0, np.int64))
-            yield pd.DataFrame({"content": np.array(content, np.int64), "weight": np.array(weight, np.int32), "bands": pd.Series(bands, dtype=object)})
+            for part in slices(texts):
+                for t in part.to_pylist():
+                    words = word_hashes(t)
+                    content.append(sequence_hash(words))
+                    h, c = np.unique(shingle_hashes(words), return_counts=True)
+                    weight.append(int(c.sum()))
+                    bands.append(band_keys(signature(h, c)) if len(h) else np.empty(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(content, pa.int64()), pa.array(weight, pa.int32()), lists(bands)], names=["content", "weight", "bands"])
+        release()
 
     return run(text)
 
 
-def similarity(text_a: Column, text_b: Column, content_a: Column, content_b: Column) -> Column:
-    """Weighted Jaccard similarity of two texts; null where a text is not the one that the pair means (rows of one id with several texts)."""
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        kept: dict[int, tuple] = {}  # multisets of the last texts: pairs of one text come close together
-
-        def of(content: int, text: str) -> tuple | None:
-            got = kept.get(content)
-            if got is None or got[0] != text:
-                words = word_hashes(text)
-                if sequence_hash(words) != content:
-                    return None
-                if len(kept) >= KEPT:
-                    kept.clear()
-                got = kept[content] = (text, np.unique(shingle_hashes(words), return_counts=True))
-            return got
+def occurrences(text: Column) -> Column:
+    """The elements of each text as array<bigint>."""
 
-        for a, b, ha, hb in batches:
-            out = []
-            for x, y, hx, hy in zip(a, b, ha, hb, strict=True):
-                p, q = of(hx, x), of(hy, y)
-                out.append(weighted_jaccard(p[1], q[1]) if p and q else None)
-            yield pd.Series(out, dtype="float64")
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([lists([elements(*multiset(t)) for t in part.to_pylist()]) for part in slices(texts)] or [lists([])])
+        release()
 
-    return run(text_a, text_b, content_a, content_b)
+    return run(text)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, d) for pairs (a, b) of contents: d is one minus the similarity of their texts."""
-    left = texts.select(F.col("content").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("content").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", (1 - similarity(F.col("ta"), F.col("tb"), F.col("a"), F.col("b"))).alias("d")).where("d is not null").distinct()
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (a, b) of contents whose weighted Jaccard similarity is threshold or more. sets: (content, weight, elements)."""
+    left = sets.select(F.col("content").alias("a"), F.col("weight").alias("wa"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("content").alias("b"), F.col("weight").alias("wb"), F.col("elements").alias("eb"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    least = F.size(F.array_intersect("ea", "eb"))
+    return both.select("a", "b", (least / (F.col("wa") + F.col("wb") - least)).alias("s")).where(F.col("s") >= threshold - 1e-12).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for edges (a, b): label is the least node of the connected component.
 
     Every node takes the least label among itself and its neighbours, then its label's label, until nothing changes. Each round is written
-    to the shared folder; no label reaches the driver.
+    to the shared folder; no label reaches the driver. No edges give an empty table.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
@@ -170,59 +176,85 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes_of(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(node, label) of the contents that a verified link of similarity >= threshold joins with others; None without buckets of two. members: (bucket, content, weight).
+def salted(df: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """df with a salt from a hash of `key`, and the salts that the other side of a join is repeated for."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
 
-    First every text is compared with its buckets' leader: the one that shares the most buckets with others, as an original does among its
-    edited copies. Then classes are formed; a bucket of one class needs no more. In the others, texts of different classes are compared,
-    except where their weights, or their distances to the leader, differ by more than a link may have: each with each where they are
-    few, with a seeded choice of 64, then 4096, and so on where they are many.
+def leader_pairs(crowded: DataFrame, fits) -> DataFrame:
+    """(a, b): each text of a crowded bucket with the bucket's leader, unless their weights differ too much. The leader shares the most buckets, as an original does among its edited copies."""
+    popular = crowded.groupBy("content").agg(F.sum("n").alias("pop"))
+    order = F.col("pop") * (1 << 20) + F.pmod(F.xxhash64("content"), F.lit(1 << 20))
+    ranked = crowded.join(popular, "content").select("bucket", "content", "weight", order.alias("o"))
+    leaders = ranked.groupBy("bucket").agg(F.max_by("content", "o").alias("leader"), F.max_by("weight", "o").alias("w"))
+    rows, salts = salted(crowded, "content")
+    led = rows.join(leaders.select("*", salts.alias("salt")), ["bucket", "salt"]).where((F.col("content") != F.col("leader")) & fits("weight", "w"))
+    return led.select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct()
+
+
+def open_pairs(crowded: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, fits) -> DataFrame | None:
+    """(a, b): pairs of different classes that may still be linked; None if every bucket is of one class.
+
+    n(h) is the number of texts of mixed buckets that have element h, rest the number of a text's elements that are not rare (n > RARE). A
+    pair's overlap is at most the rare elements that both have plus the lesser rest, and a link of similarity t needs t / (1 + t) of both
+    weights' sum.
+    """
+    need = threshold / (1 + threshold)
+    named = crowded.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+    named = written(named.select("bucket", "content", "weight", "label"), "near-named")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    rows, salts = salted(named, "content")
+    rows = written(rows.join(mixed.select("bucket", salts.alias("salt")), ["bucket", "salt"]).drop("salt"), "near-mixed")
+    if rows.isEmpty():
+        return None
+    texts = rows.groupBy("content").agg(F.first("weight").alias("weight"), F.first("label").alias("label"))
+    spread = written(texts.join(sets.select("content", "elements"), "content").select("content", "weight", "label", F.explode("elements").alias("h")), "near-spread")
+    counts = spread.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = written(spread.join(counts, "h"), "near-rare")
+    rest = texts.join(rare.groupBy("content").agg(F.count("*").alias("r")), "content", "left").select("content", "weight", "label", (F.col("weight") - F.coalesce("r", F.lit(0))).alias("rest"))
+    rest = written(rest, "near-rest")
+    few = rare.where("n > 1")
+    x = few.select("h", F.col("content").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"))
+    y = few.select("h", F.col("content").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"))
+    # at most RARE rows on either side of a key
+    meet = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits("wa", "wb")).groupBy("a", "b", "wa", "wb").agg(F.count("*").alias("both"))
+    meet = meet.join(rest.select(F.col("content").alias("a"), F.col("rest").alias("ra")), "a").join(rest.select(F.col("content").alias("b"), F.col("rest").alias("rb")), "b")
+    meet = meet.where(F.col("both") + F.least("ra", "rb") >= need * (F.col("wa") + F.col("wb")) - 1e-9).select("a", "b")
+    # without a common rare element, a text needs enough other ones; most texts of mixed buckets have not, or are of the bucket's main class
+    able = rows.select("bucket", "content").join(rest.where(F.col("rest") >= threshold * F.col("weight") - 1e-9), "content")
+    able = written(able, "near-able")
+    sizes = able.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    rows, salts = salted(able, "content")
+    kept = rows.join(sizes.select("bucket", "main", salts.alias("salt")), ["bucket", "salt"])
+    side = lambda df, s: df.select("bucket", *[F.col(c).alias(c[0] + s) for c in ("content", "label", "weight", "rest")])
+    minor, every = side(kept.where("label <> main"), "1"), side(kept, "2")
+    may = (F.col("l1") != F.col("l2")) & fits("w1", "w2") & (F.least("r1", "r2") >= need * (F.col("w1") + F.col("w2")) - 1e-9)
+    others = minor.join(every, "bucket").where(may).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
+    return meet.unionByName(others).distinct()
+
+
+def classes_of(members: DataFrame, sets_of, threshold: float = THRESHOLD) -> DataFrame | None:
+    """(node, label) of the contents that a verified link of similarity >= threshold joins with others; None without buckets of two.
+
+    members: (bucket, content, weight). sets_of: gives (content, weight, elements) for a table of contents.
     """
-    far = 1 - threshold + 1e-12
     # of two multisets the lighter one has at least `threshold` of the heavier one's weight if they are that similar
     fits = lambda x, y: F.least(F.col(x), F.col(y)) >= threshold * F.greatest(F.col(x), F.col(y)) - 1e-9
     crowds = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = written(members.join(crowds, "bucket"), "near-crowded")
+    rows, salts = salted(members, "content")
+    crowded = written(rows.join(crowds.select("bucket", "n", salts.alias("salt")), ["bucket", "salt"]).drop("salt"), "near-crowded")
     if crowded.isEmpty():
         return None
-    popular = crowded.groupBy("content").agg(F.sum("n").alias("pop"))
-    wanted = popular.select("content").join(reps, "content")
-    texts = written(wanted.join(docs, wanted["rep"] == docs["id"]).select("content", "text"), "near-texts")
-    order = F.col("pop") * (1 << 20) + F.pmod(F.xxhash64("content"), F.lit(1 << 20))
-    ranked = crowded.join(popular, "content").select("bucket", "content", "weight", order.alias("o"))
-    leaders = ranked.groupBy("bucket").agg(F.max_by("content", "o").alias("leader"), F.max_by("weight", "o").alias("w"))
-    led = written(crowded.join(leaders, "bucket").where("content <> leader").select("bucket", "content", "weight", "leader", "w"), "near-led")
-    pair = [F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")]
-    known = written(verified(led.where(fits("weight", "w")).select(*pair).distinct(), texts), "near-verified")
-    edges = known.where(F.col("d") <= far).select("a", "b")
-    active = led.select("bucket", "content", "weight", *pair).join(known, ["a", "b"], "left").select("bucket", "content", "weight", F.col("d").alias("d0"))
-    most, best_first = 64, True
-    while True:
-        labels = components(edges)
-        named = active.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
-        named = written(named, "near-named")
-        mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket", "n")
-        lead = F.expr(f"n <= {most} or pmod(xxhash64(content, bucket), 1000000) * 1e-6 * n < {most}")
-        rows = written(named.join(mixed, "bucket").withColumn("lead", lead), "near-mixed")
-        if rows.isEmpty():
-            return labels
-        heads = rows.where("lead").select("bucket", F.col("content").alias("leader"), F.col("label").alias("l"), F.col("weight").alias("w"), F.col("d0").alias("e0"))
-        near = F.col("d0").isNull() | F.col("e0").isNull() | (F.abs(F.col("d0") - F.col("e0")) <= far)
-        apart = (F.col("label") != F.col("l")) & near & fits("weight", "w") & (~F.col("lead") | (F.col("content") < F.col("leader")))
-        asked = rows.join(heads, "bucket").where(apart).groupBy(*pair).agg(F.count("*").alias("shared")).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        if best_first:  # one link joins a text to a class: those that share the most buckets are tried before all
-            rank = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("shared"), y))
-            asked = asked.withColumn("r", F.least(rank("a", "b"), rank("b", "a"))).where(F.col("r") <= FIRST)
-        fresh = written(verified(asked.select("a", "b"), texts), "near-verified")
-        known = known.unionByName(fresh)
-        edges = edges.unionByName(fresh.where(F.col("d") <= far).select("a", "b"))
-        if best_first:
-            active, best_first = rows.select("bucket", "content", "weight", "d0"), False
-            continue
-        active = rows.where("not lead").select("bucket", "content", "weight", "d0")
-        if active.isEmpty():
-            return components(edges) if not fresh.where(F.col("d") <= far).isEmpty() else labels
-        most *= 64
+    sets = written(sets_of(crowded.select("content").distinct()), "near-sets")
+    edges = written(linked(leader_pairs(crowded, fits), sets, threshold), "near-links")
+    labels = components(edges)
+    asked = open_pairs(crowded, labels, sets, threshold, fits)
+    if asked is None:
+        return labels
+    more = written(linked(written(asked, "near-asked"), sets, threshold), "near-links")
+    if more.isEmpty():
+        return labels
+    return components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -230,16 +262,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Texts of less than five words are one shingle; null texts and texts without words form one class. Of a class the row with the least id
     stays (null ids come first, then the least hash of the text). Rows that repeat id and text are all marked kept or none is: text_hash
-    (xxhash64 of the text) tells a caller which rows those are. Other columns of docs are ignored.
+    (xxhash64 of the text) tells a caller which rows those are. Texts of any length are read whole. An empty table gives an empty table.
+    Other columns of docs are ignored, whatever their names.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text).alias("text"))
     signs = rows.select("id", "no_id", F.xxhash64("text").alias("text_hash"), signed(F.col("text")).alias("s"))
     signs = written(signs.select("id", "no_id", "text_hash", "s.content", "s.weight", "s.bands"), "near-signs")
-    reps = written(signs.groupBy("content").agg(F.min("id").alias("rep")), "near-reps")
-    # one row of each content is enough for its bands; a content's rows all have the same
-    members = signs.join(reps, (signs["content"] == reps["content"]) & (signs["id"] == reps["rep"])).select(signs["content"], "weight", F.explode("bands").alias("bucket"))
-    members = written(members.select("bucket", "content", "weight").distinct(), "near-members")
-    labels = classes_of(members, reps, rows.select("id", "text"), threshold)
+    # the row that lends a content its text, by id and hash of the text
+    reps = written(signs.groupBy("content").agg(F.min("id").alias("rep"), F.min_by("text_hash", "id").alias("rep_hash")), "near-reps")
+    lent = (F.col("id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    members = signs.join(reps.withColumnRenamed("content", "c"), (F.col("content") == F.col("c")) & lent).dropDuplicates(["content"])
+    members = written(members.select("content", "weight", F.explode("bands").alias("bucket")), "near-members")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        lenders = wanted.join(reps, "content")
+        found = rows.withColumn("text_hash", F.xxhash64("text")).join(lenders, lent)
+        found = found.dropDuplicates(["content"]).select("content", occurrences(F.col("text")).alias("elements"))
+        return found.select("content", F.size("elements").alias("weight"), "elements")
+
+    labels = classes_of(members, sets_of, threshold)
     if labels is None:
         classes = reps.select("content", F.col("content").alias("label"))
     else:
@@ -253,11 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each near-duplicate class, all columns as they are."""
-    found = near_duplicates(docs, id_col, text, threshold).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "__n")
-    hashed = docs.withColumn("__th", F.xxhash64(text))
-    mine = hashed.join(found, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).eqNullSafe(F.coalesce("__id", F.lit(NO_ID))) & (F.col("__th") == F.col("__h")))
-    once = mine.where("__n = 1")
-    again = mine.where("__n > 1").dropDuplicates(["__id", "__h"])
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each near-duplicate class, all columns as they are. Columns made on the way get names that docs does not have."""
+    n, i, h, own = free_names(docs, "times", "kept_id", "kept_hash", "own_hash")
+    found = near_duplicates(docs, id_col, text, threshold).where("kept").groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.count("*").alias(n))
+    mine = docs.withColumn(own, F.xxhash64(text)).join(found, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).eqNullSafe(F.coalesce(i, F.lit(NO_ID))) & (F.col(own) == F.col(h)))
+    again = mine.where(F.col(n) > 1).dropDuplicates([i, h])
+    return mine.where(F.col(n) == 1).unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
