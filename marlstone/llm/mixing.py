@@ -9,6 +9,7 @@ windows over (source, length, hash piece); a source's counts are fitted in a tas
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .common import written
 WEIGHTS = (5, 2, 1)
 CAP = 3
 PIECES = 1024
-#: Budgets up to this are fitted exactly; the equal share leaves less than the longest document.
+#: Budgets up to this, or up to twice the longest document if that is more, are fitted exactly; the equal share leaves less than the longest document.
 EXACT = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +40,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ca
         for s in over:
             out[s] = float(cap * sizes[s])
             left -= out[s]
-        open_ = [s for s in open_ if s not in over]
+        full = set(over)
+        open_ = [s for s in open_ if s not in full]
     return out
 
 
@@ -48,8 +50,8 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
     First the same share of all lengths: of the documents up to each length, in ascending order, the share rounded down is taken, so that lengths with few documents
     get it together and the sum is less than the longest document off the budget. What is above the budget is put back: of what the rounding added, the shortest document that covers it,
-    else the longest one first. Documents longer than EXACT can leave more than that; then the largest that fit are taken. What is left then is fitted by a bounded-knapsack program over the documents left: bit b of a number says that sum b can be reached, a length's count is split into
-    powers of two, and the items are walked back from the best sum.
+    else the longest one first. What is left then is fitted by a bounded-knapsack program over the documents left: bit b of a number says that sum b can be reached, a length's count is split into
+    powers of two, and the items are walked back from the best sum. If the share rounded down for each length leaves no more than twice the longest document, that start is tried too.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
@@ -78,50 +80,46 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     if spent(even) == budget:
         return even
     # where the rounding stands in the way of a nearer sum, the rounded-down share of each length alone is the start
-    if budget - spent(base) > EXACT:
+    if budget - spent(base) > exact_limit(lengths):
         return even
     return max(even, filled(lengths, counts, base, budget - spent(base)), key=spent)
 
 
+def exact_limit(lengths: list[int]) -> int:
+    return max(EXACT, 2 * max(lengths, default=0))
+
+
 def filled(lengths: list[int], counts: list[int], take: list[int], left: int) -> list[int]:
-    """take, and of the documents left those that fill the budget left as far as can be: exactly up to EXACT, the largest that fit before that."""
+    """take, and of the documents left those that fill the budget left as far as can be. left must be at most exact_limit.
+
+    first[b] is the item with which sum b was first reached, from a sum that earlier items reach: a number for each sum, however many items there are.
+    """
     take = list(take)
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
-    for i in order:
-        if left <= EXACT:
-            break
-        more = min(counts[i] - take[i], (left - EXACT // 2) // lengths[i])
-        if more > 0:
-            take[i] += more
-            left -= more * lengths[i]
     if left <= 0:
         return take
-    if left > EXACT:  # every document that is left is longer than that, or all shorter ones are taken
-        for i in order:
-            more = min(counts[i] - take[i], left // lengths[i])
-            take[i] += more
-            left -= more * lengths[i]
-        return take
     full = (1 << (left + 1)) - 1
-    reach, steps = 1, []
-    for i in order:
+    first = np.full(left + 1, -1, np.int32)
+    reach, items = 1, []
+    for i in sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i]):
         free = min(counts[i] - take[i], left // lengths[i])
         part = 1
         while free > 0 and not reach >> left & 1:
             n = min(part, free)
-            grown = (reach | reach << (n * lengths[i])) & full
-            if grown != reach:
-                steps.append((i, n, reach))
-                reach = grown
+            new = (reach << (n * lengths[i])) & full & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(items)
+                items.append((i, n))
+                reach |= new
             free -= n
             part *= 2
         if reach >> left & 1:
             break
     best = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> best & 1:
-            take[i] += n
-            best -= n * lengths[i]
+    while best:
+        i, n = items[first[best]]
+        take[i] += n
+        best -= n * lengths[i]
     return take
 
 
@@ -131,12 +129,14 @@ def mix(
     """(doc_id, source, size, source_size, target, copies, and the carried columns): how many times the mix takes each row.
 
     size is the number of words of the text (a null text has none). A row is taken at most cap times, as a source's target is at most cap times its
-    size. Rows without words are taken with whole passes only. Repeated rows are rows of their own. The same rows give the same mix.
+    size. Rows without words are taken with whole passes only. Repeated rows are rows of their own; rows that repeat id and text are alike, so it does not matter
+    which of them is taken once more. Null ids, texts and sources count (a null text has no words). The same rows give the same mix. An empty table gives an empty
+    table. Of docs only the named columns are read; carried columns must not be named like those of the result. One row for each distinct source reaches the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *carry)
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = written(rows.withColumn("h", h).withColumn("piece", F.pmod(F.col("h"), F.lit(PIECES)).cast("int")), "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *carry,
+        F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)).alias("h"))
+    rows = written(rows.withColumn("piece", F.pmod(F.col("h"), F.lit(PIECES)).cast("int")), "mix-sizes")
     pieces = rows.groupBy("source", "size", "piece").agg(F.count("*").alias("n"))
     pieces = written(pieces, "mix-pieces")
     by_length = pieces.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -167,5 +167,5 @@ def mix(
     x, y = local.alias("x"), limits.alias("y")
     chosen = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.piece") == F.col("y.piece"))).select("x.doc_id", "x.source", "x.size", (F.col("i") <= F.col("quota")).cast("int").alias("more"), *[F.col(f"x.{c}") for c in carry])
     p = plan.alias("p")
-    whole = chosen.join(F.broadcast(p), chosen["source"].eqNullSafe(F.col("p.source")))  # a row for each source
+    whole = chosen.join(p, chosen["source"].eqNullSafe(F.col("p.source")))  # a row for each source; Spark broadcasts it if it is small
     return whole.select("doc_id", chosen["source"], "size", F.col("p.source_size"), F.col("p.target"), (F.col("p.passes") + F.col("more")).alias("copies"), *carry)
