@@ -49,12 +49,28 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+def streamed(rows: DataFrame) -> DataFrame:
+    """The log that rows of finished messages may come from: each text arrives as a draft and a delta, as a draft that is edited, or as a draft that is generated anew and streamed in two deltas, by its turn."""
+    events = chat.events_of_rows(rows)
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, last = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    step = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    way = F.pmod(F.coalesce(F.col("seq").cast("long"), F.lit(0)), F.lit(3))
+    begun = F.array(step("message", first))
+    steps = F.when(way == 0, F.concat(begun, F.array(step("delta", last)))).when(way == 1, F.concat(begun, F.array(step("edit", text))))
+    steps = steps.otherwise(F.concat(begun, F.array(step("regenerate", F.lit("")), step("delta", first), step("delta", last))))
+    # steps of one message come one after another, messages in the order of their turns
+    place = (F.coalesce(F.col("seq").cast("long"), F.lit(-1)) * 8 + F.col("i")).alias("seq")
+    return events.select("conv_id", "seq", "message", "role", F.posexplode(steps).alias("i", "s")).select("conv_id", place, "s.kind", "message", "role", "s.text")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "\\### Assistant: </turn> ok"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(control).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(rows))))
+    back = chat.read_back(chat.render(chat.fold_events(streamed(rows))))
     said = F.filter("turns", lambda t: t["loss"])
     loss = F.array_join(F.transform(said, lambda t: t["text"]), "")
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -115,10 +131,14 @@ def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = written(docs.withColumn("virtual_slot", sharding.slot_of(F.col("doc_id"), F.col("text_crc32"))), "slots")
     store = new_path(spark, "slot-map")
-    sharding.edit_map(sharding.slot_bytes(rows, "virtual_slot", "size"), 8).write.parquet(f"{store}/version=1")
-    current = sharding.latest_map(spark.read.parquet(store).select(F.col("version").cast("int"), "slot", "shard", "bytes"))
-    placed = sharding.place(rows, current)
-    numbered = sharding.positions(placed, current, [F.col("doc_id"), F.col("text_crc32")])
+    versions = lambda: spark.read.parquet(store).select(F.col("version").cast("int"), "slot", "shard", "bytes")
+    # version 1 deals all slots before any size is known; version 2 edits it for the bytes that were measured
+    unknown = spark.range(sharding.SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(1).cast("long").alias("bytes"))
+    sharding.edit_map(unknown, 8).drop("version").write.parquet(f"{store}/version=1")
+    measured = sharding.slot_bytes(rows, "virtual_slot", "size")
+    sharding.edit_map(measured, 8, sharding.latest_map(versions())).drop("version").write.parquet(f"{store}/version=2")
+    placed = sharding.place(rows, sharding.latest_map(versions()))
+    numbered = sharding.positions(placed, [F.col("doc_id"), F.col("text_crc32")])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

@@ -11,17 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 SLOTS = 4096
 MAP = "version int, slot int, shard int, bytes long"
 
 
 def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
-    """The slot of a key; it depends on the key alone. Null keys have a slot too."""
+    """The slot of a key; it depends on the key alone. Null keys have a slot too; rows that repeat a key share its slot."""
     return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
 
 def slot_bytes(records: DataFrame, slot: str, size: str, slots: int = SLOTS) -> DataFrame:
-    """(slot, bytes) of every slot, those without records included."""
+    """(slot, bytes) of every slot, those without records included (0, also for an empty table). A null size counts as none."""
     sums = records.groupBy(F.col(slot).alias("slot")).agg(F.sum(size).alias("bytes"))
     every = records.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     return every.join(sums, "slot", "left").select("slot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
@@ -79,19 +81,21 @@ def latest_map(store: DataFrame) -> DataFrame:
 
 
 def place(records: DataFrame, current: DataFrame, slot: str = "virtual_slot") -> DataFrame:
-    """records with the shard of their slot."""
-    m = current.select(F.col("slot").alias("__slot"), "shard")  # SLOTS rows
-    return records.join(F.broadcast(m), F.col(slot) == F.col("__slot")).drop("__slot")
+    """records with the `shard` of their slot; a column of that name is replaced, all others stay. Records without a slot of the map do not appear."""
+    own, to = free_names(records, "map_slot", "map_shard")
+    m = current.select(F.col("slot").alias(own), F.col("shard").alias(to))  # SLOTS rows
+    return records.join(F.broadcast(m), F.col(slot) == F.col(own)).withColumn("shard", F.col(to)).drop(own, to)
 
 
-def positions(placed: DataFrame, current: DataFrame, order: list, slot: str = "virtual_slot") -> DataFrame:
-    """placed with `slot`: a gapless number from 0 within the shard, slot by slot and in the given order within a slot.
+def positions(placed: DataFrame, order: list, slot: str = "virtual_slot") -> DataFrame:
+    """placed with `slot` (a column of that name is replaced): a gapless number from 0 within the shard, slot by slot and in the given order within a slot.
 
     Rows are numbered within their virtual slot (thousands of small windows, never a shard at once); where a slot begins in its
-    shard comes from the counts per slot.
+    shard comes from the counts per slot. Rows that tie in the order are numbered in either way.
     """
-    counts = placed.groupBy(F.col(slot).alias("__slot"), F.col("shard").alias("__shard")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__shard").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # SLOTS rows at most
-    local = placed.withColumn("__i", F.row_number().over(Window.partitionBy(slot).orderBy(*order)) - 1)
-    return local.join(F.broadcast(starts), F.col(slot) == F.col("__slot")).withColumn("slot", (F.col("__start") + F.col("__i")).cast("long")).drop("__slot", "__start", "__i")
+    own, shard, n, start, i = free_names(placed, "map_slot", "map_shard", "rows", "start", "nth")
+    counts = placed.groupBy(F.col(slot).alias(own), F.col("shard").alias(shard)).agg(F.count("*").alias(n))
+    before = Window.partitionBy(shard).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(own, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))  # SLOTS rows at most
+    local = placed.withColumn(i, F.row_number().over(Window.partitionBy(slot).orderBy(*order)) - 1)
+    return local.join(F.broadcast(starts), F.col(slot) == F.col(own)).withColumn("slot", (F.col(start) + F.col(i)).cast("long")).drop(own, start, i)

@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are cut into shards by ranges of their id with near equal bytes; the bounds come from a histogram of bytes over the
-ids, so reruns cut alike. A task writes its shard in id order into files that roll when their compressed size passes a limit,
+Records are cut into shards by ranges of their id with near equal bytes; the bounds are quantiles of a sample of ids, drawn by their
+bytes and by a hash, so reruns cut alike. An id that fills several shards alone (null, or repeated) is dealt among them by digest. A task writes its shard in id order into files that roll when their compressed size passes a limit,
 under temporary names that no other attempt uses. Spark keeps the manifest rows of the attempts that succeeded; a second
 job renames just those files, and the manifest, written last, is what readers go by: a lost executor leaves at worst
 temporary files that no manifest names.
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, written
 
-BINS = 4096
+#: Ids sampled for a shard; its bytes stay near their share.
+PER_SHARD = 64
+NO_ID = -(2**63)
 #: Rows that a task turns into Python values at a time.
 SLICE = 256
 RECORD_DATE = "2024-01-01T00:00:00Z"
@@ -97,7 +99,7 @@ class RollingFiles:
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) with bytes and digest (SHA-1 in hex) of the payload; null html is an empty payload."""
+    """page_id, url and html of pages with bytes and digest (SHA-1 in hex) of the payload; null html is an empty payload."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     return rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
 
@@ -113,39 +115,53 @@ def revisits(rows: DataFrame, smallest: int = 1000) -> DataFrame:
     return large.join(copies, "digest").where("page_id < refers_to or (page_id is null and refers_to is not null)").select("page_id", "digest", "refers_to").distinct()
 
 
-def shard_bounds(rows: DataFrame, shards: int) -> list[int]:
-    """Ascending lower bounds of the ids of shard 1, 2, ...: from bytes in up to BINS equal steps between the least and the largest id."""
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + 400)).first()
-    if low is None or shards < 2 or low == high:
+def shard_bounds(sizes: DataFrame, shards: int) -> list[int]:
+    """Ascending lower bounds of the ids of shard 1, 2, ...; a bound comes several times if its id fills several shards. sizes: (page_id, bytes, digest).
+
+    An id is drawn once for each PER_SHARD-th of a shard's bytes that its row has, what is left over by a hash: about PER_SHARD ids for
+    each shard reach the driver, however many rows there are.
+    """
+    if shards < 2:
         return []
-    step = max(1, -(-(high - low + 1) // BINS))
-    bins = rows.where("page_id is not null").groupBy(F.expr(f"(page_id - {low}L) div {step}L").alias("bin")).agg(F.sum(F.col("bytes") + 400).alias("b")).orderBy("bin").collect()
-    bounds, run = [], 0
-    for r in bins:
-        if run >= total * (len(bounds) + 1) / shards:
-            bounds.append(low + r["bin"] * step)
-        run += r["b"]
+    weight = F.col("bytes") + 400
+    total = sizes.agg(F.sum(weight)).first()[0]  # one row
+    times = weight / (total / (shards * PER_SHARD))
+    chance = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 30)) / (1 << 30)
+    drawn = sizes.select(F.coalesce("page_id", F.lit(NO_ID)).alias("id"), (F.floor(times) + (chance < times - F.floor(times)).cast("int")).alias("n")).where("n > 0")
+    sample = sorted((r["id"], r["n"]) for r in drawn.groupBy("id").agg(F.sum("n").alias("n")).collect())
+    all_, bounds, run = sum(n for _, n in sample), [], 0
+    for i, n in sample:
+        while len(bounds) < shards - 1 and run + n > all_ * (len(bounds) + 1) / shards:
+            bounds.append(i)
+        run += n
     return bounds
 
 
+def shard_of(bounds: list[int], page_id: Column, digest: Column) -> Column:
+    """The number of bounds below the id, plus, for an id that is a bound itself, some of the bounds that equal it, by digest."""
+    lows = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
+    i = F.coalesce(page_id, F.lit(NO_ID))
+    below, equal = F.size(F.filter(lows, lambda b: b < i)), F.size(F.filter(lows, lambda b: b == i))
+    return (below + F.pmod(F.xxhash64(digest), equal + 1)).cast("int")
+
+
 def write_archives(
     pages: DataFrame, base: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, smallest: int = 1000, level: int = 5, date: str = RECORD_DATE
 ) -> DataFrame:
     """Write pages(page_id, url, html) as WARC files below base (a URI that driver and executors share) and return the manifest.
 
-    shard_bytes: payload of a shard, as read; file_bytes: compressed size at which a file rolls. Null ids go to the first shard.
-    Repeated rows give repeated records. An empty table gives an empty manifest.
+    shard_bytes: payload of a shard, as read; file_bytes: compressed size at which a file rolls. Null ids come first, a null url has no header, a null html is an
+    empty payload. Repeated rows give repeated records. A payload of any length is one record. An empty table gives an empty manifest. Other columns are ignored.
     """
     spark = pages.sparkSession
-    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"))
+    rows = payloads(pages)
+    sizes = written(rows.select("page_id", "bytes", "digest"), "warc-sizes")
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bounds = shard_bounds(sizes, max(1, -(-total // shard_bytes)))
-    lows = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(lows, lambda b: b <= F.col("page_id")))).cast("int")
-    rows = payloads(pages)
     # a revisit's note travels to its page's shard and is read just before the page: payloads are shuffled once
-    notes = revisits(rows, smallest).select("page_id", "digest", "refers_to", F.lit(0).alias("kind"))
-    both = rows.withColumn("kind", F.lit(1)).unionByName(notes, allowMissingColumns=True).withColumn("shard", shard)
+    notes = revisits(sizes, smallest).select("page_id", "digest", "refers_to", F.lit(0).alias("kind"))
+    both = rows.withColumn("kind", F.lit(1)).unionByName(notes, allowMissingColumns=True)
+    both = both.withColumn("shard", shard_of(bounds, F.col("page_id"), F.col("digest")))
     dealt = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
