@@ -10,44 +10,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, language_id, mixing, near_dedup, toxicity
-from marlstone.llm.common import id_remainder, new_path, table
+from marlstone.llm.common import free_names, id_remainder, new_path, table
 from marlstone.llm.queries import tokenizer_path, training_labels
 
-#: Texts of so many characters that are less like every language than this are rejected, as those without letters are. Shorter ones show too little to tell.
-LEAST_LIKENESS, LEAST_CHARS = 0.2, 200
+#: A text is rejected if its cosine with every language is below this many standard deviations of the cosine of unrelated vectors.
+LEAST_DEVIATIONS = 2.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language."""
+    """Documents whose text is in a known language.
+
+    Rejected are null and empty texts, texts without letters and texts that are no more like any language than chance is; one bound holds for texts of
+    every length. Repeated rows are decided alike. An empty table gives an empty table. Columns beside doc_id, text and lang pass as they are, whatever their names.
+    """
     model = language_id.fit_profiles(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
-    found = language_id.identify(docs, model)
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & ((F.col("score") >= LEAST_LIKENESS) | (F.length("text") < LEAST_CHARS))
-    return found.where(known).select(*docs.columns)
+    found = language_id.language(model, F.col("text"))
+    (name,) = free_names(docs, "language")
+    known = (F.col(f"{name}.lang") != language_id.UNDETERMINED) & (F.col(f"{name}.score") >= LEAST_DEVIATIONS / model["dims"] ** 0.5)
+    return docs.withColumn(name, found).where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    Null and empty texts get the score of a text without features. Texts are read whole, however long; repeated rows are decided alike. An empty table gives an
+    empty table, and without labels of both kinds the model answers the kind there is. Columns beside doc_id and text pass as they are, whatever their names.
+    """
     model = toxicity.fit_toxicity(docs, training_labels(spark, sf_dir))
-    return toxicity.score_toxicity(docs, model).where("toxic_predicted = 0").select(*docs.columns)
+    (name,) = free_names(docs, "toxicity")
+    scored = docs.withColumn(name, toxicity.toxicity(model, F.col("text")))
+    return scored.where(F.col(f"{name}.predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: that with the least doc_id (a null one first), of rows that repeat id and text one.
+
+    Null texts and texts without words are one class. Texts are read whole. An empty table gives an empty table. Other columns pass as they are, whatever their names.
+    """
     return near_dedup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (a row for each copy)."""
-    hashed = docs.withColumn("__th", F.xxhash64("text"))
-    taken = mixing.mix(hashed, carry=("__th",)).groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__n"))
-    joined = hashed.join(taken.where("__c > 0"), hashed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
+    """Documents as often as the mix takes them (a row for each copy).
+
+    Null ids, texts and sources count; texts without words are taken with whole passes only. Repeated rows are rows of their own, and which of them is taken does
+    not matter. An empty table gives an empty table. Other columns pass as they are, whatever their names.
+    """
+    th, i, h, c, n, nth = free_names(docs, "text_hash", "taken_id", "taken_hash", "copies", "times", "nth")
+    hashed = docs.withColumn(th, F.xxhash64("text"))
+    mixed = mixing.mix(hashed.select("doc_id", "text", "source", F.col(th).alias("text_hash")), carry=("text_hash",))
+    taken = mixed.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.sum("copies").alias(c), F.count("*").alias(n)).where(F.col(c) > 0)
+    joined = hashed.join(taken, hashed["doc_id"].eqNullSafe(F.col(i)) & (F.col(th) == F.col(h)))
     # rows that repeat id and text are alike: one of them stands for all their copies
-    rows = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates(["__id", "__h"]))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))).alias("__copy")).select(*docs.columns)
+    rows = joined.where(F.col(n) == 1).unionByName(joined.where(F.col(n) > 1).dropDuplicates([i, h]))
+    own = [F.col(f"`{x}`") for x in docs.columns]
+    return rows.select(*own, F.explode(F.sequence(F.lit(1), F.col(c).cast("int"))).alias(nth)).select(*own)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each text."""
+    """doc_id, n_tokens and ids of each text: no tokens for null and empty ones. A row for each row, repeated ones included; an empty table gives an empty table."""
     return docs.select("doc_id", bpe.encode(spark, tokenizer_path(), F.col("text")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
