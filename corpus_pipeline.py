@@ -13,20 +13,20 @@ from marlstone.llm import bpe, language_id, mixing, near_dedup, toxicity
 from marlstone.llm.common import free_names, id_remainder, new_path, table
 from marlstone.llm.queries import tokenizer_path, training_labels
 
-#: A text is rejected if its cosine with every language is below this many standard deviations of the cosine of unrelated vectors.
-LEAST_DEVIATIONS = 2.0
+#: A text of n characters is rejected if its cosine with every language is below LIKENESS * n / (n + HALF): the more of it there is, the more it must show.
+LIKENESS, HALF = 0.2, 100
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a known language.
 
-    Rejected are null and empty texts, texts without letters and texts that are no more like any language than chance is; one bound holds for texts of
-    every length. Repeated rows are decided alike. An empty table gives an empty table. Columns beside doc_id, text and lang pass as they are, whatever their names.
+    Rejected are null and empty texts, texts without letters and texts that are too little like every language for what they show; one bound that grows with the
+    text holds for all. Repeated rows are decided alike. An empty table gives an empty table. Columns beside doc_id, text and lang pass as they are, whatever their names.
     """
     model = language_id.fit_profiles(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
     found = language_id.language(model, F.col("text"))
     (name,) = free_names(docs, "language")
-    known = (F.col(f"{name}.lang") != language_id.UNDETERMINED) & (F.col(f"{name}.score") >= LEAST_DEVIATIONS / model["dims"] ** 0.5)
+    known = (F.col(f"{name}.lang") != language_id.UNDETERMINED) & (F.col(f"{name}.score") >= LIKENESS * F.length("text") / (F.length("text") + HALF))
     return docs.withColumn(name, found).where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
