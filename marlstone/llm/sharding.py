@@ -33,7 +33,7 @@ def edit_map(sums: DataFrame, shards: int, current: DataFrame | None = None) ->
     """The next version of a slot-to-shard map for these bytes per slot and this number of shards.
 
     Without a current map every slot is dealt: largest first, each to the shard with the least bytes so far. With one, a shard keeps its
-    slots, largest first, while their bytes stay within an even share; slots beyond that, and those of shards that are no more, are dealt so.
+    slots, largest first, while their bytes stay within an even share (or it has but one slot, larger than that); slots beyond that, and those of shards that are no more, are dealt so.
     Both are one fold over the slots, of fixed size. Ties go to the smaller slot and shard.
     """
     if current is None:
@@ -44,7 +44,14 @@ def edit_map(sums: DataFrame, shards: int, current: DataFrame | None = None) ->
         F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "slot", "old"))).alias("all"),
         F.sum("bytes").alias("total"), F.coalesce(F.max("was"), F.lit(0)).alias("was"),
     )
-    share = F.ceil(F.coalesce(F.col("total"), F.lit(0)) / shards).cast("long")
+    # a slot above an even share has a shard of its own; the others share what is left
+    def without_large(acc: Column, s: Column) -> Column:
+        alone = (acc["n"] > 1) & (-s["less"] * acc["n"] > acc["bytes"])
+        return F.when(alone, F.struct((acc["bytes"] + s["less"]).alias("bytes"), (acc["n"] - 1).alias("n"))).otherwise(acc)
+
+    evened = F.aggregate("all", F.struct(F.coalesce(F.col("total"), F.lit(0)).cast("long").alias("bytes"), F.lit(shards).alias("n")), without_large, lambda a: F.ceil(a["bytes"] / a["n"]).cast("long"))
+    state = state.withColumn("share", evened)
+    share = F.col("share")
     none = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda _: F.lit(0).cast("long"))
 
     def put(loads: Column, shard: Column, more: Column) -> Column:
@@ -54,7 +61,8 @@ def edit_map(sums: DataFrame, shards: int, current: DataFrame | None = None) ->
     keep0 = F.struct(none.alias("loads"), F.array().cast("array<struct<slot:int,shard:int,bytes:bigint>>").alias("kept"), F.array().cast("array<struct<slot:int,bytes:bigint>>").alias("moved"))
 
     def keep(acc: Column, s: Column) -> Column:
-        stays = s["old"].isNotNull() & (s["old"] < shards) & (F.coalesce(F.get(acc["loads"], s["old"]), F.lit(0)) - s["less"] <= share)
+        load = F.coalesce(F.get(acc["loads"], s["old"]), F.lit(0))
+        stays = s["old"].isNotNull() & (s["old"] < shards) & ((load - s["less"] <= share) | (load == 0))
         return F.struct(
             F.when(stays, put(acc["loads"], s["old"], -s["less"])).otherwise(acc["loads"]).alias("loads"),
             F.when(stays, F.concat(acc["kept"], F.array(F.struct(s["slot"].alias("slot"), s["old"].alias("shard"), (-s["less"]).alias("bytes"))))).otherwise(acc["kept"]).alias("kept"),
