@@ -58,9 +58,10 @@ def confidence(score: Column, lead: Column) -> Column:
     return cascade([("high", (score >= 10) & (lead >= 3)), ("medium", score >= 6)], "low")
 
 
-def activity(df: DataFrame, by: str, high: Column) -> DataFrame:
-    """(by, level): active if any row is of high activity, else watch."""
-    return df.groupBy(by).agg(F.when(F.coalesce(F.bool_or(high), F.lit(False)), "active").otherwise("watch").alias("level"))
+def activity(df: DataFrame, by: str, high: Column, every: DataFrame | None = None) -> DataFrame:
+    """(by, level): active if any row is of high activity, watch if there are other rows, quiet for groups of `every` without any."""
+    seen = df.groupBy(by).agg(F.when(F.coalesce(F.bool_or(high), F.lit(False)), "active").otherwise("watch").alias("level"))
+    return seen if every is None else every.select(by).join(seen, by, "left").withColumn("level", F.coalesce("level", F.lit("quiet")))
 
 
 def title_first(title_tags: Column, other_tags: Column) -> Column:
@@ -87,3 +88,65 @@ def decision(levels: Sequence[Column], table: dict[tuple[str, ...], str], defaul
     key = F.concat_ws("|", *levels)
     m = F.create_map(*[F.lit(x) for k, v in table.items() for x in ("|".join(k), v)])
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
+
+
+def flags(text: Column, steps: Sequence[Step]) -> Column:
+    """Labels of all steps that fit the lower-cased text, in order."""
+    return F.array_compact(F.array(*[F.when(step_test(text, s), F.lit(s.label)) for s in steps]))
+
+
+def contexts(text: Column, pattern: str, before: int, after: int) -> Column:
+    """For each match of a pattern, in order: the match with up to `before` characters in front of it and `after` behind it. Contexts of near matches overlap."""
+    pieces, found = F.split(text, pattern, -1), F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+
+    def one(match: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), "")) + 1
+        first = F.greatest(F.lit(1), start - before)
+        return F.substring(text, first, start - first + F.length(match) + after)
+
+    return F.transform(found, one)
+
+
+def own_and_derived(text: Column, pattern: str, derived: str, before: int, after: int) -> tuple[Column, Column]:
+    """How many matches of a design's pattern are the text's own, and how many stand beside words that show another work's design."""
+    around = contexts(text, pattern, before, after)
+    other = F.size(F.filter(around, lambda c: c.rlike(derived)))
+    return F.size(around) - other, other
+
+
+def first_place(label: Column, raw: Column, places: Sequence[tuple[str, str]], countries: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+    """(place, how): the first rule whose bounded term the label has, else the raw text has, else the country that the raw text names. Both texts are lower-cased."""
+    steps = [(how, name, has(text, term, "word")) for how, text, table in (("label", label, places), ("raw", raw, places), ("country", raw, countries)) for term, name in table]
+    place, via = F.when(F.lit(False), F.lit(None).cast("string")), F.when(F.lit(False), F.lit(None).cast("string"))
+    for how, name, test in steps:
+        place, via = place.when(test, F.lit(name)), via.when(test, F.lit(how))
+    return place, via
+
+
+def hospital_of(affiliation: Column, overrides: dict[str, str]) -> Column:
+    """struct(name, kind): the first comma or semicolon part that names a hospital, or else another care organisation; a known other name is replaced."""
+    parts = F.filter(F.transform(F.split(affiliation, "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
+    hospital = F.get(F.filter(parts, lambda p: F.lower(p).rlike(r"\bhospital\b|\binfirmary\b")), F.lit(0))
+    other = F.get(F.filter(parts, lambda p: F.lower(p).rlike(r"\b(centre|center|clinic|university|institute|board)\b")), F.lit(0))
+    name = F.coalesce(hospital, other)
+    m = F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv])
+    kind = F.when(hospital.isNotNull(), "hospital").when(other.isNotNull(), "organisation").otherwise("none")
+    return F.struct(F.coalesce(F.try_element_at(m, F.lower(name)), name).alias("name"), kind.alias("kind"))
+
+
+def agent_names(raw: Column, aliases: dict[str, str]) -> Column:
+    """Canonical names of the agents in an intervention: combinations are split, doses and routes stripped; an exact alias, else the longest alias inside the part, else the
+    part itself. Aliases to '' (comparators that are no agent) are dropped, as repeats are."""
+    parts = F.split(F.lower(raw), r"\s*\+\s*|\s+combined with\s+|\s+plus\s+")
+    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"\b\d+([.]\d+)?\s*(mg|ml|g|mcg|iu)\b", ""), r"\b(oral|tablets?|injections?|infusions?|intravenous|topical)\b", "")))
+    by_length = sorted(aliases.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+
+    def name(p: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for a, n in by_length:
+            out = out.when(p == a, F.lit(n))
+        for a, n in by_length:
+            out = out.when(F.contains(p, F.lit(a)), F.lit(n))
+        return out.otherwise(p)
+
+    return F.array_distinct(F.filter(F.transform(bare, name), lambda n: n != ""))

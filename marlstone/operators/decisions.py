@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.rules import cascade
+
 
 def normalised(raw: DataFrame, pending: DataFrame, key: str, order: str, allowed: list[str], low: int = 1, high: int = 5) -> DataFrame:
     """The first valid decision of each pending id, its score clamped."""
@@ -23,14 +25,14 @@ def ceiling(decisions: DataFrame, rules: list[tuple[str, Column, str]]) -> DataF
 
 
 def claims(signals: DataFrame, included: DataFrame, key: str) -> DataFrame:
-    """(signal, key) for ids that are included, each with the first signal that names it. signals: (signal, ids array)."""
-    named = signals.select("signal", F.explode(F.array_distinct("ids")).alias(key)).join(included.select(key), key, "left_semi")
+    """(signal, key) for ids that are included, each with the first signal that names it. signals: a (signal, key) row for each id that a signal names."""
+    named = signals.select("signal", key).join(included.select(key), key, "left_semi")
     return named.groupBy(key).agg(F.min("signal").alias("signal"))
 
 
 def accepted(signals: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
     """Signals all of whose ids they have claimed."""
-    asked = signals.select("signal", F.explode(F.array_distinct("ids")).alias(key))
+    asked = signals.select("signal", key).distinct()
     held = asked.join(claimed.withColumn("__mine", F.lit(True)), ["signal", key], "left")
     return held.groupBy("signal").agg(F.bool_and(F.col("__mine").isNotNull()).alias("ok"), F.count("*").alias("n")).where("ok").select("signal", "n")
 
@@ -76,11 +78,19 @@ def quote_found(quote: Column, text: Column, share: float = 0.7) -> Column:
     return F.coalesce((F.length(quote) > 0) & (F.contains(text, quote) | F.contains(text, prefix) | F.contains(bare(text), bare(quote))), F.lit(False))
 
 
-def numbered_references(cited: DataFrame, known: DataFrame, order: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, number) by first use, and the cited ids that are not known."""
-    missing = cited.select(key).distinct().join(known.select(key), key, "left_anti")
-    first = cited.join(known.select(key), key, "left_semi").groupBy(key).agg(F.min(order).alias("first"))
-    return first.withColumn("number", F.row_number().over(Window.orderBy("first", key))).select(key, "number"), missing  # as many rows as a publication cites
+def quote_verdict(quote: Column, text: Column, share: float = 0.7) -> Column:
+    """How a source has a quote (both already reduced to letters and digits): `whole`, else `prefix` (its first 70 %), else `digits` (without digits), else `none`."""
+    prefix = F.substring(quote, F.lit(1), F.floor(F.length(quote) * share).cast("int"))
+    bare = lambda c: F.regexp_replace(c, r"\d+", "")
+    some = F.length(quote) > 0
+    return cascade([("whole", some & F.contains(text, quote)), ("prefix", some & F.contains(text, prefix)), ("digits", some & F.contains(bare(text), bare(quote)))], "none")
+
+
+def numbered_references(cited: DataFrame, known: DataFrame, publication: str, order: str, key: str) -> DataFrame:
+    """(publication, key, number): a publication's cited ids, numbered from 1 by first use; ids that are not known have no number."""
+    first = cited.groupBy(publication, key).agg(F.min(order).alias("first")).join(known.select(key).distinct().withColumn("__known", F.lit(True)), key, "left")
+    place = F.row_number().over(Window.partitionBy(publication, "__known").orderBy("first", key))
+    return first.withColumn("number", F.when(F.col("__known"), place)).select(publication, key, "number")
 
 
 def humanised(docs: DataFrame, key: str, text: str, labels: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+KINDS = ("substring", "word", "regex")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A label's term. kind: substring, word (bounded by anything but letters and digits) or regex."""
@@ -81,17 +84,27 @@ def near(text: Column, a: str, b: str, distance: int) -> Column:
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
     """The rules as a table (label, term, weight, kind, ord)."""
+    if odd := {r.kind for r in rules} - set(KINDS):
+        raise ValueError(f"unknown kinds of rules: {sorted(odd)}")
     return spark.createDataFrame([(r.label, r.term, r.weight, r.kind, i) for i, r in enumerate(rules)], "label string, term string, weight double, kind string, ord int")
 
 
 def matched(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """(key, label, term, weight, ord) for every substring or word rule that a row's lower-cased text has.
+    """(key, label, term, weight, ord) for every rule that a row's lower-cased text has; the same answer as `has` gives for each.
 
-    Word rules are matched by an equi-join on the text's distinct words; substring rules by a test against each rule, for which the rules,
-    a dictionary of bounded size, are broadcast.
+    Rules of one word are matched by an equi-join on the text's distinct words. The others are tested against each text, for which the rules, a dictionary of
+    bounded size, are broadcast: substrings by containment, regular expressions and words with other characters in them by their pattern.
+    An unknown kind fails.
     """
+    known = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of rule: "), F.coalesce("kind", F.lit("null")))).cast("string"))
+    rules = rules.withColumn("kind", known)
+    one_word = (F.col("kind") == "word") & F.col("term").rlike(r"^[\p{L}\p{N}]+$")
     words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("term"))
-    by_word = words.join(F.broadcast(rules.where("kind = 'word'")), "term").select(key, "label", "term", "weight", "ord")
+    by_word = words.join(F.broadcast(rules.where(one_word)), "term").select(key, "label", "term", "weight", "ord")
+    literal = F.regexp_replace("term", r"([^\p{L}\p{N}\s])", r"\\$1")
+    pattern = F.when(F.col("kind") == "regex", F.col("term")).when(F.col("kind") == "word", F.concat(F.lit(r"(?<![\p{L}\p{N}])"), literal, F.lit(r"(?![\p{L}\p{N}])")))
+    other = rules.where(~one_word).withColumn("pattern", pattern)
     low = df.select(key, F.lower(text).alias("__t"))
-    by_part = low.join(F.broadcast(rules.where("kind = 'substring'")), F.contains("__t", "term")).select(key, "label", "term", "weight", "ord")
+    hit = F.when(F.col("pattern").isNull(), F.contains("__t", "term")).otherwise(F.regexp_like("__t", "pattern"))
+    by_part = low.join(F.broadcast(other), hit).select(key, "label", "term", "weight", "ord")
     return by_word.unionByName(by_part)

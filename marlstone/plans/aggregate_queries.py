@@ -43,13 +43,21 @@ def c11(spark, sf):
     return graphs.shared_key_components(s, "s_suppkey", keys)
 
 
-@query("c12_event_merge", """WITH h AS (SELECT doc_id, n_chars, source, min(doc_id) OVER (PARTITION BY substr(lower(text), 1, 40)) AS label FROM documents)
- SELECT label, count(*) AS n, arg_max(doc_id, n_chars * 1000000 - doc_id) AS kept, string_agg(DISTINCT source, ',' ORDER BY source) AS refs FROM h GROUP BY 1""")
+@query("c12_event_merge", """WITH RECURSIVE k AS (SELECT doc_id, unnest([CASE WHEN length(title) >= 40 THEN 't' || title END, CASE WHEN doc_id % 10 < 2 THEN 'a' || doc_id // 10 END]) AS key FROM (SELECT doc_id, regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+', '', 'g') AS title FROM documents)),
+ heads AS (SELECT key, min(doc_id) AS a FROM k WHERE key IS NOT NULL GROUP BY 1), l AS (SELECT DISTINCT a, doc_id AS b FROM k JOIN heads USING (key) UNION SELECT DISTINCT doc_id, a FROM k JOIN heads USING (key)),
+ r(node, lab) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.lab FROM r JOIN l ON l.a = r.node), c AS (SELECT node AS doc_id, min(lab) AS label FROM r GROUP BY 1),
+ m AS (SELECT c.label, d.doc_id, d.n_chars, d.source, CASE WHEN toxic = 1 THEN 3 WHEN quality = 1 THEN 2 ELSE 1 END AS materiality FROM c JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id))
+ SELECT label, count(*) AS n, arg_max(doc_id, CAST(materiality AS BIGINT) * 1000000000 - doc_id) AS kept, max(materiality) AS materiality, string_agg(DISTINCT source, ',' ORDER BY source) AS refs FROM m GROUP BY 1""")
 def c12(spark, sf):
+    """Documents with a common alias id, or the same whole title of 40 letters and digits or more, are one event; the most material one stays."""
     d = table(spark, sf, "documents")
-    labels = graphs.shared_key_components(d, "doc_id", F.array(F.lower(F.substring("text", 1, 40)))).withColumnRenamed("node", "doc_id")
-    j = d.select("doc_id", "n_chars", "source").join(labels, "doc_id")
-    return j.groupBy("label").agg(F.count("*").alias("n"), F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("kept"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("refs"))
+    title = F.regexp_replace(F.lower(F.substring_index("text", "\n", 1)), r"[^\p{L}\p{N}]+", "")
+    alias = F.when(F.col("doc_id") % 10 < 2, F.concat(F.lit("a"), F.floor(F.col("doc_id") / 10).cast("string")))
+    labels = graphs.shared_key_components(d, "doc_id", F.array(F.when(F.length(title) >= 40, F.concat(F.lit("t"), title)), alias)).withColumnRenamed("node", "doc_id")
+    weight = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 1, 2).otherwise(1)
+    j = d.select("doc_id", "source").join(labels, "doc_id").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("m", weight)
+    refs = F.array_join(F.array_sort(F.collect_set("source")), ",")
+    return j.groupBy("label").agg(F.count("*").alias("n"), F.max_by("doc_id", F.col("m").cast("long") * 1000000000 - F.col("doc_id")).alias("kept"), F.max("m").alias("materiality"), refs.alias("refs"))
 
 
 @query("c21_community_profile", f"WITH {BEST_SQL} SELECT source, best AS community, count(*) AS n FROM documents JOIN best USING (doc_id) GROUP BY ALL")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
 from marlstone.operators import classifiers as K
-from marlstone.operators import rules
+from marlstone.operators import ranking, rules
+from marlstone.plans import study_rules as T
 from marlstone.plans.aggregate_queries import BEST_SQL, ROLE_SQL, authors, best
 from marlstone.plans.gate_queries import titled
 from marlstone.plans.registering import Group, table
@@ -21,24 +22,45 @@ STEPS = [
 STEP_SQL = """CASE WHEN contains(low, 'all rights reserved') THEN 'notice' WHEN contains(low, ' | ') THEN 'table' WHEN contains(low, 'ung') AND contains(low, 'der') THEN 'german'
  WHEN (contains(low, 'eau') OR contains(low, 'eux')) AND NOT contains(low, 'the ') THEN 'french' WHEN contains(low, 'mente') AND NOT contains(low, 'the ') THEN 'spanish' WHEN contains(low, 'the ') OR contains(low, 'tion') THEN 'english' ELSE 'other' END"""
 LEVELS = {"notice": "V", "table": "IV", "german": "II", "french": "II", "english": "I"}
+REC_SQL = f"""rec AS (SELECT doc_id, lang, source, n_chars, lower(design) AS title, lower(design || '. ' || context || ' ' || coalesce(text, '')) AS low, context, text, {T.choice_sql(T.AFFILIATIONS, 'doc_id')} AS affiliation
+ FROM (SELECT *, {T.choice_sql(T.DESIGNS, 'doc_id')} || CASE WHEN doc_id % 4 = 0 THEN ' of mirapexin' ELSE '' END AS design, {T.choice_sql(T.CONTEXTS, '(doc_id // 3)')} AS context FROM documents))"""
+
+
+def records(spark, sf):
+    """documents as study records: a title that states a design, an abstract that begins with it and with a context, and an affiliation, dealt by doc_id."""
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+    d = table(spark, sf, "documents")
+    design = F.concat(pick(T.DESIGNS, F.col("doc_id")), F.when(F.col("doc_id") % 4 == 0, " of mirapexin").otherwise(""))
+    d = d.withColumn("title", F.lower(design)).withColumn("context", pick(T.CONTEXTS, F.floor(F.col("doc_id") / 3))).withColumn("affiliation", pick(T.AFFILIATIONS, F.col("doc_id")))
+    return d.withColumn("low", F.concat("title", F.lit(". "), F.lower("context"), F.lit(" "), F.lower(F.coalesce("text", F.lit("")))))
+
+
 LOW = "low AS (SELECT *, lower(text) AS low, lower(split_part(text, chr(10), 1)) AS title FROM documents)"
 
 
-@query("h1_study_cascade", f"WITH {LOW}, t AS (SELECT doc_id, {STEP_SQL} AS kind FROM low) SELECT doc_id, kind, CASE kind WHEN 'notice' THEN 'V' WHEN 'table' THEN 'IV' WHEN 'german' THEN 'II' WHEN 'french' THEN 'II' WHEN 'english' THEN 'I' ELSE 'none' END AS level FROM t")
+@query("h1_study_cascade", f"WITH {REC_SQL}, t AS (SELECT doc_id, {T.cascade_sql('low', T.STUDY_STEPS, 'other')} AS kind FROM rec) SELECT doc_id, kind, {T.map_sql('kind', T.LEVELS, 'none')} AS level FROM t")
 def h1(spark, sf):
-    kind = K.by_steps(F.col("low"), STEPS, "other")
-    return titled(spark, sf).select("doc_id", kind.alias("kind")).withColumn("level", K.level_of(F.col("kind"), LEVELS, "none"))
+    kind = K.by_steps(F.col("low"), T.STUDY_STEPS, "other")
+    return records(spark, sf).select("doc_id", kind.alias("kind")).withColumn("level", K.level_of(F.col("kind"), T.LEVELS, "none"))
 
 
-@query("h2_design_predicates", f"WITH {LOW} SELECT doc_id, regexp_matches(low, '(?s)the.{{0,40}}and|and.{{0,40}}the') AS near_terms, regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}])with($|[^\\p{{L}}\\p{{N}}])') AS has_word FROM low")
+CONTEXT_SQL = f"""hit AS (SELECT doc_id, low, regexp_extract_all(low, {T.quoted(T.RANDOM)}) AS found, regexp_split_to_array(low, {T.quoted(T.RANDOM)}) AS pieces FROM rec),
+ spot AS (SELECT doc_id, low, list_transform(found, lambda x, i: {{'at': length(coalesce(array_to_string(pieces[1:i], ''), '')) + length(coalesce(array_to_string(found[1:i-1], ''), '')) + 1, 'n': length(x)}}) AS spots FROM hit),
+ around AS (SELECT doc_id, low, list_transform(spots, lambda s: substring(low, greatest(1, s.at - {T.BEFORE}), s.at - greatest(1, s.at - {T.BEFORE}) + s.n + {T.AFTER})) AS c FROM spot)"""
+
+
+@query("h2_design_predicates", f"WITH {REC_SQL}, {CONTEXT_SQL} SELECT doc_id, CAST(len(c) - len(list_filter(c, lambda x: regexp_matches(x, {T.quoted(T.DERIVED)}))) AS INT) AS own, CAST(len(list_filter(c, lambda x: regexp_matches(x, {T.quoted(T.DERIVED)}))) AS INT) AS derived, regexp_matches(low, '(?s)patients.{{0,60}}survival|survival.{{0,60}}patients') AS outcome_near, {T.hit_sql('low', ('single arm', 'one-arm'), 'word')} AND NOT {T.hit_sql('low', ('placebo',), 'word')} AS uncontrolled FROM around")
 def h2(spark, sf):
-    return titled(spark, sf).select("doc_id", rules.near(F.col("low"), "the", "and", 40).alias("near_terms"), rules.has(F.col("low"), "with", "word").alias("has_word"))
+    low = F.col("low")
+    own, derived = K.own_and_derived(low, T.RANDOM, T.DERIVED, T.BEFORE, T.AFTER)
+    uncontrolled = rules.any_of(low, ["single arm", "one-arm"], "word") & ~rules.has(low, "placebo", "word")
+    return records(spark, sf).select("doc_id", own.alias("own"), derived.alias("derived"), rules.near(low, "patients", "survival", 60).alias("outcome_near"), uncontrolled.alias("uncontrolled"))
 
 
-@query("h3_question_domain", f"WITH {LOW}, n AS (SELECT doc_id, low, list_max(list_transform(regexp_extract_all(text, '\\b(\\d{{3,6}})\\b', 1), lambda x: CAST(x AS INT))) AS n FROM low) SELECT doc_id, n AS sample, CASE WHEN n >= 100 AND contains(low, 'tion') THEN 'large' WHEN contains(low, 'ing') THEN 'other' ELSE 'none' END AS domain FROM n")
+@query("h3_question_domain", f"WITH {REC_SQL}, n AS (SELECT doc_id, low, list_max(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(low, {T.quoted(x)}, 1)" for x in T.NUMBERS[:2]) + f"), lambda x: CAST(x AS INT))) AS a, list_max(list_transform(regexp_extract_all(low, {T.quoted(T.NUMBERS[2])}, 1), lambda x: CAST(x AS INT))) AS b FROM rec) SELECT doc_id, greatest(a, b) AS sample, coalesce(greatest(a, b) >= 100, false) AS large, {T.cascade_sql('low', T.DOMAINS, 'none')} AS domain FROM n")
 def h3(spark, sf):
-    d = titled(spark, sf).withColumn("sample", K.largest_number(F.col("text"), [r"\b(\d{3,6})\b"]))
-    return d.select("doc_id", "sample", rules.cascade([("large", (F.col("sample") >= 100) & rules.has(F.col("low"), "tion")), ("other", rules.has(F.col("low"), "ing"))], "none").alias("domain"))
+    r = records(spark, sf).withColumn("sample", K.largest_number(F.col("low"), T.NUMBERS))
+    return r.select("doc_id", "sample", F.coalesce(F.col("sample") >= 100, F.lit(False)).alias("large"), K.by_steps(F.col("low"), T.DOMAINS, "none").alias("domain"))
 
 
 H4_SQL = f"""{LOW}, s0 AS (SELECT doc_id, low, lang, CASE WHEN contains(low, 'tion') THEN 4 + CASE WHEN contains(title, 'tion') THEN 1.5 ELSE 0 END ELSE 0 END + CASE WHEN contains(low, 'ing') THEN 2 + CASE WHEN contains(title, 'ing') THEN 0.8 ELSE 0 END ELSE 0 END + CASE WHEN contains(low, 'er') THEN 1 ELSE 0 END AS s FROM low),
@@ -57,10 +79,9 @@ def h4(spark, sf):
     return community_score(spark, sf).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("h5_intent_flags", f"WITH {LOW} SELECT count(*) FILTER (WHERE contains(low, 'tion') AND contains(low, 'the ')) AS a, count(*) FILTER (WHERE contains(title, 'ing') OR contains(title, 'ung')) AS b, count(*) FILTER (WHERE NOT contains(low, 'er')) AS c FROM low")
+@query("h5_intent_flags", f"WITH {REC_SQL} SELECT doc_id, {T.flags_sql('low', T.INTENTS)} AS intents FROM rec")
 def h5(spark, sf):
-    low, title = F.col("low"), F.col("title")
-    return titled(spark, sf).agg(F.count_if(rules.has(low, "tion") & rules.has(low, "the ")).alias("a"), F.count_if(rules.any_of(title, ["ing", "ung"])).alias("b"), F.count_if(~rules.has(low, "er")).alias("c"))
+    return records(spark, sf).select("doc_id", F.array_join(K.flags(F.col("low"), T.INTENTS), ",").alias("intents"))
 
 
 @query("h6_assignment_decision", f"WITH {BEST_SQL} SELECT doc_id, CASE WHEN best_score < 2 THEN NULL ELSE best END AS assigned, CASE WHEN best_score >= 3 AND best_score - s2 >= 2 THEN 'high' WHEN best_score >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM best")
@@ -69,29 +90,30 @@ def h6(spark, sf):
     return best(spark, sf).select("doc_id", F.when(F.col("best_score") >= 2, F.col("best")).alias("assigned"), c.alias("confidence"))
 
 
-@query("h7_activity_level", f"WITH {BEST_SQL} SELECT best AS community, CASE WHEN bool_or(n_chars > 15000) THEN 'active' ELSE 'watch' END AS level FROM best JOIN documents USING (doc_id) GROUP BY 1")
+@query("h7_activity_level", f"WITH {BEST_SQL}, x AS (SELECT best AS community, count(*) AS n, bool_or(n_chars > 15000) AS high FROM best JOIN documents USING (doc_id) GROUP BY 1) SELECT community, CASE WHEN coalesce(high, false) THEN 'active' WHEN n > 0 THEN 'watch' ELSE 'quiet' END AS level FROM (SELECT unnest(['en', 'de', 'fr', 'es', 'it']) AS community) LEFT JOIN x USING (community)")
 def h7(spark, sf):
     j = best(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").withColumnRenamed("best", "community")
-    return K.activity(j, "community", F.col("n_chars") > 15000)
+    every = spark.createDataFrame([("en",), ("de",), ("fr",), ("es",), ("it",)], "community string")
+    return K.activity(j, "community", F.col("n_chars") > 15000, every)
 
 
-@query("h8_cluster_key", f"WITH {LOW}, k AS (SELECT doc_id, low, {STEP_SQL} AS key FROM low) SELECT key, count(*) AS n, count(*) FILTER (WHERE contains(low, 'ing') OR contains(low, 'ung')) AS topical FROM k GROUP BY 1")
+@query("h8_cluster_key", f"WITH {REC_SQL}, k AS (SELECT doc_id, {T.cascade_sql('low', T.CLUSTERS, 'other')} AS key, string_split({T.flags_sql('low', T.INTENTS)}, ',')[1:5] AS topics FROM rec) SELECT doc_id, key, starts_with(key, 'agent:') AS product, array_to_string(topics, ',') AS topics FROM k")
 def h8(spark, sf):
-    d = titled(spark, sf).select(K.by_steps(F.col("low"), STEPS, "other").alias("key"), rules.any_of(F.col("low"), ["ing", "ung"]).alias("t"))
-    return d.groupBy("key").agg(F.count("*").alias("n"), F.count_if("t").alias("topical"))
-
-
-TAG_RULES = [rules.Rule("a", "tion"), rules.Rule("b", "ing"), rules.Rule("c", "ung"), rules.Rule("d", "eau")]
+    key = K.by_steps(F.col("low"), T.CLUSTERS, "other")
+    topics = F.slice(K.flags(F.col("low"), T.INTENTS), 1, 5)
+    return records(spark, sf).select("doc_id", key.alias("key"), F.array_join(topics, ",").alias("topics")).withColumn("product", F.startswith("key", F.lit("agent:")))
 
 
 def tags_sql(c: str) -> str:
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains({c}, '{r.term}') THEN '{r.label}' END" for r in TAG_RULES) + "], lambda x: x IS NOT NULL), ',')"
+    labels = list(dict.fromkeys(r.label for r in T.TAGS))
+    tests = {x: " OR ".join(T.hit_sql(c, (r.term,), r.kind) for r in T.TAGS if r.label == x) for x in labels}
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {tests[x]} THEN {T.quoted(x)} END" for x in labels) + "], lambda x: x IS NOT NULL), ',')"
 
 
-@query("h9_drug_tags", f"WITH {LOW} SELECT doc_id, CASE WHEN {tags_sql('title')} <> '' THEN {tags_sql('title')} ELSE {tags_sql('low')} END AS tags FROM low")
+@query("h9_drug_tags", f"WITH {REC_SQL} SELECT doc_id, CASE WHEN {tags_sql('title')} <> '' THEN {tags_sql('title')} ELSE {tags_sql('low')} END AS tags FROM rec")
 def h9(spark, sf):
-    t = K.title_first(rules.labels_hit(F.col("title"), TAG_RULES), rules.labels_hit(F.col("low"), TAG_RULES))
-    return titled(spark, sf).select("doc_id", F.array_join(t, ",").alias("tags"))
+    t = K.title_first(rules.labels_hit(F.col("title"), T.TAGS), rules.labels_hit(F.col("low"), T.TAGS))
+    return records(spark, sf).select("doc_id", F.array_join(t, ",").alias("tags"))
 
 
 IMPORTANCE_SQL = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice > 100000 THEN 'key' WHEN o_totalprice > 50000 THEN 'general' ELSE 'early' END"
@@ -122,12 +144,20 @@ def h12(spark, sf):
     return trials(spark, sf).select("o_orderkey", K.decision([F.col("importance"), F.col("materiality")], rows, "background").alias("decision"))
 
 
-PLACES = [("north", "North"), ("ung", "Ung"), ("tion", "Tion"), ("eau", "Eau"), ("ing", "Ing")]
+PLACE_SQL = f"""loc AS (SELECT doc_id, source, affiliation, lower(trim(split_part(affiliation, ',', 1))) AS label, lower(affiliation) AS raw FROM rec),
+ placed AS (SELECT *, CASE """ + " ".join(f"WHEN {T.hit_sql(c, (t,), 'word')} THEN {T.quoted(n)}" for c, rows in (("label", T.PLACES), ("raw", T.PLACES), ("raw", T.COUNTRIES)) for t, n in rows) + """ END AS place,
+ CASE """ + " ".join(f"WHEN {T.hit_sql(c, (t,), 'word')} THEN '{how}'" for how, c, rows in (("label", "label", T.PLACES), ("raw", "raw", T.PLACES), ("country", "raw", T.COUNTRIES)) for t, n in rows) + " END AS via FROM loc)"
 
 
-@query("h13_location", f"WITH {LOW}, p AS (SELECT doc_id, unnest([" + ", ".join(f"CASE WHEN contains(low, '{t}') THEN {{'at': length(low) - strpos(reverse(low), '{t[::-1]}') + 1, 'n': {len(t)}, 'name': '{n}'}} END" for t, n in PLACES) + "]) AS s FROM low) SELECT d.doc_id, max(s).name AS place FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY 1")
+def placed(spark, sf):
+    r = records(spark, sf).withColumn("label", F.lower(F.trim(F.substring_index("affiliation", ",", 1)))).withColumn("raw", F.lower("affiliation"))
+    place, via = K.first_place(F.col("label"), F.col("raw"), T.PLACES, T.COUNTRIES)
+    return r.withColumn("place", place).withColumn("via", via)
+
+
+@query("h13_location", f"WITH {REC_SQL}, {PLACE_SQL} SELECT doc_id, place, via FROM placed")
 def h13(spark, sf):
-    return titled(spark, sf).select("doc_id", K.last_place(F.col("low"), PLACES).alias("place"))
+    return placed(spark, sf).select("doc_id", "place", "via")
 
 
 @query("g8_institution", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'steel') THEN 'Steel Works' WHEN regexp_matches(lower(p_type), 'copper|tin') THEN string_split(p_type, ' ')[-1] ELSE string_split(p_type, ' ')[1] END AS inst, CASE WHEN regexp_matches(lower(p_type), 'steel') THEN 'family' WHEN regexp_matches(lower(p_type), 'copper|tin') THEN 'strong' ELSE 'fallback' END AS rule FROM part")
@@ -139,16 +169,23 @@ def g8(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rule.alias("rule"), F.when(rule == "family", family).when(rule == "strong", strong).otherwise(F.element_at(parts, 1)).alias("inst"))
 
 
-@query("g11_drug_names", "SELECT p_partkey, CASE WHEN lower(p_brand) = 'brand#11' THEN 'Alpha' WHEN contains(lower(p_brand), 'brand#1') THEN 'One' WHEN contains(lower(p_brand), '#2') THEN 'Two' ELSE p_brand END AS drug FROM part")
+RAW_SQL = "CASE p_partkey % 7 WHEN 0 THEN 'Veltoran 10 mg oral tablets' WHEN 1 THEN 'MIRA-101 + Dorsuvimab 2.5 ml' WHEN 2 THEN 'placebo' WHEN 3 THEN 'VLT-7 injection plus saline' WHEN 4 THEN 'standard care combined with mirapexin XR' WHEN 5 THEN p_name ELSE 'Veltoran + vlt-7' END"
+
+
+@query("g11_drug_names", f"""WITH p AS (SELECT p_partkey, unnest(regexp_split_to_array(lower({RAW_SQL}), '\\s*\\+\\s*|\\s+combined with\\s+|\\s+plus\\s+')) AS part, generate_subscripts(regexp_split_to_array(lower({RAW_SQL}), '\\s*\\+\\s*|\\s+combined with\\s+|\\s+plus\\s+'), 1) AS pos FROM part),
+ b AS (SELECT p_partkey, pos, trim(regexp_replace(regexp_replace(part, '\\b\\d+([.]\\d+)?\\s*(mg|ml|g|mcg|iu)\\b', '', 'g'), '\\b(oral|tablets?|injections?|infusions?|intravenous|topical)\\b', '', 'g')) AS part FROM p),
+ n AS (SELECT p_partkey, pos, CASE """ + " ".join(f"WHEN part = {T.quoted(a)} THEN {T.quoted(n)}" for a, n in sorted(T.ALIASES.items(), key=lambda kv: (-len(kv[0]), kv[0]))) + " " + " ".join(f"WHEN contains(part, {T.quoted(a)}) THEN {T.quoted(n)}" for a, n in sorted(T.ALIASES.items(), key=lambda kv: (-len(kv[0]), kv[0]))) + """ ELSE part END AS name FROM b),
+ f AS (SELECT p_partkey, name, min(pos) AS pos FROM n WHERE name <> '' GROUP BY ALL) SELECT p.p_partkey, coalesce(string_agg(name, ';' ORDER BY pos), '') AS drugs FROM part p LEFT JOIN f USING (p_partkey) GROUP BY 1""")
 def g11(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", K.alias_name(F.col("p_brand"), {"brand#11": "Alpha", "brand#1": "One", "#2": "Two"}).alias("drug"))
+    raw = F.expr(RAW_SQL)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(K.agent_names(raw, T.ALIASES), ";").alias("drugs"))
 
 
-@query("h14_hospital", "WITH x AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS part, unnest(range(3)) AS pos FROM part) SELECT p_partkey, coalesce(arg_min(part, pos) FILTER (WHERE part IN ('STEEL', 'BRASS', 'COPPER')), 'none') AS hospital FROM x WHERE part IS NOT NULL GROUP BY 1")
+@query("h14_hospital", f"""WITH {REC_SQL}, p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(affiliation, '[,;]'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM rec),
+ c AS (SELECT doc_id, list_filter(parts, lambda x: regexp_matches(lower(x), '\\b(hospital|infirmary)\\b'))[1] AS h, list_filter(parts, lambda x: regexp_matches(lower(x), '\\b(centre|center|clinic|university|institute|board)\\b'))[1] AS o FROM p)
+ SELECT doc_id, CASE lower(coalesce(h, o)) """ + " ".join(f"WHEN {T.quoted(a)} THEN {T.quoted(b)}" for a, b in T.OVERRIDES.items()) + """ ELSE coalesce(h, o) END AS name, CASE WHEN h IS NOT NULL THEN 'hospital' WHEN o IS NOT NULL THEN 'organisation' ELSE 'none' END AS kind FROM c""")
 def h14(spark, sf):
-    x = table(spark, sf, "part").select("p_partkey", F.posexplode(F.split("p_type", " ")).alias("pos", "part"))
-    hit = F.when(F.col("part").isin("STEEL", "BRASS", "COPPER"), F.col("part"))
-    return x.groupBy("p_partkey").agg(F.coalesce(F.min_by(hit, F.when(hit.isNotNull(), F.col("pos"))), F.lit("none")).alias("hospital"))
+    return records(spark, sf).select("doc_id", K.hospital_of(F.col("affiliation"), T.OVERRIDES).alias("h")).select("doc_id", "h.name", "h.kind")
 
 
 @query("h15_author_roles", f"WITH {ROLE_SQL} SELECT paper, author, pos, CASE WHEN pos = 1 THEN 'first' WHEN author % 7 = 0 THEN 'explicit' WHEN pos = last AND NOT bool_or(author % 7 = 0) OVER (PARTITION BY paper) THEN 'last_fallback' END AS role FROM ro")
@@ -167,28 +204,38 @@ def h16(spark, sf):
     return titled(spark, sf).select("doc_id", flag.alias("flagged"))
 
 
-@query("h17_conference_item", f"WITH {LOW} SELECT doc_id, {STEP_SQL} AS kind, CAST(CASE WHEN contains(title, 'tion') THEN 3 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 2 ELSE 0 END + CASE WHEN contains(low, 'that') THEN 1 ELSE 0 END AS INT) AS priority FROM low")
+@query("h17_conference_item", f"WITH {REC_SQL}, i AS (SELECT doc_id, n_chars, low, {T.cascade_sql('low', T.STUDY_STEPS, 'other')} AS kind, {tags_sql('low')} AS drugs, {T.flags_sql('low', T.INTENTS)} AS topics FROM rec) SELECT doc_id, kind, drugs, topics, contains(topics, 'experience') AS patient_lens, CAST(CASE {T.map_sql('kind', T.LEVELS, 'none')} WHEN 'I' THEN 4 WHEN 'II' THEN 3 WHEN 'III' THEN 2 ELSE 0 END + CASE WHEN drugs <> '' THEN 2 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS INT) AS priority FROM i")
 def h17(spark, sf):
-    p = F.when(rules.has(F.col("title"), "tion"), 3).otherwise(0) + F.when(F.col("n_chars") > 2000, 2).otherwise(0) + F.when(rules.has(F.col("low"), "that"), 1).otherwise(0)
-    return titled(spark, sf).select("doc_id", K.by_steps(F.col("low"), STEPS, "other").alias("kind"), p.alias("priority"))
+    r = records(spark, sf).select("doc_id", "n_chars", K.by_steps(F.col("low"), T.STUDY_STEPS, "other").alias("kind"), F.array_join(rules.labels_hit(F.col("low"), T.TAGS), ",").alias("drugs"), F.array_join(K.flags(F.col("low"), T.INTENTS), ",").alias("topics"))
+    level = K.level_of(F.col("kind"), {k: {"I": "4", "II": "3", "III": "2"}.get(v, "0") for k, v in T.LEVELS.items()}, "0").cast("int")
+    p = level + F.when(F.col("drugs") != "", 2).otherwise(0) + F.when(F.col("n_chars") > 2000, 1).otherwise(0)
+    return r.select("doc_id", "kind", "drugs", "topics", F.contains("topics", F.lit("experience")).alias("patient_lens"), p.alias("priority"))
 
 
-@query("h18_claims", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN contains(lower(line), 'tion') THEN 'result' ELSE 'note' END AS kind FROM l WHERE length(line) BETWEEN 20 AND 200 AND contains(lower(line), 'er')")
+CLAIMS = [K.Step("result", ("report", "fell", "compared", "good"), kind="word"), K.Step("method", ("enrolled", "drawn", "studied", "added"), kind="word"), K.Step("open", ("no further",), kind="word"), K.Step("note", ("the", "and", "of"), kind="word")]
+
+
+@query("h18_claims", f"WITH {REC_SQL}, l AS (SELECT doc_id, unnest(string_split(context || chr(10) || coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(context || chr(10) || coalesce(text, ''), chr(10))))) AS pos FROM rec), c AS (SELECT doc_id, CAST(pos AS INT) AS pos, {T.cascade_sql('lower(line)', CLAIMS, '')} AS kind FROM l WHERE length(line) BETWEEN 15 AND 300), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind = 'note', pos) AS INT) AS rank FROM c WHERE kind <> '') SELECT * FROM r WHERE rank <= 6")
 def h18(spark, sf):
-    x = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line").between(20, 200) & rules.has(F.lower("line"), "er"))
-    return x.select("doc_id", "pos", F.when(rules.has(F.lower("line"), "tion"), "result").otherwise("note").alias("kind"))
+    """Lines that a claim rule fits, at most six of a record, stronger kinds before notes."""
+    lines = records(spark, sf).select("doc_id", F.posexplode(F.split(F.concat("context", F.lit("\n"), F.coalesce("text", F.lit(""))), "\n")).alias("pos", "line"))
+    kept = lines.where(F.length("line").between(15, 300)).select("doc_id", "pos", K.by_steps(F.lower("line"), CLAIMS, "").alias("kind")).where("kind <> ''")
+    return ranking.top_k(kept.withColumn("weak", F.col("kind") == "note"), ["doc_id"], [F.asc("weak"), F.asc("pos")], 6).drop("weak")
+
+
+CONCEPTS = [rules.Rule("survival", r"(overall|progression-free) survival|mortality", kind="regex"), rules.Rule("cost", r"cost-effective(ness)?|budget impact", kind="regex"), rules.Rule("gene", r"polymorphisms?|genome-wide", kind="regex"), rules.Rule("model", r"nomograms?|prediction models?", kind="regex"), rules.Rule("agent", r"veltoran|mira(pexin|-101)|dorsuvimab", kind="regex"), rules.Rule("review", r"(systematic|scoping|umbrella) review", kind="regex")]
 
 
-@query("h19_concepts", f"WITH {LOW} SELECT 'tion' AS concept, count(*) AS n FROM low WHERE regexp_matches(low, 'tion[s]?') UNION ALL SELECT 'ung', count(*) FROM low WHERE regexp_matches(low, '(h|k)ung') UNION ALL SELECT 'region', count(*) FROM low WHERE lang <> 'en'")
+@query("h19_concepts", f"WITH {REC_SQL} " + " UNION ALL ".join(f"SELECT {T.quoted(r.label)} AS concept, count(*) AS n FROM rec WHERE regexp_matches(low, {T.quoted(r.term)}) HAVING count(*) > 0" for r in CONCEPTS) + " UNION ALL SELECT 'region', count(*) FROM rec WHERE lang <> 'en' OR contains(affiliation, 'Region') HAVING count(*) > 0")
 def h19(spark, sf):
-    hits = rules.labels_hit(F.col("low"), [rules.Rule("tion", "tion[s]?", kind="regex"), rules.Rule("ung", "(h|k)ung", kind="regex")])
-    every = F.concat(hits, F.when(F.col("lang") != "en", F.array(F.lit("region"))).otherwise(F.array().cast("array<string>")))
-    return titled(spark, sf).select(F.explode(every).alias("concept")).groupBy("concept").agg(F.count("*").alias("n"))
+    hits = rules.labels_hit(F.col("low"), CONCEPTS)
+    region = F.when((F.col("lang") != "en") | F.contains("affiliation", F.lit("Region")), F.array(F.lit("region"))).otherwise(F.array().cast("array<string>"))
+    return records(spark, sf).select(F.explode(F.concat(hits, region)).alias("concept")).groupBy("concept").agg(F.count("*").alias("n"))
 
 
-@query("h20_label_repair", "SELECT CASE WHEN n_name IS NULL OR n_regionkey = 4 THEN 'kept' WHEN n_name = CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'old' END THEN 'same' ELSE 'changed' END AS state, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("h20_label_repair", f"WITH {REC_SQL}, {PLACE_SQL}, o AS (SELECT place, CASE source WHEN 'src0' THEN place WHEN 'src1' THEN NULL ELSE 'North' END AS old FROM placed) SELECT CASE WHEN place IS NULL THEN 'kept' WHEN place IS NOT DISTINCT FROM old THEN 'same' ELSE 'changed' END AS state, coalesce(place, old, '') AS label, count(*) AS n FROM o GROUP BY ALL")
 def h20(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_regionkey") != 4, F.col("n_name")).alias("found"), F.col("n_name").alias("name"))
-    j = table(spark, sf, "customer").join(n, "c_nationkey", "left").withColumn("old", F.when(F.col("c_custkey") % 2 == 0, F.col("name")).otherwise("old"))
-    state = rules.cascade([("kept", F.col("found").isNull()), ("same", F.col("found").eqNullSafe(F.col("old")))], "changed")
-    return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    """The location is computed anew for every stored profile; where none is found the old label stays."""
+    r = placed(spark, sf).withColumn("old", F.when(F.col("source") == "src0", F.col("place")).when(F.col("source") == "src1", F.lit(None).cast("string")).otherwise("North"))
+    state = rules.cascade([("kept", F.col("place").isNull()), ("same", F.col("place").eqNullSafe(F.col("old")))], "changed")
+    return r.groupBy(state.alias("state"), F.coalesce("place", "old", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
\ No newline at end of file

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
@@ -14,18 +15,27 @@ group = Group()
 query = group.add
 
 
-@query("c23_reference_numbering", "WITH c AS (SELECT conv_id AS doc_id, min(conv_id * 100 + turn) AS first FROM conversations GROUP BY 1) SELECT doc_id, CAST(row_number() OVER (ORDER BY first, doc_id) AS INT) AS number FROM c WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("c23_reference_numbering", "WITH c AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first FROM lineitem GROUP BY ALL), k AS (SELECT p_partkey FROM part WHERE p_size > 5) SELECT l_orderkey, l_partkey, CASE WHEN p_partkey IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY l_orderkey, p_partkey IS NULL ORDER BY first, l_partkey) AS INT) END AS number FROM c LEFT JOIN k ON p_partkey = l_partkey")
 def c23(spark, sf):
-    cited = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("at"))
-    return D.numbered_references(cited, table(spark, sf, "labels"), "at", "doc_id")[0]
+    known = table(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    return D.numbered_references(table(spark, sf, "lineitem"), known, "l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("c24_quote_verification", "WITH q AS (SELECT item_id, substr(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g'), 1, 60) AS quote FROM benchmark), t AS (SELECT doc_id, source, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS body FROM documents) SELECT item_id, count(*) FILTER (WHERE contains(body, quote) OR contains(body, substr(quote, 1, CAST(floor(length(quote) * 0.7) AS BIGINT))) OR contains(regexp_replace(body, '\\d+', '', 'g'), regexp_replace(quote, '\\d+', '', 'g'))) AS verified FROM q JOIN t ON t.source = 'src' || (item_id % 20) GROUP BY 1")
+QUOTE_SQL = r"""q AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN substr(text, 20, 80) WHEN 1 THEN substr(text, 20, 80) || ' (abridged)' WHEN 2 THEN replace(substr(text, 20, 80), ' ', ' 7 ') WHEN 3 THEN 'never said ' || substr(text, 1, 9) ELSE '' END AS quote FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT q.doc_id, q.source, regexp_replace(lower(quote), '[^\p{L}\p{N}]+', '', 'g') AS quote, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS body FROM q JOIN documents d ON d.doc_id = q.doc_id)"""
+
+
+@query("c24_quote_verification", f"WITH {QUOTE_SQL}, v AS (SELECT *, CASE WHEN quote = '' THEN 'none' WHEN contains(body, quote) THEN 'whole' WHEN contains(body, substr(quote, 1, CAST(floor(length(quote) * 0.7) AS BIGINT))) THEN 'prefix' WHEN contains(regexp_replace(body, '\\d+', '', 'g'), regexp_replace(quote, '\\d+', '', 'g')) THEN 'digits' ELSE 'none' END AS verdict FROM k), c AS (SELECT source, verdict, count(*) AS n FROM v GROUP BY ALL) SELECT source, verdict, n, round(n / sum(n) OVER (PARTITION BY source), 4) AS share FROM c")
 def c24(spark, sf):
-    key = lambda c: S.quote_key(c, compatible=False)
-    q = table(spark, sf, "benchmark").select("item_id", F.substring(key(F.col("text")), 1, 60).alias("quote"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    t = table(spark, sf, "documents").select("source", key(F.col("text")).alias("body"))
-    return q.join(t, "source").groupBy("item_id").agg(F.count_if(D.quote_found(F.col("quote"), F.col("body"))).alias("verified"))
+    """Every document is quoted by its id: as it stands, with another end, with digits put in, wrongly, or not at all; verdicts and their share by source."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "source", "text")
+    part, way = F.substring("text", 20, 80), F.col("doc_id") % 5
+    said = F.when(way == 0, part).when(way == 1, F.concat(part, F.lit(" (abridged)"))).when(way == 2, F.replace(part, F.lit(" "), F.lit(" 7 "))).when(way == 3, F.concat(F.lit("never said "), F.substring("text", 1, 9))).otherwise("")
+    quotes = d.select("doc_id", "source", said.alias("quote"))
+    key = lambda c: S.quote_key(F.col(c), compatible=False)
+    judged = quotes.join(d.select("doc_id", "text"), "doc_id").select("source", D.quote_verdict(key("quote"), key("text")).alias("verdict"))
+    counts = judged.groupBy("source", "verdict").agg(F.count("*").alias("n"))  # at most four rows for a source
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4))
 
 
 @query("c25_stance_pairing", "SELECT source AS dimension, count(*) FILTER (WHERE lang = 'en') AS left_n, count(*) FILTER (WHERE lang = 'fr') AS right_n FROM documents GROUP BY 1 HAVING count(*) FILTER (WHERE lang = 'en') > 0 AND count(*) FILTER (WHERE lang = 'fr') > 0")
@@ -134,7 +144,7 @@ CLAIM_SQL = "raws AS (SELECT DISTINCT doc_id % 50 AS signal, doc_id FROM labels
 
 def claim_parts(spark, sf):
     lab = table(spark, sf, "labels")
-    named = lambda s: lab.select(s.alias("signal"), "doc_id").groupBy("signal").agg(F.collect_list("doc_id").alias("ids"))  # noqa: E731  ids that a reviewer lists
+    named = lambda s: lab.select(s.alias("signal"), "doc_id")  # noqa: E731  a row for each id that a reviewer lists
     sig = named(F.col("doc_id") % 50).unionByName(named(F.col("doc_id") % 30 + 100))
     return sig, D.claims(sig, lab.where("quality = 1"), "doc_id")
 

@@ -140,11 +140,11 @@ def b14(spark, sf):
     return nested.where(F.exists("trials", lambda t: t["o_orderstatus"] == "P") & (F.size("trials") >= 5)).select("o_custkey")
 
 
-@query("b15_abstract_filter", "SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS priority FROM documents JOIN labels USING (doc_id) WHERE contains(lower(source || ' ' || lang || ' ' || substr(text, 1, 200)), 'en') AND toxic = 0 AND lang IN ('en', 'de')")
+@query("b15_abstract_filter", "SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS priority FROM documents JOIN labels USING (doc_id) WHERE contains(lower(concat_ws(' ', source, lang, text)), 'ention') AND toxic = 0 AND lang IN ('en', 'de')")
 def b15(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    hay = F.lower(F.concat_ws(" ", "source", "lang", F.substring("text", 1, 200)))
-    keep = rules.has(hay, "en") & (F.col("toxic") == 0) & F.array_contains(F.array(F.lit("en"), F.lit("de")), F.col("lang"))
+    hay = F.lower(F.concat_ws(" ", "source", "lang", "text"))
+    keep = rules.has(hay, "ention") & (F.col("toxic") == 0) & F.array_contains(F.array(F.lit("en"), F.lit("de")), F.col("lang"))
     return d.where(keep).select("doc_id", F.when(F.col("quality") == 1, 2).otherwise(1).alias("priority"))
 
 

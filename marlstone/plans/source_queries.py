@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
-from marlstone.sources.shared import new_path
 from marlstone.plans.aggregate_queries import ROLE_SQL
 from marlstone.plans.registering import Group, table
 from marlstone.sources import readers, writers
+from marlstone.sources.shared import new_path
 
 group = Group()
 query = group.add
@@ -55,12 +56,14 @@ def a5(spark, sf):
 
 @query("a6_header_discovery", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority FROM orders")
 def a6(spark, sf):
-    path = fresh(spark, "export")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("a"), F.col("o_orderpriority").alias("b"), F.lit("x").alias("c"))
-    top = spark.createDataFrame([("Export of the registry", None, None, 0), ("", None, None, 1), ("Reg. No.", "Priority Class", "Note", 2)], "a string, b string, c string, n long")
+    path, files = fresh(spark, "export"), 6
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("a"), F.col("o_orderpriority").alias("b"), F.lit("x").alias("c"), F.pmod(F.xxhash64("o_orderkey"), F.lit(files)).alias("export"))
+    top = spark.createDataFrame([("Export of the registry", None, None, 0), ("", None, None, 1), ("Reg. No.", "Priority Class", "Note", 2)], "a string, b string, c string, n int")
+    tops = top.select("*", F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("export"))
     line = F.to_csv(F.struct("a", "b", "c")).alias("value")
-    # one export file, as a registry gives it: junk, header, rows
-    top.select(line, "n").unionByName(o.select(line, (F.monotonically_increasing_id() + 10).alias("n"))).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
+    # export files as registries give them: junk, header, rows
+    rows = tops.select(line, "n", "export").unionByName(o.select(line, F.lit(3).alias("n"), "export"))
+    rows.repartition(files, "export").sortWithinPartitions("export", "n").select("value", "export").write.partitionBy("export").text(path)
     return readers.headless_table(spark, path, {"regno": "id", "registrationnumber": "id", "priorityclass": "priority"}, "id", 3)
 
 
@@ -170,10 +173,15 @@ def a18(spark, sf):
     return writers.light_index(d, ["doc_id", "lang"], {"words": 3}).withColumn("words", F.array_join("words", " "))
 
 
-@query("j5_release_manifest", "SELECT 0 AS problems, count(DISTINCT o_orderpriority) > 0 AS written FROM orders")
+@query("j5_release_manifest", "SELECT 'differs' AS problem, 1 AS n UNION ALL SELECT 'missing', 1 UNION ALL SELECT 'unlisted', 1 UNION ALL SELECT 'as listed', count(DISTINCT o_orderpriority) - 2 FROM orders")
 def j5(spark, sf):
     path = fresh(spark, "release")
     writers.sharded(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), path, "o_orderpriority", [F.asc("o_orderkey")])
-    listed = writers.file_manifest(spark, path)
-    bad = writers.manifest_problems(writers.file_manifest(spark, path), listed)
-    return bad.agg(F.count("*").cast("int").alias("problems")).crossJoin(F.broadcast(listed.agg((F.count("*") > 0).alias("written"))))  # one row each
+    listed = writers.file_manifest(spark, path).where(~F.col("path").contains("index"))
+    # a release of which one file has changed, one is gone and one is new since the manifest was written
+    nth = F.row_number().over(Window.orderBy("path"))  # a row for each file of the release
+    now = listed.withColumn("i", nth).withColumn("sha256", F.when(F.col("i") == 1, F.lit("0")).otherwise(F.col("sha256"))).where("i <> 2")
+    added = listed.limit(1).select(F.lit("stray").alias("path"), "bytes", "sha256")
+    bad = writers.manifest_problems(now.drop("i").unionByName(added), listed)
+    held = listed.join(bad, "path", "left_anti").select("path", F.lit("as listed").alias("problem"))
+    return bad.unionByName(held).groupBy("problem").agg(F.count("*").alias("n"))
\ No newline at end of file

@@ -27,20 +27,24 @@ def wrapped_json(spark: SparkSession, path: str, name: str, schema: str) -> Data
     return spark.read.text(path).select(F.from_json(F.nullif(body, F.lit("")), schema).alias("j")).where("j is not null").select("j.*")
 
 
-def headless_table(spark: SparkSession, path: str, aliases: dict[str, str], key: str, width: int, least: int = 2) -> DataFrame:
+def headless_table(spark: SparkSession, path: str, aliases: dict[str, str], key: str, width: int, least: int = 2, within: int = 30) -> DataFrame:
     """Rows of delimited files whose header stands somewhere near the top, under any of its known names.
 
-    A file's header is its first row with at least `least` cells that the alias table knows (letters and digits, lower case), the key among them.
-    Columns are named by it; rows before it, and those without a key, are left out.
+    A file's header is the first of its first `within` rows with at least `least` cells that the alias table knows (letters and digits, lower case), the key among them.
+    Columns are named by it; rows before it, and those without a key, are left out. Files may be read in splits by any tasks in any order: a row stands after
+    the header if it is of a later split, or follows it in the first one.
     """
     cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).csv(path).select(cells.alias("cells"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).csv(path).select(cells.alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     m = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     known = F.transform("cells", lambda c: F.try_element_at(m, F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")))
     named = raw.withColumn("names", known)
     is_header = (F.size(F.filter("names", lambda n: n.isNotNull())) >= least) & F.array_contains("names", key)
-    heads = named.where(is_header).groupBy("file").agg(F.min("at").alias("head"), F.min_by("names", "at").alias("columns"))  # a row for each file
-    rows = raw.join(heads, "file").where("at > head")
+    first = named.where("block = 0")
+    begins = first.groupBy("file").agg(F.min("at").alias("begin"))
+    # a row for each file
+    heads = first.where(is_header).join(begins, "file").where(F.col("at") - F.col("begin") < within).groupBy("file").agg(F.min("at").alias("head"), F.min_by("names", "at").alias("columns"))
+    rows = raw.join(heads, "file").where("block > 0 or at > head")
     value = lambda target: F.get("cells", F.array_position("columns", F.lit(target)).cast("int") - 1)
     out = rows.select(*[F.nullif(F.trim(value(t)), F.lit("")).alias(t) for t in dict.fromkeys(aliases.values())])
     return out.where(F.col(key).isNotNull())
