@@ -415,7 +415,7 @@ def test_slots_balance_and_move_only_what_they_must(spark):
     assert sum(a != b for a, b in moved) < 80 and sum(b == 8 for _, b in moved) > 10
     again = sharding.edit_map(sums, 8, v1)
     assert again.join(v1.selectExpr("slot", "shard as old"), "slot").where("shard <> old").count() <= 16
-    out = sharding.positions(sharding.place(rows, v1), v1, [F.col("doc_id")]).collect()
+    out = sharding.positions(sharding.place(rows, v1), [F.col("doc_id")]).collect()
     by = defaultdict(list)
     for r in out:
         by[r["shard"]].append(r["slot"])
