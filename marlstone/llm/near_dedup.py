@@ -176,9 +176,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def salted(df: DataFrame, key: str) -> tuple[DataFrame, Column]:
-    """df with a salt from a hash of `key`, and the salts that the other side of a join is repeated for."""
-    return df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+def salted(df: DataFrame, *keys: str) -> tuple[DataFrame, Column]:
+    """df with a salt from a hash of the keys, and the salts that the other side of a join is repeated for."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
 
 
 def leader_pairs(crowded: DataFrame, fits) -> DataFrame:
@@ -288,9 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = signs.select("id", "no_id", "text_hash", "content").join(classes, "content")
     by_id = named.groupBy("label", "id").agg(F.min("text_hash").alias("th"), F.count("*").alias("n"))
     heads = by_id.groupBy("label").agg(F.min("id").alias("head"), F.min_by("th", "id").alias("head_hash"), F.sum("n").alias("class_size"))
-    out = named.join(heads, "label")
-    kept = (F.col("id") == F.col("head")) & (F.col("text_hash") == F.col("head_hash"))
-    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "text_hash", F.when(F.col("head") != NO_ID, F.col("head")).alias("class_id"), "class_size", kept.alias("kept"))
+    # a class of one row is its own head; the others' heads meet their rows under SALTS keys, so a large class is spread
+    spread, salts = salted(named, "id", "text_hash")
+    out = spread.join(heads.where("class_size > 1").select("*", salts.alias("salt")), ["label", "salt"], "left")
+    head, head_hash = F.coalesce("head", "id"), F.coalesce("head_hash", "text_hash")
+    kept = (F.col("id") == head) & (F.col("text_hash") == head_hash)
+    size = F.coalesce("class_size", F.lit(1)).cast("long")
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "text_hash", F.when(head != NO_ID, head).alias("class_id"), size.alias("class_size"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
