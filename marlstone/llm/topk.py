@@ -5,7 +5,8 @@ by block. After a block a candidate can still gain or lose at most the product o
 query's (Cauchy-Schwarz). Candidates whose best possible score is below the k-th best sure score drop out, and the rest is compacted
 before the next block. The sure score of a query is carried from batch to batch, so later batches drop more.
 
-Queries come in blocks of bounded size, each sent to all tasks that read candidates; per task and query k rows come back.
+Queries are written to the shared folder in blocks of bounded size. A task reads its candidates once; for each chunk of them it reads one block of queries after
+another, so neither the driver nor a task holds all queries. Per chunk and query k rows come back, which Spark cuts to k rows for each query before it shuffles.
 """
 
 from __future__ import annotations
@@ -13,13 +14,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import new_path, release
+
 QUERY_BLOCK = 2048
 DIMENSION_BLOCK = 16
 CANDIDATES = 8192
+#: Numbers (components of candidates) that a task holds at a time, over which all query blocks are read once.
+CHUNK = 1 << 22
+#: Blocks whose best scores a task carries from chunk to chunk; those of further blocks are given out after each chunk.
+CARRIED = 16
 
 
 def to_integers(embedding: Column, scale: int = 1024) -> Column:
@@ -80,39 +89,74 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, vec: str = "in
     that come more than once count as often. Fewer than k rows come back where there are fewer candidates.
     """
     spark = queries.sparkSession
-    qs = queries.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v")).where("id is not null and v is not null")
-    # one vector for each query id; blocks of QUERY_BLOCK in expectation, by a hash of the id
-    n = qs.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    qs = qs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    qs = queries.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    # blocks of QUERY_BLOCK in expectation, by a hash of the id; one file each
+    blocks = max(1, -(-qs.count() // QUERY_BLOCK))
+    path = new_path(spark, "queries")
+    qs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(min(blocks, 512), "block").write.partitionBy("block").parquet(path)
     cs = candidates.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v")).where("id is not null and v is not null")
-    found = None
-    for b in range(blocks if n else 0):
-        rows = qs.where(F.col("block") == b).collect()  # a block of the stated query set: bounded by QUERY_BLOCK
-        by_size: dict[int, dict[int, list[int]]] = {}
-        for r in rows:
-            group = by_size.setdefault(len(r["v"]), {})
-            group[r["id"]] = min(group[r["id"]], r["v"]) if r["id"] in group else r["v"]
-        sent = spark.sparkContext.broadcast({d: (np.array(list(g), np.int64), np.array(list(g.values()), np.int64)) for d, g in by_size.items()})
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            best = {d: [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids) for d, (ids, _) in sent.value.items()}
-            for pdf in batches:
-                sizes = pdf["v"].map(len).to_numpy()
-                for d in set(sizes.tolist()) & set(best):
-                    at = np.flatnonzero(sizes == d)
-                    for lo in range(0, len(at), CANDIDATES):
-                        part = at[lo : lo + CANDIDATES]
-                        search_batch(pdf["id"].to_numpy()[part], np.stack(pdf["v"].to_numpy()[part]), *sent.value[d], best[d], k)
-            for d, lists in best.items():
-                ids = sent.value[d][0]
-                lengths = [len(s) for s, _ in lists]
+
+    def read(block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Ids and vectors of a block by length of vector."""
+        store, root = pafs.FileSystem.from_uri(path)
+        found = [f.path for f in store.get_file_info(pafs.FileSelector(f"{root}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        out: dict[int, tuple[list, list]] = {}
+        for f in sorted(found):
+            with store.open_input_file(f) as opened:
+                for i, v in zip(*pq.read_table(opened, columns=["id", "v"]).to_pydict().values(), strict=True):
+                    ids, vectors = out.setdefault(len(v), ([], []))
+                    ids.append(i)
+                    vectors.append(v)
+        return {d: (np.array(ids, np.int64), np.array(vectors, np.int64)) for d, (ids, vectors) in out.items()}
+
+    def nothing(block: dict) -> dict:
+        return {d: [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids) for d, (ids, _) in block.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: dict[int, tuple[dict, dict]] = {}
+
+        def given(block: dict, best: dict) -> Iterator[pa.RecordBatch]:
+            for d, kept in best.items():
+                lengths = [len(x) for x, _ in kept]
                 if sum(lengths):
-                    yield pd.DataFrame({"query_id": np.repeat(ids, lengths), "vec_id": np.concatenate([f for _, f in lists]), "score": np.concatenate([s for s, _ in lists])})
+                    columns = [np.repeat(block[d][0], lengths), np.concatenate([f for _, f in kept]), np.concatenate([x for x, _ in kept])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+        def search(chunk: dict[int, list]) -> Iterator[pa.RecordBatch]:
+            """chunk: candidates (ids, vectors) by length of vector."""
+            for b in range(blocks):
+                block, best = carried[b] if b in carried else ((x := read(b)), nothing(x))
+                if b < CARRIED:
+                    carried[b] = block, best
+                for d in set(chunk) & set(block):
+                    ids, vectors = (np.concatenate(x) for x in zip(*chunk[d], strict=True))
+                    for lo in range(0, len(ids), CANDIDATES):
+                        search_batch(ids[lo : lo + CANDIDATES], vectors[lo : lo + CANDIDATES], *block[d], best[d], k)
+                if b >= CARRIED:
+                    yield from given(block, best)
+
+        chunk: dict[int, list] = {}
+        held = 0
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            for d in set(sizes.tolist()):
+                at = np.flatnonzero(sizes == d)
+                for lo in range(0, len(at), CANDIDATES):
+                    part = at[lo : lo + CANDIDATES]
+                    chunk.setdefault(d, []).append((ids[part], flat[starts[part][:, None] + np.arange(d)]))
+                    held += d * len(part)
+                    if held >= CHUNK:
+                        yield from search(chunk)
+                        chunk, held = {}, 0
+        if chunk:
+            yield from search(chunk)
+        for block, best in carried.values():
+            yield from given(block, best)
+        release()
 
-        part = cs.mapInPandas(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = cs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
