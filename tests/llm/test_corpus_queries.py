@@ -336,6 +336,27 @@ def test_budgets_beyond_the_old_limit_are_exact():
         assert got == max(x for x in reach if x <= left)
 
 
+# op8
+
+
+def test_many_query_blocks_and_chunks(spark, monkeypatch):
+    """Every row is a query, in more blocks than a task carries, against chunks of a few candidates."""
+    from marlstone.llm import topk
+
+    for name, n in (("QUERY_BLOCK", 10), ("CHUNK", 200), ("CARRIED", 3), ("CANDIDATES", 16)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(1)
+    ints = {i: rng.integers(-40, 40, 8 if i % 3 else 5).tolist() for i in range(200)} | {500: [3] * 8, 501: [3] * 8}
+    df = spark.createDataFrame([*ints.items(), (900, None), (None, [1] * 8), (7, ints[7])], "vec_id long, ints array<bigint>").repartition(3)
+    out = defaultdict(list)
+    for r in topk.top_k(df, df, 4).collect():
+        out[r["query_id"]].append((r["rank"], r["score"], r["vec_id"]))
+    every = [*ints.items(), (7, ints[7])]
+    for q, v in ints.items():
+        best = sorted((-sum(map(int.__mul__, v, w)), c) for c, w in every if c != q and len(w) == len(v))[:4]
+        assert sorted(out[q]) == [(n + 1, -x, c) for n, (x, c) in enumerate(best)]
+
+
 # op9
 
 
