@@ -50,23 +50,22 @@ def edit_map(sums: DataFrame, shards: int, current: DataFrame | None = None) ->
         return F.when(alone, F.struct((acc["bytes"] + s["less"]).alias("bytes"), (acc["n"] - 1).alias("n"))).otherwise(acc)
 
     evened = F.aggregate("all", F.struct(F.coalesce(F.col("total"), F.lit(0)).cast("long").alias("bytes"), F.lit(shards).alias("n")), without_large, lambda a: F.ceil(a["bytes"] / a["n"]).cast("long"))
-    state = state.withColumn("share", evened)
-    share = F.col("share")
     none = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda _: F.lit(0).cast("long"))
 
     def put(loads: Column, shard: Column, more: Column) -> Column:
         return F.transform(loads, lambda load, i: F.when(i == shard, load + more).otherwise(load))
 
     # first what stays, then what moves
-    keep0 = F.struct(none.alias("loads"), F.array().cast("array<struct<slot:int,shard:int,bytes:bigint>>").alias("kept"), F.array().cast("array<struct<slot:int,bytes:bigint>>").alias("moved"))
+    keep0 = F.struct(none.alias("loads"), F.array().cast("array<struct<slot:int,shard:int,bytes:bigint>>").alias("kept"), F.array().cast("array<struct<slot:int,bytes:bigint>>").alias("moved"), evened.alias("share"))  # the share rides along, so that it is made once
 
     def keep(acc: Column, s: Column) -> Column:
         load = F.coalesce(F.get(acc["loads"], s["old"]), F.lit(0))
-        stays = s["old"].isNotNull() & (s["old"] < shards) & ((load - s["less"] <= share) | (load == 0))
+        stays = s["old"].isNotNull() & (s["old"] < shards) & ((load - s["less"] <= acc["share"]) | (load == 0))
         return F.struct(
             F.when(stays, put(acc["loads"], s["old"], -s["less"])).otherwise(acc["loads"]).alias("loads"),
             F.when(stays, F.concat(acc["kept"], F.array(F.struct(s["slot"].alias("slot"), s["old"].alias("shard"), (-s["less"]).alias("bytes"))))).otherwise(acc["kept"]).alias("kept"),
             F.when(stays, acc["moved"]).otherwise(F.concat(acc["moved"], F.array(F.struct(s["slot"].alias("slot"), (-s["less"]).alias("bytes"))))).alias("moved"),
+            acc["share"].alias("share"),
         )
 
     def deal(acc: Column, s: Column) -> Column:
