@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.ranking import top_k
+
 
 def joined(current: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     """(key, cur struct, old struct) by key, over both snapshots."""
@@ -14,11 +16,22 @@ def joined(current: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     return a.join(b, a[key] == b["__k"], "full_outer").select(F.coalesce(key, "__k").alias(key), "cur", "old")
 
 
-def change_events(current: DataFrame, baseline: DataFrame, key: str, status: str, first: str, results: str, updated: str, as_of: Column, days: int = 7) -> DataFrame:
-    """(key, event): added (first date in the window), status_changed, results_posted, removed; updated (update date moved, in the window) only for rows
+def window_start(as_of: Column, previous: Column, days: int = 7, most: int = 28) -> Column:
+    """The first day of a diff's window: `days` before as_of, or the day of the last baseline if that is longer ago, but at most `most` days before."""
+    return F.least(F.date_sub(as_of, days), F.greatest(F.coalesce(previous, F.date_sub(as_of, days)), F.date_sub(as_of, most)))
+
+
+def summarised(events: DataFrame, key: str, n: int) -> DataFrame:
+    """events(key, event) with the number of its class (`in_class`), and `rank` 1 to n for the first n of each class by key (null for the others)."""
+    counts = events.groupBy("event").agg(F.count("*").alias("in_class"))  # a row for each class
+    first = top_k(events, ["event"], [F.asc(key)], n).select("event", key, "rank")
+    return events.join(F.broadcast(counts), "event").join(F.broadcast(first), ["event", key], "left")  # n rows for each of five classes
+
+
+def change_events(current: DataFrame, baseline: DataFrame, key: str, status: str, first: str, results: str, updated: str, start: Column) -> DataFrame:
+    """(key, event): added (first date from start on), status_changed, results_posted, removed; updated (update date moved, from start on) only for rows
     without another event. A row may have two events. An empty baseline gives no events at all.
     """
-    start = F.date_sub(as_of, days)
     inside = lambda c: F.col(f"cur.{c}").isNotNull() & (F.to_date(F.col(f"cur.{c}")) >= start)
     j = joined(current, baseline, key)
     main = F.array_compact(

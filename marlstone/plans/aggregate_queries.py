@@ -241,10 +241,13 @@ def d15(spark, sf):
     return whole.crossJoin(F.broadcast(sizes.withColumn("t", total).agg(F.count_if(F.col("n") > 0.25 * F.col("t")).alias("oversized"))))  # one row each
 
 
-@query("d16_emerging_terms", """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]{5,}'))) AS term FROM documents WHERE doc_id % 5 = 0)
+@query("d16_emerging_terms", f"""WITH {BEST_SQL}, t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]{{5,}}'))) AS term FROM documents WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM best WHERE best_score >= 6))
  SELECT term, count(*) AS n FROM t WHERE term NOT IN ('there', 'which') GROUP BY 1 ORDER BY n DESC, term LIMIT 15""")
 def d16(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0")  # the week's added rows
+    """Terms of added rows that no group was assigned: those with a best score below 6."""
+    every = table(spark, sf, "documents")
+    added = every.join(every.where("doc_id % 5 <> 0").select("doc_id"), "doc_id", "left_anti")
+    d = added.join(best(spark, sf).where("best_score >= 6").select("doc_id"), "doc_id", "left_anti")
     t = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("[a-z]{5,}"), 0))).alias("term"))
     stop = spark.createDataFrame([("there",), ("which",)], "term string")
     return t.join(stop, "term", "left_anti").groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(15)

@@ -173,7 +173,9 @@ def b17(spark, sf):
 )
 def b18(spark, sf):
     terms = rules.rule_table(spark, [rules.Rule("chapter", t) for t in ("tion", "ung", "mente")])
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")  # ids of the week's added rows
+    every = table(spark, sf, "documents")
+    base = every.where("doc_id % 5 <> 0").select("doc_id")  # the rows of the last snapshot
+    d = every.join(base, "doc_id", "left_anti").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     return rules.matched(d, "doc_id", "text", terms).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("hits"))
 
 

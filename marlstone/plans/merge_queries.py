@@ -107,21 +107,24 @@ def snapshots(spark, sf):
     return cur, old
 
 
-DAYS = 400
+#: The last baseline is 450 days old, so the window of 400 days stretches back to it.
+DAYS, STRETCHED = 400, 450
 
 
 @query(
     "c7_snapshot_diff",
     f"""WITH {SNAP_SQL}, j AS (SELECT coalesce(c.id, o.id) AS id, c.id IS NULL AS gone, o.id IS NULL AS fresh, c.status IS DISTINCT FROM o.status AS moved, c.results IS NOT NULL AND o.results IS NULL AS res,
-   c.updated IS DISTINCT FROM o.updated AS upd, CAST(c.first_post AS DATE) >= d - {DAYS} AS new_in, CAST(c.updated AS DATE) >= d - {DAYS} AS upd_in FROM cur c FULL JOIN old o ON c.id = o.id, snapday),
+   c.updated IS DISTINCT FROM o.updated AS upd, CAST(c.first_post AS DATE) >= d - {STRETCHED} AS new_in, CAST(c.updated AS DATE) >= d - {STRETCHED} AS upd_in FROM cur c FULL JOIN old o ON c.id = o.id, snapday),
   e AS (SELECT id, 'added' AS event FROM j WHERE fresh AND new_in UNION ALL SELECT id, 'removed' FROM j WHERE gone UNION ALL SELECT id, 'status_changed' FROM j WHERE NOT gone AND NOT fresh AND moved
-   UNION ALL SELECT id, 'results_posted' FROM j WHERE NOT gone AND NOT fresh AND res)
-  SELECT id, event FROM e UNION ALL SELECT id, 'updated' FROM j WHERE NOT gone AND NOT fresh AND upd AND upd_in AND id NOT IN (SELECT id FROM e)""",
+   UNION ALL SELECT id, 'results_posted' FROM j WHERE NOT gone AND NOT fresh AND res),
+  v AS (SELECT id, event FROM e UNION ALL SELECT id, 'updated' FROM j WHERE NOT gone AND NOT fresh AND upd AND upd_in AND id NOT IN (SELECT id FROM e))
+  SELECT id, event, count(*) OVER (PARTITION BY event) AS in_class, CASE WHEN row_number() OVER (PARTITION BY event ORDER BY id) <= 5 THEN CAST(row_number() OVER (PARTITION BY event ORDER BY id) AS INT) END AS rank FROM v""",
 )
 def c7(spark, sf):
     cur, old = snapshots(spark, sf)
-    as_of = table(spark, sf, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0]
-    return diffing.change_events(cur, old, "id", "status", "first_post", "results", "updated", F.lit(as_of), DAYS)
+    as_of = F.lit(table(spark, sf, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0])
+    start = diffing.window_start(as_of, F.date_sub(as_of, STRETCHED), DAYS, 500)
+    return diffing.summarised(diffing.change_events(cur, old, "id", "status", "first_post", "results", "updated", start), "id", 5)
 
 
 @query(

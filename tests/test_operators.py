@@ -1,5 +1,6 @@
 """Operators on small inputs in the cases that the driver tables do not have."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
@@ -39,13 +40,19 @@ def test_snapshot_diff_classes(spark):
     ddl = "id string, status string, first string, upd string, res string"
     old = spark.createDataFrame([("a", "open", "2024-01-01", "2024-01-01", None), ("b", "open", "2024-01-01", "2024-01-01", None), ("c", "open", "2024-01-01", "2024-01-01", None), ("gone", "open", "2024-01-01", "2024-01-01", None)], ddl)
     cur = spark.createDataFrame([("a", "closed", "2024-01-01", "2024-03-01", "2024-03-01"), ("b", "open", "2024-01-01", "2024-03-01", None), ("c", "open", "2024-01-01", "2024-01-01", None), ("new", "open", "2024-03-01", "2024-03-01", None)], ddl)
-    day = F.lit("2024-03-03").cast("date")
+    day = diffing.window_start(F.lit("2024-03-03").cast("date"), F.lit(None).cast("date"))
     got = values(diffing.change_events(cur, old, "id", "status", "first", "res", "upd", day), "id", "event")
     assert got == [("a", "results_posted"), ("a", "status_changed"), ("b", "updated"), ("gone", "removed"), ("new", "added")]
     assert diffing.change_events(cur, cur, "id", "status", "first", "res", "upd", day).count() == 0
     assert diffing.change_events(cur, old.limit(0), "id", "status", "first", "res", "upd", day).count() == 0
 
 
+def test_window_stretches_back_to_the_last_baseline(spark):
+    date = lambda d: F.lit(d).cast("date")
+    starts = spark.range(1).select(*[diffing.window_start(date("2024-03-31"), date(p)).cast("string").alias(n) for n, p in (("fresh", "2024-03-29"), ("week", "2024-03-24"), ("outage", "2024-03-11"), ("long", "2023-01-01"), ("none", None))]).first()
+    assert tuple(starts) == ("2024-03-24", "2024-03-24", "2024-03-11", "2024-03-03", "2024-03-24")
+
+
 def test_change_map_separates_enrichment(spark):
     old = spark.createDataFrame([("1", "Unknown", "a"), ("2", "x", "a"), ("3", "x", "a")], "k string, f string, g string")
     cur = spark.createDataFrame([("1", "found", "a"), ("2", "y", "a"), ("3", "x", "a"), ("4", "n", "n")], "k string, f string, g string")
@@ -110,7 +117,7 @@ def test_ranking_ties(spark):
 
 def test_decisions_cover_every_id_once(spark):
     every = spark.createDataFrame([(i,) for i in range(6)], "id long")
-    sig = spark.createDataFrame([(1, [0, 1, 99]), (2, [1, 2])], "signal long, ids array<long>")
+    sig = spark.createDataFrame([(1, 0), (1, 1), (1, 99), (2, 1), (2, 2)], "signal long, id long")
     claimed = decisions.claims(sig, every, "id")
     assert values(claimed, "id", "signal") == [(0, 1), (1, 1), (2, 2)]
     merged = decisions.with_fallback(claimed, every, F.lit(7).cast("long"), "id")
@@ -137,3 +144,48 @@ def test_headless_table_and_manifest(spark, tmp_path):
     (tmp_path / "t" / "a.csv").write_text("other\n")
     (tmp_path / "t" / "c.csv").write_text("more\n")
     assert sorted(r["problem"] for r in writers.manifest_problems(writers.file_manifest(spark, path), frozen).collect()) == ["differs", "unlisted"]
+
+
+def test_rules_of_every_kind_match_as_has_does(spark):
+    from marlstone.operators import rules
+
+    texts = ["in vitro work, then c++ code", "in  vitro", "the (vitro) cell-line", "Cell lines and randomised trials", None, ""]
+    table = [rules.Rule("a", "in vitro", 1.0, "word"), rules.Rule("a", "cell-line", 1.0, "word"), rules.Rule("b", "c++", 1.0, "word"), rules.Rule("b", "vitro", 1.0, "word"), rules.Rule("c", r"randomi[sz]ed", 1.0, "regex"), rules.Rule("c", "cell line", 1.0)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["id"], r["term"]) for r in rules.matched(df, "id", "text", rules.rule_table(spark, table)).collect()}
+    want = {(r["id"], t.term) for t in table for r in df.where(rules.has(F.lower("text"), t.term, t.kind)).collect()}
+    assert got == want and {(0, "in vitro"), (0, "c++"), (2, "cell-line"), (3, "randomi[sz]ed"), (3, "cell line")} <= want and (1, "in vitro") not in want
+    with pytest.raises(ValueError):
+        rules.rule_table(spark, [rules.Rule("a", "b", 1.0, "fuzzy")])
+
+
+def test_contexts_are_cut_around_each_match(spark):
+    from marlstone.operators import classifiers
+
+    text = "randomized aaaa randomly assigned bbbb were pooled cc randomized"
+    df = spark.createDataFrame([(text,), ("none",), (None,)], "t string")
+    rows = df.select(classifiers.contexts(F.col("t"), "randomized|randomly assigned", 6, 8).alias("c")).collect()
+    assert rows[0]["c"] == ["randomized aaaa ra", " aaaa randomly assigned bbbb we", "ed cc randomized"] and rows[1]["c"] == [] and not rows[2]["c"]
+    own, derived = classifiers.own_and_derived(F.col("t"), "randomized|randomly assigned", "were pooled", 6, 20)
+    assert df.select(own.alias("o"), derived.alias("d")).first() == (2, 1)
+
+
+def test_header_is_found_in_files_that_are_read_in_splits(spark, tmp_path):
+    from marlstone.sources import readers
+
+    (tmp_path / "a.csv").write_text("junk\n,,\nReg. No.,Note\n" + "".join(f"r{i},n{i}\n" for i in range(400)))
+    (tmp_path / "b.csv").write_text("Note,Reg No\n" + "".join(f"m{i},s{i}\n" for i in range(300)) + "Reg No,Note\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = readers.headless_table(spark, str(tmp_path), {"regno": "id", "note": "note"}, "id", 2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r["id"], r["note"]) for r in rows} == {(f"r{i}", f"n{i}") for i in range(400)} | {(f"s{i}", f"m{i}") for i in range(300)} | {("Note", "Reg No")}
+
+
+def test_references_are_numbered_in_each_publication(spark):
+    cited = spark.createDataFrame([("p", 9, 1), ("p", 4, 2), ("p", 9, 3), ("p", 7, 4), ("q", 7, 1)], "pub string, ref long, at long")
+    known = spark.createDataFrame([(9,), (7,)], "ref long")
+    got = {tuple(r) for r in decisions.numbered_references(cited, known, "pub", "at", "ref").collect()}
+    assert got == {("p", 9, 1), ("p", 7, 2), ("p", 4, None), ("q", 7, 1)}
