@@ -41,6 +41,10 @@ def load_vocabulary(path: str) -> dict:
     """Arrays of a byte-level BPE tokenizer file: first ids of bytes, sorted pair keys with their ranks and results, bytes of each id, special strings."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    odd = [k for k, on in (("normalizer", spec.get("normalizer")), ("add_prefix_space", (spec.get("pre_tokenizer") or {}).get("add_prefix_space")), ("ignore_merges", spec["model"].get("ignore_merges"))) if on]
+    odd += [k for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+    if odd:
+        raise ValueError(f"the tokenizer file asks for what is not supported: {sorted(set(odd))}")
     vocab = spec["model"]["vocab"]
     symbols = byte_symbols()
     to_byte = {c: b for b, c in enumerate(symbols)}
