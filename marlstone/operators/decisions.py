@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +101,12 @@ def humanised(docs: DataFrame, key: str, text: str, labels: DataFrame) -> DataFr
     one = F.struct("pos", F.coalesce("label", "code").alias("w"))
     g = words.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("ws"), F.count("label").alias("replaced"))  # the words of one text
     return g.select(key, F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("text"), "replaced")
+
+
+def channel_feed(channels: list[tuple[str, DataFrame, str, Column, int]]) -> DataFrame:
+    """(channel, id, place) of channels (name, rows, key, order, most): the first rows of each, largest order value first, in one schema."""
+    parts = []
+    for name, df, key, order, most in channels:
+        first = df.select(F.lit(name).alias("channel"), F.col(key).alias("id"), order.alias("by")).orderBy(F.desc_nulls_last("by"), "id").limit(most)
+        parts.append(first.select("channel", "id", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc_nulls_last("by"), "id")).alias("place")))
+    return reduce(DataFrame.unionByName, parts)

@@ -105,3 +105,17 @@ def shared_key_components(records: DataFrame, node: str, keys: Column) -> DataFr
     k = records.select(F.col(node).alias("node"), F.explode(keys).alias("key")).where("key is not null")
     heads = k.groupBy("key").agg(F.min("node").alias("a"))
     return components(k.select("node").union(records.select(node)), k.join(heads, "key").select("a", F.col("node").alias("b")))
+
+
+def health(edges: DataFrame, nodes: DataFrame, required: list[str], weak_below: int, share: float, least: int) -> DataFrame:
+    """nodes (node, kind) with degree, weight, weak (edges lighter than weak_below), oversized (weight at least that share of all edges'), isolated, low_degree and the required kinds that no neighbour has."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "n"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "n"))).alias("e")).select("e.*")
+    kinds = nodes.select(F.col("node").alias("other"), F.col("kind").alias("near"))
+    g = ends.join(kinds, "other", "left").groupBy("node").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"), F.count_if(F.col("n") < weak_below).alias("weak"), F.collect_set("near").alias("has"))
+    j = nodes.join(g, "node", "left").crossJoin(F.broadcast(edges.agg(F.sum("n").alias("total"))))  # one row
+    missing = F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce("has", F.array().cast("array<string>")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select(
+        "node", "kind", zero("degree"), zero("weight"), zero("weak"), F.coalesce(F.col("weight") >= share * F.col("total"), F.lit(False)).alias("oversized"),
+        F.col("degree").isNull().alias("isolated"), (F.coalesce("degree", F.lit(0)) < least).alias("low_degree"), missing.alias("missing"),
+    )

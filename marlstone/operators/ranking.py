@@ -62,3 +62,22 @@ def quotas(edges: DataFrame, classes: dict[str, tuple[Column, int]], order: list
         part = edges.where(cond).orderBy(*order).limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     return chosen.distinct()
+
+
+def quick_lists(df: DataFrame, key: str, region: str, metrics: list[str], k: int, overall: int = -1) -> DataFrame:
+    """(metric, region, key, rank): the first k by each metric, in every region and over all (region `overall`)."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    rows = df.select(key, region, F.explode(each).alias("m")).select(key, F.explode(F.array(F.col(region), F.lit(overall))).alias("region"), "m.metric", "m.value")
+    return top_k(rows, ["metric", "region"], [F.desc_nulls_last("value"), F.asc(key)], k).select("metric", "region", key, "rank")
+
+
+def search_score(query: str, name: Column, text: Column, base: Column) -> Column:
+    """How well a profile answers a query: 3 a token that its text has, 6 if it has all, 12 if its name, closed up, holds the query closed up, 4 if its name begins with the first token; and its base score."""
+    tokens = list(dict.fromkeys(query.lower().split()))
+    if not tokens:
+        return base
+    low, lname = F.lower(text), F.lower(name)
+    hits = sum((F.contains(low, F.lit(t)).cast("int") for t in tokens), F.lit(0))
+    compact = "".join(c for c in query.lower() if c.isascii() and c.isalnum())
+    closed = F.contains(F.regexp_replace(lname, "[^a-z0-9]", ""), F.lit(compact)) if compact else F.lit(False)
+    return 3 * hits + 6 * (hits == len(tokens)).cast("int") + 12 * closed.cast("int") + 4 * F.startswith(lname, F.lit(tokens[0])).cast("int") + base

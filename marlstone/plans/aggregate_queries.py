@@ -302,9 +302,13 @@ def d21(spark, sf):
     return e.where("source_kind <> target_kind").orderBy(F.desc("n"), "source", "target").limit(180)
 
 
-@query("d22_graph_health", f"WITH {EDGE_SQL}, ends AS (SELECT a AS node, n FROM edg UNION ALL SELECT b, n FROM edg) SELECT node, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight FROM ends GROUP BY 1")
+@query("d22_graph_health", f"""WITH {EDGE_SQL}, {KINDS_SQL}, ends AS (SELECT a AS node, b AS other, n FROM edg UNION ALL SELECT b, a, n FROM edg), g AS (SELECT node, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight, count(*) FILTER (WHERE n < 10) AS weak FROM ends GROUP BY 1),
+ req AS (SELECT unnest(['drug', 'level', 'topic']) AS need), h AS (SELECT DISTINCT e.node, kind FROM ends e JOIN kin k ON k.node = other), miss AS (SELECT k.node, string_agg(need, ',' ORDER BY need) AS missing FROM kin k CROSS JOIN req ANTI JOIN h ON h.node = k.node AND h.kind = need GROUP BY 1)
+ SELECT k.node, coalesce(degree, 0) AS degree, coalesce(weight, 0) AS weight, coalesce(weak, 0) AS weak, coalesce(weight >= 0.09 * (SELECT sum(n) FROM edg), false) AS oversized, degree IS NULL AS isolated, coalesce(degree, 0) < 20 AS low_degree, coalesce(missing, '') AS missing
+ FROM kin k LEFT JOIN g USING (node) LEFT JOIN miss ON miss.node = k.node""")
 def d22(spark, sf):
-    return graphs.degrees(graphs.pairs(memberships(spark, sf), "item", "node"))
+    e = graphs.pairs(memberships(spark, sf), "item", "node")
+    return graphs.health(e, kinds(spark, sf), ["drug", "level", "topic"], weak_below=10, share=0.09, least=20).drop("kind").withColumn("missing", F.array_join("missing", ","))
 
 
 @query("d23_network_nodes", f"WITH {ROLE_SQL} SELECT inst, count(DISTINCT paper) AS papers, count(DISTINCT CASE WHEN role = 'first' THEN paper END) AS first_papers, count(DISTINCT CASE WHEN role = 'last' THEN paper END) AS last_papers, count(DISTINCT author) AS authors FROM ro GROUP BY 1")
@@ -330,10 +334,17 @@ def d26(spark, sf):
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # three rows
 
 
-@query("d27_province_rollup", f"WITH {ROLE_SQL} SELECT n_regionkey AS region, count(DISTINCT paper) AS papers, count(DISTINCT inst) AS places FROM ro JOIN nation ON inst = n_nationkey GROUP BY 1")
+@query("d27_province_rollup", f"""WITH {ROLE_SQL}, j AS (SELECT n_regionkey AS region, inst, paper FROM ro JOIN nation ON inst = n_nationkey), h AS (SELECT region, inst, count(DISTINCT paper) AS n FROM j GROUP BY ALL),
+ t AS (SELECT region, string_agg(inst || ':' || n, ',' ORDER BY n DESC, inst) AS top_places FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, inst) <= 3) GROUP BY 1)
+ SELECT region, count(DISTINCT paper) AS papers, count(DISTINCT inst) AS places, any_value(leading) AS top_places FROM j JOIN t USING (region) GROUP BY 1""")
 def d27(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("inst"), F.col("n_regionkey").alias("region"))
-    return authors(spark, sf).join(n, "inst").groupBy("region").agg(F.countDistinct("paper").alias("papers"), F.countDistinct("inst").alias("places"))
+    papers = authors(spark, sf).select("paper", "inst").distinct().join(F.broadcast(n), "inst")
+    by_place = papers.groupBy("region", "inst").agg(F.count("*").alias("n"))
+    best3 = ranking.top_k(by_place, ["region"], [F.desc("n"), F.asc("inst")], 3).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rank", "inst", "n"))).alias("t"))
+    leading = best3.select("region", F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["inst"].cast("string"), x["n"].cast("string"))), ",").alias("top_places"))
+    places = by_place.groupBy("region").agg(F.count("*").alias("places"))
+    return papers.select("region", "paper").distinct().groupBy("region").agg(F.count("*").alias("papers")).join(places, "region").join(leading, "region")
 
 
 @query("d28_pipeline_matrix", """SELECT p_type AS cls, p_brand AS drug, max(p_size) AS top_phase, count(DISTINCT l_orderkey) AS trials, count(DISTINCT CASE WHEN o_orderstatus = 'O' THEN l_orderkey END) AS open_trials, strftime(min(o_orderdate), '%Y-%m-%d') AS first_start
@@ -356,12 +367,12 @@ def d29(spark, sf):
     return ranking.top_k(g, ["drug"], [F.desc("phase"), F.asc("trial")], 5)
 
 
-@query("d30_trial_insights", "WITH a AS (SELECT max(o_orderdate) AS d FROM orders) SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS recruiting, count(*) FILTER (WHERE CAST(o_orderdate AS DATE) >= CAST(CAST(d AS DATE) - INTERVAL 6 MONTH AS DATE)) AS recent, arg_min(o_orderpriority, (-n, o_orderpriority)) AS leading FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders), a")
+@query("d30_trial_insights", "WITH a AS (SELECT max(o_orderdate) AS d FROM orders) SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS recruiting, count(*) FILTER (WHERE CAST(o_orderdate AS DATE) >= CAST(CAST(d AS DATE) - INTERVAL 6 MONTH AS DATE)) AS recent, arg_min(o_orderpriority, (-n, o_orderpriority)) AS top_places FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders), a")
 def d30(spark, sf):
     o = table(spark, sf, "orders")
     last = o.agg(F.to_date(F.max("o_orderdate")).alias("last"))
     counts = o.crossJoin(F.broadcast(last)).agg(F.count_if(F.col("o_orderstatus") == "O").alias("recruiting"), F.count_if(F.to_date("o_orderdate") >= F.add_months("last", -6)).alias("recent"))  # one row
-    top = o.groupBy("o_orderpriority").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderpriority").limit(1).select(F.col("o_orderpriority").alias("leading"))
+    top = o.groupBy("o_orderpriority").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderpriority").limit(1).select(F.col("o_orderpriority").alias("top_places"))
     return counts.crossJoin(F.broadcast(top))
 
 
@@ -468,9 +479,15 @@ def e7(spark, sf):
     return ranking.first_reason([("unassigned", un), ("low", b.where("best_score < 2")), ("conflict", b.where("in_conflict"))], "doc_id").orderBy("doc_id").limit(200)
 
 
-@query("e8_edge_quota", f"WITH {EDGE_SQL} (SELECT * FROM edg WHERE a % 2 = 0 ORDER BY n DESC, a, b LIMIT 60) UNION (SELECT * FROM edg WHERE b % 3 = 0 ORDER BY n DESC, a, b LIMIT 25)")
+@query("e8_edge_quota", f"""WITH {EDGE_SQL}, pn AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 2), ends AS (SELECT a AS node, * FROM edg UNION ALL SELECT b, * FROM edg), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, a, b) AS rn FROM ends SEMI JOIN pn USING (node))
+ (SELECT * FROM edg WHERE a % 2 = 0 ORDER BY n DESC, a, b LIMIT 60) UNION (SELECT * FROM edg WHERE b % 3 = 0 ORDER BY n DESC, a, b LIMIT 25) UNION SELECT a, b, n FROM r WHERE rn <= 10""")
 def e8(spark, sf):
-    return ranking.quotas(graphs.pairs(memberships(spark, sf), "item", "node"), {"even": (F.col("a") % 2 == 0, 60), "third": (F.col("b") % 3 == 0, 25)}, [F.desc("n"), F.asc("a"), F.asc("b")])
+    e = graphs.pairs(memberships(spark, sf), "item", "node")
+    order = [F.desc("n"), F.asc("a"), F.asc("b")]
+    wanted = table(spark, sf, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("node"))
+    classes = ranking.quotas(e, {"even": (F.col("a") % 2 == 0, 60), "third": (F.col("b") % 3 == 0, 25)}, order)
+    ends = e.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "n").join(wanted, "node", "left_semi")
+    return classes.unionByName(ranking.top_k(ends, ["node"], order, 10).select("a", "b", "n")).distinct()
 
 
 TOP_SQL = EDGE_SQL + ", sel AS (SELECT * FROM edg ORDER BY n DESC, a, b LIMIT 40), ends AS (SELECT a AS node, b AS other, n FROM edg UNION ALL SELECT b, a, n FROM edg), mine AS (SELECT a AS node, b AS other FROM sel UNION ALL SELECT b, a FROM sel)"
@@ -488,20 +505,23 @@ def e10(spark, sf):
     return graphs.bridge_top_up(e.orderBy(F.desc("n"), "a", "b").limit(40), e, kinds(spark, sf))
 
 
-@query("e11_quick_list", "SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS rank FROM customer) WHERE rank <= 20 UNION ALL (SELECT -1, c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS INT) FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20))")
+@query("e11_quick_list", """WITH p AS (SELECT c_nationkey, c_custkey, count(*) FILTER (WHERE o_orderdate >= newest - INTERVAL 3 YEAR) AS recent, count(*) AS total, max(o_totalprice) AS top_value FROM (SELECT *, max(o_orderdate) OVER () AS newest FROM orders) JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+ u AS (SELECT 'recent' AS metric, c_nationkey AS region, c_custkey, CAST(recent AS DOUBLE) AS v FROM p UNION ALL SELECT 'total', c_nationkey, c_custkey, total FROM p UNION ALL SELECT 'top_value', c_nationkey, c_custkey, top_value FROM p), b AS (SELECT * FROM u UNION ALL SELECT metric, -1, c_custkey, v FROM u)
+ SELECT metric, region, c_custkey, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY metric, region ORDER BY v DESC, c_custkey) AS INT) AS rank FROM b) WHERE rank <= 20""")
 def e11(spark, sf):
-    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
-    order = [F.desc("c_acctbal"), F.asc("c_custkey")]
-    a = ranking.top_k(c, ["c_nationkey"], order, 20).select("c_nationkey", "c_custkey", "rank")
-    b = c.orderBy(*order).limit(20).select(F.lit(-1).alias("c_nationkey"), "c_custkey", F.row_number().over(Window.orderBy(*order)).alias("rank"))
-    return a.unionByName(b)
+    o = table(spark, sf, "orders")
+    x = o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("newest"))))  # one row
+    p = x.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(F.col("o_orderdate") >= F.expr("newest - interval 3 year")).alias("recent"), F.count("*").alias("total"), F.max("o_totalprice").alias("top_value"))
+    p = p.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return ranking.quick_lists(p, "c_custkey", "c_nationkey", ["recent", "total", "top_value"], 20)
 
 
-@query("e12_search_ranking", "SELECT p_partkey, score FROM (SELECT p_partkey, CAST(contains(lower(p_name), 'a') AS INT) * 3 + CAST(contains(lower(p_type), 'steel') AS INT) * 5 + CAST(starts_with(lower(p_brand), 'brand#1') AS INT) * 2 AS score FROM part) ORDER BY score DESC, p_partkey LIMIT 40")
+@query("e12_search_ranking", """WITH p AS (SELECT p_partkey, p_size, lower(p_name) AS name, lower(concat_ws(' ', p_name, p_type, p_brand)) AS t FROM part), q AS (SELECT *, list_filter(['anodized', 'a', 'steel', 'brand#1'], lambda w: contains(t, w)) AS hits FROM p)
+ SELECT p_partkey, score FROM (SELECT p_partkey, CAST(3 * len(hits) + CASE WHEN len(hits) = 4 THEN 6 ELSE 0 END + CASE WHEN contains(regexp_replace(name, '[^a-z0-9]', '', 'g'), 'anodizedasteelbrand1') THEN 12 ELSE 0 END
+   + CASE WHEN starts_with(name, 'anodized') THEN 4 ELSE 0 END + p_size // 10 AS INT) AS score FROM q) ORDER BY score DESC, p_partkey LIMIT 40""")
 def e12(spark, sf):
-    hit = lambda c, w: c.cast("int") * w
-    s = hit(rules.has(F.lower("p_name"), "a"), 3) + hit(rules.has(F.lower("p_type"), "steel"), 5) + hit(F.startswith(F.lower("p_brand"), F.lit("brand#1")), 2)
-    return table(spark, sf, "part").select("p_partkey", s.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(40)
+    score = ranking.search_score("Anodized a steel  Brand#1", F.col("p_name"), F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.expr("p_size div 10"))
+    return table(spark, sf, "part").select("p_partkey", score.cast("int").alias("score")).orderBy(F.desc("score"), "p_partkey").limit(40)
 
 
 @query("e13_neighbourhood", f"WITH {EDGE_SQL}, s AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 2), t AS (SELECT * FROM edg WHERE n >= 30) SELECT node FROM s UNION SELECT b FROM t WHERE a IN (SELECT node FROM s) UNION SELECT a FROM t WHERE b IN (SELECT node FROM s)")

@@ -79,20 +79,34 @@ def d40(spark, sf):
     return top.unionByName(hot)
 
 
-@query("d43_source_channels", "(SELECT 'literature' AS channel, doc_id AS id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40) UNION ALL (SELECT 'trials', o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 12) UNION ALL (SELECT 'events', event_id FROM events ORDER BY ts DESC, event_id LIMIT 12)")
+@query("d43_source_channels", """WITH c AS (SELECT 'literature' AS channel, doc_id AS id, CAST(n_chars AS DOUBLE) AS v, 40 AS most FROM documents UNION ALL SELECT 'trials', o_orderkey, epoch(o_orderdate), 12 FROM orders UNION ALL SELECT 'regulatory', event_id, value, 12 FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT 'guideline', item_id, CAST(length(text) AS DOUBLE), 20 FROM benchmark UNION ALL SELECT 'conference', conv_id, CAST(count(*) AS DOUBLE), 40 FROM conversations GROUP BY conv_id UNION ALL SELECT 'key publications', doc_id, CAST(n_chars AS DOUBLE), 12 FROM documents JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id))
+ SELECT channel, id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY v DESC NULLS LAST, id) AS INT) AS place FROM c) WHERE place <= most""")
 def d43(spark, sf):
-    def channel(name, df, key, order, n):
-        return df.orderBy(F.desc(order), key).limit(n).select(F.lit(name).alias("channel"), F.col(key).alias("id"))
-
-    a = channel("literature", table(spark, sf, "documents"), "doc_id", "n_chars", 40)
-    return a.unionByName(channel("trials", table(spark, sf, "orders"), "o_orderkey", "o_orderdate", 12)).unionByName(channel("events", table(spark, sf, "events"), "event_id", "ts", 12))
-
-
-@query("d44_event_timeline", "SELECT * FROM (SELECT 'order' AS kind, o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'event', event_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'purchase') ORDER BY day DESC, kind, id LIMIT 10")
+    d = table(spark, sf, "documents")
+    key = d.join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    meetings = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    channels = [
+        ("literature", d, "doc_id", F.col("n_chars"), 40), ("trials", table(spark, sf, "orders"), "o_orderkey", F.col("o_orderdate"), 12),
+        ("regulatory", table(spark, sf, "events").where("event_type = 'purchase'"), "event_id", F.col("value"), 12), ("guideline", table(spark, sf, "benchmark"), "item_id", F.length("text"), 20),
+        ("conference", meetings, "conv_id", F.col("turns"), 40), ("key publications", key, "doc_id", F.col("n_chars"), 12),
+    ]
+    return D.channel_feed(channels)
+
+
+@query("d44_event_timeline", """WITH newest AS (SELECT max(o_orderdate) AS m FROM orders), u AS (SELECT 'trial' AS kind, o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'regulatory', event_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'purchase'
+  UNION ALL (SELECT 'publication', o_orderkey, strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 4) UNION ALL SELECT 'start', o_orderkey, strftime(o_orderdate, '%Y-%m-%d') FROM orders, newest WHERE o_orderpriority = '2-HIGH' AND o_orderdate >= m - INTERVAL 365 DAY)
+ SELECT * FROM u ORDER BY day DESC, kind, id LIMIT 10""")
 def d44(spark, sf):
-    a = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    b = table(spark, sf, "events").where("event_type = 'purchase'").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return a.unionByName(b).orderBy(F.desc("day"), "kind", "id").limit(10)
+    o = table(spark, sf, "orders")
+    day = lambda name, df, key, at: df.select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.date_format(at, "yyyy-MM-dd").alias("day"))
+    starts = o.where("o_orderpriority = '2-HIGH'").crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("newest")))).where("o_orderdate >= newest - interval 365 day")  # one row
+    parts = [
+        day("trial", o.where("o_orderpriority = '1-URGENT'"), "o_orderkey", "o_orderdate"), day("regulatory", table(spark, sf, "events").where("event_type = 'purchase'"), "event_id", "ts"),
+        day("publication", o.where("o_orderstatus = 'F'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(4), "o_orderkey", "o_orderdate"), day("start", starts, "o_orderkey", "o_orderdate"),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.orderBy(F.desc("day"), "kind", "id").limit(10)
 
 
 @query("d46_reviewer_agreement", "WITH r AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS rule, quality FROM documents JOIN labels USING (doc_id)) SELECT rule, count(*) AS n, round(avg(CASE WHEN rule = quality THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM r GROUP BY 1")

@@ -70,9 +70,18 @@ def g7(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"))
 
 
-@query("g9_extraction", """SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.]+@[A-Za-z0-9.]+\\.[a-z]+'))), ' '), '') AS emails FROM documents""")
+@query("g9_extraction", r"""WITH t AS (SELECT doc_id, 'T' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS own, coalesce(text, '') || ' See [[Alpha ' || (doc_id % 7) || '|a]], [[Beta]], [[Beta]]: T' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ', T00000001; PMID: ' || (10000 + doc_id % 9) || ', a' || (doc_id % 5) || '@x.org' AS t FROM documents)
+ SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '[A-Za-z0-9_.]+@[A-Za-z0-9.]+\.[a-z]+'))), ' ') AS emails, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\[\[([^\]|]+)', 1))), ';') AS links,
+   array_to_string(list_filter(list_sort(list_distinct(regexp_extract_all(t, '\bT[0-9]{8}\b'))), lambda x: x <> own), ' ') AS ids, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'PMID:? *([0-9]{4,9})', 1))), ' ') AS pmids FROM t""")
 def g9(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(S.found_all(F.col("text"), r"[A-Za-z0-9_.]+@[A-Za-z0-9.]+\.[a-z]+"), " ").alias("emails"))
+    own = F.concat(F.lit("T"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" See [[Alpha "), (F.col("doc_id") % 7).cast("string"), F.lit("|a]], [[Beta]], [[Beta]]: "), own, F.lit(", T00000001; PMID: "), (10000 + F.col("doc_id") % 9).cast("string"), F.lit(", a"), (F.col("doc_id") % 5).cast("string"), F.lit("@x.org"))
+    d = table(spark, sf, "documents").select("doc_id", own.alias("own"), said.alias("t"))
+    found = lambda p, group=0: S.found_all(F.col("t"), p, group)
+    return d.select(
+        "doc_id", F.array_join(found(r"[A-Za-z0-9_.]+@[A-Za-z0-9.]+\.[a-z]+"), " ").alias("emails"), F.array_join(found(r"\[\[([^\]|]+)", 1), ";").alias("links"),
+        F.array_join(F.array_remove(found(r"\bT[0-9]{8}\b"), F.col("own")), " ").alias("ids"), F.array_join(found(r"PMID:? *([0-9]{4,9})", 1), " ").alias("pmids"),
+    )
 
 
 @query("g10_phase", "SELECT p_partkey, CASE WHEN p_size % 6 BETWEEN 1 AND 4 THEN 'Phase ' || ['I','II','III','IV'][p_size % 6] WHEN p_size % 6 = 5 THEN 'Phase I/II' ELSE 'NA' END AS label, CAST(CASE WHEN p_size % 6 BETWEEN 1 AND 4 THEN p_size % 6 WHEN p_size % 6 = 5 THEN 2 ELSE 0 END AS INT) AS rank FROM part")

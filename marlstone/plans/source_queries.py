@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
-from marlstone.plans.aggregate_queries import ROLE_SQL
 from marlstone.plans.registering import Group, table
 from marlstone.sources import readers, writers
 from marlstone.sources.shared import new_path
@@ -41,9 +40,18 @@ def a3(spark, sf):
     return spark.read.parquet(path).where("lang = 'fr'").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("a4_sharded_sink", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+@query("a4_sharded_sink", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS rn, max(o_orderdate) OVER () AS newest FROM orders)
+ SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_totalprice >= 200000) AS large, count(*) FILTER (WHERE o_orderdate >= newest - INTERVAL 365 DAY) AS recent,
+   string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 30) AS preview FROM o GROUP BY 1""")
 def a4(spark, sf):
-    return writers.sharded(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), fresh(spark, "shards"), "o_orderpriority", [F.asc("o_orderkey")], 4)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
+    order = [F.desc("o_orderdate"), F.asc("o_orderkey")]
+    path, recent = fresh(spark, "shards"), fresh(spark, "recent")
+    writers.sharded(o, path, "o_orderpriority", order, 4)
+    writers.recent_slice(o, "o_orderdate", 365).write.parquet(recent)
+    late = spark.read.parquet(recent).groupBy("o_orderpriority").agg(F.count("*").alias("recent"))
+    index = writers.shard_index(spark.read.parquet(path), "o_orderpriority", "o_orderkey", order, {"open": F.col("o_orderstatus") == "O", "large": F.col("o_totalprice") >= 200000})
+    return index.join(late, "o_orderpriority", "left").fillna(0, ["recent"]).withColumn("preview", F.array_join("preview", ","))
 
 
 @query("a5_json_lines", "SELECT doc_id, source, quality FROM documents LEFT JOIN labels USING (doc_id)")
@@ -75,55 +83,100 @@ def a7(spark, sf):
     return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("a8_html_tables", "SELECT page_id, len(regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1)) AS items, trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')) AS title FROM pages")
+@query("a8_html_tables", r"""WITH h AS (SELECT page_id, html, page_id % 3 AS r FROM pages) SELECT page_id, len(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1)) AS items,
+   trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')) AS title, CAST(4 + r AS BIGINT) AS n_rows, CAST(page_id AS VARCHAR) AS id, 'size ' || length(html) AS size,
+   CASE WHEN r > 0 THEN 'row 1' END AS listed FROM h""")
 def a8(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.size(readers.html_cells(F.col("html"), "li")).cast("long").alias("items"), F.coalesce(F.get(readers.html_cells(F.col("html"), "title"), F.lit(0)), F.lit("")).alias("title"))
-
-
-@query("a9_spreadsheet_xml", "SELECT p_partkey AS id, p_name || ' & co' AS name FROM part")
+    # below each page: the label and value rows of a record, one label twice, and a list of as many rows as the id's remainder by 3
+    r = F.col("page_id") % 3
+    detail = F.concat(F.lit('<TABLE class="d"><tr><th>Reg. No:</th><td>'), F.col("page_id").cast("string"), F.lit("</td></tr>\n<tr><th>Size</th><td><b>size</b> "), F.length("html").cast("string"), F.lit("</td></tr><tr><td>Reg. No</td><td>later</td></tr></TABLE>"))
+    listed = F.concat(F.lit("<table><tr><th>List</th></tr>"), F.array_join(F.transform(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), r.cast("int")), lambda x: F.concat(F.lit("<tr><td>List</td><td>row "), x.cast("string"), F.lit("</td></tr>"))), ""), F.lit("</table>"))
+    p = table(spark, sf, "pages").select("page_id", "html", readers.html_rows(F.concat("html", detail, listed)).alias("rows")).withColumn("record", readers.first_values(F.col("rows")))
+    f = lambda k: F.try_element_at("record", F.lit(k))
+    return p.select(
+        "page_id", F.size(readers.html_cells(F.col("html"), "li")).cast("long").alias("items"), F.coalesce(F.get(readers.html_cells(F.col("html"), "title"), F.lit(0)), F.lit("")).alias("title"),
+        F.size("rows").cast("long").alias("n_rows"), f("regno").alias("id"), f("size").alias("size"), f("list").alias("listed"),
+    )
+
+
+@query("a9_spreadsheet_xml", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' & co ≥ &odd;' AS name, p_brand AS brand FROM part")
 def a9(spark, sf):
-    path = fresh(spark, "sheet")
-    xml = F.concat(F.lit("<Row><id>"), F.col("p_partkey").cast("string"), F.lit("</id><name>"), F.replace(F.col("p_name"), F.lit("&"), F.lit("&amp;")), F.lit("&nbsp;&amp;&nbsp;co</name></Row>"))
-    table(spark, sf, "part").select(xml).write.text(path)
-    clean = F.replace(F.col("value"), F.lit("&nbsp;"), F.lit(" "))  # an entity that XML does not declare
-    return spark.read.text(path).select(F.from_xml(clean, "id long, name string").alias("x")).select("x.id", "x.name")
-
-
-XML_ORDER = "o_orderkey long, status string, line array<struct<part: long, pos: int>>"
-
-
-def orders_xml(spark, sf, path):
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part")))).alias("line"))  # the lines of one order
-    o = table(spark, sf, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("o_orderstatus").alias("status"), "line")
-    o.write.format("xml").option("rowTag", "order").option("rootTag", "orders").save(path)
-
-
-@query("a10_xml_flatten", "SELECT o_orderkey, o_orderstatus AS status, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+    path, files = fresh(spark, "sheet"), 3
+    cell = lambda c: F.concat(F.lit('<Cell ss:StyleID="s1"><Data ss:Type="String">'), c, F.lit("</Data></Cell>\n"))
+    row = lambda *cells: F.concat(F.lit("<Row>"), *[cell(c) for c in cells], F.lit("</Row>\n"))
+    name = F.concat(F.replace(F.col("p_name"), F.lit("&"), F.lit("&amp;")), F.lit("&nbsp;&amp;&nbsp;co &ge; &odd;"))
+    part = table(spark, sf, "part").select(row(F.col("p_partkey").cast("string"), name, F.col("p_brand")).alias("value"), F.lit(3).alias("n"), F.pmod(F.xxhash64("p_partkey"), F.lit(files)).alias("export"))
+    tops = spark.range(files).select(F.explode(F.array(
+        F.struct(F.lit('<?xml version="1.0"?>\n<Workbook xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="a"><Table>').alias("value"), F.lit(0).alias("n")),
+        F.struct(row(F.lit("Export of the registry")).alias("value"), F.lit(1).alias("n")), F.struct(row(F.lit("Reg. No."), F.lit("Product name"), F.lit("Brand")).alias("value"), F.lit(2).alias("n")),
+        F.struct(F.lit("</Table></Worksheet></Workbook>").alias("value"), F.lit(4).alias("n")),
+    )).alias("x"), F.col("id").alias("export")).select("x.value", "x.n", "export")
+    tops.unionByName(part).repartition(files, "export").sortWithinPartitions("export", "n").select("value", "export").write.partitionBy("export").text(path)
+    return readers.spreadsheet_table(spark, path, {"regno": "id", "productname": "name", "brand": "brand"}, "id")
+
+
+@query("a10_xml_flatten", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'book' ELSE 'article' END AS kind, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE 'RESULTS: ' || o_orderstatus || chr(10) || 'CONCLUSIONS: ' || o_orderpriority END AS abstract,
+   CAST(count(l_orderkey) AS INT) AS n, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey), '') AS parts, coalesce(string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag), '') AS keywords,
+   '10.1/' || o_orderkey AS doi, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS published
+ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def a10(spark, sf):
     path = fresh(spark, "xml")
-    orders_xml(spark, sf, path)
-    x = readers.xml_rows(spark, path, "order", XML_ORDER)
-    ordered = F.array_sort(F.transform("line", lambda v: F.struct(v["pos"].alias("pos"), v["part"].alias("part"))))
-    return x.select("o_orderkey", "status", F.size("line").cast("long").alias("n"), F.array_join(F.transform(ordered, lambda v: v["part"].cast("string")), ",").alias("parts"))
-
-
-@query("a11_author_flatten", f"WITH {ROLE_SQL}, n AS (SELECT paper, author, pos, pos = 1 AS is_first, pos = last AS is_last FROM ro) SELECT * FROM n")
+    k = F.col("o_orderkey")
+    line = F.struct(F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("line"))  # the lines of one order
+    title = F.concat(F.lit("Order "), k.cast("string"))
+    text = lambda label, c: F.struct(label.alias("_Label"), c.alias("_VALUE"))
+    none = F.lit(None).cast("string")
+    abstract = F.when(k % 4 == 0, F.array(text(none, F.col("o_orderstatus")))).otherwise(F.array(text(F.lit("RESULTS"), F.col("o_orderstatus")), text(F.lit("CONCLUSIONS"), F.col("o_orderpriority"))))
+    full = F.col("o_orderkey") % 3 != 0
+    date = F.struct(F.date_format("o_orderdate", "yyyy").alias("Year"), F.when(full, F.date_format("o_orderdate", "MM")).alias("Month"), F.when(full, F.date_format("o_orderdate", "dd")).alias("Day"))
+    ids = F.array(F.struct(F.lit("pii").alias("_IdType"), F.lit("x").alias("_VALUE")), F.struct(F.lit("doi").alias("_IdType"), F.concat(F.lit("10.1/"), k.cast("string")).alias("_VALUE")))
+    record = table(spark, sf, "orders").join(li, "o_orderkey", "left").select(
+        k.alias("Id"), F.when(k % 5 != 0, title).alias("ArticleTitle"), F.when(k % 5 == 0, title).alias("BookTitle"), abstract.alias("AbstractText"), date.alias("PubDate"), ids.alias("ArticleId"),
+        F.transform("line", lambda x: x["part"]).alias("Part"), F.transform("line", lambda x: x["flag"]).alias("Keyword"),
+    )
+    record.write.format("xml").option("rowTag", "Record").option("rootTag", "Records").save(path)
+    x = readers.bibliographic_rows(spark, path, "Record", "Part array<long>")
+    return x.select(F.col("id").alias("o_orderkey"), "kind", "title", "abstract", F.coalesce(F.size("Part"), F.lit(0)).alias("n"), F.coalesce(F.array_join("Part", ","), F.lit("")).alias("parts"), F.array_join("keywords", ";").alias("keywords"), "doi", "published")
+
+
+@query("a11_author_flatten", """WITH a AS (SELECT l_orderkey AS paper, l_suppkey AS author, CAST(row_number() OVER w AS INT) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS last, l_suppkey % 3 = 0 AS equal, l_suppkey % 4 = 0 AS mail,
+    first_value(l_suppkey % 3 = 0) OVER w AS lead FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey))
+ SELECT paper, author, pos, pos = 1 OR (equal AND lead) AS is_first, pos = last AS is_last, CASE WHEN bool_or(mail) OVER p THEN mail ELSE pos = last END AS is_corresponding,
+   CASE WHEN bool_or(mail) OVER p THEN 'email' ELSE 'last author' END AS corresponding_by, CASE WHEN mail THEN 's' || author || '@lab.example' ELSE '' END AS emails, CAST(CASE WHEN mail THEN 2 ELSE 1 END AS INT) AS n_affiliations FROM a WINDOW p AS (PARTITION BY paper)""")
 def a11(spark, sf):
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("author")))).alias("authors"))  # the authors of one paper
-    last = F.array_max(F.transform("authors", lambda a: a["pos"]))
-    flat = li.select("paper", F.explode(F.transform("authors", lambda a: F.struct(a["author"].alias("author"), a["pos"].alias("pos"), (a["pos"] == 1).alias("is_first"), (a["pos"] == last).alias("is_last")))).alias("a"))
-    return flat.select("paper", "a.*").join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("author")), "author", "left_semi")
-
-
-@query("a12_nested_json", "SELECT o_orderkey AS id, o_orderstatus AS status, c_name AS sponsor, strftime(o_orderdate, '%Y-%m-%d') AS first_post FROM orders JOIN customer ON o_custkey = c_custkey")
+    s = F.col("l_suppkey")
+    mail = F.concat(F.lit("s"), s.cast("string"), F.lit("@lab.example"))
+    affiliations = F.when(s % 4 == 0, F.array(F.concat(F.lit("Unit 4, Town. Electronic address: "), mail, F.lit(".")), F.concat(F.lit("Second unit; "), mail))).otherwise(F.array(F.lit("Unit 1, Town")))
+    one = F.struct("l_linenumber", s.alias("author"), affiliations.alias("affiliations"), (s % 3 == 0).alias("equal"))
+    papers = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_sort(F.collect_list(one)).alias("authors"))  # the authors of one paper
+    return readers.author_rows(papers, "paper", "authors").select("paper", "author", "pos", "is_first", "is_last", "is_corresponding", "corresponding_by", F.array_join("emails", " ").alias("emails"), F.size("affiliations").alias("n_affiliations"))
+
+
+@query("a12_nested_json", """WITH i AS (SELECT l_orderkey, string_agg(DISTINCT CASE WHEN l_linenumber % 2 = 1 AND l_partkey % 5 <> 0 THEN 'part ' || l_partkey END, ';' ORDER BY CASE WHEN l_linenumber % 2 = 1 AND l_partkey % 5 <> 0 THEN 'part ' || l_partkey END) AS drugs,
+    count(*) AS locations FROM lineitem GROUP BY 1)
+ SELECT 'T' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS id, 'Trial of ' || o_orderpriority AS title, o_orderstatus AS status, coalesce(c_name, 'Unknown') AS sponsor, strftime(o_orderdate, '%Y-%m-%d') AS first_post, CASE WHEN o_orderkey % 2 = 0 THEN 'PHASE2/PHASE3' ELSE 'PHASE3' END AS phases,
+   o_custkey AS enrollment, coalesce(drugs, '') AS drugs, 'condition ' || (o_custkey % 9) AS conditions, coalesce(locations, 0) AS locations, 'T' || lpad(CAST(o_custkey + 10000000 AS VARCHAR), 8, '0') AS cross_ids
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN i ON l_orderkey = o_orderkey""")
 def a12(spark, sf):
     path = fresh(spark, "nested")
-    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    section = F.struct(F.struct(F.col("o_orderkey").alias("id")).alias("identification"), F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).alias("firstPost")).alias("status"), F.struct(F.col("c_name").alias("name")).alias("sponsor"))
-    writers.json_lines(j.select(section.alias("section")), path)
-    schema = "section struct<identification: struct<id: long>, status: struct<status: string, firstPost: struct<date: string>>, sponsor: struct<name: string>>"
-    d = spark.read.schema(schema).json(path)
-    return d.select(F.col("section.identification.id").alias("id"), F.col("section.status.status").alias("status"), F.col("section.sponsor.name").alias("sponsor"), F.col("section.status.firstPost.date").alias("first_post"))
+    drug = F.struct(F.when(F.col("l_linenumber") % 2 == 1, "DRUG").otherwise("DEVICE").alias("type"), F.when(F.col("l_partkey") % 5 == 0, "Placebo tablets").otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("name"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(drug).alias("interventions"), F.collect_list(F.struct(F.col("l_suppkey").alias("site"))).alias("sites"))  # the lines of one order
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    o = table(spark, sf, "orders").join(c, "o_custkey", "left").join(li, "o_orderkey", "left")
+    number = lambda k: F.concat(F.lit("T"), F.lpad(k.cast("string"), 8, "0"))
+    own, other = number(F.col("o_orderkey")), number(F.col("o_custkey") + 10000000)
+    section = F.struct(
+        F.struct(own.alias("id"), F.concat(F.lit("Trial of "), F.col("o_orderpriority")).alias("title")).alias("identification"),
+        F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).alias("firstPost")).alias("status"),
+        F.struct(F.struct(F.col("c_name").alias("name")).alias("lead")).alias("sponsors"),
+        F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("PHASE2"), F.lit("PHASE3"))).otherwise(F.array(F.lit("PHASE3"))).alias("phases"), F.struct(F.col("o_custkey").alias("count")).alias("enrollment")).alias("design"),
+        F.struct(F.array(F.concat(F.lit("condition "), (F.col("o_custkey") % 9).cast("string"))).alias("conditions")).alias("conditions"),
+        F.struct("interventions").alias("arms"), F.struct(F.col("sites").alias("locations")).alias("contacts"),
+        F.struct(F.concat(F.lit("Extends "), other, F.lit(" and "), own, F.lit(", see "), other).alias("text")).alias("description"),
+    )
+    writers.json_lines(o.select(section.alias("section")), path)
+    return readers.trial_rows(spark, path, r"T\d{8}")
 
 
 @query("a13_xml_aliases", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
@@ -154,11 +207,16 @@ def a15(spark, sf):
     return m.where(f("status") != "archived").select("doc_id", f("title").alias("topic"), f("lang").alias("lang"), F.length("m.body").cast("long").alias("n"))
 
 
-@query("a16_text_corpus", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[À-ÿ]')) > 0.05 * len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) THEN 'accented' ELSE 'plain' END AS script, CASE WHEN strpos(lower(text), 'tion') > 0 THEN substr(text, greatest(1, strpos(lower(text), 'tion') - 100), 500) END AS chapter FROM documents")
+@query("a16_text_corpus", r"""WITH f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN CAST(1990 + doc_id % 40 AS INT) END AS year, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents),
+  s AS (SELECT *, CASE WHEN len(regexp_extract_all(text, '[À-ÿ]')) > 0.05 * len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) THEN 'accented' ELSE 'plain' END AS script FROM f)
+ SELECT doc_id, script, CASE WHEN doc_id % 5 = 0 THEN 'home' WHEN script = 'accented' THEN 'abroad' ELSE 'world' END AS region, year, CASE WHEN strpos(lower(flat), 'tion') > 0 THEN substr(flat, greatest(1, strpos(lower(flat), 'tion') - 100), 500) END AS chapter FROM s""")
 def a16(spark, sf):
+    d = table(spark, sf, "documents").withColumn("file", F.concat(F.when(F.col("doc_id") % 5 == 0, "home-guide-").otherwise("guide-"), F.when(F.col("doc_id") % 2 == 0, (1990 + F.col("doc_id") % 40).cast("string")).otherwise("v12345"), F.lit(".txt")))
     t = F.col("text")
     script = F.when(F.regexp_count(t, F.lit("[À-ÿ]")) > 0.05 * F.regexp_count(t, F.lit("[A-Za-zÀ-ÿ]")), "accented").otherwise("plain")
-    return table(spark, sf, "documents").select("doc_id", script.alias("script"), readers.from_first_mention(t, "tion", 100, 500).alias("chapter"))
+    region = F.when(F.contains("file", F.lit("home")), "home").when(F.col("script") == "accented", "abroad").otherwise("world")
+    flat = F.regexp_replace(t, r"\s+", " ")
+    return d.withColumn("script", script).select("doc_id", "script", region.alias("region"), readers.year_in(F.col("file")).alias("year"), readers.from_first_mention(flat, "tion", 100, 500).alias("chapter"))
 
 
 @query("a17_text_blocks", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(The|Les|Der|La|En) ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM l) SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS body FROM b GROUP BY ALL")
@@ -184,4 +242,4 @@ def j5(spark, sf):
     added = listed.limit(1).select(F.lit("stray").alias("path"), "bytes", "sha256")
     bad = writers.manifest_problems(now.drop("i").unionByName(added), listed)
     held = listed.join(bad, "path", "left_anti").select("path", F.lit("as listed").alias("problem"))
-    return bad.unionByName(held).groupBy("problem").agg(F.count("*").alias("n"))
\ No newline at end of file
+    return bad.unionByName(held).groupBy("problem").agg(F.count("*").alias("n"))

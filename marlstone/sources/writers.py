@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import top_k
+
 
 def sharded(df: DataFrame, path: str, shard: str, order: list[Column], files_per_shard: int = 1) -> DataFrame:
     """Write one folder per shard, rows in order within a file, and return the index (shard, n).
@@ -16,6 +18,19 @@ def sharded(df: DataFrame, path: str, shard: str, order: list[Column], files_per
     return df.groupBy(shard).agg(F.count("*").alias("n"))
 
 
+def shard_index(df: DataFrame, shard: str, key: str, order: list[Column], counts: dict[str, Column], preview: int = 30) -> DataFrame:
+    """One row per shard: n, a count of rows for each named condition, and the keys of its first `preview` rows in order."""
+    totals = df.groupBy(shard).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in counts.items()])
+    first = top_k(df, [shard], order, preview).groupBy(shard).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("key")))).alias("first"))
+    return totals.join(first.select(shard, F.transform("first", lambda x: x["key"]).alias("preview")), shard)
+
+
+def recent_slice(df: DataFrame, date: str, days: int) -> DataFrame:
+    """Rows of the `days` days that end with the newest row; the newest date is one row, joined in the plan."""
+    newest = df.agg(F.max(date).alias("newest_"))
+    return df.join(F.broadcast(newest), F.col(date) >= F.col("newest_") - F.make_interval(days=F.lit(days))).drop("newest_")
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
