@@ -167,3 +167,16 @@ def bucket(value: Column, bounds: list[float], names: list[str]) -> Column:
     for b, n in zip(bounds, names, strict=False):
         out = out.when(value < b, F.lit(n))
     return out.otherwise(F.lit(names[-1]))
+
+
+def org_label(value: Column) -> Column:
+    """An organisation's name without footnote marks and an article before it, without punctuation at its end, white space closed up."""
+    squeezed = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(squeezed, r"^(?:[\d*†‡#,.;]+ *)*(?:(?i:the) )?", ""), r"[\s.,;:]+$", "")
+
+
+def phase_digits(value: Column) -> Column:
+    """The phases named in a text as digits: `Phase II/III` gives 2/3; empty without any."""
+    digit = F.create_map(*[F.lit(x) for kv in {"I": "1", "II": "2", "III": "3", "IV": "4"}.items() for x in kv])
+    named = F.regexp_extract_all(F.upper(value), F.lit(r"\b(IV|III|II|I|[1-4])\b"), F.lit(1))
+    return F.coalesce(F.array_join(F.transform(named, lambda x: F.coalesce(F.try_element_at(digit, x), x)), "/"), F.lit(""))

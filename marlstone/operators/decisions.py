@@ -110,3 +110,8 @@ def channel_feed(channels: list[tuple[str, DataFrame, str, Column, int]]) -> Dat
         first = df.select(F.lit(name).alias("channel"), F.col(key).alias("id"), order.alias("by")).orderBy(F.desc_nulls_last("by"), "id").limit(most)
         parts.append(first.select("channel", "id", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc_nulls_last("by"), "id")).alias("place")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def digest(sections: list[DataFrame]) -> DataFrame:
+    """(section, line): the lines of sections, numbered from 1."""
+    return reduce(DataFrame.unionByName, [s.select(F.lit(i).alias("section"), "line") for i, s in enumerate(sections, 1)])

@@ -186,17 +186,19 @@ def d9(spark, sf):
     return authors(spark, sf).groupBy("author", "inst").agg(F.count("*").alias("n"), F.count("role").alias("with_role"))
 
 
-@query("d10_expert_profiles", """WITH x AS (SELECT o_custkey AS who, o_orderkey, o_orderdate, o_totalprice, o_orderpriority AS journal, max(o_orderdate) OVER () AS newest FROM orders),
- p AS (SELECT who, count(DISTINCT o_orderkey) AS papers, count(DISTINCT CASE WHEN o_orderdate >= newest - INTERVAL 3 YEAR THEN o_orderkey END) AS recent, max(o_totalprice) AS top_value, count(DISTINCT journal) AS journals FROM x GROUP BY 1)
- SELECT *, CAST(row_number() OVER (ORDER BY recent DESC, papers DESC, top_value DESC, who) AS INT) AS rank FROM (SELECT * FROM p ORDER BY recent DESC, papers DESC, top_value DESC, who LIMIT 100)""")
+@query("d10_expert_profiles", """WITH x AS (SELECT *, max(o_orderdate) OVER () AS newest FROM orders), j AS (SELECT o_custkey AS who, o_orderpriority AS journal, count(*) AS n, count(*) FILTER (WHERE o_orderdate >= newest - INTERVAL 3 YEAR) AS r, max(o_totalprice) AS v, max(o_orderdate) AS d, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM x GROUP BY 1, 2),
+ jr AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY n DESC, journal) AS rn FROM j), p AS (SELECT who, CAST(sum(n) AS BIGINT) AS papers, CAST(sum(r) AS BIGINT) AS recent, max(v) AS top_value, count(*) AS journals, string_agg(journal, ', ' ORDER BY rn) FILTER (WHERE rn <= 2) AS usual, arg_max(k, (d, k)) AS newest_paper FROM jr GROUP BY 1)
+ SELECT p.*, c_nationkey AS region, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY recent DESC, papers DESC, top_value DESC, who) AS INT) AS rank FROM p JOIN customer ON who = c_custkey""")
 def d10(spark, sf):
     o = table(spark, sf, "orders")
-    newest = o.agg(F.max("o_orderdate").alias("newest"))
-    x = o.crossJoin(F.broadcast(newest))  # one row
-    recent = F.when(F.col("o_orderdate") >= F.expr("newest - interval 3 year"), F.col("o_orderkey"))
-    p = x.groupBy(F.col("o_custkey").alias("who")).agg(F.countDistinct("o_orderkey").alias("papers"), F.countDistinct(recent).alias("recent"), F.max("o_totalprice").alias("top_value"), F.countDistinct("o_orderpriority").alias("journals"))
+    x = o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("newest"))))  # one row
+    late = F.struct(F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("k"))
+    j = x.groupBy(F.col("o_custkey").alias("who"), F.col("o_orderpriority").alias("journal")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderdate") >= F.expr("newest - interval 3 year")).alias("r"), F.max("o_totalprice").alias("v"), F.max(late).alias("late"))
+    often = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "journal"))), 1, 2)  # the journals of one expert
+    p = j.groupBy("who").agg(F.sum("n").alias("papers"), F.sum("r").alias("recent"), F.max("v").alias("top_value"), F.count("*").alias("journals"), F.array_join(F.transform(often, lambda t: t["journal"]), ", ").alias("usual"), F.max("late")["k"].alias("newest_paper"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("who"), F.col("c_nationkey").alias("region"))
     order = [F.desc("recent"), F.desc("papers"), F.desc("top_value"), F.asc("who")]
-    return p.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return p.join(c, "who").withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(*order)))
 
 
 @query("d12_institution_index", "SELECT c_nationkey AS inst, count(DISTINCT o_orderkey) AS papers, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS closed, arg_min(seg, (-n, seg)) AS usual FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1")
@@ -322,10 +324,19 @@ def d24(spark, sf):
     return graphs.pairs(authors(spark, sf).where("role is not null"), "paper", "inst", 2)
 
 
-@query("d25_regional_heat", f"WITH {ROLE_SQL} SELECT n_regionkey AS region, inst, count(DISTINCT author) AS hospitals, count(DISTINCT paper) AS papers, count(*) AS occurrences FROM ro JOIN nation ON inst = n_nationkey GROUP BY ALL")
+@query("d25_regional_heat", f"""WITH {ROLE_SQL}, h AS (SELECT n_regionkey AS region, inst, author, count(*) AS n, count(DISTINCT paper) AS p FROM ro JOIN nation ON inst = n_nationkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY region, inst ORDER BY p DESC, author) AS rn FROM h),
+ g AS (SELECT n_regionkey AS region, inst, count(DISTINCT paper) AS papers FROM ro JOIN nation ON inst = n_nationkey GROUP BY ALL), a AS (SELECT region, inst, count(*) AS hospitals, CAST(sum(n) AS BIGINT) AS occurrences, string_agg(CAST(author AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 8) AS top_hospitals FROM r GROUP BY ALL)
+ SELECT region, inst, hospitals, papers, occurrences, top_hospitals, round(100 * papers / sum(papers) OVER (PARTITION BY region), 4) AS percent FROM a JOIN g USING (region, inst)""")
 def d25(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("inst"), F.col("n_regionkey").alias("region"))
-    return authors(spark, sf).join(n, "inst").groupBy("region", "inst").agg(F.countDistinct("author").alias("hospitals"), F.countDistinct("paper").alias("papers"), F.count("*").alias("occurrences"))
+    place = ["region", "inst"]
+    one = authors(spark, sf).groupBy("inst", "author", "paper").agg(F.count("*").alias("n")).join(F.broadcast(n), "inst")
+    h = one.groupBy(*place, "author").agg(F.sum("n").alias("n"), F.count("*").alias("p"))
+    papers = one.select(*place, "paper").distinct().groupBy(*place).agg(F.count("*").alias("papers"))
+    best8 = ranking.top_k(h, place, [F.desc("p"), F.asc("author")], 8).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("rank", "author"))).alias("t"))
+    a = h.groupBy(*place).agg(F.count("*").alias("hospitals"), F.sum("n").alias("occurrences")).join(papers, place)
+    a = a.join(best8.select(*place, F.array_join(F.transform("t", lambda x: x["author"].cast("string")), ",").alias("top_hospitals")), place)
+    return a.withColumn("percent", F.round(100 * F.col("papers") / F.sum("papers").over(Window.partitionBy("region")), 4))  # a row for each place
 
 
 @query("d26_network_audit", f"WITH {ROLE_SQL} SELECT coalesce(role, 'middle') AS role, count(*) AS n, round(count(*) / (SELECT count(*) FROM ro), 6) AS share FROM ro GROUP BY 1")
@@ -336,7 +347,7 @@ def d26(spark, sf):
 
 @query("d27_province_rollup", f"""WITH {ROLE_SQL}, j AS (SELECT n_regionkey AS region, inst, paper FROM ro JOIN nation ON inst = n_nationkey), h AS (SELECT region, inst, count(DISTINCT paper) AS n FROM j GROUP BY ALL),
  t AS (SELECT region, string_agg(inst || ':' || n, ',' ORDER BY n DESC, inst) AS top_places FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, inst) <= 3) GROUP BY 1)
- SELECT region, count(DISTINCT paper) AS papers, count(DISTINCT inst) AS places, any_value(leading) AS top_places FROM j JOIN t USING (region) GROUP BY 1""")
+ SELECT region, count(DISTINCT paper) AS papers, count(DISTINCT inst) AS places, any_value(top_places) AS top_places FROM j JOIN t USING (region) GROUP BY 1""")
 def d27(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("inst"), F.col("n_regionkey").alias("region"))
     papers = authors(spark, sf).select("paper", "inst").distinct().join(F.broadcast(n), "inst")

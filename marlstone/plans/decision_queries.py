@@ -71,12 +71,22 @@ def d39(spark, sf):
     return D.counts_of(parts).select(F.col("name").alias("metric"), F.col("n").alias("value"))
 
 
-@query("d40_weekly_digest", f"WITH {SIGNAL_SQL}, t AS (SELECT doc_id, score FROM sig ORDER BY score DESC, doc_id LIMIT 3), h AS (SELECT lang, count(*) AS n FROM sig GROUP BY 1 ORDER BY n DESC, lang LIMIT 5) SELECT 1 AS section, 'signal ' || doc_id AS line FROM t UNION ALL SELECT 2, lang || ': ' || n FROM h")
+@query("d40_weekly_digest", f"""WITH {SIGNAL_SQL}, t AS (SELECT doc_id, score FROM sig ORDER BY score DESC, doc_id LIMIT 3), h AS (SELECT lang, count(*) AS n FROM sig GROUP BY 1 ORDER BY n DESC, lang LIMIT 5), l AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 3),
+ r AS (SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY n_chars DESC, doc_id LIMIT 3)
+ SELECT 1 AS section, 'signal ' || doc_id AS line FROM t UNION ALL SELECT 2, lang || ': ' || n FROM h UNION ALL SELECT 3, 'lead ' || o_custkey || ': ' || n FROM l UNION ALL SELECT 4, 'trial ' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice >= 300000
+ UNION ALL SELECT 5, 'orders ' || strftime(min(o_orderdate), '%Y-%m-%d') || ' to ' || strftime(max(o_orderdate), '%Y-%m-%d') FROM orders UNION ALL SELECT 5, 'events ' || strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d') FROM events UNION ALL SELECT 6, 'region ' || doc_id FROM r""")
 def d40(spark, sf):
-    s = signals(spark, sf)
-    top = s.orderBy(F.desc("score"), "doc_id").limit(3).select(F.lit(1).alias("section"), F.format_string("signal %d", "doc_id").alias("line"))
-    hot = s.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(5).select(F.lit(2).alias("section"), F.format_string("%s: %d", "lang", "n").alias("line"))
-    return top.unionByName(hot)
+    s, o, d = signals(spark, sf), table(spark, sf, "orders"), table(spark, sf, "documents")
+    window = lambda name, df, at: df.agg(F.format_string(f"{name} %s to %s", F.date_format(F.min(at), "yyyy-MM-dd"), F.date_format(F.max(at), "yyyy-MM-dd")).alias("line"))
+    leads = o.groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(3)
+    return D.digest([
+        s.orderBy(F.desc("score"), "doc_id").limit(3).select(F.format_string("signal %d", "doc_id").alias("line")),
+        s.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(5).select(F.format_string("%s: %d", "lang", "n").alias("line")),
+        leads.select(F.format_string("lead %d: %d", "o_custkey", "n").alias("line")),
+        o.where("o_orderpriority = '1-URGENT' and o_totalprice >= 300000").select(F.format_string("trial %d", "o_orderkey").alias("line")),
+        window("orders", o, "o_orderdate").unionByName(window("events", table(spark, sf, "events"), "ts")),
+        d.where("lang = 'fr'").orderBy(F.desc("n_chars"), "doc_id").limit(3).select(F.format_string("region %d", "doc_id").alias("line")),
+    ])
 
 
 @query("d43_source_channels", """WITH c AS (SELECT 'literature' AS channel, doc_id AS id, CAST(n_chars AS DOUBLE) AS v, 40 AS most FROM documents UNION ALL SELECT 'trials', o_orderkey, epoch(o_orderdate), 12 FROM orders UNION ALL SELECT 'regulatory', event_id, value, 12 FROM events WHERE event_type = 'purchase'

@@ -36,15 +36,24 @@ def b2(spark, sf):
 
 @query(
     "b3_registry_normalisation",
-    """WITH src AS (SELECT *, 'R' || (p_partkey % 500) AS id, CASE p_size % 4 WHEN 0 THEN 'recruiting' WHEN 1 THEN 'DONE' WHEN 2 THEN 'stopped' ELSE 'odd' END AS st FROM part WHERE p_partkey % 11 <> 0),
+    """WITH src AS (SELECT *, 'R' || (p_partkey % 500) AS id, CASE p_size % 4 WHEN 0 THEN 'recruiting' WHEN 1 THEN 'DONE' WHEN 2 THEN 'stopped' ELSE 'odd' END AS st FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0),
          n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey DESC) AS rn FROM src)
-       SELECT id, p_name AS title, CASE st WHEN 'recruiting' THEN 'Recruiting' WHEN 'DONE' THEN 'Completed' WHEN 'stopped' THEN 'Terminated' ELSE 'Unknown' END AS status FROM n WHERE rn = 1""",
+       SELECT id, p_name AS title, CASE st WHEN 'recruiting' THEN 'Recruiting' WHEN 'DONE' THEN 'Completed' WHEN 'stopped' THEN 'Terminated' ELSE 'Unknown' END AS status, CASE WHEN p_size % 5 = 0 THEN 'Unknown' ELSE p_brand END AS sponsor,
+         'S' || p_partkey || ' ' || 'X' || p_size AS secondary_ids, CASE p_size % 3 WHEN 0 THEN '2/3' WHEN 1 THEN '1' ELSE '' END AS phase FROM n WHERE rn = 1""",
 )
 def b3(spark, sf):
-    r = F.col("p_size") % 4
-    p = table(spark, sf, "part").where("p_partkey % 11 <> 0").select(F.concat(F.lit("R"), (F.col("p_partkey") % 500).cast("string")).alias("id"), F.col("p_name").alias("title"), "p_partkey", F.when(r == 0, "recruiting").when(r == 1, "DONE").when(r == 2, "stopped").otherwise("odd").alias("st"))
+    k, r, m3 = F.col("p_partkey"), F.col("p_size") % 4, F.col("p_size") % 3
+    p = table(spark, sf, "part").where("p_partkey % 11 <> 0").select(
+        F.concat(F.lit("R"), (k % 500).cast("string")).alias("reg_no"), F.when(k % 13 != 0, F.when(k % 2 == 0, F.col("p_name"))).alias("title"), F.when(k % 13 != 0, F.when(k % 2 == 1, F.col("p_name"))).alias("public_title"), "p_partkey",
+        F.when(r == 0, "recruiting").when(r == 1, "DONE").when(r == 2, "stopped").otherwise("odd").alias("st"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_brand")).alias("sponsor"),
+        F.concat(F.lit("S"), k.cast("string"), F.lit(" ; X"), F.col("p_size").cast("string"), F.lit(",,")).alias("others"), F.when(m3 == 0, "Phase II/III").when(m3 == 1, "phase 1").otherwise("N/A").alias("phase"),
+    )
     named = F.create_map(*[F.lit(x) for kv in {"recruiting": "Recruiting", "done": "Completed", "stopped": "Terminated"}.items() for x in kv])
-    return ranking.keep_best(p, ["id"], [F.desc("p_partkey")]).select("id", "title", F.coalesce(F.try_element_at(named, F.lower("st")), F.lit("Unknown")).alias("status"))
+    rows = p.select(
+        F.col("reg_no").alias("id"), S.first_filled(F.col("title"), F.col("public_title")).alias("title"), "p_partkey", F.coalesce(F.try_element_at(named, F.lower("st")), F.lit("Unknown")).alias("status"),
+        F.coalesce(S.first_filled(F.col("sponsor")), F.lit("Unknown")).alias("sponsor"), F.array_join(S.name_parts(F.col("others"), "[,;]"), " ").alias("secondary_ids"), S.phase_digits(F.col("phase")).alias("phase"),
+    )
+    return ranking.keep_best(rows.where("id is not null and title is not null"), ["id"], [F.desc("p_partkey")]).select("id", "title", "status", "sponsor", "secondary_ids", "phase")
 
 
 @query("b4_registry_enrichment", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'other' END AS status_class, coalesce(c_name, 'unknown') AS sponsor, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
@@ -148,10 +157,17 @@ def b15(spark, sf):
     return d.where(keep).select("doc_id", F.when(F.col("quality") == 1, 2).otherwise(1).alias("priority"))
 
 
-@query("b16_expert_filter", "WITH m AS (SELECT c_custkey, c_name, c_name = 'Customer#000000012' AS exact FROM customer WHERE contains(c_name, '12')) SELECT c_custkey, c_name FROM m WHERE exact OR NOT (SELECT bool_or(exact) FROM m)")
+@query("b16_expert_filter", """WITH n AS (SELECT o_custkey, count(*) AS papers, count(*) FILTER (WHERE o_orderdate >= newest - INTERVAL 3 YEAR) AS recent FROM (SELECT *, max(o_orderdate) OVER () AS newest FROM orders) GROUP BY 1),
+ p AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CASE WHEN papers < 5 THEN 'few' WHEN papers < 12 THEN 'some' ELSE 'many' END AS total_range, CASE WHEN recent < 2 THEN 'few' WHEN recent < 6 THEN 'some' ELSE 'many' END AS recent_range FROM customer JOIN n ON c_custkey = o_custkey),
+ m AS (SELECT *, c_name = 'Customer#000000012' AS exact FROM p WHERE contains(c_name, '1') AND c_nationkey < 20 AND total_range IN ('some', 'many') AND recent_range <> 'few') SELECT c_custkey, c_name, total_range, recent_range FROM m WHERE exact OR NOT (SELECT bool_or(exact) FROM m)""")
 def b16(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return gates.exact_match_override(c, rules.has(F.col("c_name"), "12"), F.col("c_name") == "Customer#000000012")
+    o = table(spark, sf, "orders")
+    x = o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("newest"))))  # one row
+    n = x.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("papers"), F.count_if(F.col("o_orderdate") >= F.expr("newest - interval 3 year")).alias("recent"))
+    named = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey").join(n, "c_custkey")
+    named = named.withColumn("total_range", S.bucket(F.col("papers"), [5, 12], ["few", "some", "many"])).withColumn("recent_range", S.bucket(F.col("recent"), [2, 6], ["few", "some", "many"]))
+    keep = gates.all_filters({"topic": None, "location": F.col("c_nationkey") < 20, "total": F.col("total_range").isin("some", "many"), "recent": F.col("recent_range") != "few", "name": rules.has(F.col("c_name"), "1")})
+    return gates.exact_match_override(named, keep, F.col("c_name") == "Customer#000000012").select("c_custkey", "c_name", "total_range", "recent_range")
 
 
 @query(

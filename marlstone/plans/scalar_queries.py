@@ -64,10 +64,11 @@ def g6(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.cut_at_word(F.col("text"), 120).alias("excerpt"), S.first_sentence(F.col("text")).alias("sentence"))
 
 
-@query("g7_name_parts", "SELECT p_partkey, len(list_filter(string_split(p_type, ' '), lambda x: trim(x) <> '')) AS n, list_filter(string_split(p_type, ' '), lambda x: trim(x) <> '')[1] AS first FROM part")
+@query("g7_name_parts", r"SELECT p_partkey, len(list_filter(string_split(p_type, ' '), lambda x: trim(x) <> '')) AS n, list_filter(string_split(p_type, ' '), lambda x: trim(x) <> '')[1] AS first, p_type || ' (' || p_brand || ')' AS label FROM part")
 def g7(spark, sf):
     parts = S.name_parts(F.col("p_type"), " ")
-    return table(spark, sf, "part").select("p_partkey", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"))
+    written = F.concat(F.lit(" 2*  The "), F.replace(F.col("p_type"), F.lit(" "), F.lit("\n  ")), F.lit(" ("), F.col("p_brand"), F.lit(") . ;"))
+    return table(spark, sf, "part").select("p_partkey", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"), S.org_label(written).alias("label"))
 
 
 @query("g9_extraction", r"""WITH t AS (SELECT doc_id, 'T' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS own, coalesce(text, '') || ' See [[Alpha ' || (doc_id % 7) || '|a]], [[Beta]], [[Beta]]: T' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ', T00000001; PMID: ' || (10000 + doc_id % 9) || ', a' || (doc_id % 5) || '@x.org' AS t FROM documents)

@@ -197,14 +197,18 @@ def a14(spark, sf):
     return readers.xml_rows(spark, path, "item", "guid string, title string").join(cache, "guid", "left_anti").select("guid")
 
 
-@query("a15_front_matter", "SELECT doc_id, source AS topic, lang, length(text) AS n FROM documents WHERE doc_id % 7 <> 0")
+@query("a15_front_matter", r"""WITH b AS (SELECT *, '- Claim one [[Alpha|a]] PMID 12345' || chr(10) || '- Claim two [[Beta]]' || chr(10) || text AS body FROM documents WHERE doc_id % 7 <> 0)
+ SELECT doc_id, source AS topic, lang, length(body) AS n, len(regexp_extract_all(body, '(^|\n)- ')) AS claims, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '\[\[([^\]|]+)', 1))), ';') AS links, array_to_string(list_sort(list_distinct(regexp_extract_all(body, 'PMID:? *([0-9]{4,9})', 1))), ' ') AS pmids FROM b""")
 def a15(spark, sf):
     d = table(spark, sf, "documents")
     status = F.when(F.col("doc_id") % 7 == 0, "archived").otherwise("live")
-    page = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\nlang: "), F.col("lang"), F.lit("\nstatus: "), status, F.lit("\n---\n"), F.col("text"))
+    page = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\nlang: "), F.col("lang"), F.lit("\nstatus: "), status, F.lit("\n---\n- Claim one [[Alpha|a]] PMID 12345\n- Claim two [[Beta]]\n"), F.col("text"))
     m = d.select("doc_id", readers.front_matter(page).alias("m"))
     f = lambda k: F.try_element_at(F.col("m.fields"), F.lit(k))
-    return m.where(f("status") != "archived").select("doc_id", f("title").alias("topic"), f("lang").alias("lang"), F.length("m.body").cast("long").alias("n"))
+    body = F.col("m.body")
+    claims = F.regexp_count(body, F.lit(r"(^|\n)- ")).cast("long").alias("claims")
+    links, pmids = S.found_all(body, r"\[\[([^\]|]+)", 1), S.found_all(body, r"PMID:? *([0-9]{4,9})", 1)
+    return m.where(f("status") != "archived").select("doc_id", f("title").alias("topic"), f("lang").alias("lang"), F.length(body).cast("long").alias("n"), claims, F.array_join(links, ";").alias("links"), F.array_join(pmids, " ").alias("pmids"))
 
 
 @query("a16_text_corpus", r"""WITH f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN CAST(1990 + doc_id % 40 AS INT) END AS year, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents),
