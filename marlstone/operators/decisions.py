@@ -115,3 +115,27 @@ def channel_feed(channels: list[tuple[str, DataFrame, str, Column, int]]) -> Dat
 def digest(sections: list[DataFrame]) -> DataFrame:
     """(section, line): the lines of sections, numbered from 1."""
     return reduce(DataFrame.unionByName, [s.select(F.lit(i).alias("section"), "line") for i, s in enumerate(sections, 1)])
+
+
+def paired_sides(df: DataFrame, dimension: str, side: str, sides: list[str], key: str, quote: str, order: str) -> DataFrame:
+    """A row for each dimension that has statements of every side: for each side its count, and the key and quote of its first statement in order (ties to the smaller key)."""
+    of = lambda s, c: F.when(F.col(side) == s, c)
+    first = lambda s, c: F.min_by(of(s, F.col(c)), of(s, F.struct(order, key)))
+    aggs = [a for s in sides for a in (F.count_if(F.col(side) == s).alias(f"{s}_n"), first(s, key).alias(f"{s}_{key}"), first(s, quote).alias(f"{s}_{quote}"))]
+    return df.groupBy(dimension).agg(*aggs).where(" and ".join(f"{s}_n > 0" for s in sides))
+
+
+def delta_applied(df: DataFrame, deltas: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
+    """df with the fields of its reviewed deltas (key, quotes array<string>, fields) and a state.
+
+    A delta is `applied` if every quote stands in the row's text, and then its non-null fields replace the row's; one quote that does not stand there and all of it is
+    `rejected`. Rows without a delta or without text are `pending`.
+    """
+    new = deltas.select(key, F.col("quotes").alias("quotes_"), *[F.col(f).alias(f"{f}_") for f in fields])
+    j = df.join(new, key, "left")
+    ok = F.coalesce(F.forall("quotes_", lambda q: F.contains(F.col(text), q)), F.lit(False))
+    state = cascade([("pending", F.col("quotes_").isNull() | (F.coalesce(text, F.lit("")) == "")), ("applied", ok)], "rejected")
+    j = j.withColumn("state", state)
+    for f in fields:
+        j = j.withColumn(f, F.when(F.col("state") == "applied", F.coalesce(f"{f}_", f)).otherwise(F.col(f)))
+    return j.drop("quotes_", *[f"{f}_" for f in fields])

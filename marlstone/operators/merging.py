@@ -82,3 +82,26 @@ def ingest_manifest(previous: DataFrame, added: DataFrame, as_of: Column, key: s
 
 def unseen(keys: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return keys.select(key).distinct().join(seen.select(key), key, "left_anti")
+
+
+def enriched(df: DataFrame, metrics: DataFrame, by: str, name: str, value: str) -> DataFrame:
+    """df with an empty (null or zero) value filled from metrics of the same name, else of the same name in lower case without blanks around it; zeros count as none. metrics has a row a name."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(0))
+    exact = metrics.select(F.col(name).alias(by), F.col(value).alias("exact_"))
+    loose = metrics.groupBy(F.trim(F.lower(name)).alias("key_")).agg(F.max(filled(value)).alias("loose_"))
+    j = df.join(exact, by, "left").withColumn("key_", F.trim(F.lower(by))).join(loose, "key_", "left")
+    return j.withColumn(value, F.coalesce(filled(value), filled("exact_"), "loose_")).drop("key_", "exact_", "loose_")
+
+
+def canonical_names(names: DataFrame, name: str, dictionary: DataFrame, least: int = 4) -> DataFrame:
+    """(name, canonical `name`) by a dictionary (name, ord): the same name whatever its case, else the first entry that holds the name, or one of its words of `least` letters or more; null without one.
+
+    Equal names meet by an equi-join; only the distinct names left over are tested against the dictionary, which is small by nature.
+    """
+    d = dictionary.select(F.col("name").alias("entry_"), F.col("ord").alias("ord_"), F.lower("name").alias("low_"))
+    same = d.groupBy("low_").agg(F.min("entry_").alias("same_"))
+    j = names.select(name).distinct().withColumn("low_", F.lower(name)).join(same, "low_", "left")
+    words = F.filter(F.split(F.lower(name), " "), lambda w: F.length(w) >= least)
+    held = F.contains("low_", F.lower(name)) | F.exists(words, lambda w: F.contains(F.col("low_"), w))
+    rest = j.where("same_ is null").select(name).join(d, held, "left").groupBy(name).agg(F.min_by("entry_", "ord_").alias("name"))
+    return j.where("same_ is not null").select(name, F.col("same_").alias("name")).unionByName(rest)

@@ -38,17 +38,22 @@ def c24(spark, sf):
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4))
 
 
-@query("c25_stance_pairing", "SELECT source AS dimension, count(*) FILTER (WHERE lang = 'en') AS left_n, count(*) FILTER (WHERE lang = 'fr') AS right_n FROM documents GROUP BY 1 HAVING count(*) FILTER (WHERE lang = 'en') > 0 AND count(*) FILTER (WHERE lang = 'fr') > 0")
+@query("c25_stance_pairing", r"""WITH s AS (SELECT source AS dimension, lang, doc_id, regexp_extract(text, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) AS quote, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE lang IN ('en', 'fr'))
+ SELECT dimension, count(*) FILTER (WHERE lang = 'en') AS left_n, count(*) FILTER (WHERE lang = 'fr') AS right_n, max(doc_id) FILTER (WHERE lang = 'en' AND rn = 1) AS left_id, max(quote) FILTER (WHERE lang = 'en' AND rn = 1) AS left_quote,
+   max(doc_id) FILTER (WHERE lang = 'fr' AND rn = 1) AS right_id, max(quote) FILTER (WHERE lang = 'fr' AND rn = 1) AS right_quote FROM s GROUP BY 1 HAVING count(DISTINCT lang) = 2""")
 def c25(spark, sf):
-    g = table(spark, sf, "documents").groupBy(F.col("source").alias("dimension")).agg(F.count_if(F.col("lang") == "en").alias("left_n"), F.count_if(F.col("lang") == "fr").alias("right_n"))
-    return g.where("left_n > 0 and right_n > 0")
+    d = table(spark, sf, "documents").select(F.col("source").alias("dimension"), F.when(F.col("lang") == "en", "left").when(F.col("lang") == "fr", "right").alias("side"), F.col("doc_id").alias("id"), S.first_sentence(F.col("text")).alias("quote"), (-F.col("n_chars")).alias("place"))
+    return D.paired_sides(d.where("side is not null"), "dimension", "side", ["left", "right"], "id", "quote", "place")
 
 
-@query("c26_reviewed_delta", "WITH delta AS (SELECT conv_id AS doc_id, bool_and(length(text) > 20) AS ok, max(text) AS note FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT d.doc_id, CASE WHEN delta.ok THEN 'applied' WHEN delta.ok IS NOT NULL THEN 'rejected' ELSE 'pending' END AS state FROM labels d LEFT JOIN delta USING (doc_id)")
+@query("c26_reviewed_delta", """WITH x AS (SELECT *, CASE WHEN doc_id % 3 = 2 OR coalesce(text, '') = '' THEN 'pending' WHEN doc_id % 2 = 0 OR contains(text, 'a quote from elsewhere') THEN 'applied' ELSE 'rejected' END AS state FROM documents)
+ SELECT doc_id, state, CASE WHEN state = 'applied' THEN 'revised' ELSE source END AS source, CASE WHEN state = 'applied' AND doc_id % 5 = 0 THEN 'xx' ELSE lang END AS lang FROM x""")
 def c26(spark, sf):
-    delta = table(spark, sf, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.bool_and(F.length("text") > 20).alias("ok"))
-    state = rules.cascade([("applied", F.col("ok")), ("rejected", F.col("ok").isNotNull())], "pending")
-    return table(spark, sf, "labels").select("doc_id").join(delta, "doc_id", "left").select("doc_id", state.alias("state"))
+    d = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    k = F.col("doc_id")
+    quotes = F.array(F.substring("text", 5, 30), F.when(k % 2 == 0, F.substring("text", 20, 25)).otherwise("a quote from elsewhere"))
+    deltas = d.where(k % 3 != 2).select("doc_id", quotes.alias("quotes"), F.lit("revised").alias("source"), F.when(k % 5 == 0, "xx").alias("lang"))
+    return D.delta_applied(d, deltas, "doc_id", "text", ["source", "lang"]).select("doc_id", "state", "source", "lang")
 
 
 @query("c31_code_labels", "WITH w AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS code, unnest(range(len(string_split(p_type, ' ')))) AS pos FROM part) SELECT p_partkey, string_agg(CASE code WHEN 'STEEL' THEN 'iron' WHEN 'TIN' THEN 'stannum' ELSE code END, ' ' ORDER BY pos) AS text, count(*) FILTER (WHERE code IN ('STEEL', 'TIN')) AS replaced FROM w GROUP BY 1")

@@ -47,18 +47,17 @@ def c1(spark, sf):
 
 @query(
     "c3_metrics_enrichment",
-    """WITH metrics AS (SELECT n_name AS name, n_nationkey * 1.5 AS factor FROM nation WHERE n_nationkey % 4 <> 0),
-         docs AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE lower(n_name) || ' ' END AS journal FROM customer JOIN nation ON c_nationkey = n_nationkey)
-       SELECT c_custkey, round(coalesce(e.factor, f.factor), 3) AS factor FROM docs LEFT JOIN metrics e ON journal = e.name LEFT JOIN metrics f ON trim(lower(journal)) = lower(f.name)""",
+    """WITH metrics AS (SELECT n_name AS name, CASE WHEN n_nationkey % 6 = 1 THEN 0 ELSE n_nationkey * 1.5 END AS factor FROM nation WHERE n_nationkey % 4 <> 0),
+         docs AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 9.0 WHEN c_custkey % 5 = 1 THEN 0 END AS own, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE lower(n_name) || ' ' END AS journal FROM customer JOIN nation ON c_nationkey = n_nationkey)
+       SELECT c_custkey, CAST(round(coalesce(nullif(own, 0), nullif(e.factor, 0), nullif(f.factor, 0)), 3) AS DOUBLE) AS factor FROM docs LEFT JOIN metrics e ON journal = e.name LEFT JOIN metrics f ON trim(lower(journal)) = lower(f.name)""",
 )
 def c3(spark, sf):
     n = table(spark, sf, "nation")
-    metrics = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 1.5).alias("factor"))
-    docs = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lower("n_name"), F.lit(" "))).alias("journal"))
-    exact = metrics.select(F.col("name").alias("journal"), F.col("factor").alias("exact"))
-    loose = metrics.select(F.lower("name").alias("__key"), F.col("factor").alias("loose"))
-    j = docs.join(exact, "journal", "left").withColumn("__key", F.trim(F.lower("journal"))).join(loose, "__key", "left")
-    return j.select("c_custkey", F.round(F.coalesce("exact", "loose"), 3).cast("double").alias("factor"))
+    k = F.col("n_nationkey")
+    metrics = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("name"), F.when(k % 6 == 1, 0.0).otherwise(k * 1.5).alias("factor"))
+    own = F.when(F.col("c_custkey") % 5 == 0, 9.0).when(F.col("c_custkey") % 5 == 1, 0.0)
+    docs = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", own.alias("factor"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lower("n_name"), F.lit(" "))).alias("journal"))
+    return merging.enriched(docs, metrics, "journal", "name", "factor").select("c_custkey", F.round("factor", 3).alias("factor"))
 
 
 @query(
@@ -81,16 +80,13 @@ def c5(spark, sf):
 
 @query(
     "c6_name_canonicalisation",
-    """WITH short AS (SELECT DISTINCT split_part(n_name, ' ', 1) AS s FROM nation UNION SELECT lower(n_name) FROM nation), dict AS (SELECT n_name, n_nationkey FROM nation)
-       SELECT s AS short, coalesce((SELECT min(n_name) FROM dict WHERE lower(n_name) = lower(s)), (SELECT arg_min(n_name, n_nationkey) FROM dict WHERE contains(lower(n_name), lower(s)))) AS name FROM short""",
+    """WITH short AS (SELECT DISTINCT split_part(n_name, ' ', 1) AS s FROM nation UNION SELECT lower(n_name) FROM nation UNION SELECT 'the ' || lower(n_name) || ' group' FROM nation UNION SELECT 'zzz' ), dict AS (SELECT n_name, n_nationkey FROM nation)
+       SELECT s AS short, coalesce((SELECT min(n_name) FROM dict WHERE lower(n_name) = lower(s)), (SELECT arg_min(n_name, n_nationkey) FROM dict WHERE contains(lower(n_name), lower(s)) OR len(list_filter(string_split(lower(s), ' '), lambda w: length(w) >= 4 AND contains(lower(n_name), w))) > 0)) AS name FROM short""",
 )
 def c6(spark, sf):
     n = table(spark, sf, "nation")
-    short = n.select(F.split("n_name", " ")[0].alias("short")).union(n.select(F.lower("n_name"))).distinct()
-    d = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))  # a dictionary of names: bounded
-    j = short.join(F.broadcast(d), F.contains(F.lower("name"), F.lower("short")))
-    exact = F.lower("name") == F.lower("short")
-    return j.groupBy("short").agg(F.coalesce(F.min(F.when(exact, F.col("name"))), F.min_by("name", "ord")).alias("name"))
+    short = n.select(F.split("n_name", " ")[0].alias("short")).union(n.select(F.lower("n_name"))).union(n.select(F.concat(F.lit("the "), F.lower("n_name"), F.lit(" group")))).union(spark.createDataFrame([("zzz",)], "short string")).distinct()
+    return merging.canonical_names(short, "short", n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord")))
 
 
 SNAP_SQL = """snapday AS (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders),
