@@ -189,3 +189,51 @@ def test_references_are_numbered_in_each_publication(spark):
     known = spark.createDataFrame([(9,), (7,)], "ref long")
     got = {tuple(r) for r in decisions.numbered_references(cited, known, "pub", "at", "ref").collect()}
     assert got == {("p", 9, 1), ("p", 7, 2), ("p", 4, None), ("q", 7, 1)}
+
+
+def test_author_roles_and_mails(spark):
+    rows = [(1, [("A", ["x a@b.org; y a@b.org."], True), ("B", None, True), ("C", [None, "z"], False)]), (2, [("D", [], False), ("E", ["no mail"], True)]), (3, []), (4, None)]
+    papers = spark.createDataFrame(rows, "paper int, authors array<struct<author: string, affiliations: array<string>, equal: boolean>>")
+    got = {r["author"]: (r["pos"], r["emails"], r["is_first"], r["is_last"], r["is_corresponding"], r["corresponding_by"]) for r in readers.author_rows(papers, "paper", "authors").collect()}
+    assert got == {
+        "A": (1, ["a@b.org"], True, False, True, "email"), "B": (2, [], True, False, False, "email"), "C": (3, [], False, True, False, "email"),
+        "D": (1, [], True, False, False, "last author"), "E": (2, [], False, True, True, "last author"),
+    }
+
+
+def test_tables_in_html_and_spreadsheets(spark, tmp_path):
+    df = spark.createDataFrame([(1, "<table><TR><th>A b:</th><td>1</td></tr><tr><td>a B</td><td>2</td></tr><tr><td>alone</td></tr></table>"), (2, ""), (3, None)], "id int, html string")
+    got = {r["id"]: (r["n"], r["m"]) for r in df.select("id", F.size(readers.html_rows(F.col("html"))).alias("n"), readers.first_values(readers.html_rows(F.col("html"))).alias("m")).collect()}
+    assert got == {1: (3, {"ab": "1"}), 2: (0, {}), 3: (0, {})}
+    cell = '<Cell><Data ss:Type="String">{}</Data></Cell>'
+    lines = [["junk"], ["Number", "The title"], ["7", "a&nbsp;&amp; b &what;"], ["", "no key"]]
+    (tmp_path / "s.xml").write_text("<Workbook><Table>" + "".join("<Row ss:Height='1'>\n" + "\n".join(cell.format(c) for c in r) + "</Row>\n" for r in lines) + "</Table></Workbook>")
+    found = readers.spreadsheet_table(spark, str(tmp_path / "s.xml"), {"number": "id", "thetitle": "title"}, "id").collect()
+    assert [tuple(r) for r in found] == [("7", "a & b &what;")]
+
+
+def test_deltas_are_applied_whole_or_not_at_all(spark):
+    docs = spark.createDataFrame([(1, "one two", "a"), (2, "one two", "a"), (3, None, "a"), (4, "x", "a"), (5, "one", "a")], "id int, text string, f string")
+    deltas = spark.createDataFrame([(1, ["one", "two"], "b"), (2, ["one", "three"], "b"), (3, ["one"], "b"), (5, ["one"], None)], "id int, quotes array<string>, f string")
+    got = {r["id"]: (r["state"], r["f"]) for r in decisions.delta_applied(docs, deltas, "id", "text", ["f"]).collect()}
+    assert got == {1: ("applied", "b"), 2: ("rejected", "a"), 3: ("pending", "a"), 4: ("pending", "a"), 5: ("applied", "a")}
+
+
+def test_graph_health_of_lonely_and_heavy_nodes(spark):
+    edges = spark.createDataFrame([(1, 2, 90), (2, 3, 10)], "a int, b int, n long")
+    nodes = spark.createDataFrame([(1, "drug"), (2, "topic"), (3, "drug"), (4, "topic")], "node int, kind string")
+    got = {r["node"]: (r["degree"], r["weight"], r["weak"], r["oversized"], r["isolated"], r["missing"]) for r in graphs.health(edges, nodes, ["drug", "topic"], 20, 0.9, 2).collect()}
+    assert got == {1: (1, 90, 0, True, False, ["drug"]), 2: (2, 100, 1, True, False, ["topic"]), 3: (1, 10, 1, False, False, ["drug"]), 4: (0, 0, 0, False, True, ["drug", "topic"])}
+    none = graphs.health(edges.limit(0), nodes, ["drug"], 20, 0.9, 2).collect()
+    assert len(none) == 4 and all(r["isolated"] and not r["oversized"] for r in none)
+
+
+def test_names_labels_phases_and_search(spark):
+    names = spark.createDataFrame([("LANCET",), ("New England",), ("of it",), (None,)], "short string")
+    d = spark.createDataFrame([("Lancet", 1), ("The New England Journal", 2), ("England today", 3)], "name string, ord int")
+    assert {r["short"]: r["name"] for r in merging.canonical_names(names, "short", d).collect()} == {"LANCET": "Lancet", "New England": "The New England Journal", "of it": None, None: None}
+    t = spark.createDataFrame([("1* The  Big\nClinic. ;", "Phase II/III"), ("Theatre", "none"), (None, None)], "a string, p string")
+    assert [tuple(r) for r in t.select(S.org_label(F.col("a")), S.phase_digits(F.col("p"))).collect()] == [("Big Clinic", "2/3"), ("Theatre", ""), (None, "")]
+    p = spark.createDataFrame([("Ann Lee", "Ann Lee oncology")], "n string, t string")
+    score = lambda q: p.select(ranking.search_score(q, F.col("n"), F.col("t"), F.lit(1)).alias("s")).first()["s"]
+    assert (score("ann lee"), score("oncology"), score("xyz"), score("  ")) == (6 + 6 + 12 + 4 + 1, 3 + 6 + 1, 1, 1)
