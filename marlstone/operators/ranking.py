@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,12 @@ def search_score(query: str, name: Column, text: Column, base: Column) -> Column
     compact = "".join(c for c in query.lower() if c.isascii() and c.isalnum())
     closed = F.contains(F.regexp_replace(lname, "[^a-z0-9]", ""), F.lit(compact)) if compact else F.lit(False)
     return 3 * hits + 6 * (hits == len(tokens)).cast("int") + 12 * closed.cast("int") + 4 * F.startswith(lname, F.lit(tokens[0])).cast("int") + base
+
+
+def ordered_by_modes(df: DataFrame, modes: dict[str, list[Column]], key: str, k: int) -> DataFrame:
+    """(mode, key, place): the first k rows in each mode's order, ties to the smaller key."""
+    parts = []
+    for mode, order in modes.items():
+        first = df.orderBy(*order, F.asc(key)).limit(k)
+        parts.append(first.select(F.lit(mode).alias("mode"), key, F.row_number().over(Window.orderBy(*order, F.asc(key))).alias("place")))  # k rows
+    return reduce(DataFrame.unionByName, parts)

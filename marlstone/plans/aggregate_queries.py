@@ -477,10 +477,14 @@ def e5(spark, sf):
     return ranking.mode_of(table(spark, sf, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", F.col("o_orderpriority").alias("usual"), "n")
 
 
-@query("e6_composite_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS INT) AS place FROM (SELECT * FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50)")
+@query("e6_composite_order", """WITH m AS (SELECT 'importance' AS mode, o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders UNION ALL SELECT 'newest', o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority, o_orderkey) FROM orders
+  UNION ALL SELECT 'largest', o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) FROM orders) SELECT mode, o_orderkey, CAST(place AS INT) AS place FROM m WHERE place <= 50""")
 def e6(spark, sf):
-    order = [F.asc("o_orderpriority"), F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")]
-    return table(spark, sf, "orders").orderBy(*order).limit(50).select("o_orderkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    modes = {
+        "importance": [F.asc("o_orderpriority"), F.desc_nulls_last("o_totalprice")], "newest": [F.desc_nulls_last("o_orderdate"), F.asc("o_orderpriority")],
+        "largest": [F.desc_nulls_last("o_totalprice"), F.desc_nulls_last("o_orderdate")],
+    }
+    return ranking.ordered_by_modes(table(spark, sf, "orders"), modes, "o_orderkey", 50)
 
 
 @query("e7_review_queue", f"WITH {BEST_SQL}, q AS (SELECT doc_id, 'unassigned' AS reason, 0 AS p FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM best) UNION ALL SELECT doc_id, 'low', 1 FROM best WHERE best_score < 2 UNION ALL SELECT doc_id, 'conflict', 2 FROM best WHERE s2 > 0 AND s2 >= 0.75 * best_score) SELECT doc_id, arg_min(reason, p) AS reason FROM q GROUP BY 1 ORDER BY doc_id LIMIT 200")
