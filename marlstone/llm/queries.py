@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language_id, mixing, near_dedup, sharding, topk, toxicity, warc
+from . import bpe, chat, fingerprints, language_id, lexical, mixing, near_dedup, sharding, topk, toxicity, variants, warc
 from .common import id_remainder, new_path, table, written
 
 
@@ -152,6 +152,32 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.count_words(table(spark, sf_dir, "documents")))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), counted AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT r, sum(tf) AS n FROM counted GROUP BY r), whole AS (SELECT count(*) AS docs, sum(n) AS terms FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), held AS (SELECT term, count(*) AS df FROM counted WHERE term IN (SELECT term FROM asked) GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM held, whole),
+scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (r), whole GROUP BY ALL
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0 AND doc_id IS NOT NULL AND item_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -161,7 +187,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints,
     "op5_near_dedup": op5_near_dedup, "op6_chat_format": op6_chat_format, "op7_mix_budget": op7_mix_budget, "op8_exact_topk": op8_exact_topk,
-    "op9_slot_sharding": op9_slot_sharding, "op10_bpe": op10_bpe, "pipeline": pipeline,
+    "op9_slot_sharding": op9_slot_sharding, "op10_bpe": op10_bpe, "op11_variants": op11_variants, "op12_lexical": op12_lexical, "pipeline": pipeline,
 }
 
-SQL = {"op6_chat_format": OP6_SQL, "op8_exact_topk": OP8_SQL}
+SQL = {"op6_chat_format": OP6_SQL, "op8_exact_topk": OP8_SQL, "op12_lexical": OP12_SQL}
