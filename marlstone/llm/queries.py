@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language_id, lexical, mixing, near_dedup, sharding, topk, toxicity, variants, warc
+from . import bpe, chat, fingerprints, language_id, lexical, mixing, near_dedup, quality, sharding, topk, toxicity, variants, warc
 from .common import id_remainder, new_path, table, written
 
 
@@ -178,6 +178,14 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "quality")
+    model = quality.fit_quality(docs, labels)
+    return quality.score_quality(docs, model).select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -187,7 +195,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints,
     "op5_near_dedup": op5_near_dedup, "op6_chat_format": op6_chat_format, "op7_mix_budget": op7_mix_budget, "op8_exact_topk": op8_exact_topk,
-    "op9_slot_sharding": op9_slot_sharding, "op10_bpe": op10_bpe, "op11_variants": op11_variants, "op12_lexical": op12_lexical, "pipeline": pipeline,
+    "op9_slot_sharding": op9_slot_sharding, "op10_bpe": op10_bpe, "op11_variants": op11_variants, "op12_lexical": op12_lexical, "op13_quality": op13_quality, "pipeline": pipeline,
 }
 
 SQL = {"op6_chat_format": OP6_SQL, "op8_exact_topk": OP8_SQL, "op12_lexical": OP12_SQL}

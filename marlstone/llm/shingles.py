@@ -44,22 +44,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash for each word of the lower-cased text, in order. Words are runs of letters, digits and underscores."""
-    if not text:
-        return np.empty(0, np.uint64)
-    s = fold_table("word")[code_points(text)]
+def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and lower-cased hashes of the words of a text given by its code points, in order. Words are runs of letters, digits and underscores."""
+    s = fold_table("word")[points]
     inside = s != SPACE
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
+        return start, end, np.empty(0, np.uint64)
     up, down = _powers(len(s) + 1)
     with np.errstate(over="ignore"):
         run = np.empty(len(s) + 1, np.uint64)
         run[0] = 0
         np.cumsum((s.astype(np.uint64) + np.uint64(1)) * up[: len(s)], out=run[1:])
-        return mix64((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)
+        return start, end, mix64((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash for each word of the lower-cased text, in order."""
+    return word_spans(code_points(text))[2] if text else np.empty(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
