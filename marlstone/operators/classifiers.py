@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.rules import any_of, cascade, has
+from marlstone.operators.rules import among, cascade, found, has, let
 
 
 @dataclass(frozen=True)
@@ -22,16 +22,21 @@ class Step:
     kind: str = "substring"
 
 
-def step_test(text: Column, s: Step) -> Column:
-    out = any_of(text, list(s.any_terms), s.kind) if s.any_terms else F.lit(True)
+def step_terms(steps: Sequence[Step]) -> list[tuple[str, str]]:
+    return [(t, s.kind) for s in steps for t in (*s.any_terms, *s.all_terms, *s.no_terms)]
+
+
+def step_test(hits: Column, s: Step) -> Column:
+    """Whether a step fits a text of which the found terms are given."""
+    out = among(hits, s.any_terms, s.kind) if s.any_terms else F.lit(True)
     for t in s.all_terms:
-        out = out & has(text, t, s.kind)
-    return out & ~any_of(text, list(s.no_terms), s.kind) if s.no_terms else out
+        out = out & among(hits, [t], s.kind)
+    return out & ~among(hits, s.no_terms, s.kind) if s.no_terms else out
 
 
 def by_steps(text: Column, steps: Sequence[Step], default: str) -> Column:
-    """The label of the first step that fits the lower-cased text."""
-    return cascade([(s.label, step_test(text, s)) for s in steps], default)
+    """The label of the first step that fits the lower-cased text, whose terms are found in one pass."""
+    return let(found(text, step_terms(steps)), lambda hits: cascade([(s.label, step_test(hits, s)) for s in steps], default))
 
 
 def level_of(label: Column, levels: dict[str, str], default: str | None = None) -> Column:
@@ -92,7 +97,7 @@ def decision(levels: Sequence[Column], table: dict[tuple[str, ...], str], defaul
 
 def flags(text: Column, steps: Sequence[Step]) -> Column:
     """Labels of all steps that fit the lower-cased text, in order."""
-    return F.array_compact(F.array(*[F.when(step_test(text, s), F.lit(s.label)) for s in steps]))
+    return let(found(text, step_terms(steps)), lambda hits: F.array_compact(F.array(*[F.when(step_test(hits, s), F.lit(s.label)) for s in steps])))
 
 
 def contexts(text: Column, pattern: str, before: int, after: int) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.rules import any_of, cascade, mentions
+from marlstone.operators.rules import among, cascade, found, let, mentions
 
 
 def relevance(title: Column, body: Column, metadata: Column, core: list[str], competing: list[str]) -> Column:
@@ -18,15 +18,21 @@ def relevance(title: Column, body: Column, metadata: Column, core: list[str], co
     keep; one drops it as background; none drops it. Texts must be lower-cased; nulls count as blank.
     """
     t, b = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
-    n = mentions(F.concat_ws(" ", t, b), core)
-    reason = cascade(
-        [
-            ("explicit_title", any_of(t, core, "word")), ("competing_title", any_of(t, competing, "word")), ("metadata_term", F.exists(metadata, lambda m: F.lower(m).isin(*core))),
-            ("repeated_mention", n >= 2), ("background_mention", n == 1),
-        ],
-        "no_mention",
-    )
-    return F.struct(reason.isin("explicit_title", "metadata_term", "repeated_mention").alias("keep"), reason.alias("reason"), n.cast("long").alias("mentions"))
+    words = [(x, "word") for x in (*core, *competing)]
+    seen = F.struct(found(t, words).alias("title"), F.exists(metadata, lambda m: F.lower(m).isin(*core)).alias("metadata"), mentions(F.concat_ws(" ", t, b), core).cast("long").alias("n"))
+
+    def judged(seen: Column) -> Column:
+        reason = cascade(
+            [
+                ("explicit_title", among(seen["title"], core, "word")), ("competing_title", among(seen["title"], competing, "word")), ("metadata_term", seen["metadata"]),
+                ("repeated_mention", seen["n"] >= 2), ("background_mention", seen["n"] == 1),
+            ],
+            "no_mention",
+        )
+        return F.struct(reason.alias("reason"), seen["n"].alias("mentions"))
+
+    # each text is read once: what it shows is bound before the reason is looked for, the reason before it is judged
+    return let(let(seen, judged), lambda j: F.struct(j["reason"].isin("explicit_title", "metadata_term", "repeated_mention").alias("keep"), j["reason"].alias("reason"), j["mentions"].alias("mentions")))
 
 
 def first_stop(gates: Sequence[tuple[str, Column]], kept: str = "kept") -> Column:

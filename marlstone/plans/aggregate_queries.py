@@ -15,7 +15,7 @@ query = group.add
 
 def scored(spark, sf):
     """(doc_id, label, score, ord) by the term rules."""
-    m = rules.matched(table(spark, sf, "documents"), "doc_id", "text", rules.rule_table(spark, TERMS))
+    m = rules.matched_rules(table(spark, sf, "documents"), "doc_id", "text", TERMS)
     return m.groupBy("doc_id", "label").agg(F.sum("weight").alias("score"), F.min("ord").alias("ord"))
 
 
@@ -403,7 +403,7 @@ def d33(spark, sf):
 
 @query("d34_question_matrix", f"WITH {HITS_SQL}, h AS (SELECT label AS question, doc_id, count(*) AS hits FROM hits GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY hits DESC, doc_id DESC) AS INT) AS rank FROM h) SELECT * FROM r WHERE rank <= 6")
 def d34(spark, sf):
-    m = rules.matched(table(spark, sf, "documents"), "doc_id", "text", rules.rule_table(spark, TERMS))
+    m = rules.matched_rules(table(spark, sf, "documents"), "doc_id", "text", TERMS)
     h = m.groupBy(F.col("label").alias("question"), "doc_id").agg(F.count("*").alias("hits")).where("hits >= 2")
     return ranking.top_k(h, ["question"], [F.desc("hits"), F.desc("doc_id")], 6)
 

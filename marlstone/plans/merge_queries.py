@@ -194,7 +194,7 @@ MORE_SQL = """more AS (SELECT doc_id, label, term, weight, ord FROM documents, (
 
 @query("c16_term_match", f"WITH {HITS_SQL}, {MORE_SQL} SELECT doc_id, label, CAST(sum(weight) AS DOUBLE) AS score, string_agg(term, ';' ORDER BY ord) AS terms FROM (SELECT * FROM hits UNION ALL SELECT * FROM more) GROUP BY ALL")
 def c16(spark, sf):
-    m = rules.matched(table(spark, sf, "documents"), "doc_id", "text", rules.rule_table(spark, TERMS + MORE_TERMS))
+    m = rules.matched_rules(table(spark, sf, "documents"), "doc_id", "text", TERMS + MORE_TERMS)
     terms = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"])  # as many as a label has terms
     return m.groupBy("doc_id", "label").agg(F.sum("weight").alias("score"), F.array_join(terms, ";").alias("terms"))
 
