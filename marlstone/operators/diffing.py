@@ -48,18 +48,20 @@ def change_events(current: DataFrame, baseline: DataFrame, key: str, status: str
     return out.select(key, F.explode(events).alias("event"))
 
 
-def change_map(current: DataFrame, baseline: DataFrame, key: str, tracked: list[str], placeholder: Column | None = None) -> DataFrame:
+def change_map(current: DataFrame, baseline: DataFrame, key: str, tracked: list[str], fillable: list[str] | None = None) -> DataFrame:
     """(key, kind, changes, filled): added, removed, updated, enriched or unchanged rows, with a map of field to before/after.
 
-    A move from an empty value to a value is in `filled` and makes the row `enriched` if nothing else changed; other moves are in `changes`.
+    A move from an empty value to a value, in one of the fillable fields (None: all are), is in `filled` and makes the row `enriched` if nothing else changed; other moves are in
+    `changes`. Null and blank values are one value.
     """
     j = joined(current, baseline, key)
     empty = lambda c: c.isNull() | F.trim(c).isin("", "Unknown", "-", "N/A")
     pair = lambda f: F.struct(F.col(f"old.{f}").cast("string").alias("before"), F.col(f"cur.{f}").cast("string").alias("after"))
+    fills = lambda f, v: empty(v["before"]) & ~empty(v["after"]) & (f.isin(fillable) if fillable is not None else F.lit(True))
     every = F.map_from_arrays(F.array(*[F.lit(f) for f in tracked]), F.array(*[pair(f) for f in tracked]))
-    moved = F.map_filter(every, lambda _, v: ~v["before"].eqNullSafe(v["after"]))
+    moved = F.map_filter(every, lambda _, v: F.coalesce(v["before"], F.lit("")) != F.coalesce(v["after"], F.lit("")))
     both = F.col("cur").isNotNull() & F.col("old").isNotNull()
-    out = j.select(key, "cur", "old", moved.alias("m")).select(key, "cur", "old", F.map_filter("m", lambda _, v: ~empty(v["before"])).alias("changes"), F.map_filter("m", lambda _, v: empty(v["before"])).alias("filled"))
+    out = j.select(key, "cur", "old", moved.alias("m")).select(key, "cur", "old", F.map_filter("m", lambda f, v: ~fills(f, v)).alias("changes"), F.map_filter("m", fills).alias("filled"))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("cur").isNull(), "removed").when(F.size("changes") > 0, "updated").when(F.size("filled") > 0, "enriched").otherwise("unchanged")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<before:string,after:string>>"))
     return out.select(key, kind.alias("kind"), F.when(both, F.col("changes")).otherwise(none).alias("changes"), F.when(both, F.col("filled")).otherwise(none).alias("filled"))

@@ -79,24 +79,43 @@ def subgraph(edges: DataFrame, keep: Column, most: int) -> tuple[DataFrame, Data
     return n, inner
 
 
-def components(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) of every id: label is the least id of its connected component. ids: (node); links: (a, b).
+#: Rows of one key from which a join on it is not left to one task.
+HOT = 1 << 16
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows joined to a table with one row for each key. Keys of HOT rows or more, at most one in HOT of the rows, are broadcast with their value; the others are shuffled."""
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select(key), "hot-keys")
+    if counts.isEmpty():
+        return rows.join(table, key)
+    hot = table.join(counts, key, "left_semi")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(counts), key, "left_anti").join(table, key))
+
 
-    Each node takes the least label of itself and its neighbours, then its label's label, until nothing changes; every round is written to the
+def least_reached(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of every id: the least id that can be reached from it along links, itself included. ids: (node); links: (a, b), from a to b.
+
+    Each node takes the least label of itself and of those it links to, then its label's label, until nothing changes; every round is written to the
     shared folder, and labels stay on the executors.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "component-links")
-    labels = written(ids.select("node").distinct().withColumn("label", F.col("node")), "component-labels")
+    links = written(links.select("a", "b").where("a <> b").distinct(), "links")
+    labels = written(ids.select("node").distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = _looked_up(links, "b", labels.select(F.col("node").alias("b"), "label")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        hooked = written(hooked, "labels-hooked")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        stepped = written(hooked.join(jump, "label").select("node", "was", F.least("label", "next").alias("label")), "component-labels")
+        stepped = written(_looked_up(hooked, "label", jump).select("node", "was", F.least("label", "next").alias("label")), "labels")
         labels = stepped.select("node", "label")
         if stepped.where("label <> was").isEmpty():
             return labels
 
 
+def components(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of every id: label is the least id of its connected component. ids: (node); links: (a, b), in either direction."""
+    return least_reached(ids, links.select("a", "b").union(links.select("b", "a")))
+
+
 def shared_key_components(records: DataFrame, node: str, keys: Column) -> DataFrame:
     """(node, label): records that share a key, directly or over others, have one label. keys: an array column; null keys link nothing.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.graphs import least_reached
+from marlstone.sources.shared import written
+
 
 def filled(df: DataFrame, column: str) -> Column:
     """Whether a value counts: not null, not a blank string, not an empty array."""
@@ -105,3 +108,54 @@ def canonical_names(names: DataFrame, name: str, dictionary: DataFrame, least: i
     held = F.contains("low_", F.lower(name)) | F.exists(words, lambda w: F.contains(F.col("low_"), w))
     rest = j.where("same_ is null").select(name).join(d, held, "left").groupBy(name).agg(F.min_by("entry_", "ord_").alias("name"))
     return j.where("same_ is not null").select(name, F.col("same_").alias("name")).unionByName(rest)
+
+
+def earlier_records(records: DataFrame, order: str, ids: Column, title: Column, least: int = 40, merged_titles: bool = False) -> DataFrame:
+    """(a, b, how): links from records to earlier ones, `a` and `b` being values of the unique column `order`, by which records come one after another.
+
+    By `id`: to the record before it that carries one of the same ids. Only records without such a link go by `title`: its letters and digits in lower case, if they are `least` or more. They link to the
+    first record with that title that went by no id, or, with merged_titles, to the last record before them with that title. Blank ids link nothing.
+    """
+    r = records.select(F.col(order).alias("a"), F.array_distinct(F.filter(F.transform(ids, lambda x: F.lower(F.trim(x))), lambda x: x != "")).alias("__ids"), F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "").alias("__title"))
+    before = F.lag("a").over(Window.partitionBy("__id").orderBy("a"))
+    by_id = r.select("a", F.explode("__ids").alias("__id")).select("a", before.alias("b")).where("b is not null").distinct()
+    titled = r.where(F.length("__title") >= least).select("a", "__title")
+    if merged_titles:
+        titled = titled.withColumn("b", F.lag("a").over(Window.partitionBy("__title").orderBy("a"))).join(by_id.select("a").distinct(), "a", "left_anti")
+    else:
+        free = titled.join(by_id.select("a").distinct(), "a", "left_anti")
+        titled = free.join(free.groupBy("__title").agg(F.min("a").alias("b")), "__title")
+    by_title = titled.where("b < a").select("a", "b")
+    return by_id.withColumn("how", F.lit("id")).unionByName(by_title.withColumn("how", F.lit("title")))
+
+
+def ordered_merge(records: DataFrame, order: str, ids: Column, title: Column, least: int = 40, merged_titles: bool = False) -> DataFrame:
+    """(order, survivor, how): the record that each one is merged into, itself if it is `first`.
+
+    Records come in the order of a unique column. One that shares an id with records before it joins the oldest of their survivors, and its ids count for that one from then on; else it joins
+    by its title (see earlier_records). Two survivors that a later record links stay two: a record joins earlier ones only. What it joins is the least record that it reaches along links to earlier
+    ones, which Spark finds by doubling steps, without going through the records one by one.
+    """
+    links = written(earlier_records(records, order, ids, title, least, merged_titles), "earlier")
+    merged = least_reached(records.select(F.col(order).alias("node")), links)
+    how = links.groupBy(F.col("a").alias("node")).agg(F.min("how").alias("how"))
+    return merged.join(how, "node", "left").select(F.col("node").alias(order), F.col("label").alias("survivor"), F.coalesce("how", F.lit("first")).alias("how"))
+
+
+def numbered(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """df with each row's place in its group, from 0."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+
+
+def merged_events(events: DataFrame, survivor: str, order: str, material: str) -> DataFrame:
+    """(survivor, n, kept, materiality, refs, source_events, cross_ids, candidate) of events(survivor, order, material, ref, ref_id, source_event, event, cross_id).
+
+    The most material event of each survivor is kept, the first of several; references, source events and cross ids are those of all, each once and sorted. candidate: the reference
+    ids and the kept event's kind. The sets hold an entry for each distinct value of one event's registries, as the merged record does.
+    """
+    sorted_set = lambda c, by: F.array_join(F.array_sort(F.collect_set(c)), by)
+    best = F.max(F.struct(F.col(material).alias("material"), (-F.col(order)).alias("less"), F.col("event").alias("event"))).alias("best")
+    g = events.groupBy(survivor).agg(
+        F.count("*").alias("n"), best, sorted_set("ref", ",").alias("refs"), sorted_set("source_event", ",").alias("source_events"), sorted_set("cross_id", ",").alias("cross_ids"), sorted_set("ref_id", "|").alias("ids")
+    )
+    return g.select(survivor, "n", (-F.col("best.less")).alias("kept"), F.col("best.material").alias("materiality"), "refs", "source_events", "cross_ids", F.concat("ids", F.lit(":"), "best.event").alias("candidate"))

@@ -34,32 +34,6 @@ def e2(spark, sf):
     return best(spark, sf)
 
 
-@query("c11_registry_dedup", """WITH RECURSIVE k AS (SELECT s_suppkey AS node, unnest(['n' || (s_suppkey % 40), CASE WHEN s_nationkey < 5 THEN 'c' || s_nationkey END]) AS key FROM supplier),
- l(a, b) AS (SELECT DISTINCT x.node, y.node FROM k x JOIN k y ON x.key = y.key), r(node, lab) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT l.b, r.lab FROM r JOIN l ON l.a = r.node)
- SELECT node, min(lab) AS label FROM r GROUP BY 1""")
-def c11(spark, sf):
-    s = table(spark, sf, "supplier")
-    keys = F.array(F.concat(F.lit("n"), (F.col("s_suppkey") % 40).cast("string")), F.when(F.col("s_nationkey") < 5, F.concat(F.lit("c"), F.col("s_nationkey").cast("string"))))
-    return graphs.shared_key_components(s, "s_suppkey", keys)
-
-
-@query("c12_event_merge", """WITH RECURSIVE k AS (SELECT doc_id, unnest([CASE WHEN length(title) >= 40 THEN 't' || title END, CASE WHEN doc_id % 10 < 2 THEN 'a' || doc_id // 10 END]) AS key FROM (SELECT doc_id, regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+', '', 'g') AS title FROM documents)),
- heads AS (SELECT key, min(doc_id) AS a FROM k WHERE key IS NOT NULL GROUP BY 1), l AS (SELECT DISTINCT a, doc_id AS b FROM k JOIN heads USING (key) UNION SELECT DISTINCT doc_id, a FROM k JOIN heads USING (key)),
- r(node, lab) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.lab FROM r JOIN l ON l.a = r.node), c AS (SELECT node AS doc_id, min(lab) AS label FROM r GROUP BY 1),
- m AS (SELECT c.label, d.doc_id, d.n_chars, d.source, CASE WHEN toxic = 1 THEN 3 WHEN quality = 1 THEN 2 ELSE 1 END AS materiality FROM c JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id))
- SELECT label, count(*) AS n, arg_max(doc_id, CAST(materiality AS BIGINT) * 1000000000 - doc_id) AS kept, max(materiality) AS materiality, string_agg(DISTINCT source, ',' ORDER BY source) AS refs FROM m GROUP BY 1""")
-def c12(spark, sf):
-    """Documents with a common alias id, or the same whole title of 40 letters and digits or more, are one event; the most material one stays."""
-    d = table(spark, sf, "documents")
-    title = F.regexp_replace(F.lower(F.substring_index("text", "\n", 1)), r"[^\p{L}\p{N}]+", "")
-    alias = F.when(F.col("doc_id") % 10 < 2, F.concat(F.lit("a"), F.floor(F.col("doc_id") / 10).cast("string")))
-    labels = graphs.shared_key_components(d, "doc_id", F.array(F.when(F.length(title) >= 40, F.concat(F.lit("t"), title)), alias)).withColumnRenamed("node", "doc_id")
-    weight = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 1, 2).otherwise(1)
-    j = d.select("doc_id", "source").join(labels, "doc_id").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("m", weight)
-    refs = F.array_join(F.array_sort(F.collect_set("source")), ",")
-    return j.groupBy("label").agg(F.count("*").alias("n"), F.max_by("doc_id", F.col("m").cast("long") * 1000000000 - F.col("doc_id")).alias("kept"), F.max("m").alias("materiality"), refs.alias("refs"))
-
-
 @query("c21_community_profile", f"WITH {BEST_SQL} SELECT source, best AS community, count(*) AS n FROM documents JOIN best USING (doc_id) GROUP BY ALL")
 def c21(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source").join(best(spark, sf), "doc_id").groupBy("source", F.col("best").alias("community")).agg(F.count("*").alias("n"))
@@ -358,14 +332,6 @@ def d27(spark, sf):
     return papers.select("region", "paper").distinct().groupBy("region").agg(F.count("*").alias("papers")).join(places, "region").join(leading, "region")
 
 
-@query("d28_pipeline_matrix", """SELECT p_type AS cls, p_brand AS drug, max(p_size) AS top_phase, count(DISTINCT l_orderkey) AS trials, count(DISTINCT CASE WHEN o_orderstatus = 'O' THEN l_orderkey END) AS open_trials, strftime(min(o_orderdate), '%Y-%m-%d') AS first_start
- FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
-def d28(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    j = li.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy(F.col("p_type").alias("cls"), F.col("p_brand").alias("drug")).agg(F.max("p_size").alias("top_phase"), F.countDistinct("l_orderkey").alias("trials"), F.countDistinct(F.when(F.col("o_orderstatus") == "O", F.col("l_orderkey"))).alias("open_trials"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_start"))
-
-
 @query("d29_active_pipeline", """WITH t AS (SELECT p_brand AS drug, l_orderkey AS trial, max(p_size) AS phase FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' AND p_size >= 10 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_partkey % 100 = 0) GROUP BY ALL),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY drug ORDER BY phase DESC, trial) AS INT) AS rank FROM t) SELECT drug, trial, phase, rank FROM r WHERE rank <= 5""")
 def d29(spark, sf):

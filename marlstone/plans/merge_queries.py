@@ -123,20 +123,6 @@ def c7(spark, sf):
     return diffing.summarised(diffing.change_events(cur, old, "id", "status", "first_post", "results", "updated", start), "id", 5)
 
 
-@query(
-    "c8_change_text",
-    f"""WITH {SNAP_SQL} SELECT c.id AS id, concat_ws('; ', CASE WHEN c.status IS DISTINCT FROM o.status THEN 'status: ' || o.status || ' -> ' || c.status END,
-         CASE WHEN c.results IS NOT NULL AND o.results IS NULL THEN 'results posted' END) AS text FROM cur c JOIN old o ON c.id = o.id WHERE c.status IS DISTINCT FROM o.status OR (c.results IS NOT NULL AND o.results IS NULL)""",
-)
-def c8(spark, sf):
-    cur, old = snapshots(spark, sf)
-    j = diffing.joined(cur, old, "id").where("cur is not null and old is not null")
-    text = diffing.change_text(
-        [(~F.col("cur.status").eqNullSafe(F.col("old.status")), F.concat(F.lit("status: "), F.col("old.status"), F.lit(" -> "), F.col("cur.status"))), (F.col("cur.results").isNotNull() & F.col("old.results").isNull(), F.lit("results posted"))]
-    )
-    return j.select("id", text.alias("text")).where("text <> ''")
-
-
 @query("c9_before_after_map", f"WITH {SNAP_SQL} SELECT c.id AS id, CASE WHEN c.status IS DISTINCT FROM o.status THEN o.status || '>' || c.status ELSE '' END AS status_move, CAST(c.status IS DISTINCT FROM o.status AS INT) + CAST(c.updated IS DISTINCT FROM o.updated AS INT) AS n FROM cur c JOIN old o ON c.id = o.id")
 def c9(spark, sf):
     cur, old = snapshots(spark, sf)
@@ -145,17 +131,6 @@ def c9(spark, sf):
     return m.select("id", F.coalesce(F.concat(s["before"], F.lit(">"), s["after"]), F.lit("")).alias("status_move"), F.size("changes").alias("n"))
 
 
-@query(
-    "c10_enriched_vs_updated",
-    """SELECT CASE WHEN p_partkey % 10 = 9 THEN 'removed' WHEN p_partkey % 10 = 8 THEN 'added' WHEN p_partkey % 4 = 1 THEN 'updated' WHEN p_partkey % 4 = 2 THEN 'enriched' ELSE 'unchanged' END AS kind, count(*) AS n FROM part GROUP BY 1""",
-)
-def c10(spark, sf):
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
-    old = p.where(k % 10 != 8).select(k.alias("id"), F.col("p_brand").alias("brand"), F.when(k % 4 == 2, "Unknown").otherwise(F.col("p_type")).alias("kind_"))
-    cur = p.where(k % 10 != 9).select(k.alias("id"), F.when(k % 4 == 1, F.concat("p_brand", F.lit("x"))).otherwise(F.col("p_brand")).alias("brand"), F.col("p_type").alias("kind_"))
-    return diffing.change_map(cur, old, "id", ["brand", "kind_"]).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query("c13_change_lookup", f"WITH {SNAP_SQL} SELECT c.id AS id, coalesce(cu.c_name, 'stub') AS name FROM cur c JOIN old o ON c.id = o.id JOIN orders r ON r.o_orderkey = c.id LEFT JOIN customer cu ON cu.c_custkey = r.o_custkey AND cu.c_custkey % 2 = 0 WHERE c.status IS DISTINCT FROM o.status")
 def c13(spark, sf):
     cur, old = snapshots(spark, sf)

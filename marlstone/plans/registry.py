@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregate_queries, classifier_queries, decision_queries, gate_queries, merge_queries, scalar_queries, slice_queries, source_queries
+from marlstone.plans import aggregate_queries, classifier_queries, decision_queries, gate_queries, merge_queries, scalar_queries, slice_queries, source_queries, trial_queries
 
-GROUPS = [scalar_queries.group, gate_queries.group, merge_queries.group, aggregate_queries.group, classifier_queries.group, decision_queries.group, source_queries.group, slice_queries.group]
+GROUPS = [scalar_queries.group, gate_queries.group, merge_queries.group, aggregate_queries.group, classifier_queries.group, decision_queries.group, source_queries.group, slice_queries.group, trial_queries.group]
 
 QUERIES = {name: fn for g in GROUPS for name, fn in g.queries.items()}
 SQL = {name: sql for g in GROUPS for name, sql in g.sql.items()}
