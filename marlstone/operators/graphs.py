@@ -14,15 +14,60 @@ def nodes(memberships: DataFrame, item: str, node: str, least: int = 1) -> DataF
     return memberships.groupBy(F.col(node).alias("node")).agg(F.countDistinct(item).alias("n")).where(F.col("n") >= least)
 
 
-def pairs(memberships: DataFrame, item: str, node: str, least: int = 1) -> DataFrame:
-    """(a, b, n): unordered pairs of nodes that share items, with the number of distinct items.
+#: Nodes of one item that a task pairs with all others of the item; items with more are split.
+SPLIT = 256
+
 
-    An item with k nodes gives k(k-1)/2 pairs: meant for items with few nodes (a paper's institutions, an order's suppliers); group by a coarser
-    item where that is not so.
+def item_pairs(memberships: DataFrame, item: str, node: str, split: int = SPLIT) -> DataFrame:
+    """(item, a, b): the unordered pairs of distinct nodes of each item, a < b. Null items and nodes pair with nothing.
+
+    An item with k nodes has k(k-1)/2 pairs, whatever is done; the nodes of one with more than `split` are dealt over several tasks, each of which meets all nodes of the item.
     """
     m = memberships.select(F.col(item).alias("__i"), F.col(node).alias("__n")).where("__i is not null and __n is not null").distinct()
-    other = m.select(F.col("__i"), F.col("__n").alias("__m"))
-    return m.join(other, "__i").where("__n < __m").groupBy(F.col("__n").alias("a"), F.col("__m").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sizes = m.groupBy("__i").agg(F.ceil(F.count("*") / split).cast("int").alias("__parts")).where("__parts > 1")
+    sized = m.join(sizes, "__i", "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    one = sized.select("__i", "__n", F.pmod(F.xxhash64("__n"), F.col("__parts")).cast("int").alias("__part"))
+    every = sized.select("__i", F.col("__n").alias("__m"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    return one.join(every, ["__i", "__part"]).where("__n < __m").select(F.col("__i").alias(item), F.col("__n").alias("a"), F.col("__m").alias("b"))
+
+
+def pairs(memberships: DataFrame, item: str, node: str, least: int = 1) -> DataFrame:
+    """(a, b, n): unordered pairs of nodes that share items, with the number of distinct items."""
+    return item_pairs(memberships, item, node).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def by_kinds(first: Column, second: Column, table: list[tuple[tuple[str, ...], object]], default: object) -> Column:
+    """The value of the first row whose kinds two ends have between them (one kind: either end has it)."""
+    out = F.when(F.lit(False), F.lit(default))
+    for kinds, value in table:
+        test = F.lit(True)
+        for k in kinds:
+            test = test & ((first == k) | (second == k))
+        if len(kinds) == 2:
+            test = test & (first != second)
+        out = out.when(test, F.lit(value))
+    return out.otherwise(F.lit(default))
+
+
+def evidence_edges(
+    memberships: DataFrame, items: DataFrame, kinds: DataFrame, item: str, node: str, levels: list[str], skipped: str, least: list[tuple[tuple[str, ...], int]], relations: list[tuple[tuple[str, ...], str]], default_least: int, default_relation: str
+) -> DataFrame:
+    """(a, b, relation, n, best_level, high, score, updated, confidence) of pairs of nodes that share items.
+
+    memberships(item, node); items(item, level, score, day); kinds(node, kind). Pairs with both ends of the `skipped` kind are left out. n: distinct items, kept where it reaches the threshold of the ends' kinds
+    (`least`, rows tried in order); best_level: the first of `levels` that an item has (null: none); high: items of the first two levels; score: the items' sum; updated: the newest day; relation by the ends' kinds.
+    """
+    m = memberships.join(kinds.select(F.col("node").alias(node), "kind"), node)
+    rank = F.when(F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("level")) > 0, F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("level")))
+    attributes = items.select(item, rank.alias("__rank"), "score", "day")
+    both = item_pairs(memberships, item, node).join(attributes, item)
+    g = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("__rank").alias("__best"), F.count_if(F.col("__rank") <= 2).alias("high"), F.round(F.sum("score"), 1).alias("score"), F.max("day").alias("updated"))
+    ends = m.select(F.col(node).alias("node"), "kind").distinct()
+    j = g.join(ends.select(F.col("node").alias("a"), F.col("kind").alias("ka")), "a").join(ends.select(F.col("node").alias("b"), F.col("kind").alias("kb")), "b")
+    kept = j.where(~((F.col("ka") == skipped) & (F.col("kb") == skipped)) & (F.col("n") >= by_kinds(F.col("ka"), F.col("kb"), least, default_least)))
+    confidence = F.when((F.col("n") >= 12) & (F.col("high") >= 2), "high").when((F.col("n") >= 5) | (F.col("__best") <= 2), "medium").otherwise("low")
+    best = F.get(F.array(*[F.lit(x) for x in levels]), (F.col("__best") - 1).cast("int"))
+    return kept.select("a", "b", by_kinds(F.col("ka"), F.col("kb"), relations, default_relation).alias("relation"), "n", best.alias("best_level"), "high", "score", "updated", confidence.alias("confidence"))
 
 
 def both_ends(edges: DataFrame) -> DataFrame:

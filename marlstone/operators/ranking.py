@@ -13,6 +13,18 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def top_lists(df: DataFrame, by: list[str], order: list[Column], k: int, value: Column, name: str) -> DataFrame:
+    """(by, name): an array of the first k values of each group, in order. Each task cuts its part of a group to k rows before they are shuffled, so no group is ever held."""
+    few = top_k(df, by, order, k, "__n").select(*by, F.struct("__n", value.alias("v")).alias("__v"))
+    return few.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("__v")), lambda x: x["v"]).alias(name))
+
+
+def counted_lists(rows: DataFrame, by: list[str], value: str, item: str, k: int, name: str) -> DataFrame:
+    """(by, name): the k values with the most distinct items of each group, as struct(value, n); ties go to the smaller value. Null values do not count."""
+    counts = rows.where(F.col(value).isNotNull()).select(*by, value, item).distinct().groupBy(*by, value).agg(F.count("*").alias("n"))
+    return top_lists(counts, by, [F.desc("n"), F.asc(value)], k, F.struct(F.col(value).alias("value"), "n"), name)
+
+
 def keep_best(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the first in the given order."""
     return top_k(df, key, order, 1, "__n").drop("__n")
@@ -92,3 +104,8 @@ def ordered_by_modes(df: DataFrame, modes: dict[str, list[Column]], key: str, k:
         first = df.orderBy(*order, F.asc(key)).limit(k)
         parts.append(first.select(F.lit(mode).alias("mode"), key, F.row_number().over(Window.orderBy(*order, F.asc(key))).alias("place")))  # k rows
     return reduce(DataFrame.unionByName, parts)
+
+
+def placed_in(df: DataFrame, by: str | None, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in its group, from 1; without a group, among all rows (for tables of a few rows)."""
+    return df.withColumn(name, F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)))

@@ -160,21 +160,6 @@ def d9(spark, sf):
     return authors(spark, sf).groupBy("author", "inst").agg(F.count("*").alias("n"), F.count("role").alias("with_role"))
 
 
-@query("d10_expert_profiles", """WITH x AS (SELECT *, max(o_orderdate) OVER () AS newest FROM orders), j AS (SELECT o_custkey AS who, o_orderpriority AS journal, count(*) AS n, count(*) FILTER (WHERE o_orderdate >= newest - INTERVAL 3 YEAR) AS r, max(o_totalprice) AS v, max(o_orderdate) AS d, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM x GROUP BY 1, 2),
- jr AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY n DESC, journal) AS rn FROM j), p AS (SELECT who, CAST(sum(n) AS BIGINT) AS papers, CAST(sum(r) AS BIGINT) AS recent, max(v) AS top_value, count(*) AS journals, string_agg(journal, ', ' ORDER BY rn) FILTER (WHERE rn <= 2) AS usual, arg_max(k, (d, k)) AS newest_paper FROM jr GROUP BY 1)
- SELECT p.*, c_nationkey AS region, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY recent DESC, papers DESC, top_value DESC, who) AS INT) AS rank FROM p JOIN customer ON who = c_custkey""")
-def d10(spark, sf):
-    o = table(spark, sf, "orders")
-    x = o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("newest"))))  # one row
-    late = F.struct(F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("k"))
-    j = x.groupBy(F.col("o_custkey").alias("who"), F.col("o_orderpriority").alias("journal")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderdate") >= F.expr("newest - interval 3 year")).alias("r"), F.max("o_totalprice").alias("v"), F.max(late).alias("late"))
-    often = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "journal"))), 1, 2)  # the journals of one expert
-    p = j.groupBy("who").agg(F.sum("n").alias("papers"), F.sum("r").alias("recent"), F.max("v").alias("top_value"), F.count("*").alias("journals"), F.array_join(F.transform(often, lambda t: t["journal"]), ", ").alias("usual"), F.max("late")["k"].alias("newest_paper"))
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("who"), F.col("c_nationkey").alias("region"))
-    order = [F.desc("recent"), F.desc("papers"), F.desc("top_value"), F.asc("who")]
-    return p.join(c, "who").withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(*order)))
-
-
 @query("d12_institution_index", "SELECT c_nationkey AS inst, count(DISTINCT o_orderkey) AS papers, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS closed, arg_min(seg, (-n, seg)) AS usual FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1")
 def d12(spark, sf):
     j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("c_nationkey", "inst")
@@ -197,12 +182,6 @@ def cards(spark, sf):
     return com.join(j, "community", "left").fillna(0)
 
 
-@query("d13_community_cards", f"WITH {CARD_SQL} SELECT *, CASE WHEN n > 200 THEN 'active' WHEN n > 0 THEN 'watch' ELSE 'quiet' END AS activity, round(high / nullif(n, 0), 4) AS ratio FROM card")
-def d13(spark, sf):
-    level = rules.cascade([("active", F.col("n") > 200), ("watch", F.col("n") > 0)], "quiet")
-    return cards(spark, sf).withColumn("activity", level).withColumn("ratio", F.round(F.try_divide("high", "n"), 4))
-
-
 @query("d14_community_weekly", f"WITH {CARD_SQL} SELECT coalesce(best, 'unassigned') AS community, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS high FROM j WHERE fresh GROUP BY 1")
 def d14(spark, sf):
     return assigned(spark, sf).where("fresh").groupBy(F.coalesce("best", F.lit("unassigned")).alias("community")).agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("high"))
@@ -250,16 +229,6 @@ def memberships(spark, sf):
     return authors(spark, sf).select(F.col("paper").alias("item"), F.col("inst").alias("node")).distinct()
 
 
-@query("d19_graph_nodes", f"WITH {NODE_SQL} SELECT node, count(DISTINCT item) AS n FROM mem GROUP BY 1 HAVING count(DISTINCT item) >= 5")
-def d19(spark, sf):
-    return graphs.nodes(memberships(spark, sf), "item", "node", 5)
-
-
-@query("d20_graph_edges", f"WITH {EDGE_SQL} SELECT * FROM edg WHERE n >= 3")
-def d20(spark, sf):
-    return graphs.pairs(memberships(spark, sf), "item", "node", 3)
-
-
 KINDS_SQL = "kin AS (SELECT n_nationkey AS node, ['drug', 'topic', 'level', 'place', 'group'][n_regionkey + 1] AS kind, n_regionkey AS p FROM nation)"
 
 
@@ -287,17 +256,6 @@ def d22(spark, sf):
     return graphs.health(e, kinds(spark, sf), ["drug", "level", "topic"], weak_below=10, share=0.09, least=20).drop("kind").withColumn("missing", F.array_join("missing", ","))
 
 
-@query("d23_network_nodes", f"WITH {ROLE_SQL} SELECT inst, count(DISTINCT paper) AS papers, count(DISTINCT CASE WHEN role = 'first' THEN paper END) AS first_papers, count(DISTINCT CASE WHEN role = 'last' THEN paper END) AS last_papers, count(DISTINCT author) AS authors FROM ro GROUP BY 1")
-def d23(spark, sf):
-    when = lambda r: F.countDistinct(F.when(F.col("role") == r, F.col("paper")))
-    return authors(spark, sf).groupBy("inst").agg(F.countDistinct("paper").alias("papers"), when("first").alias("first_papers"), when("last").alias("last_papers"), F.countDistinct("author").alias("authors"))
-
-
-@query("d24_network_edges", f"WITH {ROLE_SQL}, m AS (SELECT DISTINCT paper, inst FROM ro WHERE role IS NOT NULL) SELECT x.inst AS a, y.inst AS b, count(*) AS n FROM m x JOIN m y ON x.paper = y.paper AND x.inst < y.inst GROUP BY ALL HAVING count(*) >= 2")
-def d24(spark, sf):
-    return graphs.pairs(authors(spark, sf).where("role is not null"), "paper", "inst", 2)
-
-
 @query("d25_regional_heat", f"""WITH {ROLE_SQL}, h AS (SELECT n_regionkey AS region, inst, author, count(*) AS n, count(DISTINCT paper) AS p FROM ro JOIN nation ON inst = n_nationkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY region, inst ORDER BY p DESC, author) AS rn FROM h),
  g AS (SELECT n_regionkey AS region, inst, count(DISTINCT paper) AS papers FROM ro JOIN nation ON inst = n_nationkey GROUP BY ALL), a AS (SELECT region, inst, count(*) AS hospitals, CAST(sum(n) AS BIGINT) AS occurrences, string_agg(CAST(author AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 8) AS top_hospitals FROM r GROUP BY ALL)
  SELECT region, inst, hospitals, papers, occurrences, top_hospitals, round(100 * papers / sum(papers) OVER (PARTITION BY region), 4) AS percent FROM a JOIN g USING (region, inst)""")
