@@ -39,27 +39,6 @@ def c21(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source").join(best(spark, sf), "doc_id").groupBy("source", F.col("best").alias("community")).agg(F.count("*").alias("n"))
 
 
-@query("c22_topic_coverage", f"""WITH {BEST_SQL}, parts AS (SELECT source AS topic, best AS community, 'primary' AS kind, 3.0 AS s FROM documents JOIN best USING (doc_id)
-   UNION ALL SELECT source, second, 'secondary', 0.75 FROM documents JOIN best USING (doc_id) WHERE second IS NOT NULL)
- SELECT topic, community, round(sum(s), 4) AS score, count(DISTINCT kind) AS kinds FROM parts GROUP BY ALL""")
-def c22(spark, sf):
-    j = table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic")).join(best(spark, sf), "doc_id")
-    first = j.select("topic", F.col("best").alias("community"), F.lit("primary").alias("kind"), F.lit(3.0).alias("s"))
-    more = j.where("second is not null").select("topic", F.col("second").alias("community"), F.lit("secondary").alias("kind"), F.lit(0.75).alias("s"))
-    return first.unionByName(more).groupBy("topic", "community").agg(F.round(F.sum("s"), 4).alias("score"), F.countDistinct("kind").alias("kinds"))
-
-
-@query("c27_interest_scoring", """WITH s AS (SELECT c_custkey, p_type AS module, CAST(sum(CASE WHEN l_linenumber = 1 THEN 3 WHEN l_linenumber = 2 THEN 2 ELSE 1 END) AS BIGINT) AS fit
-    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
-  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY fit DESC, module) AS INT) AS rank FROM s) WHERE rank <= 4""")
-def c27(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), "l_linenumber")
-    fit = F.when(F.col("l_linenumber") == 1, 3).when(F.col("l_linenumber") == 2, 2).otherwise(1)
-    s = li.join(o, "o_orderkey").join(table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("module")), "p_partkey").groupBy("c_custkey", "module").agg(F.sum(fit).alias("fit"))
-    return ranking.top_k(s, ["c_custkey"], [F.desc("fit"), F.asc("module")], 4)
-
-
 @query("c28_reference_collection", """WITH u AS (SELECT doc_id, 'label' AS src, quality AS q FROM labels UNION ALL SELECT doc_id, 'long', 0 FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, 'english', 0 FROM documents WHERE lang = 'en')
  SELECT doc_id, max(q) AS q, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM u GROUP BY 1 ORDER BY q DESC, count(DISTINCT src) DESC, doc_id LIMIT 12""")
 def c28(spark, sf):

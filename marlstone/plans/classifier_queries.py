@@ -63,33 +63,11 @@ def h3(spark, sf):
     return r.select("doc_id", "sample", F.coalesce(F.col("sample") >= 100, F.lit(False)).alias("large"), K.by_steps(F.col("low"), T.DOMAINS, "none").alias("domain"))
 
 
-H4_SQL = f"""{LOW}, s0 AS (SELECT doc_id, low, lang, CASE WHEN contains(low, 'tion') THEN 4 + CASE WHEN contains(title, 'tion') THEN 1.5 ELSE 0 END ELSE 0 END + CASE WHEN contains(low, 'ing') THEN 2 + CASE WHEN contains(title, 'ing') THEN 0.8 ELSE 0 END ELSE 0 END + CASE WHEN contains(low, 'er') THEN 1 ELSE 0 END AS s FROM low),
- s1 AS (SELECT *, CASE WHEN lang <> 'en' THEN s * 0.5 ELSE s END AS a FROM s0), s2 AS (SELECT *, CASE WHEN contains(low, 'that') THEN a + 2 ELSE a END AS b FROM s1), s3 AS (SELECT doc_id, low, CASE WHEN contains(low, ' | ') THEN b * 0.8 ELSE b END AS score FROM s2)"""
-
-
-def community_score(spark, sf):
-    d = titled(spark, sf)
-    base = rules.score(F.col("low"), F.col("title"), [rules.Rule("c", "tion", 4.0), rules.Rule("c", "ing", 2.0), rules.Rule("c", "er", 1.0)], {4.0: 1.5, 2.0: 0.8})
-    s = K.calibrated(base, [(F.col("lang") != "en", "times", 0.5), (rules.has(F.col("low"), "that"), "add", 2.0), (rules.has(F.col("low"), " | "), "times", 0.8)])
-    return d.select("doc_id", "low", s.alias("score"))
-
-
-@query("h4_community_scoring", f"WITH {H4_SQL} SELECT doc_id, round(CAST(score AS DOUBLE), 4) AS score FROM s3")
-def h4(spark, sf):
-    return community_score(spark, sf).select("doc_id", F.round("score", 4).alias("score"))
-
-
 @query("h5_intent_flags", f"WITH {REC_SQL} SELECT doc_id, {T.flags_sql('low', T.INTENTS)} AS intents FROM rec")
 def h5(spark, sf):
     return records(spark, sf).select("doc_id", F.array_join(K.flags(F.col("low"), T.INTENTS), ",").alias("intents"))
 
 
-@query("h6_assignment_decision", f"WITH {BEST_SQL} SELECT doc_id, CASE WHEN best_score < 2 THEN NULL ELSE best END AS assigned, CASE WHEN best_score >= 3 AND best_score - s2 >= 2 THEN 'high' WHEN best_score >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM best")
-def h6(spark, sf):
-    c = rules.cascade([("high", (F.col("best_score") >= 3) & (F.col("lead") >= 2)), ("medium", F.col("best_score") >= 2)], "low")
-    return best(spark, sf).select("doc_id", F.when(F.col("best_score") >= 2, F.col("best")).alias("assigned"), c.alias("confidence"))
-
-
 @query("h7_activity_level", f"WITH {BEST_SQL}, x AS (SELECT best AS community, count(*) AS n, bool_or(n_chars > 15000) AS high FROM best JOIN documents USING (doc_id) GROUP BY 1) SELECT community, CASE WHEN coalesce(high, false) THEN 'active' WHEN n > 0 THEN 'watch' ELSE 'quiet' END AS level FROM (SELECT unnest(['en', 'de', 'fr', 'es', 'it']) AS community) LEFT JOIN x USING (community)")
 def h7(spark, sf):
     j = best(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").withColumnRenamed("best", "community")
