@@ -73,19 +73,17 @@ def counts_of(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def quote_found(quote: Column, text: Column, share: float = 0.7) -> Column:
-    """Whether a source has a quote (both already reduced to letters and digits): whole, else its first 70 %, else without digits."""
-    prefix = F.substring(quote, F.lit(1), F.floor(F.length(quote) * share).cast("int"))
-    bare = lambda c: F.regexp_replace(c, r"\d+", "")
-    return F.coalesce((F.length(quote) > 0) & (F.contains(text, quote) | F.contains(text, prefix) | F.contains(bare(text), bare(quote))), F.lit(False))
+def quote_head(quote: Column, share: float = 0.7, least: int = 24) -> Column:
+    """The part of a quote that has to stand in its source: its first 70 %, and not below 24 letters."""
+    return F.substring(quote, F.lit(1), F.greatest(F.lit(least), F.floor(F.length(quote) * share).cast("int")))
 
 
-def quote_verdict(quote: Column, text: Column, share: float = 0.7) -> Column:
-    """How a source has a quote (both already reduced to letters and digits): `whole`, else `prefix` (its first 70 %), else `digits` (without digits), else `none`."""
-    prefix = F.substring(quote, F.lit(1), F.floor(F.length(quote) * share).cast("int"))
+def quote_verdict(quote: Column, text: Column, share: float = 0.7, least_bare: int = 40) -> Column:
+    """How a source has a quote (both already reduced to letters and digits): `whole`, else `prefix` (its head), else, for quotes of least_bare letters or more, `digits` (without digits), else `none`."""
     bare = lambda c: F.regexp_replace(c, r"\d+", "")
     some = F.length(quote) > 0
-    return cascade([("whole", some & F.contains(text, quote)), ("prefix", some & F.contains(text, prefix)), ("digits", some & F.contains(bare(text), bare(quote)))], "none")
+    digits = (F.length(quote) >= least_bare) & (bare(quote) != "") & F.contains(bare(text), bare(quote))
+    return cascade([("whole", some & F.contains(text, quote)), ("prefix", some & F.contains(text, quote_head(quote, share))), ("digits", digits)], "none")
 
 
 def numbered_references(cited: DataFrame, known: DataFrame, publication: str, order: str, key: str) -> DataFrame:

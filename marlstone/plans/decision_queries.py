@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
 from marlstone.operators import decisions as D
+from marlstone.operators import quotes as Q
 from marlstone.operators import ranking, rules
 from marlstone.plans.aggregate_queries import CLUSTER_SQL, SIGNAL_SQL, clusters, signals
 from marlstone.plans.registering import Group, table
@@ -21,21 +24,20 @@ def c23(spark, sf):
     return D.numbered_references(table(spark, sf, "lineitem"), known, "l_orderkey", "l_linenumber", "l_partkey")
 
 
-QUOTE_SQL = r"""q AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN substr(text, 20, 80) WHEN 1 THEN substr(text, 20, 80) || ' (abridged)' WHEN 2 THEN replace(substr(text, 20, 80), ' ', ' 7 ') WHEN 3 THEN 'never said ' || substr(text, 1, 9) ELSE '' END AS quote FROM documents WHERE text IS NOT NULL),
- k AS (SELECT q.doc_id, q.source, regexp_replace(lower(quote), '[^\p{L}\p{N}]+', '', 'g') AS quote, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS body FROM q JOIN documents d ON d.doc_id = q.doc_id)"""
+_PART = "substring(text, 1, CAST(floor(length(text) * 0.8) AS INT))"
+_QUOTES = {"whole": "text", "ended": f"concat({_PART}, ' and so the story ended elsewhere')", "numbered": "replace(text, ' of ', ' of 12 ')", "never": "concat('it was never said that ', item_id, ' ', reverse(text))", "short": "substring(text, 1, 21)"}
+QUOTE_SQL = rf"""q AS ({' UNION ALL '.join(f"SELECT concat(item_id, '/{way}') AS quote_id, {x} AS quote FROM benchmark" for way, x in _QUOTES.items())}),
+ k AS (SELECT quote_id, regexp_replace(lower(replace(quote, chr(173), '')), '[^\p{{L}}\p{{N}}]+', '', 'g') AS q FROM q), d AS (SELECT doc_id, regexp_replace(lower(replace(text, chr(173), '')), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM documents),
+ v AS (SELECT quote_id, doc_id, CASE WHEN contains(t, q) THEN 'whole' WHEN contains(t, substring(q, 1, greatest(24, CAST(floor(length(q) * 0.7) AS INT)))) THEN 'prefix' WHEN length(q) >= 40 AND regexp_replace(q, '\d+', '', 'g') <> '' AND contains(regexp_replace(t, '\d+', '', 'g'), regexp_replace(q, '\d+', '', 'g')) THEN 'digits' ELSE 'none' END AS verdict FROM k, d WHERE q <> '' AND t <> '')"""
 
 
-@query("c24_quote_verification", f"WITH {QUOTE_SQL}, v AS (SELECT *, CASE WHEN quote = '' THEN 'none' WHEN contains(body, quote) THEN 'whole' WHEN contains(body, substr(quote, 1, CAST(floor(length(quote) * 0.7) AS BIGINT))) THEN 'prefix' WHEN contains(regexp_replace(body, '\\d+', '', 'g'), regexp_replace(quote, '\\d+', '', 'g')) THEN 'digits' ELSE 'none' END AS verdict FROM k), c AS (SELECT source, verdict, count(*) AS n FROM v GROUP BY ALL) SELECT source, verdict, n, round(n / sum(n) OVER (PARTITION BY source), 4) AS share FROM c")
+@query("c24_quote_verification", f"WITH {QUOTE_SQL} SELECT * FROM v WHERE verdict <> 'none'")
 def c24(spark, sf):
-    """Every document is quoted by its id: as it stands, with another end, with digits put in, wrongly, or not at all; verdicts and their share by source."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "source", "text")
-    part, way = F.substring("text", 20, 80), F.col("doc_id") % 5
-    said = F.when(way == 0, part).when(way == 1, F.concat(part, F.lit(" (abridged)"))).when(way == 2, F.replace(part, F.lit(" "), F.lit(" 7 "))).when(way == 3, F.concat(F.lit("never said "), F.substring("text", 1, 9))).otherwise("")
-    quotes = d.select("doc_id", "source", said.alias("quote"))
-    key = lambda c: S.quote_key(F.col(c), compatible=False)
-    judged = quotes.join(d.select("doc_id", "text"), "doc_id").select("source", D.quote_verdict(key("quote"), key("text")).alias("verdict"))
-    counts = judged.groupBy("source", "verdict").agg(F.count("*").alias("n"))  # at most four rows for a source
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4))
+    """Every benchmark passage against every document, quoted in five ways: as it stands, with another end, with numbers put in, wrongly, and its beginning only."""
+    b = table(spark, sf, "benchmark")
+    quotes = reduce(DataFrame.unionByName, [b.selectExpr(f"concat(item_id, '/{way}') AS quote_id", f"{x} AS quote") for way, x in _QUOTES.items()])
+    d = table(spark, sf, "documents").where("doc_id is not null")
+    return Q.verified(quotes, d, "quote_id", S.quote_key(F.col("quote"), compatible=False), "doc_id", S.quote_key(F.col("text"), compatible=False))
 
 
 @query("c25_stance_pairing", r"""WITH s AS (SELECT source AS dimension, lang, doc_id, regexp_extract(text, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) AS quote, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE lang IN ('en', 'fr'))

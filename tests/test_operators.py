@@ -1,10 +1,14 @@
 """Operators on small inputs in the cases that the driver tables do not have."""
 
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
-from marlstone.operators import classifiers, decisions, diffing, gates, graphs, merging, ranking, rules
+from marlstone.operators import classifiers, communities, decisions, diffing, gates, graphs, merging, ranking, rules, trials
+from marlstone.operators import quotes as quote_index
 from marlstone.sources import readers, writers
 
 
@@ -126,8 +130,31 @@ def test_decisions_cover_every_id_once(spark):
 
 
 def test_quotes(spark):
-    ok = lambda q, t: spark.range(1).select(decisions.quote_found(F.lit(q), F.lit(t))).first()[0]
-    assert ok("abc", "xxabcxx") and ok("abcdefghij", "abcdefgZZZ") and ok("ab1c", "ab2c") and not ok("", "abc") and not ok("zzz", "abc")
+    verdict = lambda q, t: spark.range(1).select(decisions.quote_verdict(F.lit(q), F.lit(t))).first()[0]
+    long = "abcdefghij" * 5
+    assert verdict("abc", "xxabcxx") == "whole" and verdict("", "abc") == "none" and verdict("zzz", "abc") == "none"
+    assert verdict(long, long[:36] + "zzz") == "prefix" and verdict(long, long[:30]) == "none"
+    assert verdict("12" + long, "xx" + long[:9] + "7" + long[9:]) == "digits" and verdict("1abc", "abc") == "none"
+
+
+def test_quote_index_finds_what_all_pairs_find(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abc1"), n))
+    texts = [letters(int(n)) for n in rng.integers(0, 300, 60)] + ["a" * 400, None, ""]
+    quotes = []
+    for i in range(80):
+        t = texts[int(rng.integers(0, 60))]
+        lo, n = int(rng.integers(0, 100)), int(rng.integers(1, 90))
+        q = t[lo : lo + n]
+        quotes.append(q if i % 3 == 0 else q[: int(len(q) * 0.8)] + letters(10) if i % 3 == 1 else q[:10] + "99" + q[10:])
+    quotes += ["a" * 60, "", None]
+    ts = spark.createDataFrame(list(enumerate(texts)), "text_id long, t string")
+    qs = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, q string")
+    want = qs.crossJoin(ts).select("quote_id", "text_id", decisions.quote_verdict(F.col("q"), F.col("t")).alias("v")).where("v <> 'none' and q <> '' and t <> ''")
+    got = quote_index.verified(qs, ts, "quote_id", F.col("q"), "text_id", F.col("t"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(got) == rows(want) and {r[2] for r in rows(got)} == {"whole", "prefix", "digits"}
+    assert quote_index.verified(qs.limit(0), ts, "quote_id", F.col("q"), "text_id", F.col("t")).count() == 0
 
 
 def test_headless_table_and_manifest(spark, tmp_path):
@@ -237,3 +264,137 @@ def test_names_labels_phases_and_search(spark):
     p = spark.createDataFrame([("Ann Lee", "Ann Lee oncology")], "n string, t string")
     score = lambda q: p.select(ranking.search_score(q, F.col("n"), F.col("t"), F.lit(1)).alias("s")).first()["s"]
     assert (score("ann lee"), score("oncology"), score("xyz"), score("  ")) == (6 + 6 + 12 + 4 + 1, 3 + 6 + 1, 1, 1)
+
+
+def test_terms_found_in_one_pass(spark):
+    """Overlapping terms, terms that begin alike, edges of words, substrings and regular expressions: as `has` finds them one by one."""
+    terms = [(t, "word") for t in ("meta", "meta analysis", "network meta", "analysis of", "a", "c++", "x-ray")] + [(t, "substring") for t in ("et", "ana", "analysis o", ".")] + [("[0-9]{3}", "regex")]
+    texts = ["network meta analysis of x-ray", "metal x-rays 123", "c++ a.", "", None, "meta", "the analysis of\nmeta", "éa a9", "ANALYSIS"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    one_by_one = F.array_sort(F.array_compact(F.array(*[F.when(rules.has(F.col("t"), t, k), F.lit(f"{k}:{t}")) for t, k in terms])))
+    for r in df.select("id", F.array_sort(rules.found(F.col("t"), terms)).alias("got"), one_by_one.alias("want")).collect():
+        assert r["got"] == r["want"], texts[r["id"]]
+    listed = [rules.Rule(f"l{i % 3}", t, float(i), k) for i, (t, k) in enumerate(terms)]
+    assert values(rules.matched_rules(df, "id", "t", listed), "id", "label", "term", "ord") == values(rules.matched(df, "id", "t", rules.rule_table(spark, listed)), "id", "label", "term", "ord")
+
+
+def fold(records, merged_titles):
+    """The ordered merge, one record after another."""
+    of_id, of_title, out = {}, {}, []
+    for k, ids, title in records:
+        keys = {x.strip().lower() for x in ids} - {""}
+        key = "".join(c for c in title.lower() if c.isalnum())
+        known = [of_id[x] for x in keys if x in of_id]
+        at = min(known) if known else of_title.get(key) if len(key) >= 40 else None
+        out.append((k, k if at is None else at, "first" if at is None else "id" if known else "title"))
+        at = k if at is None else at
+        of_id.update(dict.fromkeys(keys, at))
+        if merged_titles or at == k:
+            of_title[key] = at
+    return sorted(out)
+
+
+@pytest.mark.parametrize("merged_titles", [False, True])
+def test_ordered_merge_is_the_fold(spark, merged_titles):
+    rng = np.random.default_rng(5)
+    title = lambda i: f"A study of the long effects of agent {i} in many places"
+    for _ in range(4):
+        records = [(k, [f"r{k}", *[f" X{int(x)}" for x in rng.integers(0, 25, int(rng.integers(0, 3)))], ""], title(int(rng.integers(0, 12))) if rng.random() < 0.5 else "short") for k in range(40)]
+        df = spark.createDataFrame(records, "k long, ids array<string>, title string")
+        got = merging.ordered_merge(df, "k", F.col("ids"), F.col("title"), merged_titles=merged_titles)
+        assert values(got, "k", "survivor", "how") == sorted(fold(records, merged_titles), key=repr)
+    bridge = [(1, ["x"], "a"), (2, ["y"], "b"), (3, ["x", "y"], "c"), (4, ["y"], "d")]
+    df = spark.createDataFrame(bridge, "k long, ids array<string>, title string")
+    # what a later record links stays apart, unlike in a connected component
+    assert values(merging.ordered_merge(df, "k", F.col("ids"), F.col("title")), "k", "survivor") == [(1, 1), (2, 2), (3, 1), (4, 1)]
+
+
+def test_components_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HOT", 3)
+    ids = spark.range(40).select(F.col("id").alias("node"))
+    links = spark.createDataFrame([(0, i) for i in range(1, 20)] + [(i, i + 1) for i in range(20, 30)], "a long, b long")
+    got = dict(values(graphs.components(ids, links), "node", "label"))
+    assert got == {i: 0 if i < 20 else 20 if i <= 30 else i for i in range(40)}
+
+
+def test_pairs_of_an_item_with_many_nodes(spark):
+    """2,000 nodes of one item: all their pairs, over several tasks."""
+    m = spark.range(2000).select(F.lit(1).alias("item"), F.col("id").alias("node")).unionByName(spark.createDataFrame([(2, 5), (2, 6), (2, 6), (None, 1), (3, None)], "item int, node long"))
+    p = graphs.pairs(m, "item", "node")
+    assert p.count() == 2000 * 1999 // 2 and p.where("a = 5 and b = 6").first()["n"] == 2 and p.where("a >= b").count() == 0
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        parts = graphs.item_pairs(m, "item", "node", split=100).where("item = 1").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+    assert parts > 1
+
+
+def test_evidence_edges_by_kinds(spark):
+    m = spark.createDataFrame([(i, n) for i in range(6) for n in ("a", "b", "c", "d")] + [(9, "a"), (9, "b")], "item int, node string")
+    items = spark.createDataFrame([(i, "II" if i < 2 else "IV", 1.5, f"2020-0{i + 1}-01") for i in range(6)] + [(9, None, 0.5, "2021-01-01")], "item int, level string, score double, day string")
+    kinds = spark.createDataFrame([("a", "drug"), ("b", "topic"), ("c", "level"), ("d", "level")], "node string, kind string")
+    e = graphs.evidence_edges(m, items, kinds, "item", "node", ["I", "II", "III", "IV"], "level", [(("drug",), 2), (("level",), 7)], [(("drug", "topic"), "studied in"), (("level",), "evidence")], 4, "together")
+    # level with level is skipped; a level needs seven items unless a drug is the other end
+    assert values(e, "a", "b", "relation", "n", "best_level", "high", "score", "updated", "confidence") == [
+        ("a", "b", "studied in", 7, "II", 2, 9.5, "2021-01-01", "medium"), ("a", "c", "evidence", 6, "II", 2, 9.0, "2020-06-01", "medium"), ("a", "d", "evidence", 6, "II", 2, 9.0, "2020-06-01", "medium"),
+    ]
+
+
+def test_top_lists_are_cut_before_the_shuffle(spark, capsys):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+    top = ranking.top_lists(df, ["g"], [F.desc("id")], 2, F.col("id"), "ids")
+    assert {r["g"]: list(r["ids"]) for r in top.collect()} == {0: [999, 996], 1: [997, 994], 2: [998, 995]}
+    top.explain()
+    assert "Partial" in capsys.readouterr().out
+
+
+def test_calibration_is_ordered(spark):
+    a = communities.Adjustment
+    scores = spark.createDataFrame([(1, "x", 4.0), (1, "y", 4.0), (2, "x", 4.0), (3, "x", 0.0), (4, "z", 1.0)], "id int, community string, score double")
+    flags = spark.createDataFrame([(1, ["p", "q"]), (2, ["p", "r"]), (3, ["p"]), (4, [])], "id int, flags array<string>")
+    table = [a("x", ("p",), "add", 6), a("x", ("q",), "times", 0.5), a("x", ("p",), "add", 1, ("r",)), a("y", ("q",), "times", 0.5), a("y", ("p",), "add", 6)]
+    assert values(communities.calibrated(scores, flags, "id", table), "id", "community", "score") == [(1, "x", 6.0), (1, "y", 8.0), (2, "x", 10.0), (3, "x", 0.0), (4, "z", 1.0)]
+
+
+def test_assignment(spark):
+    records = spark.createDataFrame([(1, []), (2, ["case"]), (3, []), (4, []), (5, ["case"])], "id int, flags array<string>")
+    scores = spark.createDataFrame([(1, "x", 12.0, ["t"]), (1, "y", 9.5, []), (2, "x", 7.0, []), (3, "x", 2.9, []), (5, "y", 7.0, ["u"]), (5, "x", 7.0, ["v"])], "id int, community string, score double, hits array<string>")
+    got = communities.assigned(records, scores, "id", ["y", "x"], [communities.Forced(("case",), 8.0, spared=("y",))])
+    assert values(got, "id", "community", "confidence", "state") == [(1, "x", "medium", "conflict"), (2, None, "unassigned", "unassigned,scope_review"), (3, None, "unassigned", "unassigned"), (4, None, "unassigned", "unassigned"), (5, "y", "medium", "conflict")]
+    assert {r["id"]: [tuple(x) for x in r["secondary"]] for r in got.collect()} == {1: [("y", 9.5)], 2: [], 3: [], 4: [], 5: [("x", 7.0)]}
+
+
+def test_terms_in_texts(spark):
+    terms = spark.createDataFrame([("cell line",), ("line",), ("x-ray",), ("",), (None,), ("of the cell",)], "term string")
+    texts = spark.createDataFrame([(1, "A Cell line of the cell"), (2, "cell-line; x-ray"), (3, "outline cells"), (4, None)], "id int, t string")
+    assert values(communities.terms_in_texts(terms, texts, "id", "t"), "id", "term") == [(1, "cell line"), (1, "line"), (1, "of the cell"), (2, "line"), (2, "x-ray")]
+
+
+def test_trial_updates_and_decisions(spark):
+    ddl = "id int, status string, phase string, enrollment_count int, enrollment_type string, interventions array<string>, primary_completion_date string, locations_count int, results string"
+    old = spark.createDataFrame([(1, "UNKNOWN", "Phase 2", 10, "ACTUAL", ["a", "b"], "2024", 3, None), (2, "RECRUITING", None, None, None, [], "", None, None), (3, "RECRUITING", "Phase 1", 5, None, ["a"], "2024", 1, None)], ddl)
+    cur = spark.createDataFrame([(1, "RECRUITING", "Phase 3", 12, "Estimated", ["b", "c"], "2025", 3, "x"), (2, "RECRUITING", "Phase 1", 9, None, [], "2024", 4, None), (4, "RECRUITING", "Phase 1", 5, None, ["a"], "2024", 1, None)], ddl)
+    got = {(r["id"], r["event"]): r for r in trials.updates(cur, old, "id").collect()}
+    assert set(got) == {(1, "results_posted"), (1, "status_changed"), (3, "removed"), (4, "added")}  # 2: values that were empty are no moves
+    assert got[1, "status_changed"]["fields"] == ["enrollment_count", "phase", "interventions", "primary_completion_date"]
+    assert got[1, "status_changed"]["text"] == "status: UNKNOWN -> RECRUITING; enrollment: 10 -> 12 (estimated); phase: Phase 2 -> Phase 3; interventions: +c, -a; completion: 2024 -> 2025"
+    rows = [("status_changed", "UNKNOWN", "RECRUITING", [], "", "key", "minor"), ("status_changed", "X", "COMPLETED", [], "", "general", "medium"), ("status_changed", "X", "TERMINATED", [], "lack of efficacy", "early", "high"), ("status_changed", "X", "WITHDRAWN", [], None, "key", "medium"),
+            ("updated", None, None, ["phase"], None, "early", "high"), ("updated", None, None, ["locations_count"], None, "key", "medium"), ("removed", None, None, ["phase"], None, "key", "minor"), ("added", None, None, [], None, "key", "high"), ("updated", None, None, [], None, None, "minor")]
+    df = spark.createDataFrame(rows, "event string, b string, a string, f array<string>, why string, i string, want string")
+    c = F.col
+    assert all(r["m"] == r["want"] for r in df.select("want", trials.materiality(c("event"), c("b"), c("a"), c("f"), c("why"), c("i")).alias("m")).collect())
+    grid = [(core, e, i, m, s) for core in (True, False) for e in ("added", "removed") for i, m in itertools.product(("key", "general", "early"), ("high", "medium", "minor")) for s in (True, False)]
+    d = spark.createDataFrame(grid, "core boolean, e string, i string, m string, s boolean").select("*", trials.decision(c("core"), c("e"), c("i"), c("m"), c("s")).alias("d"))
+    for r in d.collect():
+        if not r["core"] or r["e"] == "removed":
+            want = ("exclude", "", 1)
+        elif r["m"] == "minor":
+            want = ("background", "", 2)
+        else:
+            medium = (r["i"], r["m"]) in (("key", "medium"), ("general", "high")) or (r["i"] == "early" and r["m"] == "high" and r["s"])
+            want = ("include", "strong", 5) if (r["i"], r["m"]) == ("key", "high") else ("include", "medium", 4) if medium else ("include", "weak", 3)
+        assert tuple(r["d"]) == want
