@@ -127,7 +127,10 @@ def _tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = legs.select(F.col("fork.node").alias("node"), label.alias("label"), after["node"].alias("child"), F.when(after.isNull(), F.col("n")).alias("m")).distinct()
     edges = written(edges, "trie-edges")
     ahead = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit("label")).alias("ahead"))
-    return tries, written(edges.join(ahead, "child", "left").select("node", "label", "child", "m", F.coalesce("ahead", F.lit(0)).alias("ahead")), "trie-edges-ahead")
+    # edges that end a word, a large share, have no child to look for
+    inner = edges.where("child is not null").join(ahead, "child").select("node", "label", "child", "m", "ahead")
+    last = edges.where("child is null").select("node", "label", "child", "m", F.lit(0).cast("long").alias("ahead"))
+    return tries, written(inner.unionByName(last), "trie-edges-ahead")
 
 
 def _step(frontier: DataFrame, edges: DataFrame, edit: bool) -> DataFrame:
