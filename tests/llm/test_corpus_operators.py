@@ -143,6 +143,66 @@ def test_decoder_is_the_cheapest_path(grams):
         assert d.decode(w) == brute(w)
 
 
+def readings(decoder, written):
+    """All readings of a written text with their costs, by following every way through the lattice."""
+    out = []
+
+    def go(i, last, cost, said):
+        if i == len(written):
+            out.append((cost + (decoder.cost(last, "$") if last != "^^" else 0.0), said.strip()))
+        elif written[i].isspace():
+            if last == "^^":
+                go(i + 1, last, cost, said)
+            else:
+                go(i + 1, last, cost + toxicity.GAP, said)
+                go(i + 1, "^^", cost + decoder.cost(last, "$"), said + " ")
+        else:
+            for x, paid in decoder.ways(written, i, last):
+                go(i + 1, last[1] + x if x else last, cost + paid + (decoder.cost(last, x) if x else 0.0), said + x)
+
+    go(0, "^^", 0.0, "")
+    return out
+
+
+def test_best_reading_is_the_cheapest_of_all(grams):
+    """With white space, repetitions and known words: against all readings."""
+    rng = np.random.default_rng(4)
+    known = toxicity.Lexicon(["idiot", "mor~", "tra~", "clown"])
+    decoder = toxicity.Decoder(grams)
+    texts = ["1d1 ot", "m0 r on", "t r @", "cl0wn y", "mmoor", "tr a5h", "i d 1 o t"] + ["".join(rng.choice(list("idotmra01 .@"), 7)).strip() or "x" for _ in range(60)]
+    for written in texts:
+        every = readings(decoder, written)
+        assert np.isclose(decoder.best(written)[0], min(c for c, _ in every)), written
+        first = [(c, (said.split() or [""])[0]) for c, said in every]
+        allowed = [c for c, w in first if w in known.plain or any(w.startswith(h) and len(w) > len(h) for h in known.heads)]
+        got = decoder.best(written, known)
+        assert (got is None) == (not allowed) and (got is None or np.isclose(got[0], min(allowed))), written
+
+
+def test_disguises_of_known_words_are_undone(grams):
+    """Spaced, doubled, split and drawn words between two others: at least nine in ten; clean texts stay clean."""
+    rng = np.random.default_rng(6)
+    known = ["idiot", "stupid", "moron", "trash", "loser", "clown"]
+    r = toxicity.Restorer(grams, known)
+    leet = {"i": "1", "o": "0", "s": "5", "t": "7", "a": "4", "e": "3", "l": "1"}
+    drawn = lambda w: "".join(leet.get(c, c) for c in w)
+
+    def doubled(w):
+        i = int(rng.integers(0, len(w)))
+        return w[:i] + w[i] + w[i:]
+
+    def split(w):
+        i = int(rng.integers(2, len(w) - 1))
+        return w[:i] + " " + w[i:]
+
+    around = "the dog sat on this mat with that house river stone better kitten".split()
+    for way in (str, drawn, " ".join, lambda w: " ".join(drawn(w)), doubled, split, lambda w: w[0] * 4 + w[1:]):
+        words = [str(rng.choice(known)) for _ in range(60)]
+        caught = sum(w in r.restore(f"{rng.choice(around)} {way(w)} {rng.choice(around)}") for w in words)
+        assert caught >= 54, (way, caught)
+    assert not any(r.restore(" ".join(rng.choice(around, 30))) for _ in range(50))
+
+
 def test_toxicity_edges(spark):
     good = ["the dog sat on this mat", "that house by the river", "better stone than kitten"]
     rows = [(i, good[i % 3] + (" you idiot moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)] + [(900, None, 0), (901, "x", None)]
