@@ -10,7 +10,8 @@ Equal word sequences are collapsed first. In a bucket of texts that share a band
 compared with its buckets' leader, the text that shares the most buckets; the links found so form first classes. A bucket of one class
 needs no more. Of the texts in mixed buckets the shingles are counted: those that few texts have (at most RARE) are rare. Two texts
 that share rare shingles meet at these, a bounded number for each shingle. Two that share none can overlap at most in the
-rest of the lighter one, which is too little for most edited copies, whose edits are rare. Only pairs that this bound leaves are compared.
+rest of the lighter one, which is too little for most edited copies, whose edits are rare; nor can they be linked if a mark of their elements, a byte
+for each of 126 parts, differs in more parts than linked texts differ in elements. Only pairs that these exact bounds leave are compared.
 Classes are the connected components of all verified links; no link between texts that share a bucket is lost.
 """
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graphs
 from .common import GOLDEN, free_names, mix64, release, slices, written
 from .shingles import sequence_hash, shingle_hashes, word_hashes
 
@@ -32,6 +34,8 @@ THRESHOLD = 0.8
 NO_ID = -(2**63)
 #: A shingle is rare if at most so many texts (of those that are still open) have it.
 RARE = 16
+#: The elements of a text are dealt into so many parts, by hash; seven bytes of a 64-bit number are the marks of seven parts.
+PARTS = 126
 #: Rows of one bucket are spread over so many keys where they meet the bucket's leader.
 SALTS = 8
 
@@ -111,6 +115,26 @@ def elements(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return mix64(np.repeat(hashes, counts) + nth.astype(np.uint64) * GOLDEN)
 
 
+def marks(found: np.ndarray) -> np.ndarray:
+    """A byte for each part, made from the elements in it, seven to a number. Two texts with different marks of a part differ there in one element at least."""
+    with np.errstate(over="ignore"):
+        h = mix64(found + GOLDEN)
+    sums = np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, (h & np.uint64(0xFF)).astype(np.float64) + 1, PARTS).astype(np.uint64) & np.uint64(0xFF)
+    return (sums.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+
+
+def equal_marks(a: str, b: str) -> Column:
+    """How many parts of two texts have the same mark. a, b: columns of marks."""
+    low, high = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+
+    def zero_bytes(i: int) -> Column:
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        carried = x.bitwiseAND(F.lit(low)) + F.lit(low)
+        return F.bit_count(F.bitwise_not(carried.bitwiseOR(x).bitwiseOR(F.lit(low))).bitwiseAND(F.lit(high)))
+
+    return sum((zero_bytes(i) for i in range(1, PARTS // 7)), zero_bytes(0))
+
+
 def lists(values: list[np.ndarray]) -> pa.Array:
     """Arrays of 64-bit numbers as one Arrow list array."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
@@ -138,12 +162,16 @@ def signed(text: Column) -> Column:
 
 
 def occurrences(text: Column) -> Column:
-    """The elements of each text as array<bigint>."""
+    """struct(elements array<bigint>, marks array<bigint>) of each text."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("elements array<bigint>, marks array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.concat_arrays([lists([elements(*multiset(t)) for t in part.to_pylist()]) for part in slices(texts)] or [lists([])])
+            parts = []
+            for part in slices(texts):
+                found = [elements(*multiset(t)) for t in part.to_pylist()]
+                parts.append(pa.StructArray.from_arrays([lists(found), lists([marks(e) for e in found])], names=["elements", "marks"]))
+            yield pa.concat_arrays(parts or [pa.StructArray.from_arrays([lists([]), lists([])], names=["elements", "marks"])])
         release()
 
     return run(text)
@@ -159,21 +187,9 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for edges (a, b): label is the least node of the connected component.
-
-    Every node takes the least label among itself and its neighbours, then its label's label, until nothing changes. Each round is written
-    to the shared folder; no label reaches the driver. No edges give an empty table.
-    """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        stepped = written(hooked.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "near-labels")
-        labels = stepped.select("node", "label")
-        if stepped.where("label <> was").isEmpty():
-            return labels
+    """(node, label) for edges (a, b): label is the least node of the connected component. No edges give an empty table."""
+    edges = written(edges.select("a", "b").distinct(), "near-edges")
+    return graphs.components(edges.select(F.col("a").alias("node")).union(edges.select("b")), edges)
 
 
 def salted(df: DataFrame, *keys: str) -> tuple[DataFrame, Column]:
@@ -209,8 +225,12 @@ def open_pairs(crowded: DataFrame, labels: DataFrame, sets: DataFrame, threshold
         return None
     texts = rows.groupBy("content").agg(F.first("weight").alias("weight"), F.first("label").alias("label"))
     spread = written(texts.join(sets.select("content", "elements"), "content").select("content", "weight", "label", F.explode("elements").alias("h")), "near-spread")
-    counts = spread.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    rare = written(spread.join(counts, "h"), "near-rare")
+    counts = spread.groupBy("h").agg(F.count("*").alias("n"))
+    # occurrences of common elements, some of which nearly all texts have, meet their count under many keys
+    common, salts = counts.where(F.col("n") > RARE), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    keyed = spread.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int"))
+    few_texts = keyed.join(common.select("h", salts.alias("salt")), ["h", "salt"], "left_anti").drop("salt")
+    rare = written(few_texts.join(counts.where(F.col("n") <= RARE), "h"), "near-rare")
     rest = texts.join(rare.groupBy("content").agg(F.count("*").alias("r")), "content", "left").select("content", "weight", "label", (F.col("weight") - F.coalesce("r", F.lit(0))).alias("rest"))
     rest = written(rest, "near-rest")
     few = rare.where("n > 1")
@@ -222,13 +242,15 @@ def open_pairs(crowded: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     meet = meet.where(F.col("both") + F.least("ra", "rb") >= need * (F.col("wa") + F.col("wb")) - 1e-9).select("a", "b")
     # without a common rare element, a text needs enough other ones; most texts of mixed buckets have not, or are of the bucket's main class
     able = rows.select("bucket", "content").join(rest.where(F.col("rest") >= threshold * F.col("weight") - 1e-9), "content")
-    able = written(able, "near-able")
+    able = written(able.join(sets.select("content", "marks"), "content"), "near-able")
     sizes = able.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
     rows, salts = salted(able, "content")
     kept = rows.join(sizes.select("bucket", "main", salts.alias("salt")), ["bucket", "salt"])
-    side = lambda df, s: df.select("bucket", *[F.col(c).alias(c[0] + s) for c in ("content", "label", "weight", "rest")])
+    side = lambda df, s: df.select("bucket", *[F.col(c).alias(c[0] + s) for c in ("content", "label", "weight", "rest", "marks")])
     minor, every = side(kept.where("label <> main"), "1"), side(kept, "2")
     may = (F.col("l1") != F.col("l2")) & fits("w1", "w2") & (F.least("r1", "r2") >= need * (F.col("w1") + F.col("w2")) - 1e-9)
+    # texts that differ in more parts than linked ones can differ in elements are not linked
+    may = may & (PARTS - equal_marks("m1", "m2") <= (1 - 2 * need) * (F.col("w1") + F.col("w2")) + 1e-9)
     others = minor.join(every, "bucket").where(may).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
     return meet.unionByName(others).distinct()
 
@@ -236,7 +258,7 @@ def open_pairs(crowded: DataFrame, labels: DataFrame, sets: DataFrame, threshold
 def classes_of(members: DataFrame, sets_of, threshold: float = THRESHOLD) -> DataFrame | None:
     """(node, label) of the contents that a verified link of similarity >= threshold joins with others; None without buckets of two.
 
-    members: (bucket, content, weight). sets_of: gives (content, weight, elements) for a table of contents.
+    members: (bucket, content, weight). sets_of: gives (content, weight, elements, marks) for a table of contents.
     """
     # of two multisets the lighter one has at least `threshold` of the heavier one's weight if they are that similar
     fits = lambda x, y: F.least(F.col(x), F.col(y)) >= threshold * F.greatest(F.col(x), F.col(y)) - 1e-9
@@ -277,8 +299,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def sets_of(wanted: DataFrame) -> DataFrame:
         lenders = wanted.join(reps, "content")
         found = rows.withColumn("text_hash", F.xxhash64("text")).join(lenders, lent)
-        found = found.dropDuplicates(["content"]).select("content", occurrences(F.col("text")).alias("elements"))
-        return found.select("content", F.size("elements").alias("weight"), "elements")
+        found = found.dropDuplicates(["content"]).select("content", occurrences(F.col("text")).alias("o"))
+        return found.select("content", F.size("o.elements").alias("weight"), "o.elements", "o.marks")
 
     labels = classes_of(members, sets_of, threshold)
     if labels is None:
