@@ -180,3 +180,26 @@ def phase_digits(value: Column) -> Column:
     digit = F.create_map(*[F.lit(x) for kv in {"I": "1", "II": "2", "III": "3", "IV": "4"}.items() for x in kv])
     named = F.regexp_extract_all(F.upper(value), F.lit(r"\b(IV|III|II|I|[1-4])\b"), F.lit(1))
     return F.coalesce(F.array_join(F.transform(named, lambda x: F.coalesce(F.try_element_at(digit, x), x)), "/"), F.lit(""))
+
+
+def labelled_section(value: Column, wanted: list[str], labels: list[str]) -> Column:
+    """The text under the first of the wanted labels (`Results: ...`) up to the next label, or the whole text if it has none of them."""
+    found = [F.regexp_extract(value, rf"(?is)(?:^|[\s.;])(?:{w})\s*:\s*(.*?)(?=(?:^|[\s.;])(?:{'|'.join(labels)})\s*:|\z)", 1) for w in wanted]
+    return F.coalesce(*[F.when(F.trim(f) != "", F.trim(f)) for f in found], value)
+
+
+def sentences(value: Column) -> Column:
+    """The sentences of a text with single spaces: cut behind a full stop or semicolon before a capital letter."""
+    flat = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.filter(F.split(F.regexp_replace(flat, r"([.;]) (?=\p{Lu})", "$1\u0001"), "\u0001"), lambda s: s != "")
+
+
+def metric_sentences(value: Column, anchors: str, numbers: str, extras: str, n: int, least_chars: int = 24, least_score: int = 3, limit: int = 220) -> Column:
+    """The n sentences that report most: two points for an anchor, two for a number, one for an extra word; the short ones first, each of a key (its letters and digits, 80 of them) once."""
+    low = lambda s: F.lower(s)
+    points = lambda s: F.when(low(s).rlike(anchors), 2).otherwise(0) + F.when(low(s).rlike(numbers), 2).otherwise(0) + F.when(low(s).rlike(extras), 1).otherwise(0)
+    scored = F.transform(sentences(value), lambda s, i: F.struct((-points(s)).alias("less"), F.length(s).alias("n"), i.alias("i"), s.alias("s"), F.substring(F.regexp_replace(low(s), r"[^\p{L}\p{N}]+", " "), 1, 80).alias("k")))
+    ranked = F.array_sort(F.filter(scored, lambda x: (x["n"] >= least_chars) & (x["less"] <= -least_score)))
+    once = F.filter(ranked, lambda x, i: ~F.exists(F.slice(ranked, F.lit(1), i), lambda y: y["k"] == x["k"]))
+    cut = lambda s: F.when(F.length(s) > limit, F.concat(F.rtrim(F.substring(s, 1, limit)), F.lit("…"))).otherwise(s)
+    return F.transform(F.slice(once, 1, n), lambda x: cut(x["s"]))

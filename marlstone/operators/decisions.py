@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.rules import cascade
+from marlstone.sources.shared import written
 
 
 def normalised(raw: DataFrame, pending: DataFrame, key: str, order: str, allowed: list[str], low: int = 1, high: int = 5) -> DataFrame:
@@ -137,3 +138,27 @@ def delta_applied(df: DataFrame, deltas: DataFrame, key: str, text: str, fields:
     for f in fields:
         j = j.withColumn(f, F.when(F.col("state") == "applied", F.coalesce(f"{f}_", f)).otherwise(F.col(f)))
     return j.drop("quotes_", *[f"{f}_" for f in fields])
+
+
+def digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, n, digest): the number of rows and a hash of the multiset of rows, the same for any order and partitioning and another one for any changed cell.
+
+    Each row's cells (null apart from empty) are hashed to four numbers, which are added up: partial sums of tasks are merged, nothing is collected.
+    """
+    cell = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    hashed = df.withColumn("__h", F.md5(F.concat_ws("\u0001", *[cell(c) for c in columns]).cast("binary")))
+    lanes = [F.sum(F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"__{i}") for i in range(4)]
+    sums = hashed.groupBy(*(by or [])).agg(F.count("*").alias("n"), *lanes)
+    return sums.select(*(by or []), "n", F.concat_ws("-", *[F.lower(F.hex(F.coalesce(F.col(f"__{i}"), F.lit(0).cast("long")))) for i in range(4)]).alias("digest"))
+
+
+def freshness(newest: Column, as_of: Column, fresh: int, stale: int) -> Column:
+    """fresh, ageing or stale by the days since the newest row; missing without one."""
+    days = F.datediff(as_of, newest)
+    return cascade([("missing", days.isNull()), ("fresh", days <= fresh), ("ageing", days <= stale)], "stale")
+
+
+def quarantined(df: DataFrame, reason: Column, kept: str = "kept") -> DataFrame:
+    """df with its `reason`, as it is read back from two tables: what was kept and what was set apart, by reason."""
+    tagged = df.withColumn("reason", reason)
+    return written(tagged.where(F.col("reason") == kept), "kept").unionByName(written(tagged.where(F.col("reason") != kept), "quarantine"))

@@ -109,3 +109,26 @@ def ordered_by_modes(df: DataFrame, modes: dict[str, list[Column]], key: str, k:
 def placed_in(df: DataFrame, by: str | None, order: list[Column], name: str) -> DataFrame:
     """df with each row's place in its group, from 1; without a group, among all rows (for tables of a few rows)."""
     return df.withColumn(name, F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)))
+
+
+def seeded_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: int) -> DataFrame:
+    """n rows of each stratum (all, if it has fewer), the same in every run and for any partitioning: those with the least hash of seed and key. Keys are unique."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return top_k(df.withColumn("__h", order), strata, [F.asc("__h"), F.asc(key)], n, "__n").drop("__h", "__n")
+
+
+def guaranteed(df: DataFrame, order: list[Column], n: int, wanted: Column, last: list[Column] | None = None) -> DataFrame:
+    """The first n rows in an order, with `place`; if none of them is wanted and there are wanted ones, the first of those (in the order `last`) takes the last place. For small tables: classes, topics."""
+    placed = placed_in(df.withColumn("__w", F.coalesce(wanted, F.lit(False))), None, order, "place")
+    first = placed.where(F.col("place") <= n)
+    lacking = first.agg((~F.coalesce(F.bool_or("__w"), F.lit(False))).alias("__lacks"), F.max("place").alias("__last"))
+    spare = placed_in(placed.where("__w"), None, last or order, "__n").where("__n = 1").drop("__n", "place")
+    spare = spare.crossJoin(F.broadcast(lacking)).where("__lacks").withColumn("place", F.col("__last")).drop("__lacks", "__last")  # one row each
+    kept = first.join(F.broadcast(spare.select(F.col("place").alias("__taken"))), F.col("place") == F.col("__taken"), "left_anti")
+    return kept.unionByName(spare).drop("__w")
+
+
+def or_fallback(df: DataFrame, fallback: DataFrame) -> DataFrame:
+    """df, or the fallback rows if it has none; decided within the query."""
+    some = df.limit(1).agg(F.count("*").alias("__n"))
+    return df.unionByName(fallback.crossJoin(F.broadcast(some)).where("__n = 0").drop("__n"))  # one row

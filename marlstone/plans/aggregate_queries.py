@@ -290,13 +290,6 @@ def d30(spark, sf):
     return counts.crossJoin(F.broadcast(top))
 
 
-@query("d31_theme_divergence", "WITH g AS (SELECT source AS topic, count(*) FILTER (WHERE lang = 'en') AS rest, count(*) FILTER (WHERE lang <> 'en') AS region FROM documents GROUP BY 1) SELECT *, round(rest + region + 0.5 * abs(rest - region), 4) AS score FROM g ORDER BY score DESC, topic LIMIT 5")
-def d31(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("topic"), F.when(F.col("lang") == "en", "rest").otherwise("region").alias("side"))
-    g = d.groupBy("topic").pivot("side", ["rest", "region"]).count().fillna(0)
-    return g.withColumn("score", F.round(F.col("rest") + F.col("region") + 0.5 * F.abs(F.col("rest") - F.col("region")), 4)).orderBy(F.desc("score"), "topic").limit(5)
-
-
 @query("d33_competitive_matrix", f"WITH {SCORED_SQL} SELECT label AS drug, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS high, count(*) FILTER (WHERE lang <> 'en') AS region, CASE WHEN count(*) >= 500 THEN 'deep' WHEN count(*) >= 100 THEN 'some' ELSE 'thin' END AS depth FROM scored JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def d33(spark, sf):
     j = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -323,12 +316,6 @@ def d36(spark, sf):
     return cards(spark, sf).select("community").join(a, "community", "left").fillna(0)
 
 
-@query("d37_insight_selection", f"WITH {CARD_SQL} SELECT community, CAST(4 * fresh + 8 * high + 2 * region AS BIGINT) AS score FROM card WHERE n > 0 ORDER BY score DESC, community LIMIT 3")
-def d37(spark, sf):
-    s = 4 * F.col("fresh") + 8 * F.col("high") + 2 * F.col("region")
-    return cards(spark, sf).where("n > 0").select("community", s.alias("score")).orderBy(F.desc("score"), "community").limit(3)
-
-
 @query("d38_conflict_pairs", f"WITH {BEST_SQL} SELECT best AS main, second, count(*) AS n FROM best WHERE second IS NOT NULL GROUP BY ALL ORDER BY n DESC, main, second LIMIT 12")
 def d38(spark, sf):
     return best(spark, sf).where("second is not null").groupBy(F.col("best").alias("main"), "second").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "main", "second").limit(12)

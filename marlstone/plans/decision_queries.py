@@ -126,12 +126,6 @@ def d44(spark, sf):
     return every.orderBy(F.desc("day"), "kind", "id").limit(10)
 
 
-@query("d46_reviewer_agreement", "WITH r AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS rule, quality FROM documents JOIN labels USING (doc_id)) SELECT rule, count(*) AS n, round(avg(CASE WHEN rule = quality THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM r GROUP BY 1")
-def d46(spark, sf):
-    j = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("rule")).join(table(spark, sf, "labels"), "doc_id")
-    return j.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg((F.col("rule") == F.col("quality")).cast("double")), 6).alias("agreement"))
-
-
 @query("f1_heterogeneous_union", "SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, NULL AS size FROM customer UNION ALL SELECT 'part', p_partkey, p_name, p_size FROM part")
 def f1(spark, sf):
     c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
@@ -222,14 +216,3 @@ def j1(spark, sf):
             ("conversation_does_not_begin_with_user_or_system", table(spark, sf, "conversations").where("turn = 0 and role = 'assistant'").select("conv_id")), ("short_document", d.where(F.length("text") < 50).select("doc_id")),
         ]
     )
-
-
-@query("j3_count_consistency", "SELECT 'documents' AS name, count(*) AS n, 'ok' AS state FROM documents UNION ALL SELECT 'by_lang', CAST(sum(c) AS BIGINT), 'ok' FROM (SELECT lang, count(*) AS c FROM documents GROUP BY 1) UNION ALL SELECT 'by_source', CAST(sum(c) AS BIGINT), 'ok' FROM (SELECT source, count(*) AS c FROM documents GROUP BY 1)")
-def j3(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "documents")
-    shards = lambda c: d.groupBy(c).count().agg(F.sum("count").alias("n"))
-    u = D.counts_of({"documents": d}).unionByName(shards("lang").select(F.lit("by_lang").alias("name"), "n")).unionByName(shards("source").select(F.lit("by_source").alias("name"), "n"))
-    w = Window.partitionBy()  # three rows
-    return u.withColumn("state", F.when(F.min("n").over(w) == F.max("n").over(w), "ok").otherwise("differs"))

@@ -269,12 +269,6 @@ def j4(spark, sf):
     return tagged(same, "same").unionByName(tagged(following, "next")).unionByName(tagged(found, "found"))
 
 
-@query("j6_quarantine", "SELECT CASE WHEN length(text) < 100 THEN 'too_short' WHEN contains(text, ' | ') THEN 'table' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1")
-def j6(spark, sf):
-    stop = gates.first_stop([("too_short", F.length("text") >= 100), ("table", ~rules.has(F.col("text"), " | "))])
-    return gates.gate_counts(table(spark, sf, "documents").withColumn("reason", stop), "reason")
-
-
 @query("j7_last_good_source", "SELECT source, count(*) AS n, source = 'src1' AS reused FROM documents WHERE (source = 'src1' AND doc_id % 2 = 0) OR source <> 'src1' GROUP BY ALL")
 def j7(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source")

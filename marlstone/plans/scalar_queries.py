@@ -55,15 +55,6 @@ def g5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(S.quote_key(F.col("text"))).cast("long").alias("n"))
 
 
-@query(
-    "g6_excerpt",
-    """SELECT doc_id, CASE WHEN length(text) <= 120 THEN text WHEN length(regexp_replace(substr(text, 1, 121), '\\s+\\S*$', '')) > 120 THEN substr(text, 1, 120)
-         ELSE regexp_replace(substr(text, 1, 121), '\\s+\\S*$', '') END AS excerpt, regexp_extract(text, '(?s)^\\s*(.*?[.!?])(?:\\s|$)', 1) AS sentence FROM documents""",
-)
-def g6(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.cut_at_word(F.col("text"), 120).alias("excerpt"), S.first_sentence(F.col("text")).alias("sentence"))
-
-
 @query("g7_name_parts", r"SELECT p_partkey, len(list_filter(string_split(p_type, ' '), lambda x: trim(x) <> '')) AS n, list_filter(string_split(p_type, ' '), lambda x: trim(x) <> '')[1] AS first, p_type || ' (' || p_brand || ')' AS label FROM part")
 def g7(spark, sf):
     parts = S.name_parts(F.col("p_type"), " ")
@@ -118,11 +109,6 @@ def g15(spark, sf):
     return e.select("event_id", F.from_json(S.outer_json(said), "u long, kind string").alias("j")).select("event_id", "j.u", "j.kind")
 
 
-@query("g16_chunks", "SELECT doc_id, CAST(start_ AS INT) AS start, substr(text, CAST(start_ + 1 AS BIGINT), 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, length(text) - 100), 900)) AS start_ FROM documents WHERE length(text) > 0)")
-def g16(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(S.chunks(F.col("text"), 1000, 100)).alias("c")).select("doc_id", "c.start", "c.chunk")
-
-
 @query("g17_values", "SELECT event_id, round(greatest(10.0, least(60.0, value)), 4) AS clamped, CASE WHEN value IS NULL THEN NULL WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'middle' ELSE 'high' END AS range_name FROM events")
 def g17(spark, sf):
     v = F.col("value")
