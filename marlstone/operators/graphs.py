@@ -128,12 +128,14 @@ def subgraph(edges: DataFrame, keep: Column, most: int) -> tuple[DataFrame, Data
 HOT = 1 << 16
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """rows joined to a table with one row for each key. Keys of HOT rows or more, at most one in HOT of the rows, are broadcast with their value; the others are shuffled."""
+def _looked_up(rows: DataFrame, n: int, key: str, table: DataFrame) -> DataFrame:
+    """n rows joined to a table with one row for each key. Keys of HOT rows or more, at most one in HOT of the rows, are broadcast with their value; the others are shuffled. Fewer than HOT rows have no such key."""
+    if n < HOT:
+        return rows.join(table, key)
     counts = written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select(key), "hot-keys")
     if counts.isEmpty():
         return rows.join(table, key)
-    hot = table.join(counts, key, "left_semi")
+    hot = table.join(F.broadcast(counts), key, "left_semi")
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(counts), key, "left_anti").join(table, key))
 
 
@@ -145,12 +147,14 @@ def least_reached(ids: DataFrame, links: DataFrame) -> DataFrame:
     """
     links = written(links.select("a", "b").where("a <> b").distinct(), "links")
     labels = written(ids.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    n_links, n_labels = links.count(), labels.count()
     while True:
-        near = _looked_up(links, "b", labels.select(F.col("node").alias("b"), "label")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = _looked_up(links, n_links, "b", labels.select(F.col("node").alias("b"), "label")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        hooked = written(hooked, "labels-hooked")
+        if n_labels >= HOT:
+            hooked = written(hooked, "labels-hooked")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        stepped = written(_looked_up(hooked, "label", jump).select("node", "was", F.least("label", "next").alias("label")), "labels")
+        stepped = written(_looked_up(hooked, n_labels, "label", jump).select("node", "was", F.least("label", "next").alias("label")), "labels")
         labels = stepped.select("node", "label")
         if stepped.where("label <> was").isEmpty():
             return labels
