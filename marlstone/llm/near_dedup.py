@@ -188,7 +188,6 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for edges (a, b): label is the least node of the connected component. No edges give an empty table."""
-    edges = written(edges.select("a", "b").distinct(), "near-edges")
     return graphs.components(edges.select(F.col("a").alias("node")).union(edges.select("b")), edges)
 
 
