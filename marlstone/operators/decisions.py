@@ -140,7 +140,7 @@ def delta_applied(df: DataFrame, deltas: DataFrame, key: str, text: str, fields:
     return j.drop("quotes_", *[f"{f}_" for f in fields])
 
 
-def digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+def table_digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, n, digest): the number of rows and a hash of the multiset of rows, the same for any order and partitioning and another one for any changed cell.
 
     Each row's cells (null apart from empty) are hashed to four numbers, which are added up: partial sums of tasks are merged, nothing is collected.

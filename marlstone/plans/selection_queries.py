@@ -114,7 +114,7 @@ def d37(spark, sf):
 
 
 def digest_sql(columns: list[str]) -> str:
-    """The multiset digest of decisions.digest."""
+    """The multiset digest of decisions.table_digest."""
     row = "md5(concat_ws(chr(1), " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in columns) + "))"
     return "concat_ws('-', " + ", ".join(f"to_hex(CAST(sum(CAST('0x' || substr({row}, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT))" for i in range(4)) + ")"
 
@@ -129,8 +129,8 @@ def j6(spark, sf):
     d = table(spark, sf, "documents").select(*DOC)
     stop = gates.first_stop([("too_short", F.coalesce(F.length("text"), F.lit(0)) >= 100), ("table", ~rules.has(F.col("text"), " | "))])
     parts = D.quarantined(d, stop)
-    found = D.digest(parts, DOC, ["reason"]).join(parts.groupBy("reason").agg(F.min("doc_id").alias("first_id")), "reason")
-    return found.crossJoin(F.broadcast(D.digest(d, DOC).select(F.col("digest").alias("source_digest"))))  # one row
+    found = D.table_digest(parts, DOC, ["reason"]).join(parts.groupBy("reason").agg(F.min("doc_id").alias("first_id")), "reason")
+    return found.crossJoin(F.broadcast(D.table_digest(d, DOC).select(F.col("digest").alias("source_digest"))))  # one row
 
 
 @query(
@@ -148,7 +148,7 @@ def j3(spark, sf):
     made = {
         "documents": d, "shards_by_lang": d.repartition(3, "lang"), "shards_by_source": d.where("source is null or source <> 'src3'"), "edited": d.withColumn("lang", F.when(F.col("doc_id") == 5, "xx").otherwise(F.col("lang"))),
     }
-    w = reduce(DataFrame.unionByName, [D.digest(df, columns).withColumn("name", F.lit(name)) for name, df in made.items()])
+    w = reduce(DataFrame.unionByName, [D.table_digest(df, columns).withColumn("name", F.lit(name)) for name, df in made.items()])
     whole = w.where("name = 'documents'").select(F.col("n").alias("__n"), F.col("digest").alias("__d"))
     state = rules.cascade([("counts differ", F.col("n") != F.col("__n")), ("rows differ", F.col("digest") != F.col("__d"))], "ok")
     counts = w.crossJoin(F.broadcast(whole)).select("name", "n", state.alias("state"))  # one row
