@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
-from marlstone.operators import classifiers, communities, decisions, diffing, gates, graphs, merging, ranking, rules, trials
+from marlstone.operators import classifiers, communities, decisions, diffing, gates, graphs, merging, packing, ranking, rules, trials
 from marlstone.operators import quotes as quote_index
 from marlstone.sources import readers, writers
 
@@ -398,3 +398,71 @@ def test_trial_updates_and_decisions(spark):
             medium = (r["i"], r["m"]) in (("key", "medium"), ("general", "high")) or (r["i"] == "early" and r["m"] == "high" and r["s"])
             want = ("include", "strong", 5) if (r["i"], r["m"]) == ("key", "high") else ("include", "medium", 4) if medium else ("include", "weak", 3)
         assert tuple(r["d"]) == want
+
+
+def packed_by_hand(sizes, most):
+    out, batch, used = [], 0, 0
+    for n in sizes:
+        if n > most:
+            batch += used > 0
+            out.append(batch)
+            batch, used = batch + -(-n // most), 0
+            continue
+        if used and used + n > most:
+            batch, used = batch + 1, 0
+        out.append(batch)
+        used += n
+    return out
+
+
+def test_batches_are_the_greedy_ones(spark):
+    rng = np.random.default_rng(8)
+    for most in (1, 5, 12):
+        sizes = [int(x) for x in rng.integers(1, 9, 120)] + [40, 1, 1, 40, 40, 3]
+        rng.shuffle(sizes)
+        df = spark.createDataFrame(list(enumerate(sizes)), "k long, n long").repartition(7)
+        assert [r["batch"] for r in packing.batches(df, "k", "n", most).orderBy("k").collect()] == packed_by_hand(sizes, most)
+    assert packing.batches(df.limit(0), "k", "n", 5).count() == 0
+
+
+def test_running_total(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(200)], "k long, v long").repartition(9)
+    got = [r["t"] for r in packing.running_total(df, ["k"], F.col("v"), "t").orderBy("k").collect()]
+    assert got == list(itertools.accumulate(i % 5 for i in range(200)))
+
+
+def test_seeded_sample_is_the_same_for_any_partitioning(spark):
+    df = spark.range(500).select("id", (F.col("id") % 7 == 0).alias("s"))
+    one = values(ranking.seeded_sample(df, ["s"], "id", 20, 3), "id")
+    assert one == values(ranking.seeded_sample(df.repartition(13), ["s"], "id", 20, 3), "id") and len(one) == 40
+    assert one != values(ranking.seeded_sample(df, ["s"], "id", 20, 4), "id")
+
+
+def test_guaranteed_member_and_fallback(spark):
+    df = spark.createDataFrame([("a", 9, False), ("b", 8, False), ("c", 7, False), ("d", 2, True), ("e", 1, True)], "t string, s int, w boolean")
+    order = [F.desc("s"), F.asc("t")]
+    assert values(ranking.guaranteed(df, order, 3, F.col("w")), "t", "place") == [("a", 1), ("b", 2), ("d", 3)]
+    assert values(ranking.guaranteed(df, order, 4, F.col("w")), "t") == [("a",), ("b",), ("c",), ("d",)]
+    assert values(ranking.guaranteed(df.where("not w"), order, 2, F.col("w")), "t") == [("a",), ("b",)]
+    spare = spark.createDataFrame([("none", 0, False)], df.schema)
+    assert values(ranking.or_fallback(df.limit(0), spare), "t") == [("none",)] and ranking.or_fallback(df, spare).count() == 5
+
+
+def test_digest_of_a_multiset(spark):
+    rows = [(i, None if i % 3 else "x", "") for i in range(100)]
+    df = spark.createDataFrame(rows, "a int, b string, c string")
+    cols = ["a", "b", "c"]
+    d = lambda df: (lambda r: (r["n"], r["digest"]))(decisions.table_digest(df, cols).first())
+    assert d(df) == d(df.repartition(7).orderBy(F.desc("a"))) and d(df) != d(df.unionByName(df.limit(1))) and d(df.limit(0))[0] == 0
+    assert len({d(df), d(df.withColumn("b", F.when(F.col("a") == 5, "y").otherwise(F.col("b")))), d(df.withColumn("b", F.coalesce("b", F.lit("")))), d(df.select("a", F.col("c").alias("b"), F.col("b").alias("c")))}) == 4
+
+
+def test_sections_and_sentences_with_figures(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    text = "Background: Old news. Methods: Ten were asked. RESULTS: The score fell by 4%. It held. Conclusions: Fine."
+    labels = ["background", "methods?", "results?", "conclusions?"]
+    assert one(S.labelled_section(F.lit(text), ["results?", "conclusions?"], labels)) == "The score fell by 4%. It held."
+    assert one(S.labelled_section(F.lit("no labels"), ["results?"], labels)) == "no labels" and one(S.labelled_section(F.lit("Results: "), ["results?"], labels)) == "Results: "
+    said = "The response was 40 % at week 4. THE RESPONSE WAS 40 % AT WEEK 4. A long sentence about nothing at all. The response reached 5 points. Short 5 %."
+    got = one(S.metric_sentences(F.lit(said), "response|week|%", r"\d", "baseline", 2))
+    assert got == ["The response reached 5 points.", "The response was 40 % at week 4."] and one(S.metric_sentences(F.lit(""), "a", "b", "c", 2)) == []
