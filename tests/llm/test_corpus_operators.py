@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, fingerprints, language_id, mixing, near_dedup, queries, sharding, topk, toxicity, warc
+from marlstone.llm import bpe, chat, fingerprints, language_id, lexical, mixing, near_dedup, quality, queries, sharding, topk, toxicity, variants, warc
 from marlstone.llm.shingles import shingle_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -531,3 +531,192 @@ def test_pipeline_stages_keep_their_contracts(spark):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: c for i, c in copies.items() if c})
     assert stage["bpe"](spark, docs.limit(5), sf).columns == ["doc_id", "n_tokens", "ids"]
+
+
+# spelling variants
+
+
+def near(a, b):
+    """Whether two different words are one inserted, deleted or replaced code point apart."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants_by_hand(words, factor=10):
+    out = []
+    around = {w: [v for v in words if near(w, v)] for w in words}
+    form = {}
+    for w, n in words.items():
+        best = min(around[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= factor * n else None
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(around[w]), words[form[w]] if form[w] else None))
+    return sorted(out, key=repr)
+
+
+def test_variants_are_all_pairs_one_edit_apart(spark):
+    rng = np.random.default_rng(7)
+    words = {}
+    for _ in range(400):
+        w = "".join(rng.choice(list("abé"), int(rng.integers(7, 11))))
+        words[w] = int(10 ** rng.uniform(0.4, 4))
+    words |= {"a" * n: 3 + n for n in range(7, 12)} | {"abcdefg": 2, "abcdefgh": 30, "xabcdefgh": 400, "q" * 5000: 50, "q" * 2499 + "r" + "q" * 2500: 4, "q" * 5001: 5, "😀" * 7: 2, "😀" * 8: 90}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = variants.spelling_variants(df)
+    assert sorted([(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got.collect()], key=repr) == variants_by_hand(words)
+    assert ("abcdefg", "abcdefgh", "xabcdefgh") in {(r["word"], r["form"], r["root"]) for r in got.collect()}
+    assert variants.spelling_variants(df.limit(0)).count() == 0
+
+
+def test_words_are_counted_with_typos(spark):
+    rows = [(i, t, 1) for i, t in enumerate(["Letters ÀBCDEFGÿ letters", "x2letters3 short", None, "", "LETTERS×letters", "letters" * 3, "Ünïcödé straße ﬀﬀﬀﬀﬀﬀﬀ"] * 30)] + [(None, "letters without an id", 1), (5, "letters repeated", 1), (5, "letters repeated", 1)]
+    want = Counter()
+    for k, t, _ in rows:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            h = zlib.crc32(f"{'' if k is None else k}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            want[w] += 1
+    want = {w: n for w, n in want.items() if len(w) >= 7 and n >= 2}
+    df = frame(spark, rows, "doc_id long, text string, n int")
+    assert {r["word"]: r["n"] for r in variants.count_words(df).collect()} == want
+    assert variants.count_words(df.limit(0)).count() == 0
+
+
+# ranked lexical search
+
+
+def ranked_by_hand(docs, items, k=50):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    counted = [(i, Counter(words(t))) for i, t in docs]
+    counted = [(i, c) for i, c in counted if c]
+    n_docs, n_terms = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(w for _, c in counted for w in c)
+    asked = defaultdict(set)
+    for i, t in items:
+        if i is not None:
+            asked[i] |= set(words(t))
+    out = []
+    for item, terms in asked.items():
+        scored = []
+        for doc, c in counted:
+            m = 50 + (50 * sum(c.values()) * n_docs) // n_terms
+            score = sum(int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[w] + 1)))) * (1000000000 * c[w] // (1000 * c[w] + 20 * m)) for w in terms if w in c)
+            if score > 0 and doc is not None:
+                scored.append((-score, doc))
+        out += [(item, r, doc, -s) for r, (s, doc) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [3, 50])
+def test_ranked_search_is_exact(spark, monkeypatch, k):
+    """Several blocks of items, small chunks, hot terms, ties, nulls, repeated ids, long texts, clashing columns."""
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 30)
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(60)] + ["Ärger", "the", "THE", "x-y", "naïve", "9"]
+    weight = 1 / np.arange(1, len(vocabulary) + 1)
+    some = lambda n: " ".join(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    docs = [(i, some(int(rng.integers(1, 80)))) for i in range(300)] + [(7, "the the the"), (7, "the the the"), (None, some(20)), (900, None), (901, ""), (902, "-- !"), (903, some(20000)), (904, "w59"), (905, "w59")]
+    items = [(i, some(int(rng.integers(1, 15)))) for i in range(20)] + [(50, None), (51, "..."), (52, "unheard of"), (53, "w59 w59"), (53, "w58"), (None, "the")]
+    out = lexical.ranked_search(frame(spark, [(*d, "c") for d in docs], "doc_id long, text string, score string"), frame(spark, items, "item_id long, text string"), k)
+    assert out.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, out.collect())) == ranked_by_hand(docs, items, k)
+
+
+def test_ranked_search_of_empty_tables(spark):
+    docs, items = frame(spark, [(1, "a b")]), frame(spark, [(1, "a")], "item_id long, text string")
+    assert lexical.ranked_search(docs.limit(0), items).count() == 0 and lexical.ranked_search(docs, items.limit(0)).count() == 0
+
+
+def test_bucket_search_drops_what_cannot_reach_the_floor():
+    """A chunk whose floor is above its documents gives nothing; the kept scores are those of brute force."""
+    rng = np.random.default_rng(2)
+    n, terms = 400, 12
+    weight = rng.integers(1, 9000, terms).astype(np.int64)
+    table = rng.integers(0, 900000, (n, terms)) * (rng.random((n, terms)) < 0.3)
+    row, term = np.nonzero(table)
+    impact = table[row, term].astype(np.int64)
+    square = (weight.astype(float) * table.astype(float) ** 2).sum(axis=1) * (1 + 1e-9)
+    asked = np.array([1, 4, 5, 7, 9, 10, 11])
+    exact = table[:, asked].astype(np.int64) @ weight[asked]
+    best = {}
+    lexical._search((np.arange(n), square, row, term, impact), [(3, asked)], weight, best, {}, 5)
+    order = np.lexsort((np.arange(n), -exact))[:5]
+    assert best[3][0].tolist() == exact[order].tolist() and best[3][1].tolist() == order.tolist()
+    none = {}
+    lexical._search((np.arange(n), square, row, term, impact), [(3, asked)], weight, none, {3: int(exact.max()) + 1}, 5)
+    assert not len(none.get(3, ([],))[0])
+
+
+# quality
+
+
+def chain_by_hand(scores, turns):
+    """Log-odds of each line's label, by adding up all labellings."""
+    n = len(scores)
+    total = np.zeros((n, 2))
+    for code in range(2**n):
+        y = [code >> i & 1 for i in range(n)]
+        w = np.exp(sum(s for s, b in zip(scores, y, strict=True) if b) + sum(turns[a][b] for a, b in zip(y, y[1:], strict=False)))
+        for i in range(n):
+            total[i, y[i]] += w
+    return np.log(total[:, 1] / total[:, 0])
+
+
+def test_marginals_are_those_of_all_labellings():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9):
+        scores, turns = rng.normal(0, 2, n), rng.normal(0, 1.5, (2, 2))
+        assert np.allclose(quality.marginals(scores, turns), chain_by_hand(scores, turns))
+
+
+def test_chain_is_fitted_to_its_likelihood():
+    """The slope of the fitted chain's likelihood is that of its ridge: expected features are the seen ones."""
+    rng = np.random.default_rng(1)
+    sizes = np.array([4, 1, 6, 3, 5] * 8)
+    features = (rng.random((sizes.sum(), 3)) < 0.4).astype(np.uint8)
+    labels = (features[:, 0] | (rng.random(len(features)) < 0.3)).astype(np.int64)
+    weights, bias, turns = quality.fit_chain(features, sizes, labels, rounds=600)
+    good, lo = [], 0
+    for n in sizes:
+        good.append(1 / (1 + np.exp(-quality.marginals(quality.node_scores(features[lo : lo + n], weights, bias), turns))))
+        lo += n
+    slope = features.T @ (labels - np.concatenate(good)) - weights[0]
+    assert np.abs(slope).max() < 0.3 and abs((labels - np.concatenate(good)).sum() - bias) < 0.3
+
+
+def test_line_features_do_not_depend_on_the_batch():
+    texts = ["A line here.\n\nANOTHER LINE!!\nsame same same same", None, "", "\n \n", "one", "a | b | c\na | b | c\r\nx", "é" * 100 + "\n9 9 9"]
+    together, length, of = quality.line_features(texts)
+    alone = [quality.line_features([t]) for t in texts]
+    assert np.array_equal(together, np.concatenate([f for f, _, _ in alone])) and np.array_equal(length, np.concatenate([n for _, n, _ in alone]))
+    assert of.tolist() == [0, 0, 0, 4, 5, 5, 5, 6, 6] and [len(f) for f, _, _ in alone] == [3, 0, 0, 0, 1, 3, 2]
+
+
+def test_quality_edges(spark):
+    good = ["The dog sat by the river and looked at the water.", "It was late in the year, and the leaves were falling.", "Nobody came that day; the house was quiet."]
+    bad = ["BUY!! NOW!! CHEAP!! BUY!! NOW!!", "a | b | c | d | e | f | g", "win win win win win win win win", "$$$ *** $$$ %%% &&& ***"]
+    rng = np.random.default_rng(9)
+    rows = [(i, "\n".join(map(str, rng.choice(good if i % 3 else bad, int(rng.integers(1, 9))))), int(i % 3 > 0)) for i in range(150)]
+    rows += [(200, good[0] + "\n" + "\n".join(bad), 0), (201, None, 0), (202, "", 1), (None, good[1], 1), (203, good[2], None)]
+    df = frame(spark, rows, "doc_id long, text string, quality int")
+    model = quality.fit_quality(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    docs = [(1, "\n".join(good), "x"), (2, "\n".join(bad), "x"), (3, None, "x"), (4, "", "x"), (5, " \n", "x"), (6, (good[0] + "\n") * 5000, "x"), (7, bad[0], "x"), (7, bad[0], "x"), (None, good[1], "x")]
+    out = quality.score_quality(frame(spark, docs, "doc_id long, text string, quality_score string"), model)
+    got = [(r["doc_id"], r["quality_predicted"]) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1), (7, 0), (7, 0), (None, 1)], key=repr)
+    assert all(0 <= r["quality_score"] <= 1 for r in out.collect()) and len({r["quality_score"] for r in out.where("doc_id in (3, 4, 5)").collect()}) == 1
+    lines = frame(spark, [(1, good[0] + "\n\n" + bad[0]), (2, None)]).select("doc_id", quality.line_quality(model, F.col("text")).alias("l")).collect()
+    assert [x["line"] for x in lines[0]["l"]] == [0, 2] and lines[0]["l"][0]["good"] > lines[0]["l"][1]["good"] and lines[1]["l"] is None
+    assert quality.score_quality(df.limit(0).select("doc_id", "text"), model).count() == 0
+    for kind in (0, 1, None):
+        one = quality.fit_quality(df.select("doc_id", "text"), df.where("false" if kind is None else f"quality = {kind}").select("doc_id", "quality"))
+        assert quality.score_quality(frame(spark, docs[:1], "doc_id long, text string, x string"), one).first()["quality_predicted"] == (1 if kind == 1 else 0)

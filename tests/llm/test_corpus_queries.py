@@ -437,3 +437,48 @@ def test_pipeline_is_its_stages(spark, sf):
         docs = stage(spark, docs, sf)
     row = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, list(r["ids"]))
     assert sorted(map(row, corpus_pipeline.run(spark, sf).collect())) == sorted(map(row, docs.collect()))
+
+
+# op11 to op13
+
+
+def test_op11_is_all_pairs_one_edit_apart(spark, rows, sf):
+    want = Counter()
+    for k, t, *_ in rows[0]:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            h = zlib.crc32(f"{'' if k is None else k}:{w}".encode())
+            want[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 31 == 0 else w] += 1
+    want = {w: n for w, n in want.items() if len(w) >= 7 and n >= 2}
+    apart = lambda a, b: len(a) - len(b) == 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+    swapped = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    got = {r["word"]: r for r in queries.op11_variants(spark, sf).collect()}
+    assert {w: r["n"] for w, r in got.items()} == want and want
+    for w, r in got.items():
+        near = [v for v in want if apart(w, v) or apart(v, w) or swapped(w, v)]
+        best = min(near, key=lambda v: (-want[v], v), default=None)
+        form = best if best is not None and want[best] >= 10 * want[w] else None
+        assert (r["n_near"], r["form"], r["form_n"]) == (len(near), form, want[form] if form else None)
+        assert r["root"] == (got[form]["root"] if form else w)
+
+
+def test_op12_equals_its_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    want = c.execute(queries.OP12_SQL).df()
+    got = queries.op12_lexical(spark, SMALL).toPandas()
+    assert sorted(map(tuple, got[list(want.columns)].to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist())) and len(want) == 2000
+
+
+def test_op13_contract_and_held_out(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    out = queries.op13_quality(spark, SMALL).collect()
+    assert len(out) == spark.read.parquet(f"{SMALL}/documents.parquet").count() and all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in out)
+    held = [r for r in out if r["held_out"] and r["doc_id"] in labels]
+    bad = [r for r in held if not labels[r["doc_id"]]]
+    assert bad and sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert sum(1 - r["predicted"] for r in bad) >= 0.8 * len(bad)
