@@ -77,11 +77,6 @@ def signals(spark, sf):
     return d.select("doc_id", "source", "lang", "n_chars", "quality", "toxic", F.round(s, 4).alias("score"), strength.alias("strength"))
 
 
-@query("d3_signal_scoring", f"WITH {SIGNAL_SQL} SELECT doc_id, score, strength FROM sig")
-def d3(spark, sf):
-    return signals(spark, sf).select("doc_id", "score", "strength")
-
-
 CLUSTER_SQL = SIGNAL_SQL + ", clu AS (SELECT source, count(*) AS members, round(max(score) + least(4, 0.8 * (count(*) - 1)), 4) AS score, min(CASE strength WHEN 'strong' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS tier, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM sig GROUP BY 1)"
 
 
@@ -90,12 +85,6 @@ def clusters(spark, sf):
     return signals(spark, sf).groupBy("source").agg(F.count("*").alias("members"), F.round(F.max("score") + F.least(F.lit(4.0), 0.8 * (F.count("*") - 1)), 4).alias("score"), F.min(tier).alias("tier"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("d4_signal_clusters", f"WITH {CLUSTER_SQL} SELECT 'L' || lpad(CAST(row_number() OVER (ORDER BY tier, score DESC, source) AS VARCHAR), 2, '0') AS id, * FROM clu")
-def d4(spark, sf):
-    n = F.row_number().over(Window.orderBy("tier", F.desc("score"), "source"))  # clusters are few: one for each rule or source
-    return clusters(spark, sf).withColumn("id", F.format_string("L%02d", n))
-
-
 @query("d5_signal_summary", f"WITH {SIGNAL_SQL}, k AS (SELECT lang, count(*) AS n, min(doc_id) AS first FROM sig WHERE strength <> 'weak' GROUP BY 1) SELECT 'strength' AS kind, strength AS name, count(*) AS n FROM sig GROUP BY ALL UNION ALL (SELECT 'topic', lang, n FROM k ORDER BY n DESC, first LIMIT 3)")
 def d5(spark, sf):
     s = signals(spark, sf)
