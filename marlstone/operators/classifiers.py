@@ -81,13 +81,6 @@ def last_place(text: Column, places: Sequence[tuple[str, str]]) -> Column:
     return F.array_max(found)["name"]
 
 
-def alias_name(value: Column, aliases: dict[str, str]) -> Column:
-    """The canonical name of a value: exact alias, else that of the longest alias inside it, else the value."""
-    by_length = sorted(aliases.items(), key=lambda kv: (-len(kv[0]), kv[0]))
-    low = F.lower(F.trim(value))
-    return F.coalesce(*[F.when(low == a, F.lit(n)) for a, n in by_length], *[F.when(F.contains(low, F.lit(a)), F.lit(n)) for a, n in by_length], value)
-
-
 def decision(levels: Sequence[Column], table: dict[tuple[str, ...], str], default: str) -> Column:
     """A decision table over several level columns."""
     key = F.concat_ws("|", *levels)

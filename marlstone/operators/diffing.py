@@ -67,11 +67,6 @@ def change_map(current: DataFrame, baseline: DataFrame, key: str, tracked: list[
     return out.select(key, kind.alias("kind"), F.when(both, F.col("changes")).otherwise(none).alias("changes"), F.when(both, F.col("filled")).otherwise(none).alias("filled"))
 
 
-def change_text(parts: list[tuple[Column, Column]], separator: str = "; ") -> Column:
-    """The texts whose conditions hold, joined."""
-    return F.concat_ws(separator, *[F.when(F.coalesce(c, F.lit(False)), t) for c, t in parts])
-
-
 def list_moves(before: Column, after: Column, n: int = 2) -> Column:
     """`+a, +b, -c`: the first n entries of each that came and went."""
     came = F.transform(F.slice(F.array_sort(F.array_except(after, before)), 1, n), lambda x: F.concat(F.lit("+"), x))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
 from marlstone.operators import decisions as D
 from marlstone.operators import quotes as Q
-from marlstone.operators import ranking, rules
-from marlstone.plans.aggregate_queries import CLUSTER_SQL, SIGNAL_SQL, clusters, signals
+from marlstone.operators import rules
+from marlstone.plans.aggregate_queries import CLUSTER_SQL, SIGNAL_SQL, signals
 from marlstone.plans.registering import Group, table
 
 group = Group()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import diffing, gates, merging, ranking, rules
+from marlstone.operators import diffing, merging, ranking, rules
 from marlstone.plans.registering import Group, table
 
 group = Group()

@@ -56,7 +56,7 @@ CLUSTERS = [
     Step("cohort", ("cohort", "registry"), kind=W), Step("diagnosis", ("diagnostic accuracy", "nomogram"), kind=W), Step("burden", ("point prevalence", "mortality"), kind=W), Step("biology", ("polymorphism", "cell line", "murine"), kind=W),
     Step("synthesis", ("systematic review", "meta-analysis"), kind=W), Step("patient", ("questionnaire", "focus group"), kind=W), Step("case", ("case series", "case report"), kind=W), Step("opinion", ("editorial", "narrative review"), kind=W),
 ]
-TAGS = [Rule("veltoran", "veltoran", kind=W), Rule("mirapexin", "mirapexin", kind=W), Rule("mirapexin", "mira-101", kind=W), Rule("dorsuvimab", "dorsuvimab", kind=W), Rule("standard", "standard care", kind=W), Rule("placebo", "placebo", "substring")]
+TAGS = [Rule("veltoran", "veltoran", kind=W), Rule("mirapexin", "mirapexin", kind=W), Rule("mirapexin", "mira-101", kind=W), Rule("dorsuvimab", "dorsuvimab", kind=W), Rule("standard", "standard care", kind=W), Rule("placebo", "placebo", kind="substring")]
 ALIASES = {"veltoran": "Veltoran", "vlt-7": "Veltoran", "mirapexin": "Mirapexin", "mira-101": "Mirapexin", "dorsuvimab": "Dorsuvimab", "placebo": "", "standard care": "", "saline": ""}
 #: Places by terms of a label; a region's towns come before the region, later rules are coarser.
 PLACES = [("riverton", "North/Riverton"), ("oakham", "North/Oakham"), ("saltby", "South/Saltby"), ("millford", "South/Millford"), ("northern region", "North"), ("southern region", "South")]
