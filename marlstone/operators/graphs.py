@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +161,70 @@ def least_reached(ids: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Links that one task follows by itself, and the most targets before its range for which it says which of its nodes reach them.
+RANGE, EXITS = 1 << 18, 1 << 12
+INNER, EXIT, END, ASKED = range(4)
+
+
+def _contracted(links: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of a range's links (a, b, role): from each node that later ranges ask for to the targets before the range that it reaches (EXIT), and to the least end that it reaches within (END, a node without links). Ranges with too many targets, or with no fewer links thereby, stay as they are."""
+    links = links.sort_values("a", kind="stable")
+    own = links[links["role"] != ASKED]
+    exits = {b: i for i, b in enumerate(sorted(set(own.loc[own["role"] == EXIT, "b"])))}
+    if len(exits) > EXITS:
+        return own[["a", "b"]]
+    names, reach = list(exits), {}
+    for a, b, role in zip(own["a"].tolist(), own["b"].tolist(), own["role"].tolist(), strict=True):
+        mask, end = reach[b] if role == INNER else (1 << exits[b], None) if role == EXIT else (0, b)
+        was, least = reach.get(a, (0, None))
+        reach[a] = (was | mask, end if least is None else least if end is None else min(least, end))
+    out = []
+    for a in links.loc[links["role"] == ASKED, "a"].tolist():
+        mask, end = reach[a]
+        out += [(a, end)] if end is not None else []
+        out += [(a, names[i]) for i, bit in enumerate(reversed(bin(mask)[2:])) if bit == "1"]
+    return pd.DataFrame(out, columns=["a", "b"]) if len(out) < len(own) else own[["a", "b"]]
+
+
+def _settled(links: pd.DataFrame) -> pd.DataFrame:
+    """(node, label) of a range's links, those that leave it being to labels."""
+    links, label = links.sort_values("a", kind="stable"), {}
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        label[a] = min(label.get(a, a), label.get(b, b))
+    return pd.DataFrame({"node": list(label), "label": list(label.values())})
+
+
+def _least_ends(links: DataFrame, size: int) -> DataFrame:
+    """(node, label) of every `a` of distinct links (a, b) with b < a: the least node that it reaches."""
+    kind = links.schema["a"].dataType.simpleString()
+    n = links.count()
+    settled = lambda placed: placed.groupBy("chunk").applyInPandas(lambda g: _settled(g), f"node {kind}, label {kind}")
+    if n <= size:
+        return settled(links.withColumn("chunk", F.lit(0)))
+    dealt = written(links.repartitionByRange(-(-n // size), "a").withColumn("chunk", F.spark_partition_id()), "ranges")
+    homes = dealt.select(F.col("a").alias("b"), F.col("chunk").alias("home")).distinct()
+    role = F.when(F.col("home").isNull(), END).when(F.col("home") == F.col("chunk"), INNER).otherwise(EXIT)
+    placed = written(dealt.join(homes, "b", "left").select("a", "b", "chunk", "home", role.alias("role")), "placed")
+    asked = placed.where(F.col("role") == EXIT).select(F.col("b").alias("a"), "b", F.col("home").alias("chunk"), F.lit(ASKED).alias("role")).distinct()
+    fewer = placed.select("a", "b", "chunk", "role").unionByName(asked).groupBy("chunk").applyInPandas(lambda g: _contracted(g), f"a {kind}, b {kind}")
+    fewer = written(fewer, "contracted")
+    # ranges that hold together too loosely are left to rounds over all links
+    below = _least_ends(fewer, size) if 2 * fewer.count() <= n else least_reached(fewer.select(F.explode(F.array("a", "b")).alias("node")), fewer)
+    ahead = placed.where(F.col("role") == EXIT).join(below.select(F.col("node").alias("b"), "label"), "b").select("a", F.col("label").alias("b"), "chunk")
+    return settled(placed.where(F.col("role") != EXIT).select("a", "b", "chunk").unionByName(ahead))
+
+
+def least_earlier(ids: DataFrame, links: DataFrame, size: int = RANGE) -> DataFrame:
+    """(node, label) as least_reached says it, for links (a, b) to smaller nodes only, b < a.
+
+    Nodes are dealt into ranges of at most about `size` links. A range is followed in order by one task, which says what the nodes that later ranges ask for reach before it; that makes fewer links, for which the same
+    is done again. With their labels every range is followed once more. So links are shuffled a few times, however long their paths are and however these cross.
+    """
+    links = written(links.select("a", "b").where("b < a").distinct(), "links")
+    found = written(_least_ends(links, size), "least")
+    return ids.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
 def components(ids: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) of every id: label is the least id of its connected component. ids: (node); links: (a, b), in either direction."""
     return least_reached(ids, links.select("a", "b").union(links.select("b", "a")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.graphs import least_reached
+from marlstone.operators.graphs import least_earlier
 from marlstone.sources.shared import written
 
 
@@ -134,10 +134,10 @@ def ordered_merge(records: DataFrame, order: str, ids: Column, title: Column, le
 
     Records come in the order of a unique column. One that shares an id with records before it joins the oldest of their survivors, and its ids count for that one from then on; else it joins
     by its title (see earlier_records). Two survivors that a later record links stay two: a record joins earlier ones only. What it joins is the least record that it reaches along links to earlier
-    ones, which Spark finds by doubling steps, without going through the records one by one.
+    ones, which Spark finds by ranges of the order (see graphs.least_earlier), without one task that goes through all records.
     """
     links = written(earlier_records(records, order, ids, title, least, merged_titles), "earlier")
-    merged = least_reached(records.select(F.col(order).alias("node")), links)
+    merged = least_earlier(records.select(F.col(order).alias("node")), links)
     how = links.groupBy(F.col("a").alias("node")).agg(F.min("how").alias("how"))
     return merged.join(how, "node", "left").select(F.col("node").alias(order), F.col("label").alias("survivor"), F.coalesce("how", F.lit("first")).alias("how"))
 

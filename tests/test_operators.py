@@ -309,6 +309,20 @@ def test_ordered_merge_is_the_fold(spark, merged_titles):
     assert values(merging.ordered_merge(df, "k", F.col("ids"), F.col("title")), "k", "survivor") == [(1, 1), (2, 2), (3, 1), (4, 1)]
 
 
+@pytest.mark.parametrize("size", [30, 1000])
+def test_least_earlier_is_the_fold_over_ranges(spark, size):
+    """Near and far links, followed in ranges that do and do not shrink."""
+    rng = np.random.default_rng(3)
+    for reach in (4, 150):
+        links = [(a, int(b)) for a in range(1, 150) for b in {max(0, a - 1 - int(x)) for x in rng.integers(0, min(a, reach), int(rng.integers(0, 4)))}]
+        want = list(range(150))
+        for a, b in sorted(links):
+            want[a] = min(want[a], want[b])
+        ids, df = spark.range(150).select(F.col("id").alias("node")), spark.createDataFrame(links, "a long, b long")
+        assert dict(values(graphs.least_earlier(ids, df, size), "node", "label")) == dict(enumerate(want))
+    assert values(graphs.least_earlier(ids, df.limit(0), size).where("node < 2"), "node", "label") == [(0, 0), (1, 1)]
+
+
 def test_components_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(graphs, "HOT", 3)
     ids = spark.range(40).select(F.col("id").alias("node"))
