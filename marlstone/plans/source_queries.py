@@ -15,6 +15,10 @@ group = Group()
 query = group.add
 
 
+#: Records of an XML file, some 60 MB.
+XML_ROWS = 100_000
+
+
 def fresh(spark, name):
     return new_path(spark, name)
 
@@ -135,7 +139,8 @@ def a10(spark, sf):
         k.alias("Id"), F.when(k % 5 != 0, title).alias("ArticleTitle"), F.when(k % 5 == 0, title).alias("BookTitle"), abstract.alias("AbstractText"), date.alias("PubDate"), ids.alias("ArticleId"),
         F.transform("line", lambda x: x["part"]).alias("Part"), F.transform("line", lambda x: x["flag"]).alias("Keyword"),
     )
-    record.write.format("xml").option("rowTag", "Record").option("rootTag", "Records").save(path)
+    # an XML file is read by one task
+    record.write.format("xml").option("maxRecordsPerFile", XML_ROWS).option("rowTag", "Record").option("rootTag", "Records").save(path)
     x = readers.bibliographic_rows(spark, path, "Record", "Part array<long>")
     return x.select(F.col("id").alias("o_orderkey"), "kind", "title", "abstract", F.coalesce(F.size("Part"), F.lit(0)).alias("n"), F.coalesce(F.array_join("Part", ","), F.lit("")).alias("parts"), F.array_join("keywords", ";").alias("keywords"), "doi", "published")
 
@@ -145,11 +150,16 @@ def a10(spark, sf):
  SELECT paper, author, pos, pos = 1 OR (equal AND lead) AS is_first, pos = last AS is_last, CASE WHEN bool_or(mail) OVER p THEN mail ELSE pos = last END AS is_corresponding,
    CASE WHEN bool_or(mail) OVER p THEN 'email' ELSE 'last author' END AS corresponding_by, CASE WHEN mail THEN 's' || author || '@lab.example' ELSE '' END AS emails, CAST(CASE WHEN mail THEN 2 ELSE 1 END AS INT) AS n_affiliations FROM a WINDOW p AS (PARTITION BY paper)""")
 def a11(spark, sf):
-    s = F.col("l_suppkey")
-    mail = F.concat(F.lit("s"), s.cast("string"), F.lit("@lab.example"))
-    affiliations = F.when(s % 4 == 0, F.array(F.concat(F.lit("Unit 4, Town. Electronic address: "), mail, F.lit(".")), F.concat(F.lit("Second unit; "), mail))).otherwise(F.array(F.lit("Unit 1, Town")))
-    one = F.struct("l_linenumber", s.alias("author"), affiliations.alias("affiliations"), (s % 3 == 0).alias("equal"))
-    papers = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_sort(F.collect_list(one)).alias("authors"))  # the authors of one paper
+    one = F.struct("l_linenumber", F.col("l_suppkey").alias("author"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_sort(F.collect_list(one)).alias("lines"))  # the authors of one paper
+
+    def detailed(x):
+        s = x["author"]
+        mail = F.concat(F.lit("s"), s.cast("string"), F.lit("@lab.example"))
+        affiliations = F.when(s % 4 == 0, F.array(F.concat(F.lit("Unit 4, Town. Electronic address: "), mail, F.lit(".")), F.concat(F.lit("Second unit; "), mail))).otherwise(F.array(F.lit("Unit 1, Town")))
+        return F.struct(s.alias("author"), affiliations.alias("affiliations"), (s % 3 == 0).alias("equal"))
+
+    papers = lines.select("paper", F.transform("lines", detailed).alias("authors"))
     return readers.author_rows(papers, "paper", "authors").select("paper", "author", "pos", "is_first", "is_last", "is_corresponding", "corresponding_by", F.array_join("emails", " ").alias("emails"), F.size("affiliations").alias("n_affiliations"))
 
 

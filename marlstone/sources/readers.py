@@ -98,9 +98,11 @@ def author_rows(papers: DataFrame, key: str, authors: str) -> DataFrame:
     First authors are the first one and, if they are marked equal, all others that are. Corresponding are the authors with an e-mail, without any the last;
     corresponding_by says which. Null affiliations count as none; papers without authors give no rows.
     """
-    mails = lambda a: F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_compact(F.coalesce(a["affiliations"], F.array().cast("array<string>"))), lambda t: F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0))))))
-    detailed = F.transform(authors, lambda a, i: F.struct(a["author"].alias("author"), (i + 1).alias("pos"), a["affiliations"].alias("affiliations"), mails(a).alias("emails"), a["equal"].alias("equal")))
-    d = papers.select(key, F.explode(detailed).alias("a"), F.size(authors).alias("last"), F.get(authors, F.lit(0))["equal"].alias("lead"), F.exists(detailed, lambda a: F.size(a["emails"]) > 0).alias("mailed"))
+    at = lambda a: F.filter(a["affiliations"], lambda t: F.contains(t, F.lit("@")))
+    mails = lambda a: F.when(F.size(at(a)) > 0, F.sort_array(F.array_distinct(F.flatten(F.transform(at(a), lambda t: F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0))))))).otherwise(F.array().cast("array<string>"))
+    numbered = F.transform(authors, lambda a, i: F.struct(a["author"].alias("author"), (i + 1).alias("pos"), a["affiliations"].alias("affiliations"), mails(a).alias("emails"), a["equal"].alias("equal")))
+    once = papers.select(key, numbered.alias("d"), F.get(authors, F.lit(0))["equal"].alias("lead"))
+    d = once.select(key, F.explode("d").alias("a"), F.size("d").alias("last"), "lead", F.exists("d", lambda a: F.size(a["emails"]) > 0).alias("mailed"))
     corresponding = F.when(F.col("mailed"), F.size("a.emails") > 0).otherwise(F.col("a.pos") == F.col("last"))
     is_first = (F.col("a.pos") == 1) | (F.coalesce("a.equal", F.lit(False)) & F.coalesce("lead", F.lit(False)))
     source = F.when(F.col("mailed"), "email").otherwise("last author")
