@@ -182,5 +182,4 @@ def c27(spark, sf):
     tags = table(spark, sf, "customer").join(interests.select("c_custkey").distinct(), "c_custkey").select("c_custkey", F.lower("c_mktsegment").alias("tag"))
     uses = F.element_at(F.array(*[F.lit(x) for x in ("building", "machinery", "household", "furniture", "automobile")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     modules = part.where("p_size <= 10").select(F.col("p_partkey").alias("module"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" for "), uses, F.lit(" use")).alias("text"))
-    s = C.profile_fit(interests, tags, modules, "c_custkey", "module", "text").withColumnRenamed("score", "fit")
-    return ranking.top_k(s, ["c_custkey"], [F.desc("fit"), F.asc("module")], 4)
+    return C.best_fits(interests, tags, modules, "c_custkey", "module", "text", 4).withColumnRenamed("score", "fit")

@@ -344,11 +344,25 @@ def test_xml_goes_into_small_files(spark, monkeypatch):
 
 
 def test_authors_are_gathered_without_their_texts(spark):
-    plan = registry.QUERIES["a11_author_flatten"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    gathered = [line for line in plan.splitlines() if "collect_list" in line]
+    plan = registry.QUERIES["a11_author_flatten"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "partial_collect_list" in line]
     assert gathered and not any("Second unit" in line for line in gathered)
 
 
+def test_best_fits_are_those_of_all_pairs(spark, monkeypatch):
+    """Against all pairs, with many copies of texts, ties and matrices cut into pieces."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(9)]
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(words, 3))) for i in range(90)] + [(90, None)], "module long, t string")
+    interests = spark.createDataFrame([(p, i, w, int(rng.integers(1, 9))) for p in range(30) for i, w in enumerate(rng.permutation(words)[:5].tolist())], "c long, place int, term string, n long")
+    tags = spark.createDataFrame([(p, " W3") for p in range(20)], "c long, tag string")
+    want = ranking.top_k(communities.profile_fit(interests, tags, texts, "c", "module", "t"), ["c"], [F.desc("score"), F.asc("module")], 4)
+    monkeypatch.setattr(communities, "PROFILES", 7, raising=False)
+    monkeypatch.setattr(communities, "SETS", 11, raising=False)
+    columns = ["c", "module", "score", "matched", "rank"]
+    assert values(communities.best_fits(interests, tags, texts, "c", "module", "t", 4), *columns) == values(want, *columns)
+
+
 def test_components_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(graphs, "HOT", 3)
     ids = spark.range(40).select(F.col("id").alias("node"))
