@@ -22,11 +22,12 @@ def _holders(quotes: DataFrame, texts: DataFrame, piece: int) -> DataFrame:
     A text is cut into pieces one after another. Where a text holds a string, a piece of it lies within the string at one of `piece` offsets from the string's begin. So for each such offset one of the string's pieces there is
     looked up, the one that the fewest texts have: a string costs `piece` lookups of rare pieces, however often its other pieces occur.
     """
-    cut = lambda c, at: F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring(c, i + 1, F.lit(piece))).alias("h")))
     every = F.sequence(F.lit(0), F.length("q") - piece)
-    grams = written(quotes.select("quote", F.explode(cut(F.col("q"), every)).alias("g")).select("quote", F.pmod(F.col("g.i"), F.lit(piece)).alias("offset"), "g.h"), "quote-pieces")
-    blocks = F.when(F.length("t") >= piece, F.sequence(F.lit(0), F.floor(F.length("t") / piece).cast("int") * piece - piece, F.lit(piece)))
-    pieces = texts.select("text", F.explode(cut(F.col("t"), blocks)).alias("g")).select("text", "g.h").join(grams.select("h").distinct(), "h", "left_semi").distinct()
+    grams = F.transform(every, lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring("q", i + 1, F.lit(piece))).alias("h")))
+    grams = written(quotes.select("quote", F.explode(grams).alias("g")).select("quote", F.pmod(F.col("g.i"), F.lit(piece)).alias("offset"), "g.h"), "quote-pieces")
+    # one pass over the text: a substring would be counted off from its begin for every piece
+    blocks = F.regexp_extract_all("t", F.lit(f"(?s).{{{piece}}}"), F.lit(0))
+    pieces = texts.select("text", F.explode(blocks).alias("g")).select("text", F.xxhash64("g").alias("h")).join(grams.select("h").distinct(), "h", "left_semi").distinct()
     pieces = written(pieces, "text-pieces")
     counts = pieces.groupBy("h").agg(F.count("*").alias("n"))
     # a piece that no text has rules its offset out

@@ -1,6 +1,7 @@
 """Operators on small inputs in the cases that the driver tables do not have."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -363,6 +364,23 @@ def test_best_fits_are_those_of_all_pairs(spark, monkeypatch):
     assert values(communities.best_fits(interests, tags, texts, "c", "module", "t", 4), *columns) == values(want, *columns)
 
 
+def test_quote_in_a_very_long_text(spark):
+    """A text of 1.5 million letters is cut in one pass; counted off from its begin for every piece it took minutes."""
+    text = "".join(np.random.default_rng(8).choice(list("abcdefghiñó"), 1_500_000))
+    qs = spark.createDataFrame([(1, text[-60:]), (2, text[700_000:700_030]), (3, "z" * 60)], "quote_id long, q string")
+    ts = spark.createDataFrame([(7, text)], "text_id long, t string")
+    begin = time.monotonic()
+    got = quote_index.verified(qs, ts, "quote_id", F.col("q"), "text_id", F.col("t"))
+    assert values(got, "quote_id", "text_id", "verdict") == [(1, 7, "whole"), (2, 7, "whole")] and time.monotonic() - begin < 60
+
+
+def test_batches_are_not_sent_to_the_driver(spark):
+    """Only the sums of ranges, a row for each, are broadcast."""
+    plan = registry.QUERIES["g16_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("__range" in line for line in joins)
+
+
 def test_components_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(graphs, "HOT", 3)
     ids = spark.range(40).select(F.col("id").alias("node"))
