@@ -36,20 +36,21 @@ def batches(groups: DataFrame, order: str, size: str, most: int) -> DataFrame:
     begins = g.select(stretch("__from").alias("__s"), F.col("__from").alias("__at"), F.col("__from").alias("__begin"))
     ahead = Window.partitionBy("__s").orderBy("__at").rangeBetween(0, most)
     reach = ends.unionByName(begins).withColumn("__end", F.max(F.when(F.col("__begin").isNull(), F.col("__at"))).over(ahead)).where("__begin is not null")
-    jumps = reach.join(g.select(F.col("__from").alias("__begin"), F.col("__to").alias("__own")), "__begin").select("__begin", F.greatest("__end", "__own").alias("__next"))
+    jumps = reach.join(g.select(F.col("__from").alias("__begin"), F.col("__to").alias("__own")).hint("merge"), "__begin").select("__begin", F.greatest("__end", "__own").alias("__next"))
     jumps = written(jumps, "packing-jumps")
     found = written(g.agg(F.min("__from").alias("__begin")).where("__begin is not null"), "packing-begins")
+    # begins and jumps are joined in the executors, not sent to the driver to be broadcast in every step
     while True:
         # all begins found so far, and where 2^k batches on from each of them one begins
-        more = found.join(jumps, "__begin").select(F.col("__next").alias("__begin")).join(jumps.select("__begin"), "__begin", "left_semi")
+        more = found.join(jumps.hint("merge"), "__begin").select(F.col("__next").alias("__begin")).join(jumps.select("__begin").hint("merge"), "__begin", "left_semi")
         grown = written(found.unionByName(more).distinct(), "packing-begins")
         done = grown.count() == found.count()
         found = grown
         if done:
             break
-        twice = jumps.select("__begin", F.col("__next").alias("__mid")).join(jumps.select(F.col("__begin").alias("__mid"), "__next"), "__mid", "left")
+        twice = jumps.select("__begin", F.col("__next").alias("__mid")).join(jumps.select(F.col("__begin").alias("__mid"), "__next").hint("merge"), "__mid", "left")
         jumps = written(twice.select("__begin", F.coalesce("__next", "__mid").alias("__next")), "packing-jumps")
-    opened = g.join(found.select(F.col("__begin").alias("__from"), F.lit(1).alias("__opens")), "__from", "left")
+    opened = g.join(found.select(F.col("__begin").alias("__from"), F.lit(1).alias("__opens")).hint("merge"), "__from", "left")
     many = F.when(F.col("__opens") == 1, F.greatest(F.lit(1), F.ceil(F.col(size) / most))).otherwise(0).cast("long")
     counted = running_total(opened, [order], many, "__batches")
     own = F.greatest(F.lit(1), F.ceil(F.col(size) / most)).cast("long")

@@ -36,7 +36,7 @@ def g16(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.greatest(F.lit(1), F.ceil(F.length("text") / 1000)).cast("long").alias("n"))
     packed = packing.batches(d.select("doc_id", "n"), "doc_id", "n", BATCH)
     c = d.select("doc_id", F.explode(S.chunks(F.col("text"), 1000, 0)).alias("c")).select("doc_id", "c.start", "c.chunk")
-    return c.join(packed.select("doc_id", "batch"), "doc_id").withColumn("batch", F.col("batch") + F.floor(F.col("start") / (1000 * BATCH)))
+    return c.join(packed.select("doc_id", "batch").hint("merge"), "doc_id").withColumn("batch", F.col("batch") + F.floor(F.col("start") / (1000 * BATCH)))
 
 
 SEED, SAMPLE = 17, 12
