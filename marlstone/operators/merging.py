@@ -118,15 +118,17 @@ def earlier_records(records: DataFrame, order: str, ids: Column, title: Column,
     """
     r = records.select(F.col(order).alias("a"), F.array_distinct(F.filter(F.transform(ids, lambda x: F.lower(F.trim(x))), lambda x: x != "")).alias("__ids"), F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "").alias("__title"))
     before = F.lag("a").over(Window.partitionBy("__id").orderBy("a"))
-    by_id = r.select("a", F.explode("__ids").alias("__id")).select("a", before.alias("b")).where("b is not null").distinct()
+    by_id = r.select("a", F.explode("__ids").alias("__id")).select("a", before.alias("b")).where("b is not null").withColumn("how", F.lit("id"))
     titled = r.where(F.length("__title") >= least).select("a", "__title")
     if merged_titles:
-        titled = titled.withColumn("b", F.lag("a").over(Window.partitionBy("__title").orderBy("a"))).join(by_id.select("a").distinct(), "a", "left_anti")
-    else:
-        free = titled.join(by_id.select("a").distinct(), "a", "left_anti")
-        titled = free.join(free.groupBy("__title").agg(F.min("a").alias("b")), "__title")
-    by_title = titled.where("b < a").select("a", "b")
-    return by_id.withColumn("how", F.lit("id")).unionByName(by_title.withColumn("how", F.lit("title")))
+        last = F.lag("a").over(Window.partitionBy("__title").orderBy("a"))
+        every = by_id.unionByName(titled.select("a", last.alias("b"), F.lit("title").alias("how")).where("b < a"))
+        # both kinds meet by record, so that ids are followed once; `id` is less than `title`
+        return every.withColumn("__first", F.min("how").over(Window.partitionBy("a"))).where("how = __first").select("a", "b", "how").distinct()
+    by_id = by_id.distinct()
+    free = titled.join(by_id.select("a").distinct(), "a", "left_anti")
+    by_title = free.join(free.groupBy("__title").agg(F.min("a").alias("b")), "__title").where("b < a")
+    return by_id.unionByName(by_title.select("a", "b", F.lit("title").alias("how")))
 
 
 def ordered_merge(records: DataFrame, order: str, ids: Column, title: Column, least: int = 40, merged_titles: bool = False) -> DataFrame:
@@ -153,7 +155,7 @@ def merged_events(events: DataFrame, survivor: str, order: str, material: str) -
     The most material event of each survivor is kept, the first of several; references, source events and cross ids are those of all, each once and sorted. candidate: the reference
     ids and the kept event's kind. The sets hold an entry for each distinct value of one event's registries, as the merged record does.
     """
-    sorted_set = lambda c, by: F.array_join(F.array_sort(F.collect_set(c)), by)
+    sorted_set = lambda c, by: F.array_join(F.sort_array(F.collect_set(c)), by)
     best = F.max(F.struct(F.col(material).alias("material"), (-F.col(order)).alias("less"), F.col("event").alias("event"))).alias("best")
     g = events.groupBy(survivor).agg(
         F.count("*").alias("n"), best, sorted_set("ref", ",").alias("refs"), sorted_set("source_event", ",").alias("source_events"), sorted_set("cross_id", ",").alias("cross_ids"), sorted_set("ref_id", "|").alias("ids")

@@ -311,6 +311,28 @@ def test_ordered_merge_is_the_fold(spark, merged_titles):
     assert values(merging.ordered_merge(df, "k", F.col("ids"), F.col("title")), "k", "survivor") == [(1, 1), (2, 2), (3, 1), (4, 1)]
 
 
+def test_merged_titles_follow_ids_once(spark):
+    df = spark.createDataFrame([(1, ["x"], "a"), (2, ["x"], "b")], "k long, ids array<string>, title string")
+    links = merging.earlier_records(df, "k", F.col("ids"), F.col("title"), merged_titles=True)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert values(links, "a", "b", "how") == [(2, 1, "id")]
+
+
+def test_long_chains_of_titles_take_few_jobs(spark):
+    """Every title links to the one before it and every third record to an id that crosses: rounds over all links took more jobs the longer the chains were."""
+    title = "Randomised confirmatory study, in two parts, of agent "
+    records = [(k, [f"r{k}", *([f"x{k // 12}"] if k % 6 < 2 else []), *([f"y{k // 40}"] if k % 7 == 3 else [])], f"{title}{k % 11}" if k % 4 == 0 else "short") for k in range(3000)]
+    df = spark.createDataFrame(records, "k long, ids array<string>, title string")
+    spark.sparkContext.setJobGroup("chains", "")
+    try:
+        got = values(merging.ordered_merge(df, "k", F.col("ids"), F.col("title"), merged_titles=True), "k", "survivor", "how")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chains")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted(fold(records, True), key=repr)
+    assert len(jobs) <= 40
+
+
 @pytest.mark.parametrize("size", [30, 1000])
 def test_least_earlier_is_the_fold_over_ranges(spark, size):
     """Near and far links, followed in ranges that do and do not shrink."""
