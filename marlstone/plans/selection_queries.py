@@ -33,9 +33,12 @@ BATCH = 20
 )
 def g16(spark, sf):
     """Documents in chunks of 1000 characters, and the batch of at most twenty chunks that each goes to: a document's chunks are not split over batches unless there are more than twenty."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.greatest(F.lit(1), F.ceil(F.length("text") / 1000)).cast("long").alias("n"))
-    packed = packing.batches(d.select("doc_id", "n"), "doc_id", "n", BATCH)
-    c = d.select("doc_id", F.explode(S.chunks(F.col("text"), 1000, 0)).alias("c")).select("doc_id", "c.start", "c.chunk")
+    # documents without an id come last in the order and meet none in the join; those of one id come as in the files
+    d = table(spark, sf, "documents").where("text is not null and doc_id is not null")
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1000)).cast("long").alias("n")
+    packed = packing.batches(d.select("doc_id", n, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")), "doc_id", "n", BATCH, ("file", "row"))
+    c = d.select("doc_id", F.explode_outer(S.chunks(F.col("text"), 1000, 0)).alias("c"))
+    c = c.select("doc_id", F.coalesce("c.start", F.lit(0)).alias("start"), F.coalesce("c.chunk", F.lit("")).alias("chunk"))  # an empty text is one chunk
     return c.join(packed.select("doc_id", "batch").hint("merge"), "doc_id").withColumn("batch", F.col("batch") + F.floor(F.col("start") / (1000 * BATCH)))
 
 

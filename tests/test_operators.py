@@ -519,6 +519,33 @@ def test_batches_are_the_greedy_ones(spark):
     assert packing.batches(df.limit(0), "k", "n", 5).count() == 0
 
 
+def test_batches_of_repeated_keys(spark):
+    """Groups of equal keys are in one order in all steps, the smaller first or by further columns, also where rows come from several partitions."""
+    rng = np.random.default_rng(9)
+    sizes = sorted((k // 10, int(n)) for k, n in enumerate(rng.integers(1, 9, 200)))
+    df = spark.createDataFrame(sizes, "k long, n long").repartition(7)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = values(packing.batches(df, "k", "n", 12), "k", "n", "batch")
+        back = values(packing.batches(df.withColumn("later", -F.col("n")), "k", "n", 12, ("later",)), "k", "n", "batch")
+    finally:
+        spark.conf.unset(coalesce)
+    for found, order in ((got, sizes), (back, sorted(sizes, key=lambda x: (x[0], -x[1])))):
+        assert found == sorted([(k, n, b) for (k, n), b in zip(order, packed_by_hand([n for _, n in order], 12), strict=True)], key=repr)
+
+
+def test_chunks_of_odd_documents(spark, tmp_path):
+    """An empty text is one empty chunk, a text without an id has no chunk and no place before others, as the SQL says; texts of one id come as in the file."""
+    rows = [(None, "x" * 19_500), (1, ""), (2, None), (3, "y" * 1001), (4, "z" * 17_500), (4, "z" * 17_500), (5, "")]
+    rows += [(6, "v" * 1000 * n) for n in (19, 18, 1, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["g16_chunks"](spark, str(tmp_path)).withColumn("n", F.length("chunk"))
+    copies = [(4, 1000 * i, 500 if i == 17 else 1000, b) for i in range(18) for b in (1, 1, 2, 2)]
+    copies += [(6, 1000 * i, 1000, b) for n in (19, 18, 1, 2) for i in range(n) for b in (3, 4, 4, 5)]
+    assert values(got, "doc_id", "start", "n", "batch") == sorted([(1, 0, 0, 0), (3, 0, 1000, 0), (3, 1000, 1, 0), (5, 0, 0, 2), *copies], key=repr)
+
+
 def test_running_total(spark):
     df = spark.createDataFrame([(i, i % 5) for i in range(200)], "k long, v long").repartition(9)
     got = [r["t"] for r in packing.running_total(df, ["k"], F.col("v"), "t").orderBy("k").collect()]
